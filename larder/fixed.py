@@ -213,6 +213,20 @@ TRACE_PROMPT = (
     r"|peut contenir(?: des traces)?|traces? [ée]ventuelles? d[e']|traces? d[e']|may contain)"
 )
 
+ORGANIC_MARK = r"(?:(?:\* ?=?|\(¹\)|\") ?)"
+ORGANIC_ORIGIN_FR = r"issus? de l'agriculture (?:biologique|bio|durable)"
+ORGANIC_MENTIONS = [
+    rf"{ORGANIC_MARK}?ingr[ée]dients?(?: agricoles?)? {ORGANIC_ORIGIN_FR}",
+    rf"{ORGANIC_MARK}?produits? {ORGANIC_ORIGIN_FR}",
+    rf"{ORGANIC_MARK}?{ORGANIC_ORIGIN_FR}",
+    rf"{ORGANIC_MARK}organic(?: farming)?",
+    rf"{ORGANIC_MARK}?aus biologischer landwirtschaft",
+    rf"{ORGANIC_MARK}?procedentes del cultivo ecol[óo]gico",
+    rf"{ORGANIC_MARK}?de cultivo ecol[óo]gico certificado",
+    rf"{ORGANIC_MARK}?ingredientes? ecol[óo]gicos?",
+    rf"{ORGANIC_MARK}?biologico",
+]
+
 NUTRIENT_UNITS = {
     "energy": ["kj", "kcal"], "saturated_fat": ["g"], "trans_fat": ["g"], "fat": ["g"],
     "sugar": ["g"], "carbohydrate": ["g"], "protein": ["g"], "salt": ["g", "mg"],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder import fixed
 from larder.functions import paths
@@ -14,9 +15,8 @@ METRIC_TAGS = ["type", "annotation", "automatic_processing", "predictor", "reser
 def insight_metrics(insights: DataFrame) -> DataFrame:
     """Count and share of total per combination of six columns."""
     counts = insights.groupBy(*METRIC_TAGS).agg(F.count(F.lit(1)).alias("count"))
-    # the counts are one row per combination of small enums, so one more aggregate is enough
-    total = insights.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(total).withColumn("percent", F.col("count") / F.col("total")).drop("total")
+    # one row per combination of small enums is left here, so the unpartitioned window is tiny
+    return counts.withColumn("percent", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
 def facet_metrics(products: DataFrame, facets: dict[str, str], country_column: str = "countries_tags") -> DataFrame:

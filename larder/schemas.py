@@ -1,16 +1,15 @@
-"""Explicit schemas; production reads never infer."""
+"""Explicit schemas (DDL); production reads never infer."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-PREDICTION = T.StructType.fromDDL(
+PREDICTION = (
     "id long, barcode string, server_type string, type string, value_tag string, value string, "
     "source_image string, automatic_processing boolean, predictor string, predictor_version string, "
     "confidence double, timestamp timestamp, data string"
 )
 
-INSIGHT = T.StructType.fromDDL(
+INSIGHT = (
     "id string, barcode string, server_type string, type string, value_tag string, value string, "
     "source_image string, automatic_processing boolean, predictor string, predictor_version string, "
     "confidence double, timestamp timestamp, data string, completed_at timestamp, annotation int, "
@@ -24,7 +23,7 @@ IMAGE_META = (
     "sizes:map<string,struct<w:int,h:int>>>"
 )
 
-PRODUCT = T.StructType.fromDDL(
+PRODUCT = (
     "code string, lang string, product_name string, countries_tags array<string>, categories_tags array<string>, "
     "emb_codes_tags array<string>, labels_tags array<string>, brands_tags array<string>, "
     "stores_tags array<string>, states_tags array<string>, quantity string, expiration_date string, "
@@ -36,7 +35,7 @@ PRODUCT = T.StructType.fromDDL(
     "preparation:string,source:string>>>"
 )
 
-DETECTION = T.StructType.fromDDL(
+DETECTION = (
     "barcode string, image_id string, result array<struct<score:double,bounding_box:array<double>,label:string>>"
 )
 
@@ -61,16 +60,16 @@ OCR_CONTENT = (
     "safeSearchAnnotation:struct<adult:string,spoof:string,medical:string,violence:string,racy:string>,"
     "faceAnnotations:array<struct<detectionConfidence:double>>>>>"
 )
-OCR_ROW = T.StructType.fromDDL(f"source string, content {OCR_CONTENT}, created_at double")
+OCR_ROW = (f"source string, content {OCR_CONTENT}, created_at double")
 
-PRODUCT_UPDATE = T.StructType.fromDDL(
+PRODUCT_UPDATE = (
     "id string, stream string, timestamp timestamp, code string, flavor string, user_id string, "
     "action string, product_type string, comment string, diffs string"
 )
-OCR_READY = T.StructType.fromDDL(
+OCR_READY = (
     "id string, stream string, timestamp timestamp, code string, product_type string, image_id string, json_url string"
 )
-DIFFS = T.StructType.fromDDL(
+DIFFS = (
     "fields struct<change:array<string>,add:array<string>,delete:array<string>>, "
     "uploaded_images struct<add:array<string>,delete:array<string>>, nutriments string, nutrition string, product_type string"
 )

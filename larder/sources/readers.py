@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larder import fixed, schemas
 from larder.functions import paths
 
 
 def scan_products_jsonl(
-    spark: SparkSession, path: str, schema: T.StructType | str = schemas.PRODUCT, partitions: int | None = None,
+    spark: SparkSession, path: str, schema: str = schemas.PRODUCT, partitions: int | None = None,
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
     """Plain or gzip JSON lines.  A gzip file is one task; pass ``partitions`` to spread it."""
