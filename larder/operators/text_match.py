@@ -60,15 +60,17 @@ def regex_extract(df: DataFrame, patterns: Sequence[tuple[str, str, str, Sequenc
     columns = {"full": F.col(text_col), "contiguous": F.col("__flat")}
     base = df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
     base = base.withColumn("__flat", contiguous(F.col(text_col)))
-    tagged = [
-        F.when(
-            columns[field].rlike(pattern),
-            F.transform(match_array(columns[field], pattern, groups), lambda m, n=name, k=i: F.struct(F.lit(k).alias("seq"), F.lit(n).alias("name"), m["raw"].alias("raw"), m["g"].alias("g"), m["start"].alias("start"), m["end"].alias("end"))),
-        )
-        for i, (name, field, pattern, groups) in enumerate(patterns)
-    ]
+
+    def tagged(seq: int, name: str, field: str, pattern: str, groups: Sequence[int]) -> Column:
+        def label(m: Column) -> Column:
+            fields = [m[c].alias(c) for c in ("raw", "g", "start", "end")]
+            return F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *fields)
+
+        return F.when(columns[field].rlike(pattern), F.transform(match_array(columns[field], pattern, groups), label))
+
+    found = F.array(*[tagged(i, *entry) for i, entry in enumerate(patterns)])
     # null entries (pattern absent) vanish before the explode
-    rows = base.select(*keep, F.explode(F.flatten(F.array_compact(F.array(*tagged)))).alias("m"))
+    rows = base.select(*keep, F.explode(F.flatten(F.array_compact(found))).alias("m"))
     return rows.select(*keep, "m.*")
 
 
