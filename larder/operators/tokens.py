@@ -236,8 +236,7 @@ def ingredient_counts(trees: DataFrame, nodes: DataFrame, key: Sequence[str] = (
     for i in range(depth):
         ids.append(F.transform(level, lambda x: x["id"]))
         if i < depth - 1:
-            level = F.flatten(F.transform(level, lambda x: F.coalesce(x["ingredients"], F.slice(x["ingredients"], 1, 0))))
-            level = F.filter(level, lambda x: x.isNotNull())
+            level = F.flatten(F.array_compact(F.transform(level, lambda x: x["ingredients"])))
     rows = trees.select(*key, F.explode_outer(F.concat(*ids)).alias("ingredient_id"))
     known = nodes.select(F.col("id").alias("ingredient_id"), F.lit(1).alias("known")).distinct()
     counted = rows.join(known, "ingredient_id", "left").groupBy(*key).agg(

@@ -1 +1,628 @@
-"""Queries."""
+"""Queries: taxonomy, change sets, candidates, import runs, deletes and datasets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import aggregates as A
+from larder.operators import candidates as C
+from larder.operators import changeset as S
+from larder.operators import datasets as B
+from larder.operators import dedup as D
+from larder.operators import deletes as X
+from larder.operators import taxonomy as T
+from larder.operators.ranking import candidate_order
+from larder.plans import flows
+from larder.plans.q_core import CLOSURE, IMAGE_RANK, PREFIXES, brand_blacklist, brand_prefixes, closure, joined, spell_products
+from larder.plans.registry import Data, query
+from larder.plans.roles import product_full, with_json
+
+# --- taxonomy -----------------------------------------------------------------
+
+
+@query("taxonomy_closure", f"WITH {CLOSURE} SELECT ancestor, descendant FROM up")
+def _(d):
+    return closure(d)
+
+
+@query("deepest_nodes", f"""
+WITH {CLOSURE}, k AS (SELECT id, barcode, value_tag FROM prediction WHERE type = 'category')
+SELECT id FROM k WHERE NOT EXISTS (SELECT 1 FROM k o JOIN up u ON o.value_tag = u.descendant WHERE o.barcode = k.barcode AND u.ancestor = k.value_tag)
+""")
+def _(d):
+    return T.deepest_nodes(d.prediction.where("type = 'category'"), closure(d), ["barcode"]).select("id")
+
+
+@query("is_parent_of_any", f"""
+WITH {CLOSURE} SELECT p.id, EXISTS (SELECT 1 FROM (SELECT code, unnest(labels_tags) AS m FROM product) c JOIN up u ON u.descendant = c.m WHERE c.code = p.barcode AND u.ancestor = p.value_tag) AS is_parent
+FROM prediction p WHERE p.type = 'label'
+""")
+def _(d):
+    members = d.product.select(F.col("code").alias("barcode"), F.explode("labels_tags").alias("member"))
+    return T.is_parent_of_any(d.prediction.where("type = 'label'"), members, closure(d), ["barcode"]).select("id", "is_parent")
+
+
+RAW_TAG = "CASE WHEN l_orderkey % 3 = 0 THEN value_tag WHEN l_orderkey % 3 = 1 THEN replace(value_tag, 'en:n', 'fr:noeud-') ELSE replace(value_tag, 'en:n', 'xx:') END"
+
+
+@query("canonical_tag", f"""
+SELECT p.id, CASE WHEN n.id IS NOT NULL THEN p.raw ELSE s.id END AS canonical FROM (SELECT id, {RAW_TAG} AS raw FROM prediction WHERE type = 'label') p
+LEFT JOIN node n ON n.id = p.raw LEFT JOIN synonym s ON s.tag = p.raw
+""")
+def _(d):
+    rows = d.prediction.where("type = 'label'").select("id", F.expr(RAW_TAG).alias("value_tag"))
+    return T.canonical_tag(rows, d.node, d.synonym).select("id", "canonical")
+
+
+def names(d: Data):
+    en = d.node.select(F.col("id").alias("node_id"), F.lit("en").alias("lang"), F.col("name_en").alias("name"))
+    fr = d.node.where("name_fr is not null").select(F.col("id").alias("node_id"), F.lit("fr").alias("lang"), F.col("name_fr").alias("name"))
+    return en.unionByName(fr).withColumn("kind", F.lit("name"))
+
+
+@query("localized_name", "SELECT i.id, coalesce(n.name_fr, n.name_en, i.value_tag) AS localized FROM insight i LEFT JOIN node n ON i.value_tag = n.id WHERE i.type IN ('label', 'brand')")
+def _(d):
+    return T.localized_name(d.insight.where("type in ('label', 'brand')"), names(d), "fr").select("id", "localized")
+
+
+@query("category_hierarchy", """
+SELECT 0 AS parent_index, p_partkey AS child_index FROM node WHERE id NOT IN (SELECT child FROM edge)
+UNION SELECT a.p_partkey, b.p_partkey FROM edge e JOIN node a ON e.parent = a.id JOIN node b ON e.child = b.id
+""")
+def _(d):
+    return T.category_hierarchy(d.node, d.edge, d.node.select("id", F.col("p_partkey").alias("idx")))
+
+
+@query("neighbors", """
+WITH t AS (SELECT DISTINCT value_tag FROM insight WHERE type = 'category')
+SELECT value_tag, parent AS neighbor, 'parent' AS relation FROM t JOIN edge ON child = value_tag UNION ALL SELECT value_tag, child, 'child' FROM t JOIN edge ON parent = value_tag
+UNION ALL SELECT DISTINCT value_tag, b.child, 'sibling' FROM t JOIN edge a ON a.child = value_tag JOIN edge b ON b.parent = a.parent WHERE b.child <> value_tag
+""")
+def _(d):
+    return T.neighbors(d.edge, d.insight.where("type = 'category'"))
+
+
+@query("taxonomy_export", "SELECT id, name_fr AS name FROM node WHERE name_fr IS NOT NULL")
+def _(d):
+    return T.taxonomy_export(names(d), "fr")
+
+
+# --- change sets --------------------------------------------------------------
+
+SLICE_NEW, SLICE_OLD = "l_orderkey % 2 = 0", "l_orderkey % 2 = 1"
+IDENTITY = "type, server_type, source_image, value_tag, value, predictor, automatic_processing"
+
+
+@query("new_predictions", f"""
+SELECT n.id FROM prediction n WHERE n.l_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM prediction s WHERE s.l_orderkey % 3 > 0 AND s.barcode = n.barcode
+  AND {' AND '.join(f"s.{c} IS NOT DISTINCT FROM n.{c}" for c in IDENTITY.split(', '))})
+""")
+def _(d):
+    return D.new_predictions(d.prediction.where("l_orderkey % 3 = 0"), d.prediction.where("l_orderkey % 3 > 0")).select("id")
+
+
+STALE = """
+stale AS (SELECT s.* FROM prediction s WHERE s.l_orderkey % 3 > 0 AND ((s.type = 'category' AND EXISTS (SELECT 1 FROM inc n WHERE n.type = 'category' AND n.barcode = s.barcode AND n.server_type = s.server_type))
+ OR (s.type <> 'category' AND EXISTS (SELECT 1 FROM inc n WHERE n.type = s.type AND n.barcode = s.barcode AND n.server_type = s.server_type AND n.source_image = s.source_image AND n.predictor_version IS DISTINCT FROM s.predictor_version))))
+"""
+
+
+@query("stale_versions", f"WITH inc AS (SELECT * FROM prediction WHERE l_orderkey % 3 = 0), {STALE} SELECT id FROM stale")
+def _(d):
+    return D.stale_versions(d.prediction.where("l_orderkey % 3 = 0"), d.prediction.where("l_orderkey % 3 > 0")).select("id")
+
+
+VALID_INC = """
+inc AS (SELECT p.* FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.l_orderkey % 3 = 0 AND c.c_custkey % 17 <> 0
+  AND (p.source_image IS NULL OR list_contains(c.image_ids, regexp_extract(p.source_image, '([0-9]+)[.]jpg$', 1))))
+"""
+
+
+@query("import_predictions", f"""
+WITH {VALID_INC}, {STALE}, rest AS (SELECT * FROM prediction WHERE l_orderkey % 3 > 0 AND id NOT IN (SELECT id FROM stale)),
+fresh AS (SELECT n.id, n.type FROM inc n WHERE NOT EXISTS (SELECT 1 FROM rest s WHERE s.barcode = n.barcode AND {' AND '.join(f"s.{c} IS NOT DISTINCT FROM n.{c}" for c in IDENTITY.split(', '))}))
+SELECT 'delete' AS op, type, count(*) AS n FROM stale GROUP BY type UNION ALL SELECT 'insert', type, count(*) FROM fresh GROUP BY type
+""")
+def _(d):
+    out = S.import_predictions(d.prediction.where("l_orderkey % 3 = 0"), d.prediction.where("l_orderkey % 3 > 0"), d.product.where("c_custkey % 17 <> 0"))
+    parts = [out[op].groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("op", F.lit(op)) for op in ("delete", "insert")]
+    return parts[0].unionByName(parts[1])
+
+
+def merge_check(cand: str, keys: list[str], type: str, order: str, wide: str = "", more: str = "") -> str:
+    """Greedy selection as SQL: best candidate per key, blocked keys out, open rows matched."""
+    on = ["barcode", "server_type", *keys]
+    eq = " AND ".join(f"r.{c} IS NOT DISTINCT FROM w.{c}" for c in on)
+    wide = wide or "SELECT barcode, server_type, value_tag, value, source_image, id, annotation, automatic_processing FROM refs"
+    return f"""
+{more} cand AS ({cand}),
+refs AS (SELECT * FROM insight WHERE type = '{type}' AND barcode IN (SELECT code FROM product)),
+wide AS ({wide}),
+w AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY {', '.join(on)} ORDER BY {order}) = 1),
+free AS (SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM wide r WHERE (r.annotation IS NOT NULL OR coalesce(r.automatic_processing, false)) AND {eq})),
+placed AS (SELECT w.id AS candidate_id, (SELECT min(r.id) FROM wide r WHERE r.annotation IS NULL AND {eq} AND r.source_image IS NOT DISTINCT FROM w.source_image) AS insight_id FROM free w)
+SELECT CASE WHEN insight_id IS NULL THEN 'create' ELSE 'update' END AS op, candidate_id, insight_id FROM placed
+UNION ALL SELECT 'delete', NULL, id FROM refs WHERE annotation IS NULL AND NOT coalesce(automatic_processing, false) AND id NOT IN (SELECT insight_id FROM placed WHERE insight_id IS NOT NULL)
+"""
+
+
+RANKED = f"priority, -{IMAGE_RANK}, CASE WHEN automatic_processing THEN 0 ELSE 1 END, coalesce(predictor, 'z'), id"
+
+
+def refs_of(d: Data, type: str):
+    return d.insight.where(F.col("type") == type)
+
+
+@query("merge_candidates", "WITH " + merge_check("SELECT * FROM prediction WHERE type = 'store'", ["value_tag"], "store", RANKED))
+def _(d):
+    return S.merge_candidates(d.prediction.where("type = 'store'"), refs_of(d, "store"), ["value_tag"]).select("op", "candidate_id", "insight_id")
+
+
+CHANGES = """
+ch AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'delete' WHEN o_orderkey % 4 = 1 THEN 'update' END AS op, id, o_orderkey FROM insight WHERE o_orderkey % 4 < 2),
+nw AS (SELECT id AS candidate_id, o_orderkey, 'new-' || id AS value_tag, unique_scans_n + 1 AS unique_scans_n FROM insight)
+"""
+
+
+@query("apply_change_set", f"""
+WITH {CHANGES} SELECT i.id, CASE WHEN ch.op = 'update' THEN nw.value_tag ELSE i.value_tag END AS value_tag, CASE WHEN ch.op = 'update' THEN nw.unique_scans_n ELSE i.unique_scans_n END AS unique_scans_n, i.type
+FROM insight i LEFT JOIN ch ON ch.id = i.id LEFT JOIN nw ON nw.candidate_id = i.id WHERE ch.op IS DISTINCT FROM 'delete'
+UNION ALL SELECT 'c-' || id, 'new-' || id, unique_scans_n + 1, type FROM insight WHERE o_orderkey % 4 = 2
+""")
+def _(d):
+    key = F.col("o_orderkey") % 4
+    base = d.insight.select("id", "barcode", "server_type", "type", "value_tag", "unique_scans_n")
+    op = F.when(key == 0, "delete").when(key == 1, "update").when(key == 2, "create")
+    changes = d.insight.where(key < 3).select(op.alias("op"), F.col("id").alias("candidate_id"), F.when(key == 2, None).otherwise(F.col("id")).alias("insight_id"))
+    new = d.insight.select(F.col("id").alias("candidate_id"), F.concat(F.lit("c-"), "id").alias("insight_id"), "barcode", "server_type", "type", F.concat(F.lit("new-"), "id").alias("value_tag"), (F.col("unique_scans_n") + 1).alias("unique_scans_n"))
+    return S.apply_change_set(base, changes, new).select("id", "value_tag", "unique_scans_n", "type")
+
+
+def raw_candidates(d: Data):
+    size = F.array(*[F.lit(float(x)) for x in (10, 20, 150, 200)])
+    return d.prediction.withColumn("bounding_box_absolute", F.when(F.col("l_orderkey") % 2 == 0, size))
+
+
+@query("generate_insights", """
+SELECT p.id, coalesce(p.automatic_processing, false) AS automatic_processing, CASE WHEN p.l_orderkey % 2 = 0 AND p.source_image IS NOT NULL THEN round(least(1e0, 150e0 / i.height), 6) END AS y1
+FROM prediction p JOIN product c ON p.barcode = c.code LEFT JOIN image i ON i.source_image = p.source_image
+WHERE c.c_custkey % 17 <> 0 AND (p.source_image IS NULL OR list_contains(c.image_ids, regexp_extract(p.source_image, '([0-9]+)[.]jpg$', 1)))
+""")
+def _(d):
+    out = S.generate_insights(raw_candidates(d), product_full(d).where("c_custkey % 17 <> 0"))
+    return out.select("id", "automatic_processing", F.round(F.col("bounding_box")[2], 6).alias("y1"))
+
+
+@query("stamp_fields", """
+SELECT p.id, (CASE WHEN p.barcode LIKE '0%' THEN substring(p.barcode, 2) ELSE p.barcode END) LIKE '2%' AS reserved_barcode, 0 AS n_votes,
+  CASE WHEN p.type IN ('label', 'category') THEN len(c.image_ids) > 0 ELSE p.source_image IS NOT NULL END AS with_image, CASE WHEN p.automatic_processing THEN '2024-01-01 00:10:00' END AS process_after, c.unique_scans_n
+FROM prediction p LEFT JOIN product c ON p.barcode = c.code
+""")
+def _(d):
+    out = S.stamp_fields(d.prediction, d.product, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return out.select("id", "reserved_barcode", "n_votes", "with_image", F.date_format("process_after", "yyyy-MM-dd HH:mm:ss").alias("process_after"), "unique_scans_n")
+
+
+@query("import_counts", "SELECT type, op, count(*) AS count FROM (SELECT type, CASE o_orderkey % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'delete' END AS op FROM insight) GROUP BY 1, 2")
+def _(d):
+    return A.import_counts(d.insight.select("type", F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'delete' END").alias("op")))
+
+
+# --- candidates ---------------------------------------------------------------
+
+
+@query("cand_packager_code", """
+SELECT p.id FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = 'packager_code'
+  AND NOT list_contains(list_transform(c.emb_codes_tags, lambda x: regexp_replace(regexp_replace(lower(trim(x)), '[ .-]', '', 'g'), 'ce$', 'ec')), regexp_replace(regexp_replace(lower(trim(p.value)), '[ .-]', '', 'g'), 'ce$', 'ec'))
+""")
+def _(d):
+    return C.cand_packager_code(with_json(d.prediction), d.product).select("id")
+
+
+def tag_candidates(type: str, product_column: str, first: str) -> str:
+    return f"""
+{CLOSURE},
+raw AS (SELECT p.*, CASE WHEN l_orderkey % 3 = 1 THEN replace(value_tag, 'en:n', 'fr:noeud-') ELSE value_tag END AS raw_tag FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = '{type}'),
+own AS (SELECT code, unnest({product_column}) AS tag FROM product), implied AS (SELECT code, tag FROM own UNION SELECT o.code, u.ancestor FROM own o JOIN up u ON o.tag = u.descendant),
+can AS (SELECT r.* EXCLUDE (value_tag), r.value_tag AS orig, CASE WHEN n.id IS NOT NULL THEN r.raw_tag ELSE s.id END AS value_tag FROM raw r LEFT JOIN node n ON n.id = r.raw_tag LEFT JOIN synonym s ON s.tag = r.raw_tag
+  WHERE NOT EXISTS (SELECT 1 FROM implied i WHERE i.code = r.barcode AND i.tag = {first})),
+known AS (SELECT * FROM can WHERE value_tag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM implied i WHERE i.code = can.barcode AND i.tag = can.value_tag AND '{type}' = 'category')),
+deep AS (SELECT * FROM known k WHERE NOT EXISTS (SELECT 1 FROM known o JOIN up u ON o.value_tag = u.descendant WHERE o.barcode = k.barcode AND o.server_type = k.server_type AND u.ancestor = k.value_tag))
+"""
+
+
+def localised(d: Data):
+    raw = F.when(F.col("l_orderkey") % 3 == 1, F.replace("value_tag", F.lit("en:n"), F.lit("fr:noeud-"))).otherwise(F.col("value_tag"))
+    return with_json(d.prediction.withColumn("value_tag", F.when(F.col("type").isin("label", "category"), raw).otherwise(F.col("value_tag"))))
+
+
+def allowed(d: Data):
+    return d.node.where("p_partkey % 4 = 0").select(F.col("id").alias("value_tag"))
+
+
+@query("cand_label", f"""
+WITH {tag_candidates('label', 'labels_tags', 'r.raw_tag')}
+SELECT id, value_tag, CASE WHEN automatic_processing IS NULL AND predictor IN ('flashtext', 'regex') THEN value_tag IN (SELECT id FROM node WHERE p_partkey % 4 = 0) ELSE automatic_processing END AS automatic_processing FROM deep
+""")
+def _(d):
+    return C.cand_label(localised(d), d.node, d.synonym, closure(d), allowed(d), d.product).select("id", "value_tag", "automatic_processing")
+
+
+def nodes_with_properties(d: Data):
+    return d.node.withColumn("properties", F.when(F.col("agri"), F.create_map(F.lit("agribalyse_food_code"), F.lit("1"))).otherwise(F.create_map(F.lit("x"), F.lit("1"))))
+
+
+def defaulted(d: Data):
+    from larder.sources.readers import product_defaults
+
+    return product_defaults(product_full(d))
+
+
+@query("cand_category", f"""
+WITH {tag_candidates('category', 'categories_tags', "'-'")}
+SELECT p.id, p.value_tag, concat_ws(',', CASE WHEN n.agri THEN 'agribalyse-category' END, CASE WHEN coalesce(len(c.categories_tags), 0) = 0 THEN 'missing-category' END) AS campaign
+FROM deep p JOIN node n ON p.value_tag = n.id JOIN product c ON p.barcode = c.code
+""")
+def _(d):
+    return C.cand_category(localised(d), nodes_with_properties(d), d.synonym, closure(d), defaulted(d)).select("id", "value_tag", joined("campaign"))
+
+
+@query("cand_product_weight", f"""
+WITH p AS (SELECT p.* FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = 'product_weight' AND c.quantity IS NULL),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY barcode, server_type ORDER BY priority, -{IMAGE_RANK}, coalesce(predictor, 'z'), id) = 1)
+SELECT b.id, CASE WHEN b.from_name OR (SELECT count(DISTINCT value) FROM p WHERE p.barcode = b.barcode AND p.matcher_type = b.matcher_type) > 1 THEN false ELSE b.automatic_processing END AS automatic_processing FROM b
+""")
+def _(d):
+    return C.cand_product_weight(with_json(d.prediction), d.product).select("id", "automatic_processing")
+
+
+@query("cand_expiration_date", """
+SELECT p.barcode, max(p.value) AS value, count(DISTINCT p.value) > 1 AS several FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = 'expiration_date' AND c.expiration_date IS NULL GROUP BY 1
+""")
+def _(d):
+    rows = with_json(d.prediction).withColumn("automatic_processing", F.lit(True))
+    return C.cand_expiration_date(rows, d.product).select("barcode", "value", (~F.col("automatic_processing")).alias("several"))
+
+
+BRAND_OK = """
+(NOT coalesce(p.predictor IN ('taxonomy', 'curated-list'), false) OR (NOT EXISTS (SELECT 1 FROM banned b WHERE b.brand_tag = p.value_tag)
+  AND (length(p.barcode) <> 13 OR EXISTS (SELECT 1 FROM prefixes x WHERE x.brand_tag = p.value_tag AND x.prefix = substring(p.barcode, 1, 7) || 'xxxxxx'))))
+"""
+
+
+@query("cand_brand", f"""
+WITH {PREFIXES} SELECT p.id, coalesce(p.automatic_processing, p.from_name) AS automatic_processing FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = 'brand' AND len(c.brands_tags) = 0 AND {BRAND_OK}
+""")
+def _(d):
+    return C.cand_brand(with_json(d.prediction), brand_prefixes(d), brand_blacklist(d), d.product).select("id", "automatic_processing")
+
+
+@query("cand_store", "SELECT p.id, true AS automatic_processing FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = 'store'")
+def _(d):
+    return C.cand_store(with_json(d.prediction), d.product).select("id", "automatic_processing")
+
+
+def image_facts(d: Data, type: str, data):
+    """One prediction of a type per image."""
+    return d.image.select("id", "barcode", "server_type", F.lit(type).alias("type"), F.lit(None).cast("string").alias("value_tag"), F.lit(None).cast("string").alias("value"), "source_image",
+                          F.lit(None).cast("boolean").alias("automatic_processing"), F.lit("p").alias("predictor"), F.lit("1").alias("predictor_version"), data.alias("data"))
+
+
+@query("cand_upc_image", "SELECT i.id FROM image i WHERE EXISTS (SELECT 1 FROM image_meta m WHERE m.code = i.barcode AND m.imgid = i.image_id)")
+def _(d):
+    return C.cand_upc_image(image_facts(d, "is_upc_image", F.lit("{}")), product_full(d)).select("id")
+
+
+def mention_json():
+    """Mentions in French (and German for every third image) with values and boxes."""
+    box = F.array(*[x.cast("double") for x in (F.col("id") % 50 + 20, F.col("id") % 30 + 15, F.col("id") % 50 + 40, F.col("id") % 30 + 90)])
+
+    def hit(raw, langs, b=None):
+        return F.array(F.struct(F.lit(raw).alias("raw"), (F.array(*[F.lit(x) for x in langs]) if langs else F.lit(None).cast("array<string>")).alias("languages"), (b if b is not None else F.lit(None).cast("array<double>")).alias("bounding_box_absolute")))
+
+    values = F.when(F.col("id") % 4 != 0, F.concat(hit("10 kcal", None), hit("3 g", None), hit("4 g", None))).otherwise(hit("3 g", None))
+    base = {"fat": hit("lipides", ["fr"], box), "salt": hit("sel", ["fr", "de"]), "sugar": hit("sucres", ["fr", "de"]), "protein": hit("eiweiß", ["fr", "de"]), "energy": hit("energie", ["de"])}
+    entries = [x for k, v in base.items() for x in (F.lit(k), v)]
+    mentions = F.create_map(*entries, F.lit("nutrient_value"), values)
+    return F.to_json(F.struct(mentions.alias("mentions")))
+
+
+def nutrition_inputs(d: Data):
+    mention = image_facts(d, "nutrient_mention", mention_json())
+    turn = image_facts(d, "image_orientation", F.to_json(F.struct(((F.col("id") % 4) * 90).alias("rotation")))).where("id % 5 <> 1")
+    value = image_facts(d, "nutrient", F.lit("{}")).where("id % 3 = 0")
+    return mention.unionByName(turn).unionByName(value)
+
+
+@query("cand_nutrition_image", """
+WITH lang AS (SELECT 'fr' AS value_tag UNION ALL SELECT 'de')
+SELECT i.source_image, l.value_tag, (i.id % 4) * 90 AS rotation, CASE WHEN i.id % 3 = 0 THEN 1 ELSE 2 END AS priority,
+  CASE WHEN t.n = 1 THEN NULL ELSE cast(i.id % 50 + 10 AS double) END AS y0, CASE WHEN t.n = 1 THEN 0.5e0 END AS crop_y1
+FROM image i JOIN product p ON i.barcode = p.code JOIN lang l ON l.value_tag = p.lang
+LEFT JOIN (SELECT source_image, count(*) FILTER (score >= 0.8) AS n FROM logo GROUP BY 1) t ON t.source_image = i.source_image
+WHERE i.id % 5 <> 1 AND i.id % 4 <> 0
+""")
+def _(d):
+    tables = d.logo.groupBy("source_image").agg(F.collect_list(F.struct("score", F.array(*[F.lit(x) for x in (0.1, 0.1, 0.5, 0.5)]).alias("bounding_box"), F.lit("nutrition-table").alias("label"))).alias("objects"))
+    out = C.cand_nutrition_image(nutrition_inputs(d), tables, product_full(d))
+    return out.select("source_image", "value_tag", F.col("rotation").cast("long").alias("rotation"), "priority", F.col("bounding_box_absolute")[0].alias("y0"), F.col("bounding_box")[2].alias("crop_y1"))
+
+
+@query("cand_ingredient_spellcheck", """
+SELECT i.id, i.lang AS value_tag FROM (SELECT im.id, im.barcode, p.lang, p.c_custkey FROM image im JOIN product p ON im.barcode = p.code) i WHERE i.id % 3 <> 0 AND i.id % 4 = 0
+""")
+def _(d):
+    """Correction differs except every third; the original equals the product text in a quarter."""
+    products = product_full(d).withColumn("ingredients_text", F.create_map(F.col("lang"), F.lit("watr")))
+    rows = d.image.join(products.select(F.col("code").alias("barcode"), "lang"), "barcode")
+    data = F.to_json(F.struct(F.when(F.col("id") % 4 == 0, "watr").otherwise("old").alias("original"), F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 4 == 0, "watr").otherwise("old")).otherwise("water").alias("correction")))
+    preds = rows.select("id", "barcode", "server_type", F.lit("ingredient_spellcheck").alias("type"), F.col("lang").alias("value_tag"), data.alias("data"))
+    return C.cand_ingredient_spellcheck(preds, products).select("id", "value_tag")
+
+
+NUTRI_SETS = "array<struct<nutrients:map<string,struct<value:string,unit:string>>,per:string,preparation:string,source:string>>"
+
+
+def nutrition_products(d: Data):
+    """Products without nutrition, with sets per 100g/100ml/serving, prepared, or of the old schema."""
+    k = F.col("c_custkey")
+    entry = F.create_map(F.lit("salt"), F.struct((k % 9 + 1).cast("string").alias("value"), F.lit("g").alias("unit")))
+    one = F.struct(entry.alias("nutrients"), F.when(k % 3 == 0, "100ml").otherwise("100g").alias("per"), F.when(k % 5 == 4, "prepared").otherwise("as_sold").alias("preparation"), F.lit("packaging").alias("source"))
+    nutrition = F.when(k % 5 != 0, F.struct(F.array(one).cast(NUTRI_SETS).alias("input_sets")))
+    return product_full(d).withColumns({"nutrition": nutrition, "serving_size": F.lit(None).cast("string")})
+
+
+def nutrient_predictions(d: Data):
+    value = F.struct((F.col("id") % 9 + 1).cast("string").alias("value"), F.when(F.col("id") % 7 != 0, "g").alias("unit"))
+    return image_facts(d, "nutrient_extraction", F.to_json(F.struct(F.create_map(F.lit("salt_100g"), value).alias("nutrients"))))
+
+
+@query("cand_nutrient_extraction", """
+SELECT i.id, CASE WHEN p.c_custkey % 5 = 0 THEN 'missing-nutrition' ELSE 'incomplete-nutrition' END AS campaign FROM image i JOIN product p ON i.barcode = p.code
+WHERE p.schema_version >= 1003 AND (p.c_custkey % 5 = 0 OR (p.c_custkey % 5 <> 4 AND i.id % 7 <> 0 AND i.id % 9 <> p.c_custkey % 9))
+""")
+def _(d):
+    return C.cand_nutrient_extraction(nutrient_predictions(d), nutrition_products(d)).select("id", joined("campaign"))
+
+
+@query("cand_ingredient_detection", """
+SELECT i.id, p.lang AS value_tag, CASE WHEN m.imgid IS NOT NULL THEN 2 ELSE 1 END AS priority FROM image i JOIN product p ON i.barcode = p.code
+LEFT JOIN image_meta m ON m.code = i.barcode AND m.img_key = 'ingredients_' || p.lang AND m.imgid = i.image_id WHERE p.c_custkey % 3 <> 1 AND (i.id % 10) / 10e0 >= 0.6
+""")
+def _(d):
+    products = product_full(d).withColumn("ingredients_text", F.when(F.col("c_custkey") % 3 == 1, F.create_map(F.col("lang"), F.lit("eau"))).otherwise(F.create_map(F.lit("xx"), F.lit("eau"))))
+    facts = image_facts(d, "ingredient_detection", F.to_json(F.struct(((F.col("id") % 10) / 10).alias("fraction_known_ingredients"))))
+    facts = facts.drop("value_tag").join(products.select(F.col("code").alias("barcode"), F.col("lang").alias("value_tag")), "barcode")
+    return C.cand_ingredient_detection(facts, products).select("id", "value_tag", "priority")
+
+
+def packaging_inputs(d: Data):
+    """Elements over the node tree, and products with one element each."""
+    k = F.col("id")
+
+    def part(n, add):
+        return F.struct(F.lit("x").alias("value"), F.concat(F.lit("en:n"), (k % n + add).cast("string")).alias("value_tag"))
+
+    element = F.struct(part(40, 1).alias("shape"), F.when(k % 2 == 0, part(20, 1)).alias("material"), F.when(k % 5 == 0, part(10, 300000)).alias("recycling"))
+    rows = image_facts(d, "packaging", F.to_json(F.struct(element.alias("element"))))
+    c = F.col("c_custkey")
+    stored = F.struct(F.concat(F.lit("en:n"), (c % 60 + 1).cast("string")).alias("shape"), F.when(c % 3 == 0, F.concat(F.lit("en:n"), (c % 15 + 1).cast("string"))).alias("material"), F.when(c % 7 == 0, F.lit("en:n3")).alias("recycling"))
+    products = product_full(d).withColumn("packagings", F.when(c % 4 == 0, F.array_repeat(stored, 0)).otherwise(F.array(stored)))
+    return rows, products
+
+
+@query("cand_packaging", f"""
+WITH {CLOSURE},
+c AS (SELECT i.id, p.c_custkey, 'en:n' || cast(i.id % 40 + 1 AS string) AS cs, CASE WHEN i.id % 2 = 0 THEN 'en:n' || cast(i.id % 20 + 1 AS string) END AS cm, CASE WHEN i.id % 5 = 0 THEN 'en:n' || cast(i.id % 10 + 300000 AS string) END AS cr,
+  'en:n' || cast(p.c_custkey % 60 + 1 AS string) AS rs, CASE WHEN p.c_custkey % 3 = 0 THEN 'en:n' || cast(p.c_custkey % 15 + 1 AS string) END AS rm, CASE WHEN p.c_custkey % 7 = 0 THEN 'en:n3' END AS rr
+  FROM image i JOIN product p ON i.barcode = p.code),
+v AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM up WHERE ancestor = rs AND descendant = cs) THEN 'keep' WHEN cm IS NULL THEN 'n' WHEN rm IS NULL THEN 'keep' WHEN EXISTS (SELECT 1 FROM up WHERE ancestor = rm AND descendant = cm) THEN 'keep' ELSE 'n' END AS v1,
+  CASE WHEN cr IS NULL THEN 'n' WHEN rr IS NULL THEN 'keep' ELSE 'drop' END AS v2, cs = rs OR EXISTS (SELECT 1 FROM up WHERE ancestor = cs AND descendant = rs) AS broader FROM c)
+SELECT id FROM v WHERE c_custkey % 4 = 0 OR v1 = 'keep' OR v2 = 'keep' OR (v2 = 'n' AND NOT broader)
+""")
+def _(d):
+    rows, products = packaging_inputs(d)
+    up = closure(d)
+    return C.cand_packaging(rows, {p: up for p in C.PROPERTIES}, {p: d.node for p in C.PROPERTIES}, products).select("id")
+
+
+@query("cand_image_orientation", """
+SELECT i.id, m.img_key AS image_key, CASE i.id % 4 WHEN 1 THEN 'left' WHEN 2 THEN 'down' ELSE 'right' END AS value_tag, i.id % 50 + 1 >= 10 AS automatic_processing
+FROM image i JOIN image_meta m ON m.code = i.barcode AND m.imgid = i.image_id
+WHERE i.id % 4 <> 0 AND i.id % 3 <> 0 AND (CASE WHEN cast(m.angle AS INT) < 0 THEN cast(m.angle AS INT) + 360 ELSE cast(m.angle AS INT) END) <> (i.id % 4) * 90
+""")
+def _(d):
+    o = F.expr("CASE id % 4 WHEN 0 THEN 'up' WHEN 1 THEN 'left' WHEN 2 THEN 'down' ELSE 'right' END")
+    n = F.col("id") % 50 + 1
+    count = F.when(F.col("id") % 3 == 0, F.create_map(o, n, F.lit("other"), n)).otherwise(F.create_map(o, n))
+    facts = image_facts(d, "image_orientation", F.to_json(F.struct(o.alias("orientation"), ((F.col("id") % 4) * 90).alias("rotation"), count.alias("count"))))
+    return C.cand_image_orientation(facts, product_full(d)).select("id", "image_key", "value_tag", "automatic_processing")
+
+
+# --- merges with the type rules -----------------------------------------------
+
+
+@query("merge_by_taxonomy", "WITH " + merge_check(
+    "SELECT k.* FROM pred k WHERE NOT EXISTS (SELECT 1 FROM pred o JOIN up u ON o.value_tag = u.descendant WHERE o.barcode = k.barcode AND o.server_type = k.server_type AND u.ancestor = k.value_tag)", ["value_tag"], "category", RANKED,
+    "SELECT barcode, server_type, value_tag, value, source_image, id, annotation, automatic_processing FROM refs UNION ALL SELECT r.barcode, r.server_type, u.ancestor, r.value, r.source_image, r.id, r.annotation, r.automatic_processing FROM refs r JOIN up u ON r.value_tag = u.descendant",
+    f"{CLOSURE}, pred AS (SELECT * FROM prediction WHERE type = 'category'),"))
+def _(d):
+    up = closure(d)
+    cand = T.deepest_nodes(d.prediction.where("type = 'category'"), up, ["barcode", "server_type"])
+    return S.merge_candidates(cand, refs_of(d, "category"), ["value_tag"], candidate_order(), up).select("op", "candidate_id", "insight_id")
+
+
+@query("merge_newer_image", f"""
+WITH c AS (SELECT *, TRY_CAST(regexp_extract(source_image, '([0-9]+)[.]jpg$', 1) AS BIGINT) AS img FROM prediction WHERE type = 'store'),
+r AS (SELECT *, TRY_CAST(regexp_extract(source_image, '([0-9]+)[.]jpg$', 1) AS BIGINT) AS img FROM insight WHERE type = 'store'),
+free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.barcode = c.barcode AND r.server_type = c.server_type AND ((r.annotation IS NULL AND coalesce(r.automatic_processing, false))
+  OR (r.annotation IS NOT NULL AND (r.img IS NULL OR c.img IS NULL OR c.img <= r.img))))),
+w AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY barcode, server_type ORDER BY {RANKED}) = 1),
+placed AS (SELECT w.id AS candidate_id, (SELECT min(r.id) FROM r WHERE r.annotation IS NULL AND r.barcode = w.barcode AND r.server_type = w.server_type AND r.source_image IS NOT DISTINCT FROM w.source_image) AS insight_id FROM w)
+SELECT CASE WHEN insight_id IS NULL THEN 'create' ELSE 'update' END AS op, candidate_id, insight_id FROM placed
+UNION ALL SELECT 'delete', NULL, id FROM r WHERE annotation IS NULL AND NOT coalesce(automatic_processing, false) AND id NOT IN (SELECT insight_id FROM placed WHERE insight_id IS NOT NULL)
+""")
+def _(d):
+    return S.merge_newer_image(d.prediction.where("type = 'store'"), refs_of(d, "store")).select("op", "candidate_id", "insight_id")
+
+
+def dimensions(d: Data) -> flows.Dimensions:
+    up = closure(d)
+    tables = d.logo.groupBy("source_image").agg(F.collect_list(F.struct("score", F.lit("nutrition-table").alias("label"), F.array(F.lit(0.1), F.lit(0.1), F.lit(0.5), F.lit(0.5)).alias("bounding_box"))).alias("objects"))
+    triple = (nodes_with_properties(d), d.synonym, up)
+    return flows.Dimensions({k: triple for k in ("label", "category", "shape", "material", "recycling")}, allowed(d), brand_prefixes(d), brand_blacklist(d), tables)
+
+
+STORE_RUN = f"""
+{VALID_INC}, {STALE}, rest AS (SELECT * FROM prediction WHERE l_orderkey % 3 > 0 AND id NOT IN (SELECT id FROM stale)),
+tab AS (SELECT * FROM rest UNION ALL SELECT n.* FROM inc n WHERE NOT EXISTS (SELECT 1 FROM rest s WHERE s.barcode = n.barcode AND {' AND '.join(f"s.{c} IS NOT DISTINCT FROM n.{c}" for c in IDENTITY.split(', '))})),
+prod AS (SELECT * FROM product WHERE c_custkey % 17 <> 0), scope AS (SELECT DISTINCT barcode, server_type FROM inc WHERE type = 'store'),
+cand AS (SELECT t.* REPLACE (true AS automatic_processing) FROM tab t JOIN prod c ON t.barcode = c.code JOIN scope s ON s.barcode = t.barcode AND s.server_type = t.server_type WHERE t.type = 'store'
+  AND (t.source_image IS NULL OR list_contains(c.image_ids, regexp_extract(t.source_image, '([0-9]+)[.]jpg$', 1)))),
+refs AS (SELECT i.* FROM insight i JOIN scope s ON s.barcode = i.barcode AND s.server_type = i.server_type WHERE i.type = 'store'),
+w AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY barcode, server_type, value_tag ORDER BY {RANKED}) = 1),
+free AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE (r.annotation IS NOT NULL OR coalesce(r.automatic_processing, false)) AND r.barcode = w.barcode AND r.server_type = w.server_type AND r.value_tag = w.value_tag)),
+placed AS (SELECT w.id AS candidate_id, (SELECT min(r.id) FROM refs r WHERE r.annotation IS NULL AND r.barcode = w.barcode AND r.server_type = w.server_type AND r.value_tag = w.value_tag AND r.source_image IS NOT DISTINCT FROM w.source_image) AS insight_id FROM free w)
+"""
+
+
+@query("import_run", f"""
+WITH {STORE_RUN}
+SELECT CASE WHEN insight_id IS NULL THEN 'create' ELSE 'update' END AS op, candidate_id, insight_id FROM placed
+UNION ALL SELECT 'delete', NULL, id FROM refs WHERE annotation IS NULL AND NOT coalesce(automatic_processing, false) AND id NOT IN (SELECT insight_id FROM placed WHERE insight_id IS NOT NULL)
+""")
+def _(d):
+    """Whole run for the store type; the other types are counted by ``refresh_run``."""
+    preds = with_json(d.prediction)
+    out = flows.import_run(preds.where("l_orderkey % 3 = 0"), preds.where("l_orderkey % 3 > 0"), d.insight, d.product.where("c_custkey % 17 <> 0"), flows.Dimensions(), ["store"])
+    return out["changes"].select("op", "candidate_id", "insight_id")
+
+
+@query("refresh_run")
+def _(d):
+    """Seven insight types from the stored predictions."""
+    types = ["packager_code", "label", "category", "product_weight", "expiration_date", "brand", "store"]
+    insights = d.insight.withColumn("data", F.lit("{}"))
+    return A.import_counts(flows.refresh_run(localised(d), insights, defaulted(d), dimensions(d), types))
+
+
+# --- deletes ------------------------------------------------------------------
+
+
+@query("delete_product", """
+WITH k AS (SELECT code, server_type FROM product WHERE c_custkey % 5 = 0)
+SELECT 'prediction' AS tbl, count(*) AS n FROM prediction WHERE (barcode, server_type) NOT IN (SELECT code, server_type FROM k)
+UNION ALL SELECT 'product_insight', count(*) FROM insight WHERE annotation IS NOT NULL OR (barcode, server_type) NOT IN (SELECT code, server_type FROM k)
+""")
+def _(d):
+    keys = d.product.where("c_custkey % 5 = 0").select(F.col("code").alias("barcode"), "server_type")
+    return counts_of(X.delete_product(d.prediction, d.insight, keys))
+
+
+def counts_of(tables: dict):
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tbl"), "n") for t, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def doomed(d: Data):
+    return d.image.where("id % 6 = 0").select("barcode", "server_type", "image_id")
+
+
+def doomed_check(annotated_too: bool) -> str:
+    logos = "SELECT l.* FROM logo l WHERE l.image_prediction_id IN (SELECT id FROM ip)"
+    kept = "1 = 1" if annotated_too else "image_id NOT IN (SELECT cast(floor(image_prediction_id / 10) AS BIGINT) FROM lg WHERE completed_at IS NOT NULL)"
+    emb = "" if annotated_too else "UNION ALL SELECT 'logo_embedding', count(*) FROM lg "
+    return f"""
+WITH im AS (SELECT * FROM image WHERE id % 6 = 0), ip AS (SELECT * FROM image_prediction WHERE image_id IN (SELECT id FROM im)), lg AS ({logos})
+SELECT 'image' AS tbl, count(*) AS n FROM im {emb} UNION ALL SELECT 'logo_annotation', count(*) FROM lg WHERE {'1 = 1' if annotated_too else 'completed_at IS NULL'}
+UNION ALL SELECT 'image_prediction', count(*) FROM ip WHERE {kept}
+UNION ALL SELECT 'prediction', count(*) FROM prediction WHERE source_image IN (SELECT source_image FROM im) UNION ALL SELECT 'product_insight', count(*) FROM insight WHERE annotation IS NULL AND source_image IN (SELECT source_image FROM im)
+"""
+
+
+@query("delete_images", doomed_check(False))
+def _(d):
+    emb = d.logo.select(F.col("id").alias("logo_id"))
+    return counts_of(X.delete_images(d.image, d.image_prediction, d.logo, emb, d.prediction, d.insight, doomed(d)))
+
+
+@query("delete_image_event", doomed_check(True))
+def _(d):
+    return counts_of(X.delete_image_event(d.image, d.image_prediction, d.logo, d.prediction, d.insight, doomed(d)))
+
+
+@query("switch_product_type", """
+WITH k AS (SELECT code, server_type, image_ids FROM product WHERE c_custkey % 9 = 0 AND server_type = 'off'), im AS (SELECT * FROM image WHERE (barcode, server_type) IN (SELECT code, server_type FROM k)),
+ip AS (SELECT * FROM image_prediction WHERE image_id IN (SELECT id FROM im))
+SELECT 'image' AS tbl, count(*) AS n FROM im UNION ALL SELECT 'image_prediction', count(*) FROM ip UNION ALL SELECT 'logo_annotation', count(*) FROM logo WHERE image_prediction_id IN (SELECT id FROM ip)
+UNION ALL SELECT 'prediction', count(*) FROM prediction WHERE (barcode, server_type) IN (SELECT code, server_type FROM k)
+UNION ALL SELECT 'product_insight', count(*) FROM insight WHERE annotation IS NULL AND (barcode, server_type) IN (SELECT code, server_type FROM k) UNION ALL SELECT 'reimport', coalesce(sum(len(image_ids)), 0)::BIGINT FROM k
+""")
+def _(d):
+    moved = d.product.where("c_custkey % 9 = 0").select(F.col("code").alias("barcode"), "server_type", F.lit("obf").alias("new_server_type"))
+    return counts_of(X.switch_product_type(d.image, d.image_prediction, d.logo, d.prediction, d.insight, moved, d.product))
+
+
+@query("save_image", """
+SELECT i.source_image, i.width, i.height, epoch(to_timestamp(1500000000 + i.id * 1000))::BIGINT AS uploaded FROM image i WHERE i.id % 4 = 1
+""")
+def _(d):
+    wanted = d.image.where("id % 4 < 2").select("barcode", "server_type", F.when(F.col("id") % 8 == 0, F.replace("source_image", F.lit(".jpg"), F.lit("x.jpg"))).otherwise(F.col("source_image")).alias("source_image"))
+    known = d.image.where("id % 4 = 0")
+    out = X.save_image(wanted, known, product_full(d))
+    return out.select("source_image", "width", "height", F.unix_timestamp("uploaded_at").alias("uploaded"))
+
+
+@query("refresh_images", "SELECT barcode, image_id, width FROM image WHERE id % 3 = 0 AND server_type = 'off'")
+def _(d):
+    return X.refresh_images(product_full(d).where("server_type = 'off'"), d.image.where("id % 3 <> 0")).select("barcode", "image_id", "width")
+
+
+# --- datasets -----------------------------------------------------------------
+
+
+@query("category_dataset", f"""
+WITH {CLOSURE}, own AS (SELECT DISTINCT code, unnest(categories_tags) AS id FROM product WHERE lang = 'fr' AND coalesce(product_name, '') <> ''), ok AS (SELECT * FROM own WHERE id IN (SELECT id FROM node)),
+cl AS (SELECT code, id FROM ok UNION SELECT o.code, u.ancestor FROM ok o JOIN up u ON o.id = u.descendant)
+SELECT cl.code, any_value(p.product_name) AS product_name, string_agg(cl.id, ',' ORDER BY cl.id) AS categories FROM cl JOIN product p ON cl.code = p.code GROUP BY cl.code
+""")
+def _(d):
+    products = d.product.withColumn("ingredient_tags", F.col("labels_tags"))
+    return B.category_dataset(products, d.node, closure(d), d.node, "fr").select("code", "product_name", joined("categories"))
+
+
+@query("split_80_10_10", """
+SELECT code, CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'val' ELSE 'test' END AS split FROM (SELECT code, cast('0x' || substring(md5(code), 1, 8) AS BIGINT) % 10 AS b FROM product)
+""")
+def _(d):
+    return B.split_80_10_10(d.product, "code").select("code", "split")
+
+
+@query("image_dimensions", "SELECT barcode, image_id, width, height FROM image")
+def _(d):
+    return B.image_dimensions(product_full(d))
+
+
+@query("logo_labels", "SELECT id, taxonomy_value FROM logo WHERE taxonomy_value IS NOT NULL AND annotation_type IS NOT NULL")
+def _(d):
+    return B.logo_labels(d.logo).select("id", "taxonomy_value")
+
+
+@query("spellcheck_extract")
+def _(d):
+    import pandas as pd
+
+    def scorer(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"code": pdf["code"], "text": pdf["text"], "lang": pdf["lang"], "correction": pdf["prompt"].str.upper()})
+
+    return B.spellcheck_extract(spell_products(d), scorer, "Correct: {text}", limit=1000)
+
+
+@query("spellcheck_import", "SELECT cast(o_orderkey AS string) AS barcode, 'fr' AS value_tag, o_orderstatus AS original FROM orders")
+def _(d):
+    rows = d.orders.select(F.col("o_orderkey").cast("string").alias("code"), F.lit("fr").alias("lang"), F.col("o_orderstatus").alias("text"), F.lower("o_orderstatus").alias("correction"))
+    return B.spellcheck_import(rows, "v1").select("barcode", "value_tag", F.get_json_object("data", "$.original").alias("original"))
