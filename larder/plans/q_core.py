@@ -20,6 +20,9 @@ from larder.session import checkpoint_dir
 from larder.sources import readers, writers
 
 
+BASE_URL = "https://images.example.org"
+
+
 def scratch(d: Data, name: str) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
     return f"{checkpoint_dir(d.spark)}/larder-{name}-{uuid.uuid4().hex}"
@@ -154,14 +157,11 @@ SELECT n.id, n.name_en, e.parents FROM node n LEFT JOIN (SELECT child, string_ag
 """)
 def _(d):
     """One JSON object per shard of nodes, exploded back to rows."""
-    from larder import schemas
-
     parents = d.edge.distinct().groupBy("child").agg(F.array_sort(F.collect_list("parent")).alias("parents"))
     rows = d.node.join(parents, d.node["id"] == parents["child"], "left")
     body = F.struct(F.create_map(F.lit("en"), "name_en").alias("names"), F.col("parents"))
     objects = rows.select(F.to_json(F.create_map("id", body)).alias("value"))
     out = readers.taxonomy_nodes(objects)
-    assert schemas.TAXONOMY_NODE
     return out.select("id", F.col("names")["en"].alias("name_en"), F.when(F.size("parents") > 0, F.array_join("parents", ",")).alias("parents"))
 
 
