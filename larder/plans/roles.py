@@ -175,7 +175,7 @@ SELECT doc_id, lang, source, text || chr(10) || CASE doc_id % 12
   WHEN 8 THEN 'bouteille plastique a recycler, boite en carton'
   WHEN 9 THEN 'fumer tue, dimethicone'
   WHEN 10 THEN 'net weight ' || cast(n_chars % 3000 AS string) || ' ge'
-  ELSE 'sucre de canne et coca cola light' END || ' fin.' AS text, n_chars FROM documents
+  ELSE 'sucre de canne et coca cola light, appellation bleu de ' || cast(doc_id % 50 AS string) || ' protegee' END || ' fin.' AS text, n_chars FROM documents
 """)
 
 def product_full(d: Data) -> DataFrame:
