@@ -198,14 +198,16 @@ LABEL_PATTERNS = [
     ("en:no-additives", "contiguous", r"(?iuU)zonder toevoegingen|sin aditivos(?! arti)|(?<!\w)(?:sans|ni) additif(?!s? arti)|ohne zusätze|no additives?"),
 ]
 
+# The phrases that start with "anything" can only begin where the text does (line breaks are
+# spaces there), so they are anchored: same matches, no retry from every position.
 PROTECTED_ORIGIN_PATTERNS = [
     # (language prefix, pattern, group holding the category)
-    ("fr:", r"(?iu)(appellation)\s*(.+)\s*(contr[ôo]l[ée]e|prot[ée]g[ée]e)", 2),
-    ("fr:", r"(?iu)(.+)\s*(appellation d'origine contr[ôo]l[ée]e|appellation d'origine prot[ée]g[ée]e)", 1),
-    ("es:", r"(?iu)(.+)(\s*denominacion de origen protegida)", 1),
-    ("es:", r"(?iu)(denominacion de origen protegida\s*)(.+)", 2),
-    ("en:", r"(?iu)(.+)\s*(aop|dop|pdo)", 1),
-    ("en:", r"(?iu)(aop|dop|pdo)\s*(.+)", 2),
+    ("fr:", r"(?iud)(appellation)\s*(.+)\s*(contr[ôo]l[ée]e|prot[ée]g[ée]e)", 2),
+    ("fr:", r"(?iud)^(.+)\s*(appellation d'origine contr[ôo]l[ée]e|appellation d'origine prot[ée]g[ée]e)", 1),
+    ("es:", r"(?iud)^(.+)(\s*denominacion de origen protegida)", 1),
+    ("es:", r"(?iud)(denominacion de origen protegida\s*)(.+)", 2),
+    ("en:", r"(?iud)^(.+)\s*(aop|dop|pdo)", 1),
+    ("en:", r"(?iud)(aop|dop|pdo)\s*(.+)", 2),
 ]
 
 TRACE_PROMPT = (

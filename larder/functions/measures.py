@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder import fixed
+from larder.functions.binding import bind
 
 
 def _unit_map(index: int) -> Column:
@@ -196,5 +197,4 @@ def vec_norm(v: Column) -> Column:
 
 def vec_unit(v: Column) -> Column:
     """Divide by the L2 norm (double precision)."""
-    norm = vec_norm(v)
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return bind(vec_norm(v), lambda norm: F.transform(v, lambda x: x.cast("double") / norm))

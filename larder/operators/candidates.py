@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larder import fixed
 from larder.functions import boxes, measures, paths, text
+from larder.functions.binding import bind
 from larder.operators import ranking, taxonomy
 from larder.operators.dedup import required_types_superset
 from larder.operators.joins import brand_range_join
@@ -215,10 +216,14 @@ def cand_nutrition_image(predictions: DataFrame, tables: DataFrame, products: Da
         )
     )
     keep = [*image, "rotation", "nutrient_id", F.col("mention.id").alias("id"), "bounding_box", "crop_score", "bounding_box_absolute"]
-    langs = F.array_distinct(F.transform(pairs, lambda p: p["lang"]))
-    per_lang = F.transform(
-        langs, lambda lang: F.struct(lang.alias("value_tag"), F.transform(F.filter(pairs, lambda p: p["lang"] == lang), lambda p: p["nutrient"]).alias("nutrients"))
-    )
+
+    def by_language(found: Column) -> Column:
+        langs = F.array_distinct(F.transform(found, lambda p: p["lang"]))
+        return F.transform(
+            langs, lambda lang: F.struct(lang.alias("value_tag"), F.transform(F.filter(found, lambda p: p["lang"] == lang), lambda p: p["nutrient"]).alias("nutrients"))
+        )
+
+    per_lang = bind(pairs, by_language)
     out = wide.select(*keep, F.explode(per_lang).alias("l")).select("*", "l.*").drop("l").where(F.size("nutrients") >= min_mentions)
     out = out.withColumns(
         {
@@ -247,9 +252,13 @@ def cand_ingredient_spellcheck(predictions: DataFrame, products: DataFrame | Non
 
 def mention_languages(mentions: Column) -> Column:
     """Languages with two mentions or more, else the first one seen."""
-    langs = F.flatten(F.transform(F.flatten(F.map_values(mentions)), lambda m: F.coalesce(m["languages"], F.array().cast("array<string>"))))
-    twice = F.filter(F.array_distinct(langs), lambda lang: F.size(F.filter(langs, lambda x: x == lang)) >= 2)
-    return F.when(F.size(twice) > 0, twice).when(F.size(langs) > 0, F.slice(langs, 1, 1))
+
+    def chosen(langs: Column) -> Column:
+        twice = F.filter(F.array_distinct(langs), lambda lang: F.size(F.filter(langs, lambda x: x == lang)) >= 2)
+        return F.when(F.size(twice) > 0, twice).when(F.size(langs) > 0, F.slice(langs, 1, 1))
+
+    none = F.array().cast("array<string>")
+    return bind(F.flatten(F.transform(F.flatten(F.map_values(mentions)), lambda m: F.coalesce(m["languages"], none))), chosen)
 
 
 def _input_nutrient(sets: Column, nutrient: Column, per: Column | str) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.functions.binding import bind
+
 # Dictionary words end at anything outside this ASCII class, so accented letters separate.
 WORD = "[A-Za-z0-9_]"
 _DOTTED_I = "İ"  # the one letter whose lower case is longer
@@ -29,23 +31,59 @@ def match_array(text: Column, pattern: str, groups: Sequence[int] = ()) -> Colum
     ``split``, and offsets are running lengths of both.  ``g`` holds the wanted groups.
     """
     raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    group_arrays = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-
-    def total(lengths: Column) -> Column:
-        return F.aggregate(lengths, F.lit(0), lambda s, v: s + F.length(v))
-
-    def at(i: Column) -> Column:
-        begin = total(F.slice(gaps, 1, i + 1)) + total(F.slice(raws, 1, i))
-        return F.struct(
-            raws[i].alias("raw"),
-            F.array(*[g[i] for g in group_arrays]).cast("array<string>").alias("g"),
-            begin.alias("start"),
-            (begin + F.length(raws[i])).alias("end"),
+    group_arrays = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
+    parts = F.struct(raws.alias("raws"), F.split(text, pattern, -1).alias("gaps"), *group_arrays)
+
+    def located(p: Column) -> Column:
+        n = F.size(p["raws"])
+
+        def build(starts: Column) -> Column:
+            def at(i: Column) -> Column:
+                raw = p["raws"][i]
+                return F.struct(
+                    raw.alias("raw"), F.array(*[p[f"g{g}"][i] for g in groups]).cast("array<string>").alias("g"),
+                    starts[i].alias("start"), (starts[i] + F.length(raw)).alias("end"),
+                )
+
+            return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+        # step i = gap before match i, plus match i-1
+        steps = F.zip_with(
+            F.slice(p["gaps"], 1, n), F.concat(F.array(F.lit("")), p["raws"]), lambda gap, before: F.length(gap) + F.length(before)
         )
+        return F.when(n > 0, bind(running_sums(F.slice(steps, 1, n)), build))
+
+    return F.coalesce(bind(parts, located), F.array().cast("array<struct<raw:string,g:array<string>,start:int,end:int>>"))
+
+
+def running_sums(values: Column, block: int = 64) -> Column:
+    """Prefix sums of an int array in close to linear time.
+
+    Blocks are summed first, so an element adds up at most one block and the block totals
+    before it instead of everything before it.
+    """
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda s, v: s + v)
+
+    def sums(v: Column) -> Column:
+        n_blocks = F.ceil(F.size(v) / block).cast("int")
+
+        def with_blocks(blocks: Column) -> Column:
+            before = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: total(F.slice(blocks, 1, b)))
+
+            def with_before(start: Column) -> Column:
+                def at(i: Column) -> Column:
+                    b = F.floor(i / block).cast("int")
+                    return start[b] + total(F.slice(v, b * block + 1, i - b * block + 1))
+
+                return F.transform(F.sequence(F.lit(0), F.size(v) - 1), at)
+
+            return bind(before, with_before)
+
+        return bind(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: total(F.slice(v, b * block + 1, F.lit(block)))), with_blocks)
 
-    found = F.transform(F.sequence(F.lit(0), F.size(raws) - 1), at)
-    return F.when(F.size(raws) > 0, found).otherwise(F.slice(found, 1, 0))
+    return bind(values, sums)
 
 
 def regex_extract(df: DataFrame, patterns: Sequence[tuple[str, str, str, Sequence[int]]], keep: Sequence[str] = ("doc_id",),
@@ -233,8 +271,8 @@ def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: S
     """
     table = normalised_terms(terms).withColumn("parts", F.split("pattern", " "))
     wanted = table.select("pattern", F.posexplode("parts").alias("pos", "term_word"))
-    words = df.select(*keep, F.explode(match_array(lowered(F.col(text_col)), rf"{WORD}+")).alias("w"))
-    words = words.select(*keep, F.col("w.raw").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    words = df.select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
+    words = words.select(*keep, F.col("w.word").alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
     vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
     term_vocab = wanted.select("term_word").distinct().select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
     close = (

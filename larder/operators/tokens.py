@@ -10,15 +10,16 @@ from pyspark.sql.window import Window
 
 from larder import fixed
 from larder.functions import boxes, measures, text
+from larder.functions.binding import bind
 from larder.operators import taxonomy
 from larder.operators.filters import max_confidence
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    shifted = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(shifted, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(shifted, lambda x: x / total)
+    def shares(exps: Column) -> Column:
+        return bind(F.aggregate(exps, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(exps, lambda x: x / total))
+
+    return bind(F.array_max(logits), lambda top: bind(F.transform(logits, lambda x: F.exp(x - top)), shares))
 
 
 def argmax(values: Column) -> Column:

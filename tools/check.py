@@ -68,6 +68,7 @@ def main() -> None:
         if args.names and not any(name.startswith(p) for p in args.names):
             continue
         t = time.time()
+        print(f"...  {name}", end=" ", flush=True)
         try:
             df = queries[name](spark, args.d)
             rows = [tuple(r) for r in df.collect()]
