@@ -210,6 +210,16 @@ PROTECTED_ORIGIN_PATTERNS = [
     ("en:", r"(?iud)(aop|dop|pdo)\s*(.+)", 2),
 ]
 
+# Lower-case strings of which any match of a pattern contains one
+PATTERN_LITERALS = {
+    "fr_emb": ["emb"], "fsc": ["fsc"], "eu_fr": ["fr "], "eu_de": ["de b", "de h", "de m", "de n", "de r", "de s", "de t"],
+    "rspo": ["rspo-"], "fr_gluten": ["fr-"],
+    "en:organic": ["ingr", "agriculture", "production"], "es-eco": ["eco"], "fr:ab-agriculture-biologique": ["certifi"],
+    "fr:label-rouge": ["homologation"], "fr:aoc": ["aoc"], "en:nutriscore": ["nutri-score"], "en:eu-non-eu-agriculture": ["agriculture"],
+    "en:eu-agriculture": ["agriculture"], "en:non-eu-agriculture": ["agriculture"],
+    "with_mention": ["poids", "masse nette", "volume net", "net w", "peso", "netto"], "with_ending_mention": ["net"], "multi_packaging": ["x"],
+}
+
 TRACE_PROMPT = (
     r"(?iu)(?:possibilit[ée] de traces|conditionné dans un atelier qui manipule"
     r"|peut contenir(?: des traces)?|traces? [ée]ventuelles? d[e']|traces? d[e']|may contain)"

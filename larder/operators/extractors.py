@@ -46,7 +46,7 @@ def predictions(df: DataFrame, keep: Sequence[str], type: str, data: dict[str, C
 
 def extract_packager_code(df: DataFrame, fishing: DataFrame | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Six pattern families in canonical spelling, and the fishing-code dictionary."""
-    found = regex_extract(df, [(n, f, p, _groups(p)) for n, f, p in fixed.PACKAGER_PATTERNS], keep, text_col)
+    found = regex_extract(df, _table(fixed.PACKAGER_PATTERNS), keep, text_col)
     g = F.col("g")
     value = (
         F.when(F.col("name") == "fr_emb", F.upper(F.concat(F.lit("EMB "), F.replace(g[0], F.lit(" "), F.lit("")), g[1])))
@@ -70,13 +70,14 @@ def _groups(pattern: str) -> list[int]:
     return list(range(1, count + 1))
 
 
-def _padded_groups(patterns: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str, list[int]]]:
-    return [(n, f, p, _groups(p)) for n, f, p in patterns]
+def _table(patterns: Sequence[tuple[str, str, str]]) -> list[tuple]:
+    """Pattern rows with their groups and required literals."""
+    return [(n, f, p, _groups(p), fixed.PATTERN_LITERALS.get(n, [])) for n, f, p in patterns]
 
 
 def extract_label(df: DataFrame, dictionary: DataFrame | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Label patterns (organic codes formatted) and the label dictionary."""
-    found = regex_extract(df, _padded_groups(fixed.LABEL_PATTERNS), keep, text_col)
+    found = regex_extract(df, _table(fixed.LABEL_PATTERNS), keep, text_col)
     g = F.col("g")
     body = F.lower(F.translate(F.try_element_at(g, F.lit(2)), "öø", "oo"))
     organic = F.concat(F.lit("en:"), F.lower(F.try_element_at(g, F.lit(1))), F.lit("-"), body, F.lit("-"), F.lower(F.try_element_at(g, F.lit(3))))
@@ -106,7 +107,7 @@ def vision_logos(df: DataFrame, mapping: DataFrame, type: str, keep: Sequence[st
 
 def extract_product_weight(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Four matchers with priorities; implausible weights dropped, odd ones not automatic."""
-    found = regex_extract(df, [(n, "contiguous", p, _groups(p)) for n, _, p, *_ in fixed.WEIGHT_PATTERNS], keep, text_col)
+    found = regex_extract(df, _table([(n, "contiguous", p) for n, _, p, *_ in fixed.WEIGHT_PATTERNS]), keep, text_col)
 
     def pick(slot: int) -> Column:
         out = F.lit(None).cast("string")

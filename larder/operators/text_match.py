@@ -24,36 +24,45 @@ _MARK = ""
 MAX_REGEX_TERMS = 2_000
 
 
-def match_array(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
-    """``array<struct<raw, g, start, end>>`` of all matches of a pattern.
+_MATCHES = "array<struct<raw:string,g:array<string>,start:int,end:int>>"
+
+
+def match_parts(text: Column, pattern: str, groups: Sequence[int] = ()) -> list[Column]:
+    """Match texts, the texts between them, and the wanted groups of every match."""
+    wanted = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
+    return [
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raws"), F.split(text, pattern, -1).alias("gaps"),
+        F.array(*wanted).cast("array<array<string>>").alias("groups"),
+    ]
 
-    Spark returns match texts but no offsets; the texts between the matches come from
-    ``split``, and offsets are running lengths of both.  ``g`` holds the wanted groups.
+
+def located(p: Column) -> Column:
+    """Matches of ``match_parts`` with offsets.
+
+    Spark returns match texts but no offsets; offsets are running lengths of the matches
+    and of the texts between them.
     """
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group_arrays = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    parts = F.struct(raws.alias("raws"), F.split(text, pattern, -1).alias("gaps"), *group_arrays)
-
-    def located(p: Column) -> Column:
-        n = F.size(p["raws"])
-
-        def build(starts: Column) -> Column:
-            def at(i: Column) -> Column:
-                raw = p["raws"][i]
-                return F.struct(
-                    raw.alias("raw"), F.array(*[p[f"g{g}"][i] for g in groups]).cast("array<string>").alias("g"),
-                    starts[i].alias("start"), (starts[i] + F.length(raw)).alias("end"),
-                )
-
-            return F.transform(F.sequence(F.lit(0), n - 1), at)
-
-        # step i = gap before match i, plus match i-1
-        steps = F.zip_with(
-            F.slice(p["gaps"], 1, n), F.concat(F.array(F.lit("")), p["raws"]), lambda gap, before: F.length(gap) + F.length(before)
-        )
-        return F.when(n > 0, bind(running_sums(F.slice(steps, 1, n)), build))
+    n = F.size(p["raws"])
 
-    return F.coalesce(bind(parts, located), F.array().cast("array<struct<raw:string,g:array<string>,start:int,end:int>>"))
+    def build(starts: Column) -> Column:
+        def at(i: Column) -> Column:
+            raw = p["raws"][i]
+            return F.struct(
+                raw.alias("raw"), F.transform(p["groups"], lambda g: g[i]).alias("g"), starts[i].alias("start"), (starts[i] + F.length(raw)).alias("end")
+            )
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    # step i = gap before match i, plus match i-1
+    steps = F.zip_with(
+        F.slice(p["gaps"], 1, n), F.concat(F.array(F.lit("")), p["raws"]), lambda gap, before: F.length(gap) + F.length(before)
+    )
+    return F.coalesce(F.when(n > 0, bind(running_sums(F.slice(steps, 1, n)), build)), F.array().cast(_MATCHES))
+
+
+def match_array(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
+    """``array<struct<raw, g, start, end>>`` of all matches of one pattern."""
+    return bind(F.struct(*match_parts(text, pattern, groups)), located)
 
 
 def running_sums(values: Column, block: int = 64) -> Column:
@@ -86,30 +95,58 @@ def running_sums(values: Column, block: int = 64) -> Column:
     return bind(values, sums)
 
 
-def regex_extract(df: DataFrame, patterns: Sequence[tuple[str, str, str, Sequence[int]]], keep: Sequence[str] = ("doc_id",),
-                  text_col: str = "text") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a small input of heavy rows.
+
+    Matching costs far more per byte than reading.  An input whose estimated size gives
+    fewer splits than cores is redistributed; a big one keeps its scan partitions, so no
+    text is shuffled at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    per_split = 128 * 1024 * 1024
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_split else df
+
+
+def probe_text(text: Column) -> Column:
+    """Case-folded text for literal tests, folding exactly what ``(?iu)`` treats as equal to ASCII."""
+    return F.lower(F.translate(F.upper(text), _DOTTED_I, "I"))
+
+
+Pattern = tuple[str, str, str, Sequence[int]] | tuple[str, str, str, Sequence[int], Sequence[str]]
+
+
+def regex_extract(df: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """All matches of a pattern table in one pass over the texts.
 
-    ``patterns``: (name, field, pattern, groups); field ``contiguous`` sees line breaks as
-    spaces (same offsets for single-character breaks).
+    ``patterns``: (name, field, pattern, groups[, literals]); field ``contiguous`` sees line
+    breaks as spaces (same offsets for single-character breaks).  ``literals`` are
+    lower-case ASCII strings of which every match contains one: a substring test that
+    spares most texts the expression.
     """
     from larder.functions.text import contiguous
 
     columns = {"full": F.col(text_col), "contiguous": F.col("__flat")}
-    base = df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
+    base = spread(df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")))
     base = base.withColumn("__flat", contiguous(F.col(text_col)))
+    if any(len(p) > 4 for p in patterns):
+        base = base.withColumn("__probe", probe_text(F.col("__flat")))
 
-    def tagged(seq: int, name: str, field: str, pattern: str, groups: Sequence[int]) -> Column:
-        def label(m: Column) -> Column:
-            fields = [m[c].alias(c) for c in ("raw", "g", "start", "end")]
-            return F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *fields)
-
-        return F.when(columns[field].rlike(pattern), F.transform(match_array(columns[field], pattern, groups), label))
+    def tagged(seq: int, name: str, field: str, pattern: str, groups: Sequence[int], literals: Sequence[str] = ()) -> Column:
+        test = columns[field].rlike(pattern)
+        if literals:
+            possible = F.contains(F.col("__probe"), F.lit(literals[0]))
+            for literal in literals[1:]:
+                possible = possible | F.contains(F.col("__probe"), F.lit(literal))
+            test = possible & test
+        return F.when(test, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *match_parts(columns[field], pattern, groups)))
 
-    found = F.array(*[tagged(i, *entry) for i, entry in enumerate(patterns)])
-    # null entries (pattern absent) vanish before the explode
-    rows = base.select(*keep, F.explode(F.flatten(F.array_compact(found))).alias("m"))
-    return rows.select(*keep, "m.*")
+    # null entries (pattern absent) vanish; offsets are built for the patterns that matched
+    found = F.array_compact(F.array(*[tagged(i, *entry) for i, entry in enumerate(patterns)]))
+    hits = base.select(*keep, F.explode(found).alias("p"))
+    rows = hits.select(*keep, "p.seq", "p.name", F.explode(located(F.col("p"))).alias("m"))
+    return rows.select(*keep, "seq", "name", "m.*")
 
 
 def _trie_pattern(terms: Sequence[str]) -> str:
@@ -168,7 +205,7 @@ def dict_match(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",
     variants = patterns + [p[:-1] + _MARK for p in patterns if p.endswith("i")]
     pattern = f"(?<!{WORD}){_trie_pattern(variants)}(?!{WORD})"
     low = lowered(F.col(text_col))
-    rows = df.select(*keep, text_col).where(low.rlike(pattern))
+    rows = spread(df.select(*keep, text_col)).where(low.rlike(pattern))
     rows = rows.select(*keep, text_col, F.explode(match_array(low, pattern)).alias("m"))
     rows = rows.select(
         *keep,
@@ -205,14 +242,14 @@ def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc
     table = normalised_terms(terms).withColumn("word", F.regexp_extract("pattern", rf"^(?:{WORD}+|.)", 0))
     width = (table.agg(F.max(F.length("pattern")).alias("n")).first()["n"] or 0) + 1
     low = lowered(F.col(text_col))
-    grams = df.select(*keep, text_col, F.explode(_word_grams(low, F.lit(width))).alias("w")).select(*keep, text_col, "w.*")
+    grams = spread(df.select(*keep, text_col)).select(*keep, text_col, F.explode(_word_grams(low, F.lit(width))).alias("w")).select(*keep, text_col, "w.*")
     grams = grams.withColumn("word", F.replace("word", F.lit(_MARK), F.lit("i"))).withColumn(
         "gram", F.replace("gram", F.lit(_MARK), F.lit("i"))
     ).drop(text_col)
     salts = 16
     salted = grams.withColumn("salt", F.pmod(F.xxhash64(*keep, "start"), F.lit(salts)).cast("int"))
-    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = salted.join(spread, ["word", "salt"]).where(
+    repeated = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hits = salted.join(repeated, ["word", "salt"]).where(
         F.col("gram").startswith(F.col("pattern")) & ~F.substring(F.col("gram"), F.length("pattern") + 1, F.lit(1)).rlike(WORD)
     )
     hits = hits.withColumn("end", F.col("start") + F.length("pattern")).drop("gram", "word", "salt")
@@ -271,7 +308,7 @@ def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: S
     """
     table = normalised_terms(terms).withColumn("parts", F.split("pattern", " "))
     wanted = table.select("pattern", F.posexplode("parts").alias("pos", "term_word"))
-    words = df.select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
+    words = spread(df.select(*keep, text_col)).select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
     words = words.select(*keep, F.col("w.word").alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
     vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
     term_vocab = wanted.select("term_word").distinct().select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
