@@ -10,8 +10,8 @@ from larder import fixed
 
 def image_id(path: Column) -> Column:
     """Digits-only file stem, else null."""
-    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
-    return F.when(stem.rlike("^[0-9]+$"), stem)
+    name = F.substring_index(path, "/", -1)
+    return F.nullif(F.regexp_extract(name, r"^([0-9]+)(?:\.[^.]*)?$", 1), F.lit(""))
 
 
 def image_rank(path: Column) -> Column:

@@ -24,16 +24,14 @@ def taxonomy_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """All (ancestor, descendant) pairs, self excluded.
 
     Path doubling: each round joins the pairs with themselves, so a DAG of depth d needs
-    log2(d) rounds; each round is checkpointed and the loop ends when no pair is new.
+    log2(d) rounds; each round is written out and the loop ends when no pair is new.
     """
-    pairs = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    size = pairs.count()
+    pairs, size = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
     for _ in range(max_rounds):
         left = pairs.select("ancestor", F.col("descendant").alias("mid"))
         right = pairs.select(F.col("ancestor").alias("mid"), "descendant")
         longer = left.join(right, "mid").select("ancestor", "descendant")
-        pairs = cut_lineage(pairs.unionByName(longer).distinct())
-        grown = pairs.count()
+        pairs, grown = cut_lineage(pairs.unionByName(longer).distinct())
         if grown == size:
             return pairs
         size = grown

@@ -226,7 +226,7 @@ def _word_grams(texts: pd.Series, size: pd.Series) -> pd.Series:
 
     A start is a word, or a separator whose left neighbour is no word character.
     """
-    starts = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]+|[^A-Za-z0-9_])")
+    starts = re.compile(rf"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]+{_MARK}?|[^A-Za-z0-9_])")
     width = int(size.iloc[0]) if len(size) else 0
     return texts.map(
         lambda t: [{"start": m.start(), "word": m.group(), "gram": t[m.start():m.start() + width]} for m in starts.finditer(t)] if t else []
@@ -243,15 +243,14 @@ def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc
     width = (table.agg(F.max(F.length("pattern")).alias("n")).first()["n"] or 0) + 1
     low = lowered(F.col(text_col))
     grams = spread(df.select(*keep, text_col)).select(*keep, text_col, F.explode(_word_grams(low, F.lit(width))).alias("w")).select(*keep, text_col, "w.*")
-    grams = grams.withColumn("word", F.replace("word", F.lit(_MARK), F.lit("i"))).withColumn(
-        "gram", F.replace("gram", F.lit(_MARK), F.lit("i"))
-    ).drop(text_col)
+    grams = grams.withColumn("word", F.replace("word", F.lit(_MARK), F.lit("i"))).drop(text_col)
     salts = 16
     salted = grams.withColumn("salt", F.pmod(F.xxhash64(*keep, "start"), F.lit(salts)).cast("int"))
     repeated = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = salted.join(repeated, ["word", "salt"]).where(
-        F.col("gram").startswith(F.col("pattern")) & ~F.substring(F.col("gram"), F.length("pattern") + 1, F.lit(1)).rlike(WORD)
-    )
+    whole = F.col("gram").startswith(F.col("pattern")) & ~F.substring(F.col("gram"), F.length("pattern") + 1, F.lit(1)).rlike(WORD)
+    # a final "i" may be the first half of a lower-cased dotted capital
+    dotted = F.col("pattern").endswith("i") & F.col("gram").startswith(F.regexp_replace("pattern", "i$", _MARK))
+    hits = salted.join(repeated, ["word", "salt"]).where(whole | dotted)
     hits = hits.withColumn("end", F.col("start") + F.length("pattern")).drop("gram", "word", "salt")
     chosen = leftmost_longest(hits, keep)
     texts = df.select(*keep, F.col(text_col).alias("__text"))
@@ -309,7 +308,7 @@ def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: S
     table = normalised_terms(terms).withColumn("parts", F.split("pattern", " "))
     wanted = table.select("pattern", F.posexplode("parts").alias("pos", "term_word"))
     words = spread(df.select(*keep, text_col)).select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
-    words = words.select(*keep, F.col("w.word").alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
+    words = words.select(*keep, F.replace(F.col("w.word"), F.lit(_MARK), F.lit("i")).alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
     vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
     term_vocab = wanted.select("term_word").distinct().select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
     close = (
