@@ -23,18 +23,21 @@ def names_of(nodes: DataFrame) -> DataFrame:
 def taxonomy_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """All (ancestor, descendant) pairs, self excluded.
 
-    Path doubling: each round joins the pairs with themselves, so a DAG of depth d needs
-    log2(d) rounds; each round is written out and the loop ends when no pair is new.
+    Path doubling over new pairs only: a pair whose shortest path is longer than 2^k
+    starts with a pair found in round k, so each round joins just the last round's pairs
+    with all pairs.  A DAG of depth d needs log2(d) rounds; every round writes its new
+    pairs once and the loop ends when there are none.
     """
-    pairs, size = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    known, _ = cut_lineage(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    fresh = known
     for _ in range(max_rounds):
-        left = pairs.select("ancestor", F.col("descendant").alias("mid"))
-        right = pairs.select(F.col("ancestor").alias("mid"), "descendant")
-        longer = left.join(right, "mid").select("ancestor", "descendant")
-        pairs, grown = cut_lineage(pairs.unionByName(longer).distinct())
-        if grown == size:
-            return pairs
-        size = grown
+        left = fresh.select("ancestor", F.col("descendant").alias("mid"))
+        right = known.select(F.col("ancestor").alias("mid"), "descendant")
+        longer = left.join(right, "mid").select("ancestor", "descendant").distinct()
+        fresh, grown = cut_lineage(longer.join(known, ["ancestor", "descendant"], "left_anti"))
+        if grown == 0:
+            return known
+        known = known.unionByName(fresh)
     raise ValueError("taxonomy has a cycle or is deeper than 2^max_rounds")
 
 

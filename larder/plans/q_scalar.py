@@ -426,6 +426,12 @@ def _(d):
     return T.entity_runs(run_rows(d)).select("source_image", "entity", F.array_join("words", " ").alias("words"), "start", "end", "score")
 
 
+@query("run_lengths", f"WITH {RUNS} SELECT user_id AS source_image, entity, count(*) AS runs, max(e - s) AS longest FROM runs GROUP BY 1, 2")
+def _(d):
+    runs = T.entity_runs(run_rows(d))
+    return runs.groupBy("source_image", "entity").agg(F.count(F.lit(1)).alias("runs"), F.max(F.col("end") - F.col("start")).alias("longest"))
+
+
 ENTITY_SQL = """
 en AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'ENERGY_KJ_100G' WHEN 1 THEN 'SATURATED_FAT_SERVING' WHEN 2 THEN 'SERVING_SIZE' WHEN 3 THEN 'SALT_100G' ELSE 'PROTEINS_100G' END AS entity,
   CASE event_id % 5 WHEN 0 THEN cast(event_id % 900 + 1 AS string) || ' kJ' WHEN 1 THEN '< ' || cast(event_id % 9 AS string) || ' g' WHEN 2 THEN cast(event_id % 90 + 1 AS string) || ' 9'

@@ -52,6 +52,17 @@ def _(d):
     return spans_counted(M.dict_match(d.documents, benchmark_terms(d), max_regex_terms=0))
 
 
+@query("dictionary_join", rf"""
+WITH t AS (SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1)) AS pattern FROM benchmark WHERE regexp_extract(text, '^([A-Za-z]+ [a-z]+)', 1) <> ''),
+pat AS (SELECT '\b(?:' || string_agg(pattern, '|' ORDER BY length(pattern) DESC, pattern) || ')\b' AS p FROM t)
+SELECT conv_id, turn, len(regexp_extract_all(lower(text), p)) AS n FROM conversations, pat WHERE len(regexp_extract_all(lower(text), p)) > 0
+""")
+def _(d):
+    two = benchmark_terms(d).where("pattern rlike '^[a-z]+ [a-z]+$'")
+    hits = M.dict_match_join(d.conversations, two, ["conv_id", "turn"])
+    return hits.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("dict_match_fuzzy", """
 WITH terms AS (SELECT DISTINCT w AS pattern FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE length(w) >= 9),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS w FROM documents), v AS (SELECT DISTINCT w FROM w),
