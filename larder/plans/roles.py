@@ -20,11 +20,14 @@ def server_of(key: str) -> str:
     return f"(CASE WHEN {key} % 13 = 0 THEN 'obf' ELSE 'off' END)"
 
 
-def path_of(code: str, image: str) -> str:
-    return (
-        f"(CASE WHEN length({code}) > 8 THEN '/' || substring({code}, 1, 3) || '/' || substring({code}, 4, 3) || '/' || substring({code}, 7, 3) "
-        f"|| '/' || substring({code}, 10, 100) ELSE '/' || {code} END || '/' || {image} || '.jpg')"
-    )
+FOLDER = (
+    "(CASE WHEN length(barcode) > 8 THEN '/' || substring(barcode, 1, 3) || '/' || substring(barcode, 4, 3) || '/' || substring(barcode, 7, 3) "
+    "|| '/' || substring(barcode, 10, 100) ELSE '/' || barcode END || '/')"
+)
+
+
+def path_of(image: str) -> str:
+    return f"(folder || {image} || '.jpg')"
 
 
 def half(key: str, by: int = 2) -> str:
@@ -33,6 +36,15 @@ def half(key: str, by: int = 2) -> str:
 
 NO_TAGS = "cast(array() AS array<string>)"
 
+# orders with the barcode, project and image folder of their customer, each computed once
+role("order_code", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, {code_of('o_custkey')} AS barcode, {server_of('o_custkey')} AS server_type FROM orders
+""")
+
+role("order_place", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, barcode, server_type, {FOLDER} AS folder FROM order_code
+""")
+
 role("product_image", f"""
 SELECT {code_of('o_custkey')} AS code, cast(o_orderkey AS string) AS image_id, o_orderkey FROM orders
 """)
@@ -81,20 +93,20 @@ SELECT {code_of('o_custkey')}, 'nutrition_en', cast(max(o_orderkey) AS string),
 """)
 
 role("image", f"""
-SELECT o_orderkey AS id, {code_of('o_custkey')} AS barcode, cast(o_orderkey AS string) AS image_id, {server_of('o_custkey')} AS server_type,
-  {path_of(code_of('o_custkey'), 'cast(o_orderkey AS string)')} AS source_image,
+SELECT o_orderkey AS id, barcode, cast(o_orderkey AS string) AS image_id, server_type,
+  {path_of('cast(o_orderkey AS string)')} AS source_image,
   cast(400 + o_orderkey % 800 AS int) AS width, cast(300 + o_orderkey % 700 AS int) AS height, o_orderdate AS uploaded_at, o_orderkey % 17 = 0 AS deleted
-FROM orders
+FROM order_place
 """)
 
 role("insight", f"""
-SELECT 'i' || lpad(cast(o_orderkey AS string), 9, '0') AS id, {code_of('o_custkey')} AS barcode, {server_of('o_custkey')} AS server_type,
+SELECT 'i' || lpad(cast(o_orderkey AS string), 9, '0') AS id, barcode, server_type,
   CASE o_orderkey % 6 WHEN 0 THEN 'label' WHEN 1 THEN 'category' WHEN 2 THEN 'brand' WHEN 3 THEN 'product_weight' WHEN 4 THEN 'store' ELSE 'packager_code' END AS type,
   CASE WHEN o_orderkey % 6 < 2 THEN 'en:n' || cast(1 + (o_orderkey * 7) % 190 AS string) WHEN o_orderkey % 6 = 2 THEN 'brand-' || cast(o_orderkey % 25 AS string)
     WHEN o_orderkey % 6 = 4 THEN 'v' || cast(o_orderkey % 5 AS string) END AS value_tag,
   CASE o_orderkey % 6 WHEN 2 THEN 'Brand ' || cast(o_orderkey % 25 AS string) WHEN 3 THEN cast(100 + (o_orderkey % 40) * 10 AS string) || ' g'
     WHEN 4 THEN 'V' || cast(o_orderkey % 5 AS string) WHEN 5 THEN 'FR 40.' || cast(100 + o_orderkey % 9 AS string) || '.001 EC' END AS value,
-  CASE WHEN o_orderkey % 5 <> 0 THEN {path_of(code_of('o_custkey'), 'cast(o_orderkey AS string)')} END AS source_image,
+  CASE WHEN o_orderkey % 5 <> 0 THEN {path_of('cast(o_orderkey AS string)')} END AS source_image,
   CASE o_orderpriority WHEN '1-URGENT' THEN true WHEN '5-LOW' THEN NULL ELSE false END AS automatic_processing,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'flashtext' WHEN '2-HIGH' THEN 'regex' WHEN '3-MEDIUM' THEN 'taxonomy' WHEN '4-NOT SPECIFIED' THEN 'curated-list' END AS predictor,
   CASE WHEN o_orderstatus = 'F' THEN cast(o_orderkey % 3 AS int) - 1 END AS annotation,
@@ -106,22 +118,22 @@ SELECT 'i' || lpad(cast(o_orderkey AS string), 9, '0') AS id, {code_of('o_custke
   CASE WHEN o_orderkey % 2 = 0 THEN array('fr', 'en') ELSE array('de') END AS lc,
   o_custkey % 10 = 0 OR o_custkey % 10 = 1 AS reserved_barcode, o_orderkey % 8 <> 0 AS with_image,
   CASE WHEN o_orderstatus = 'F' THEN 'u' || cast(o_custkey % 50 AS string) END AS username, o_orderkey, o_custkey
-FROM orders
+FROM order_place
 """)
 
 role("prediction", f"""
-SELECT ((l_orderkey * 200003 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id, {code_of('o_custkey')} AS barcode, {server_of('o_custkey')} AS server_type,
+SELECT ((l_orderkey * 200003 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id, barcode, server_type,
   CASE l_linenumber WHEN 1 THEN 'label' WHEN 2 THEN 'category' WHEN 3 THEN 'brand' WHEN 4 THEN 'product_weight' WHEN 5 THEN 'store' WHEN 6 THEN 'packager_code' ELSE 'expiration_date' END AS type,
   CASE WHEN l_linenumber < 3 THEN 'en:n' || cast(1 + l_partkey % 190 AS string) WHEN l_linenumber = 3 THEN 'brand-' || cast(l_suppkey % 25 AS string) WHEN l_linenumber = 5 THEN 'v' || cast(l_partkey % 5 AS string) END AS value_tag,
   CASE l_linenumber WHEN 3 THEN 'Brand ' || cast(l_suppkey % 25 AS string) WHEN 4 THEN cast(100 + (l_partkey % 40) * 10 AS string) || ' g' WHEN 5 THEN 'V' || cast(l_partkey % 5 AS string)
     WHEN 6 THEN 'FR 40.' || cast(100 + l_partkey % 9 AS string) || '.001 EC' WHEN 7 THEN '2020-01-' || lpad(cast(1 + l_partkey % 28 AS string), 2, '0') END AS value,
-  CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 = 1 THEN {path_of(code_of('o_custkey'), "cast(l_orderkey + 1 AS string)")}
-    ELSE {path_of(code_of('o_custkey'), 'cast(l_orderkey AS string)')} END AS source_image,
+  CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 = 1 THEN {path_of('cast(l_orderkey + 1 AS string)')}
+    ELSE {path_of('cast(l_orderkey AS string)')} END AS source_image,
   CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS automatic_processing,
   CASE WHEN l_linestatus = 'O' THEN 'regex' WHEN l_suppkey % 2 = 0 THEN 'taxonomy' END AS predictor,
   cast(1 + l_partkey % 2 AS string) AS predictor_version, l_discount * 10 AS confidence, l_shipdate AS created_at,
   cast(1 + l_suppkey % 3 AS int) AS priority, 'm' || cast(l_suppkey % 4 AS string) AS matcher_type, l_partkey % 9 = 0 AS from_name, l_orderkey, o_custkey
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+FROM lineitem JOIN order_place ON l_orderkey = o_orderkey
 """)
 
 role("vote", """
@@ -142,8 +154,8 @@ SELECT ((l_orderkey * 200003 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber
   CASE WHEN l_partkey % 4 = 0 OR l_partkey % 7 = 0 THEN NULL ELSE 'value-' || cast(l_suppkey % 20 AS string) END AS annotation_value_tag,
   CASE WHEN l_partkey % 4 = 0 OR l_partkey % 7 = 0 OR l_partkey % 5 = 0 THEN NULL ELSE 'en:value-' || cast(l_suppkey % 20 AS string) END AS taxonomy_value,
   CASE WHEN l_partkey % 4 <> 0 THEN l_shipdate END AS completed_at, CASE WHEN l_partkey % 4 <> 0 THEN 'u' || cast(l_suppkey AS string) END AS username,
-  {code_of('o_custkey')} AS barcode, {server_of('o_custkey')} AS server_type, {path_of(code_of('o_custkey'), 'cast(l_orderkey AS string)')} AS source_image,
-  l_orderkey, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  barcode, server_type, {path_of('cast(l_orderkey AS string)')} AS source_image,
+  l_orderkey, l_partkey, l_suppkey FROM lineitem JOIN order_place ON l_orderkey = o_orderkey
 """)
 
 role("node", """
