@@ -222,10 +222,10 @@ def _(d):
     return d.spark.read.schema("id long, barcode string").json(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("barcode").alias("n_barcodes"))
 
 
-@query("sink_csv_dump", "SELECT id, type, annotation FROM insight WHERE annotation = 1 AND server_type = 'off' AND type = 'label'")
+@query("sink_csv_dump", "SELECT id, type, annotation FROM insight WHERE annotation = -1 AND server_type = 'off' AND type = 'label'")
 def _(d):
     path = scratch(d, "csv")
-    rows = P.insight_filter(d.insight, annotated=True, annotation=1, types=["label"]).select("id", "type", "annotation")
+    rows = P.insight_filter(d.insight, annotated=True, annotation=-1, types=["label"]).select("id", "type", "annotation")
     # the row limit guards callers without a count; the whole selection is written here
     writers.sink_csv_dump(rows, path, None if writers.dump_is_allowed(rows) else rows.count())
     return d.spark.read.schema("id string, type string, annotation int").option("header", "true").csv(path)
