@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles, linked at four or fewer differing bits."""
     return simhash_groups(_table(spark, sf_dir, "documents"), words=4, seed=42, radius=4)
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's vocabulary on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 4096 tokens, sources in the corpus's own proportions."""
+    packed = pack(_table(spark, sf_dir, "documents"), tokenizer_file(), end=2, window=4096, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
