@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
+from larder.llm.topk import exact_topk, usable
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +58,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 4096 tokens, sources in the corpus's own proportions."""
     packed = pack(_table(spark, sf_dir, "documents"), tokenizer_file(), end=2, window=4096, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
+@_query("op10_exact_topk", TOPK_SQL)
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest integer products of every hundredth vector against all rows."""
+    rows = _table(spark, sf_dir, "embeddings")
+    whole = F.when(usable(F.col("embedding")), F.transform("embedding", lambda x: F.floor(1024 * x.cast("double"))))
+    found = exact_topk(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 100 == 0, k=10, vector_col="vector", kind="long")
+    return found.withColumn("rank", F.col("rank").cast("int"))
