@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
+from larder.llm.toxicity import toxicity, train
 from larder.llm.topk import exact_topk, usable
 
 TOPK_SQL = """
@@ -67,3 +68,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.when(usable(F.col("embedding")), F.transform("embedding", lambda x: F.floor(1024 * x.cast("double"))))
     found = exact_topk(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 100 == 0, k=10, vector_col="vector", kind="long")
     return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+@_query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; rows whose crc32(doc_id) mod 5 is 0 are held out of learning."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = toxicity(docs, train(docs, labels.where(~held_out)), keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
