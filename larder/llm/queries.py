@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.html_text import extract_text
 from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
@@ -77,3 +78,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scored = toxicity(docs, train(docs, labels.where(~held_out)), keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+@_query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages"))
