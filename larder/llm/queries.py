@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.html_text import extract_text
+from larder.llm.licenses import scan_licenses
 from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
@@ -84,3 +85,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_text(_table(spark, sf_dir, "pages"))
+
+
+@_query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of every document."""
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    named = lambda c: F.transform(c, lambda x: x["label"])
+    words = F.transform("base", lambda x: x["word"])
+    doubt = F.aggregate("detections", F.lit(1.0), lambda left, x: left * (1 - x["confidence"]))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        joined(named("base")).alias("base_labels"), joined(F.concat(named("base"), named("detections"))).alias("labels"), F.round(1 - doubt, 6).alias("score"),
+    )
