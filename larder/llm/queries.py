@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm.ann import approximate_topk
 from larder.llm.html_text import extract_text
 from larder.llm.licenses import scan_licenses
 from larder.llm.packing import pack
@@ -99,3 +100,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
         joined(named("base")).alias("base_labels"), joined(F.concat(named("base"), named("detections"))).alias("labels"), F.round(1 - doubt, 6).alias("score"),
     )
+
+
+@_query("op2_hilbert_ann")
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector by inner product."""
+    found = approximate_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.withColumn("rank", F.col("rank").cast("int"))
