@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.llm.ann import approximate_topk
 from larder.llm.html_text import extract_text
 from larder.llm.licenses import scan_licenses
+from larder.llm.mixing import mix
 from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
@@ -26,6 +27,29 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: The schedule is simulated slot by slot; documents are counted with plain running sums.
+MIXING_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+), w AS (SELECT source, CAST(greatest(floor(sqrt(CAST(sum(size) AS DOUBLE))), 1) AS BIGINT) AS weight FROM d GROUP BY source),
+s AS (SELECT source, greatest((2 * weight * 1024 + t) // (2 * t), 1) AS share FROM w, (SELECT CAST(sum(weight) AS BIGINT) AS t FROM w)),
+c AS (SELECT list(share ORDER BY source) AS shares, CAST(sum(share) AS BIGINT) AS cycle FROM s),
+n AS (SELECT source, share, row_number() OVER (ORDER BY source) AS i FROM s),
+sim AS (
+  SELECT CAST(-1 AS BIGINT) AS turn, list_transform(shares, lambda x: CAST(0 AS BIGINT)) AS sent, CAST(0 AS BIGINT) AS pick FROM c
+  UNION ALL
+  SELECT turn + 1, list_transform(sent, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p FROM (
+    SELECT turn, sent, list_sort(list_filter(list_transform(sent, lambda x, i: CASE WHEN x < shares[i] AND (x * cycle) // shares[i] <= turn + 1
+      THEN [((x + 1) * cycle + shares[i] - 1) // shares[i], i] END), lambda y: y IS NOT NULL))[1][2] AS p
+    FROM sim, c WHERE turn + 1 < cycle)
+), plan AS (SELECT n.source, turn, row_number() OVER (PARTITION BY pick ORDER BY turn) - 1 AS nth FROM sim JOIN n ON n.i = sim.pick WHERE turn >= 0),
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
+b AS (SELECT q.doc_id, q.source, before // 65536 AS block, before % 65536 AS "offset", share, cycle FROM q JOIN s USING (source), c)
+SELECT doc_id, b.source, block, (block * cycle) // share AS release, ((block + 1) * cycle + share - 1) // share AS deadline,
+  block // share * cycle + turn AS slot, "offset"
+FROM b JOIN plan ON plan.source = b.source AND plan.nth = block % share
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -107,3 +131,9 @@ def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector by inner product."""
     found = approximate_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+@_query("op4_mixing", MIXING_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' slots in a mixture of sources weighted by the root of their size."""
+    return mix(_table(spark, sf_dir, "documents"), block_chars=65_536, cycle=1024)
