@@ -15,6 +15,8 @@ from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
 from larder.llm.topk import exact_topk, usable
+from larder.llm.urls import filter_urls, labelled_urls
+from larder.llm.urls import train as train_urls
 
 TOPK_SQL = """
 WITH v AS (
@@ -137,3 +139,13 @@ def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' slots in a mixture of sources weighted by the root of their size."""
     return mix(_table(spark, sf_dir, "documents"), block_chars=65_536, cycle=1024)
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@_query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then the n-gram model, for every page's url."""
+    judged = filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, train_urls(labelled_urls(spark)))
+    return judged.withColumn("score", F.round("score", 4))
