@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.ann import approximate_topk
+from larder.llm.chat import format_chats
 from larder.llm.html_text import extract_text
 from larder.llm.licenses import scan_licenses
 from larder.llm.mixing import mix
@@ -149,3 +150,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the n-gram model, for every page's url."""
     judged = filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, train_urls(labelled_urls(spark)))
     return judged.withColumn("score", F.round("score", 4))
+
+
+@_query("op8_chat_format")
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns of every conversation."""
+    return format_chats(_table(spark, sf_dir, "conversations"))
