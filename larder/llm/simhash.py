@@ -8,16 +8,17 @@ its 64 counters exceed the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations, repeat
-from math import comb
+from math import acos, ceil, comb, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from larder import cut_lineage
 from larder.llm.components import components
@@ -27,6 +28,8 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLES_AT_ONCE = 1 << 15
 PAIR_WORDS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 16
+WIDE_WORDS = 16  # a wide fingerprint has 1024 bits; its first word is the one compared by planes
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -126,11 +129,12 @@ def near_lanes(fps: np.ndarray, planes: np.ndarray, probe: np.ndarray, word: np.
     return probe, word, ~_over(ones, twos, fours, eights, radius)
 
 
-def block_roots(fps: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:
+def block_roots(fps: np.ndarray, block: np.ndarray, radius: int, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Row of the first member of each row's component, components formed inside blocks.
 
-    ``block`` numbers the blocks of the sorted rows 0, 1, ...  Work is done over chunks of
-    (row, word) pairs, so memory is bounded whatever the blocks' sizes.
+    ``block`` numbers the blocks of the sorted rows 0, 1, ...  ``accept`` may turn down pairs
+    of rows within the radius.  Work is done over chunks of (row, word) pairs, so memory is
+    bounded whatever the blocks' sizes.
     """
     n = len(fps)
     size = np.bincount(block)
@@ -159,7 +163,15 @@ def block_roots(fps: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:
         for k in range(0, len(probe), 1 << 15):  # at most 2^21 lanes unpacked at once
             which, lane = np.nonzero(np.unpackbits(lanes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b = probe[k : k + (1 << 15)][which], start_of_word[word[k : k + (1 << 15)][which]] + lane
-            root = merge(root, a[a < b], b[a < b])
+            a, b = a[a < b], b[a < b]
+            for j in range(0, len(a) if accept else 0, PAIRS_AT_ONCE):
+                x, y = a[j : j + PAIRS_AT_ONCE], b[j : j + PAIRS_AT_ONCE]
+                apart = root[x] != root[y]
+                x, y = x[apart], y[apart]
+                near = accept(x, y)
+                root = merge(root, x[near], y[near])
+            if accept is None:
+                root = merge(root, a, b)
         lo = hi
     return root
 
@@ -179,19 +191,24 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, key, tile_a, tile_b, fp) rows to (a, b) links, at most one per row."""
+def _links(batches: Iterator[pa.RecordBatch], radius: int, wide_limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted (band, key, tile_a, tile_b, node or fp[, wide]) rows to (a, b) links, at most one per row."""
     rest: pa.Table | None = None
 
     def links(t: pa.Table) -> pa.RecordBatch:
         cols = [t.column(k).to_numpy() for k in range(4)]
-        fps = t.column(4).to_numpy().view(np.uint64)
-        change = np.zeros(len(fps), bool)
+        nodes = t.column(4).to_numpy()
+        change = np.zeros(len(nodes), bool)
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
-        root = block_roots(fps, np.cumsum(change), radius)
+        if wide_limit is None:
+            root = block_roots(nodes.view(np.uint64), np.cumsum(change), radius)
+        else:
+            wide = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+            near = lambda x, y: np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= wide_limit
+            root = block_roots(np.ascontiguousarray(wide[:, 0]), np.cumsum(change), radius, near)
         linked = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps[linked], fps[root[linked]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[linked], nodes[root[linked]])], ["a", "b"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -267,6 +284,79 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- near-duplicates by similarity
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """1024-bit SimHash: every shingle hash is mixed into ``WIDE_WORDS`` words."""
+    votes = np.zeros(64 * WIDE_WORDS, np.int64)
+    for k in range(0, len(hashes), SHINGLES_AT_ONCE // WIDE_WORDS):
+        x = hashes[k : k + SHINGLES_AT_ONCE // WIDE_WORDS, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes)).tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing SimHash bits of two sets of that Jaccard similarity."""
+    return acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], text_col: str, words: int, seed: int, keys: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        wide, low = [], []
+        for text in b.column("doc").field(text_col).to_pylist():
+            hashes = np.unique(np.frombuffer(shingle_hashes(text, words, seed), ">u8").astype(np.uint64))
+            wide.append(wide_fingerprint(hashes))
+            low.append(hashes[:keys].view(np.int64))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(wide, pa.binary()), pa.array(low, pa.list_(pa.int64()))], [*b.schema.names, "wide", "keys"])
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
+    margin: float = 1.5, keys: int = 8, seed: int = 42, tile_rows: int = 2048,
+) -> DataFrame:
+    """The input rows without all but the smallest (id, row) of each near-duplicate group.
+
+    Two texts are linked if their sets of ``words``-word shingles have Jaccard ``similarity``
+    or more as told by 1024-bit SimHash fingerprints: the limit lies ``margin`` standard
+    deviations above the expected number of differing bits at ``similarity``.  Candidates
+    share one of their ``keys`` smallest shingle hashes (two sets of similarity 0.8 share
+    none of 8 about once in 400,000 pairs); inside such a block the first 64 bits are
+    compared by bit planes, then the rest.  Groups are connected components.
+
+    Equal texts have equal fingerprints and are grouped before anything is compared; texts
+    without words (null, empty) are equal to each other; texts shorter than ``words`` are one
+    shingle; rows may repeat; null ids come after all others.  Columns come back as they are,
+    whatever their names; an empty table gives no rows.  A block with a third of all texts is
+    cut into pairs of tiles, each a bounded task.
+    """
+    bits = 64 * WIDE_WORDS
+    share = differing_share(similarity)
+    limit = floor(bits * share + margin * sqrt(bits * share * (1 - share)))
+    radius = ceil(64 * limit / bits + 4 * sqrt(64 * share * (1 - share)))
+    kept = StructType([StructField("doc", docs.schema), StructField("row", LongType()), StructField("wide", BinaryType()), StructField("keys", ArrayType(LongType()))])
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    stored, _ = cut_lineage(rows.mapInArrow(partial(_sketches, text_col=text_col, words=words, seed=seed, keys=keys), kept))
+
+    own = F.struct(F.col("doc")[id_col].isNull().alias("none"), F.col("doc")[id_col].alias("id"), "row")
+    marks = stored.select("row", own.alias("own"), "wide", "keys")
+    distinct, _ = cut_lineage(marks.groupBy("wide").agg(F.min("row").alias("node"), F.min("own").alias("own"), F.min("keys").alias("keys")))
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = keyed.join(shared, "key").select("node", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("node", F.lit(0).alias("band"), "key", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"))
+    group = ["band", "key", "tile_a", "tile_b"]
+    blocks = dealt.join(distinct.select("node", "wide"), "node").select(*group, "node", "wide").repartition(*group).sortWithinPartitions(*group, "node")
+    roots = components(blocks.mapInArrow(partial(_links, radius=radius, wide_limit=limit), "a long, b long").distinct())
+
+    grouped = distinct.join(roots, "node", "left").select("wide", "own", F.coalesce("root", "node").alias("root"))
+    first = grouped.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.row").alias("row"))
+    return stored.join(first, "row", "left_semi").select("doc.*")
+
+
 def hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Byte classes: letters and all non-ASCII bytes are word bytes, . ! ? and line ends end a sentence.
 CLASSES = bytes(i if i >= 128 or chr(i).isalpha() else 10 if chr(i) in ".!?\n" else 32 for i in range(256))
@@ -149,12 +150,12 @@ def sentence_spans(text: str, numbers: list[int]) -> list[tuple[int, int]]:
 SCORED = "score double, predicted int, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: SentenceModel, limit: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: SentenceModel, limit: float, inside: str | None = None) -> Iterator[pa.RecordBatch]:
     weights = WordWeights(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for b in batches:
         score, count, spans = [], [], []
-        for text in b.column("text").to_pylist():
+        for text in (b.column("doc").field(inside) if inside else b.column("text")).to_pylist():
             chances, numbers = sentence_chances(text, weights)
             score.append(noisy_or(chances))
             count.append(len(chances))
@@ -204,3 +205,10 @@ def toxicity(docs: DataFrame, model: SentenceModel, text_col: str = "text", keep
         raise ValueError("the text column is added by itself; leave it out of keep")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
     return kept.mapInArrow(partial(_score, model=model, limit=limit), f"{fields}, {SCORED}")
+
+
+def drop_toxic(docs: DataFrame, model: SentenceModel, text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
+    """The input rows whose score is under ``reject_from``; columns as they are, whatever their names."""
+    fields = StructType([StructField("doc", docs.schema), *StructType.fromDDL(SCORED).fields])
+    scored = docs.select(F.struct("*").alias("doc")).mapInArrow(partial(_score, model=model, limit=0.5, inside=text_col), fields)
+    return scored.where(F.col("score") < reject_from).select("doc.*")
