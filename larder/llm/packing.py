@@ -12,6 +12,7 @@ tokens; only the last window can be short.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -28,11 +29,50 @@ from larder.llm.prefix import power_of_two, running_before
 WORDS_KEPT = 400_000  # per worker; beyond it the memory of encoded words starts anew
 
 
+#: A run of letters of ASCII and Latin-1 (one code point each in every normal form, lower case
+#: of the same length), perhaps with a run of punctuation: the pieces the tokenizer makes of it.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([^\s'A-Za-z0-9\x80-\U0010ffff]*)")
+
+
+def plain_pieces_hold(tokenizer: object) -> bool:
+    """Whether the tokenizer cuts PLAIN stretches into lower-case letters and punctuation."""
+    samples = ["Été,", "WORD", "b.", "ÀÖØßÿ!?", "%%%", "mot;:"]
+    pre, norm = tokenizer.pre_tokenizer, tokenizer.normalizer
+    if pre is None or norm is None:
+        return False
+    return all([byte_text(x) for x in PLAIN.fullmatch(w).groups() if x] == [p for p, _ in pre.pre_tokenize_str(norm.normalize_str(w))] for w in samples)
+
+
+def byte_text(piece: str) -> str:
+    """A lower-cased piece as byte-level models spell it: one printable code point a byte."""
+    return piece.lower() if piece.isascii() else "".join(BYTE_TEXT[x] for x in piece.lower().encode())
+
+
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_TEXT = {x: chr(x) for x in _PRINTABLE} | {x: chr(256 + k) for k, x in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class EncodedPieces(dict):
+    """Ids of the pieces (letters or punctuation) met so far, by the tokenizer's model alone."""
+
+    def __init__(self, model: object, dtype: np.dtype) -> None:
+        super().__init__()
+        self.tokenize, self.dtype = model.tokenize, dtype
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array([t.id for t in self.tokenize(byte_text(piece))], self.dtype).tobytes() if piece else b""
+        self[piece] = ids
+        return ids
+
+
 class EncodedWords(dict):
     """Ids (little-endian, ``dtype``) of white-space-free stretches, encoded when first met.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its stretches in order; only ASCII white space is cut at, the rest is the tokenizer's.
+    A plain word goes to the tokenizer's model directly, without the layers that keep
+    offsets; every other stretch goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,16 +83,24 @@ class EncodedWords(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.pieces = EncodedPieces(self.tokenizer.model, self.dtype)
+        self.direct = plain_pieces_hold(self.tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+        text = word.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(text) if self.direct and "<" not in text else None
+        if plain:
+            ids = self.pieces[plain[1].lower()] + self.pieces[plain[2]]
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         self[word] = ids
         return ids
 
     def encode(self, text: str | None, end: int) -> bytes:
         """Ids of the whole text and ``end``."""
-        if len(self) > WORDS_KEPT:
-            self.clear()
+        for memory in (self, self.pieces):
+            if len(memory) > WORDS_KEPT:
+                memory.clear()
         words = (text or "").encode("utf-8", "replace").split()
         return b"".join(map(self.__getitem__, words)) + np.array([end], self.dtype).tobytes()
 
