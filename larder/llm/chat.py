@@ -35,9 +35,10 @@ TOLD = re.compile(r"^\s*(?:you are|you must|your task|act as|always|never|respon
 START = (0.25, 0.70, 0.05)
 NEXT = ((0.02, 0.93, 0.05), (0.01, 0.09, 0.90), (0.01, 0.90, 0.09))
 GO_ON = 0.6  # a further line of the same turn
-MARKED = {"first": (0.55, 0.02), "later": (0.01, 0.005)}  # (own marker, each other role's)
+MARKED = {"first": (0.30, 0.02), "later": (0.01, 0.005)}  # (own marker, each other role's)
 LABELLED = (0.96, 0.02)  # (own label, each other role's) on the first line of a labelled row
-ROW_START = {"first": 0.95, "later": 0.25}  # a line that starts a row
+ROW_START = {"first": 0.95, "later": 0.10}  # a line that starts a row
+LABEL_SHOWN = {"first": 0.90, "later": 0.05}  # a known label on a line
 FEATURES = ((lambda x: x.rstrip().endswith("?"), (0.05, 0.30, 0.10)), (lambda x: len(x) > 200, (0.20, 0.20, 0.40)), (lambda x: bool(LISTED.match(x)), (0.10, 0.08, 0.30)), (lambda x: bool(TOLD.match(x)), (0.30, 0.04, 0.03)))
 
 
@@ -66,7 +67,7 @@ def emission(line: str, marker: int | None, row_start: bool, label: int | None)
             at = ROW_START[kind]
             out[s] += np.log(at if row_start else 1 - at)
             if label is not None:
-                out[s] += np.log(LABELLED[0] if label == r else LABELLED[1])
+                out[s] += np.log(LABEL_SHOWN[kind]) + np.log(LABELLED[0] if label == r else LABELLED[1])
             for holds, chances in FEATURES:
                 out[s] += np.log(chances[r] if holds(line) else 1 - chances[r])
     return out

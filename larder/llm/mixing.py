@@ -49,7 +49,7 @@ def schedule(share: DataFrame) -> DataFrame:
     turns = queues.where("size(queues) > 0").withColumn("picks", F.expr(fold)).select("queues", "cycle", F.posexplode("picks").alias("turn", "pick"))
     named = turns.select(F.expr("queues[pick].queue").alias("queue"), F.expr("queues[pick].share").alias("share"), "cycle", F.col("turn").cast("long").alias("turn"))
     nth = F.row_number().over(Window.partitionBy("queue").orderBy("turn")) - 1  # of at most a cycle's rows
-    return named.withColumn("nth", nth.cast("long"))
+    return named.select("queue", "share", "cycle", nth.cast("long").alias("nth"), "turn")
 
 
 def mix(

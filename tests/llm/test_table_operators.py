@@ -20,7 +20,7 @@ from larder.llm.topk import best_of_tile, exact_topk
 
 def vectors_table(spark, n=180, width=6, seed=2):
     rng = np.random.default_rng(seed)
-    x = np.round(rng.standard_normal((n, width)), 1)
+    x = np.round(rng.standard_normal((n, width)) * 4) / 4  # products are exact
     x[5:40] = x[4]  # a group of copies
     rows = [(int(k), [float(v) for v in row]) for k, row in enumerate(x)]
     odd = [(1000, None), (None, [1.0] * width), (1001, [0.0] * width), (1002, [None] + [1.0] * (width - 1)), (1003, [float("nan")] * width), (1004, [float("inf")] * width), (1005, [1.0, 2.0]), (1020, [2.0, 1.0]), (1040, [])]
@@ -253,7 +253,8 @@ def test_chat_turns_markers_and_edges(spark):
     small = sorted(((r.conv_id or 0, r.turn, r.role, r.text) for r in chat.format_chats(df, block_turns=1).collect()))
     assert small == got
     assert rows_of(chat.format_chats(df.where("false"))) == []
-    assert chat.format_chats(df.limit(1)).first().rendered.startswith("<|system|>\nbe brief")
+    first = {r.turn: r.rendered for r in chat.format_chats(df.where("conv_id = 1")).collect()}
+    assert first[0] == "<|system|>\nbe brief\n<|end|>"
 
 
 def test_roles_are_recovered_without_half_of_the_labels(spark):
