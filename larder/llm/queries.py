@@ -16,7 +16,7 @@ from larder.llm.packing import pack
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
 from larder.llm.topk import exact_topk, usable
-from larder.llm.urls import filter_urls, labelled_urls
+from larder.llm.urls import GRAMS, HEX_DIGITS, LABELLED, LOWER, UPPER, filter_urls, labelled_urls
 from larder.llm.urls import train as train_urls
 
 TOPK_SQL = """
@@ -53,6 +53,49 @@ SELECT doc_id, b.source, block, (block * cycle) // share AS release, ((block + 1
 FROM b JOIN plan ON plan.source = b.source AND plan.nth = block % share
 """
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def _url_parts_sql(table: str, columns: str) -> str:
+    """Host and path, and the distinct hashed n-grams of both."""
+    grams = ", ".join(
+        f"list_transform(range(1, greatest(length({t}) - {n} + 2, 1)), lambda i: CAST('0x' || substr(md5('{m}' || substr({t}, i, {n})), 1, {HEX_DIGITS}) AS INTEGER))"
+        for m, t in (("h", "('^' || host || '$')"), ("p", "(path || '$')")) for n in GRAMS
+    )
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    return f"""SELECT *, list_sort(list_distinct(flatten([{grams}]))) AS b FROM (
+      SELECT {columns}, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM (SELECT *, {rest} AS rest FROM {table}))"""
+
+
+def _url_sql(steps: int = 150, rate: float = 2.0, decay: float = 0.001) -> str:
+    """Training, rules and scores in SQL: the descent is a recursive table expression."""
+    labelled = ", ".join(f"('{url}', {label})" for label, urls in LABELLED for url in urls.split())
+    rules = ", ".join(f"('{verdict}', '{host}', '{path}', {k})" for k, (verdict, host, path) in enumerate(URL_RULES))
+    return f"""
+WITH RECURSIVE labelled(url, y) AS (VALUES {labelled}), known AS ({_url_parts_sql('labelled', 'url, y')}),
+rules(verdict, host, path, k) AS (VALUES {rules}),
+used AS (SELECT bucket, row_number() OVER (ORDER BY bucket) AS pos FROM (SELECT DISTINCT unnest(b) AS bucket FROM known)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY url, y) AS r FROM known),
+pairs AS (SELECT r, y, pos FROM (SELECT r, y, unnest(b) AS bucket FROM numbered) JOIN used USING (bucket)),
+t AS (SELECT list({{'y': y, 'k': k}} ORDER BY r) AS t FROM (SELECT r, y, list(pos ORDER BY pos) AS k FROM pairs GROUP BY r, y)),
+m AS (SELECT list(m ORDER BY pos) AS members FROM (SELECT pos, list(r ORDER BY r) AS m FROM pairs GROUP BY pos)),
+fit AS (
+  SELECT 0 AS step, list_transform(members, lambda x: CAST(0 AS DOUBLE)) AS w, CAST(0 AS DOUBLE) AS b FROM m
+  UNION ALL
+  SELECT step + 1, list_transform(members, lambda x, k: w[k] - {rate}e0 * (list_sum(list_transform(x, lambda i: e[i])) + {decay}e0 * w[k])), b - {rate}e0 * list_sum(e) FROM (
+    SELECT step, w, b, list_transform(t, lambda r: (1 / (1 + exp(-(b + list_sum(list_transform(r.k, lambda j: w[j]))))) - r.y) / len(t)) AS e FROM fit, t WHERE step < {steps}), m
+), model AS (SELECT w, b AS bias FROM fit WHERE step = {steps}),
+weights AS (SELECT bucket, w[pos] AS weight FROM used, model),
+p AS ({_url_parts_sql('pages', 'page_id, url')}),
+s AS (SELECT page_id, 1 / (1 + exp(-(any_value(bias) + coalesce(sum(weight), 0)))) AS score FROM (SELECT page_id, unnest(b) AS bucket FROM p) LEFT JOIN weights USING (bucket), model GROUP BY page_id),
+fits AS (SELECT page_id, rules.host || rules.path AS rule, verdict FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rules.host || rules.path) DESC, k) = 1)
+SELECT p.page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(score, 4) AS score
+FROM p LEFT JOIN fits USING (page_id) LEFT JOIN s USING (page_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -142,10 +185,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), block_chars=65_536, cycle=1024)
 
 
-URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-
-
-@_query("op5_url_filter")
+@_query("op5_url_filter", _url_sql())
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the n-gram model, for every page's url."""
     judged = filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, train_urls(labelled_urls(spark)))
