@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -50,21 +51,20 @@ class SentenceModel:
     weights: dict[bytes, float] = field(default_factory=dict)
 
 
-def learn(texts: list[str | None], toxic: np.ndarray, share: np.ndarray, epochs: int = 120, rate: float = 0.08, shrink: float = 1e-4) -> SentenceModel:
+def learn(texts: Iterable[str | None], toxic: np.ndarray, share: np.ndarray, epochs: int = 120, rate: float = 0.08, shrink: float = 1e-4) -> SentenceModel:
     """Noisy-or maximum likelihood over documents by full-batch Adam with soft thresholding.
 
     ``share``: weight of each document (undoes unequal sampling of the classes).
     """
-    if not len(texts) or toxic.min() == toxic.max():
-        return SentenceModel(bias=30.0 if len(texts) and toxic.min() == 1 else -30.0)
+    n = len(toxic)
+    if not n or toxic.min() == toxic.max():
+        return SentenceModel(bias=30.0 if n and toxic.min() == 1 else -30.0)
     number: dict[bytes, int] = {}
-    words: list[int] = []
-    sentence: list[int] = []
-    doc_of: list[int] = []
+    words, sentence, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for part in sentences(text):
             if found := part.split():
-                words.extend(number.setdefault(w, len(number)) for w in found)
+                words.extend([number.setdefault(w, len(number)) for w in found])
                 sentence.extend([len(doc_of)] * len(found))
                 doc_of.append(d)
     word, sent, doc = np.array(words, np.int32), np.array(sentence, np.int32), np.array(doc_of, np.int32)
@@ -77,7 +77,7 @@ def learn(texts: list[str | None], toxic: np.ndarray, share: np.ndarray, epochs:
     owner = np.repeat(np.arange(len(per_word), dtype=np.int32), [len(fs) for fs in per_word])
     used = list(names)
 
-    y = toxic.astype(np.float64)[: len(texts)]
+    y = toxic.astype(np.float64)
     share = share / share.sum()
     w, bias = np.zeros(len(used)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -85,7 +85,7 @@ def learn(texts: list[str | None], toxic: np.ndarray, share: np.ndarray, epochs:
         of_word = np.bincount(owner, w[feature], len(number))
         z = np.clip(bias + np.bincount(sent, of_word[word], len(doc)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts))  # log of "all sentences clean"
+        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)  # log of "all sentences clean"
         some = np.maximum(-np.expm1(clean), 1e-9)
         slope = share * (1 - y / some)  # of the loss in each sentence's own p
         g_sent = slope[doc] * p
@@ -178,10 +178,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chance = F.when(F.col("toxic") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(at < chance).select(F.col(id_col).alias("_id"), "toxic", (1 / chance).alias("share"))
+    picked = F.broadcast(picked)  # about 2 * most_per_class ids and numbers, whatever the input
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").select("text", "toxic", "share")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most_per_class: int = 6000) -> SentenceModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most_per_class: int = 4000) -> SentenceModel:
     """Model learned from labelled documents.
 
     The fit sees at most about ``most_per_class`` documents of each class, chosen by a hash
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts; without both classes the model is constant.
     """
     t = training_rows(docs, labels, id_col, text_col, toxic_col, most_per_class).toArrow()
-    return learn(t.column("text").to_pylist(), np.array(t.column("toxic").to_pylist(), np.int64), np.array(t.column("share").to_pylist(), np.float64))
+    return learn((x.as_py() for x in t.column("text")), np.array(t.column("toxic").to_pylist(), np.int64), np.array(t.column("share").to_pylist(), np.float64))
 
 
 def toxicity(docs: DataFrame, model: SentenceModel, text_col: str = "text", keep: list[str | Column] | None = None, limit: float = 0.5) -> DataFrame:
