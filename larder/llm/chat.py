@@ -213,8 +213,9 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
     block = F.coalesce(F.floor(F.col(turn_col) / block_turns), F.lit(-(1 << 62))).cast("long")
     taken = rows.select(conv.alias("conv"), block.alias("block"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.col(text_col).alias("text"))
-    firsts = taken.groupBy("conv").agg(F.min("block").alias("first_block"))
-    dealt = taken.join(firsts, "conv").select("conv", "block", (F.col("block") == F.col("first_block")).alias("first"), "role", "text", "turn")
+    firsts = taken.where(F.col("conv").startswith("c")).groupBy("conv").agg(F.min("block").alias("first_block"))
+    first = F.coalesce(F.col("block") == F.col("first_block"), F.lit(True))  # rows without an id have one block
+    dealt = taken.join(firsts, "conv", "left").select("conv", "block", first.alias("first"), "role", "text", "turn")
     ordered = dealt.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "role", "text").drop("turn")
     solved, _ = cut_lineage(ordered.mapInArrow(_blocks, BLOCK))
 
