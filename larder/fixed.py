@@ -164,6 +164,7 @@ WEIGHT_PATTERNS = [
     ("no_mention", 3, r"(?iu)(?<![a-z])([0-9]+[,.]?[0-9]*)\s?(dle|cle|mge|mle|ge|kge)(?![a-z])", 1, 2, 0, 0, False),
 ]
 
+EXPIRATION_YEARS = (2015, 2025)
 DATE_PATTERNS = [
     ("full_digits_short", r"(?<!\d)(\d{2})[-./](\d{2})[-./](\d{2})(?!\d)", True),
     ("full_digits_long", r"(?<!\d)(\d{2})[-./](\d{2})[-./](\d{4})(?!\d)", False),
@@ -247,56 +248,56 @@ NUTRIENT_UNITS = {
 NUTRIENT_VALUE_PATTERN = r"(?iuU)(?<!\w)([0-9]+[,.]?[0-9]*) ?(g|kj|kcal)(?!\w)"
 NUTRIENT_MENTIONS = {
     "energy": [
-        ("énergie", "fr"), ("energie", "fr_de_nl"), ("valeurs? [ée]nerg[ée]tiques?", "fr"),
-        ("energy", "en"), ("calories", "fr_en"), ("energia", "es_it_pt_hu"),
-        ("valor energ[ée]tico", "es"), ("energi", "da"),
+        ("énergie", ["fr"]), ("energie", ["fr", "de", "nl"]), ("valeurs? [ée]nerg[ée]tiques?", ["fr"]),
+        ("energy", ["en"]), ("calories", ["fr", "en"]), ("energia", ["es", "it", "pt", "hu"]),
+        ("valor energ[ée]tico", ["es"]), ("energi", ["da"]),
     ],
     "saturated_fat": [
-        ("mati[èe]res? grasses? satur[ée]s?", "fr"), ("acides? gras satur[ée]s?", "fr"),
-        ("dont satur[ée]s?", "fr"), ("acidi grassi saturi", "it"), ("saturated fat", "en"),
-        ("of which saturates", "en"), ("verzadigde vetzuren", "nl"), ("waarvan verzadigde", "nl"),
-        ("gesättigte fettsäuren", "de"), ("[aá]cidos grasos saturados", "es"),
-        ("dos quais saturados", "pt"), ("mættede fedtsyrer", "da"),
-        ("amelyb[őö]l? telített zs[íi]rsavak", "hu"),
+        ("mati[èe]res? grasses? satur[ée]s?", ["fr"]), ("acides? gras satur[ée]s?", ["fr"]),
+        ("dont satur[ée]s?", ["fr"]), ("acidi grassi saturi", ["it"]), ("saturated fat", ["en"]),
+        ("of which saturates", ["en"]), ("verzadigde vetzuren", ["nl"]), ("waarvan verzadigde", ["nl"]),
+        ("gesättigte fettsäuren", ["de"]), ("[aá]cidos grasos saturados", ["es"]),
+        ("dos quais saturados", ["pt"]), ("mættede fedtsyrer", ["da"]),
+        ("amelyb[őö]l? telített zs[íi]rsavak", ["hu"]),
     ],
-    "trans_fat": [("mati[èe]res? grasses? trans", "fr"), ("trans fat", "en")],
+    "trans_fat": [("mati[èe]res? grasses? trans", ["fr"]), ("trans fat", ["en"])],
     "fat": [
-        ("mati[èe]res? grasses?", "fr"), ("graisses?", "fr"), ("lipides?", "fr"),
-        ("total fat", "en"), ("vetten", "nl"), ("fett", "de"), ("grasas", "es"),
-        ("grassi", "it"), ("l[íi]pidos", "es_pt"), ("fedt", "da"), ("zs[íi]r", "hu"),
+        ("mati[èe]res? grasses?", ["fr"]), ("graisses?", ["fr"]), ("lipides?", ["fr"]),
+        ("total fat", ["en"]), ("vetten", ["nl"]), ("fett", ["de"]), ("grasas", ["es"]),
+        ("grassi", ["it"]), ("l[íi]pidos", ["es", "pt"]), ("fedt", ["da"]), ("zs[íi]r", ["hu"]),
     ],
     "sugar": [
-        ("sucres?", "fr"), ("sugars?", "en"), ("zuccheri", "it"), ("suikers?", "nl"),
-        ("zucker", "de"), ("az[úu]cares", "es"), ("sukkerarter", "da"),
-        ("amelyb[őö]l? cukrok", "hu"),
+        ("sucres?", ["fr"]), ("sugars?", ["en"]), ("zuccheri", ["it"]), ("suikers?", ["nl"]),
+        ("zucker", ["de"]), ("az[úu]cares", ["es"]), ("sukkerarter", ["da"]),
+        ("amelyb[őö]l? cukrok", ["hu"]),
     ],
     "carbohydrate": [
-        ("total carbohydrate", "en"), ("glucids?", "fr"), ("glucides?", "en"),
-        ("carboidrati", "it"), ("koolhydraten", "nl"), ("koolhydraat", "nl"),
-        ("kohlenhydrate", "de"), ("hidratos de carbono", "es_pt"), ("kulhydrat", "da"),
-        ("szénhidrát", "hu"),
+        ("total carbohydrate", ["en"]), ("glucids?", ["fr"]), ("glucides?", ["en"]),
+        ("carboidrati", ["it"]), ("koolhydraten", ["nl"]), ("koolhydraat", ["nl"]),
+        ("kohlenhydrate", ["de"]), ("hidratos de carbono", ["es", "pt"]), ("kulhydrat", ["da"]),
+        ("szénhidrát", ["hu"]),
     ],
     "protein": [
-        ("prot[ée]ines?", "fr"), ("protein", "en_da"), ("eiwitten", "nl"), ("eiweiß", "de"),
-        ("prote[íi]nas", "es_pt"), ("fehérje", "hu"),
+        ("prot[ée]ines?", ["fr"]), ("protein", ["en", "da"]), ("eiwitten", ["nl"]), ("eiweiß", ["de"]),
+        ("prote[íi]nas", ["es", "pt"]), ("fehérje", ["hu"]),
     ],
     "salt": [
-        ("sel", "fr"), ("salt", "en_da"), ("zout", "nl"), ("salz", "de"), ("sale", "it"),
-        ("sal", "es_pt"), ("só", "hu"),
+        ("sel", ["fr"]), ("salt", ["en", "da"]), ("zout", ["nl"]), ("salz", ["de"]), ("sale", ["it"]),
+        ("sal", ["es", "pt"]), ("só", ["hu"]),
     ],
     "fiber": [
-        ("fibres?", "en_fr_it"), ("(?:dietary )?fibers?", "en"), ("fibres? alimentaires?", "fr"),
-        ("(?:voedings)?vezels?", "nl"), ("ballaststoffe", "de"),
-        ("fibra(?: alimentaria)?", "es"), ("kostfibre", "da"), ("rost", "hu"),
+        ("fibres?", ["en", "fr", "it"]), ("(?:dietary )?fibers?", ["en"]), ("fibres? alimentaires?", ["fr"]),
+        ("(?:voedings)?vezels?", ["nl"]), ("ballaststoffe", ["de"]),
+        ("fibra(?: alimentaria)?", ["es"]), ("kostfibre", ["da"]), ("rost", ["hu"]),
     ],
     "nutrition_values": [
-        ("informations? nutritionnelles?(?: moyennes?)?", "fr"),
-        ("valeurs? nutritionnelles?(?: moyennes?)?", "fr"), ("analyse moyenne pour", "fr"),
-        ("valeurs? nutritives?", "fr"), ("valeurs? moyennes?", "fr"),
-        ("nutrition facts?", "en"), ("average nutritional values?", "en"),
-        ("valori nutrizionali medi", "it"), ("gemiddelde waarden per", "nl"),
-        ("nutritionele informatie", "nl"), ("(?:er)?næringsindhold", "da"),
-        ("átlagos tápérték(?:tartalom)?", "hu"), ("tápérték adatok", "hu"),
+        ("informations? nutritionnelles?(?: moyennes?)?", ["fr"]),
+        ("valeurs? nutritionnelles?(?: moyennes?)?", ["fr"]), ("analyse moyenne pour", ["fr"]),
+        ("valeurs? nutritives?", ["fr"]), ("valeurs? moyennes?", ["fr"]),
+        ("nutrition facts?", ["en"]), ("average nutritional values?", ["en"]),
+        ("valori nutrizionali medi", ["it"]), ("gemiddelde waarden per", ["nl"]),
+        ("nutritionele informatie", ["nl"]), ("(?:er)?næringsindhold", ["da"]),
+        ("átlagos tápérték(?:tartalom)?", ["hu"]), ("tápérték adatok", ["hu"]),
     ],
 }
 

@@ -66,7 +66,7 @@ def is_suspicious_weight(amount: Column) -> Column:
     return (amount > 1000) & (F.pmod(F.floor(amount), F.lit(10)) != 0)
 
 
-def parse_date(day: Column, month: Column, year: Column, first_year: int = 2015, last_year: int = 2025) -> Column:
+def parse_date(day: Column, month: Column, year: Column, first_year: int, last_year: int) -> Column:
     """ISO date from digit groups; impossible or out-of-range dates are null."""
     full = F.when(
         F.length(year) == 2,

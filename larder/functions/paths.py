@@ -26,7 +26,7 @@ def split_barcode(barcode: Column) -> Column:
         F.substring(barcode, 1, 3),
         F.substring(barcode, 4, 3),
         F.substring(barcode, 7, 3),
-        F.substring(barcode, 10, 100),
+        F.substr(barcode, F.lit(10)),
     )
     return F.when(F.length(barcode) > 8, parts).otherwise(barcode)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder import fixed
 from larder.functions import boxes, measures, paths, text
 from larder.operators.aggregates import vote_tally
+from larder.operators.keys import keyed_products, product_key
 
 
 def vote_resolve(votes: DataFrame) -> DataFrame:
@@ -94,8 +95,8 @@ def annotation_state(requests: DataFrame, now: Column | None = None) -> DataFram
 
 
 def _with_product(insights: DataFrame, products: DataFrame, *columns: str) -> DataFrame:
-    right = products.select(F.col("code").alias("barcode"), F.lit(True).alias("found"), *[F.col(c).alias("p_" + c) for c in columns])
-    return insights.join(right, "barcode", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    right = keyed_products(insights, products, F.lit(True).alias("found"), *[F.col(c).alias("p_" + c) for c in columns])
+    return insights.join(right, product_key(insights, products), "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def _finish(rows: DataFrame, status: Column, payload: Column, drop: Sequence[str] = ()) -> DataFrame:
@@ -108,9 +109,10 @@ def _finish(rows: DataFrame, status: Column, payload: Column, drop: Sequence[str
 def outcome_packager_code(insights: DataFrame, products: DataFrame) -> DataFrame:
     """Append the code unless an equal spelling is there (``emb_codes`` is comma text)."""
     rows = _with_product(insights, products, "emb_codes").withColumn("__code", text.emb_code(F.col("value")))
-    owned = products.select(F.col("code").alias("barcode"), F.explode(F.split("emb_codes", ",")).alias("c")).where("c <> ''")
-    owned = owned.select("barcode", text.emb_code(F.col("c")).alias("__code"), F.lit(True).alias("owned")).distinct()
-    rows = rows.join(owned, ["barcode", "__code"], "left")
+    key = product_key(insights, products)
+    owned = keyed_products(insights, products, F.explode(F.split("emb_codes", ",")).alias("c")).where("c <> ''")
+    owned = owned.select(*key, text.emb_code(F.col("c")).alias("__code"), F.lit(True).alias("owned")).distinct()
+    rows = rows.join(owned, [*key, "__code"], "left")
     status = F.when(F.col("owned"), "error_already_annotated").otherwise("updated")
     codes = F.concat_ws(",", F.nullif(F.col("p_emb_codes"), F.lit("")), F.col("value"))
     return _finish(rows, status, F.struct(codes.alias("emb_codes")))

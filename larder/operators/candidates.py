@@ -17,6 +17,7 @@ from larder.functions.binding import bind
 from larder.operators import ranking, taxonomy
 from larder.operators.dedup import required_types_superset
 from larder.operators.joins import brand_range_join
+from larder.operators.keys import keyed_products, product_key
 
 PRODUCT = ["barcode", "server_type"]
 
@@ -50,7 +51,7 @@ def with_priority(df: DataFrame) -> DataFrame:
 
 
 def with_product(df: DataFrame, products: DataFrame, *columns: str) -> DataFrame:
-    return df.join(products.select(F.col("code").alias("barcode"), *columns), "barcode")
+    return df.join(keyed_products(df, products, *columns), product_key(df, products))
 
 
 def cand_packager_code(predictions: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -59,16 +60,17 @@ def cand_packager_code(predictions: DataFrame, products: DataFrame | None = None
     if products is None:
         return rows
     rows = with_product(rows, products).withColumn("__code", text.emb_code(F.col("value")))
-    owned = products.select(F.col("code").alias("barcode"), F.explode("emb_codes_tags").alias("c"))
-    owned = owned.select("barcode", text.emb_code(F.col("c")).alias("__code"))
-    return rows.join(owned, ["barcode", "__code"], "left_anti").drop("__code")
+    key = product_key(rows, products)
+    owned = keyed_products(rows, products, F.explode("emb_codes_tags").alias("c")).select(*key, text.emb_code(F.col("c")).alias("__code"))
+    return rows.join(owned, [*key, "__code"], "left_anti").drop("__code")
 
 
-def _product_tags(products: DataFrame, column: str, closure: DataFrame) -> DataFrame:
-    """(barcode, value_tag): tags of the product and all their ancestors."""
-    own = products.select(F.col("code").alias("barcode"), F.explode(column).alias("value_tag"))
-    above = own.join(closure.withColumnRenamed("descendant", "value_tag"), "value_tag").select("barcode", F.col("ancestor").alias("value_tag"))
-    return own.unionByName(above).distinct()
+def _without_product_tags(rows: DataFrame, products: DataFrame, column: str, closure: DataFrame) -> DataFrame:
+    """Rows whose tag is neither one of the product's nor an ancestor of one."""
+    key = product_key(rows, products)
+    own = keyed_products(rows, products, F.explode(column).alias("value_tag"))
+    above = own.join(closure.withColumnRenamed("descendant", "value_tag"), "value_tag").select(*key, F.col("ancestor").alias("value_tag"))
+    return rows.join(own.unionByName(above).distinct(), [*key, "value_tag"], "left_anti")
 
 
 def cand_label(predictions: DataFrame, nodes: DataFrame, synonyms: DataFrame, closure: DataFrame, authorized: DataFrame,
@@ -81,7 +83,7 @@ def cand_label(predictions: DataFrame, nodes: DataFrame, synonyms: DataFrame, cl
     if products is not None:
         rows = with_product(rows, products)
         rows = rows.where(~F.coalesce(F.col("value_tag").isin(fixed.LABELS_DISABLED), F.lit(False)))
-        rows = rows.join(_product_tags(products, "labels_tags", closure), ["barcode", "value_tag"], "left_anti")
+        rows = _without_product_tags(rows, products, "labels_tags", closure)
     rows = taxonomy.canonical_tag(rows, nodes, synonyms)
     rows = rows.where(F.col("canonical").isNotNull()).withColumn("value_tag", F.col("canonical")).drop("canonical")
     rows = taxonomy.deepest_nodes(rows, closure, PRODUCT)
@@ -103,7 +105,7 @@ def cand_category(predictions: DataFrame, nodes: DataFrame, synonyms: DataFrame,
     missing = F.lit(False)
     if products is not None:
         rows = with_product(rows, products, "categories_tags")
-        rows = rows.join(_product_tags(products, "categories_tags", closure), ["barcode", "value_tag"], "left_anti")
+        rows = _without_product_tags(rows, products, "categories_tags", closure)
         missing = F.size("categories_tags") == 0
     rows = taxonomy.deepest_nodes(rows, closure, PRODUCT)
     linked = nodes.select(F.col("id").alias("value_tag"), F.map_contains_key("properties", "agribalyse_food_code").alias("__agri"))
@@ -348,9 +350,10 @@ def cand_packaging(predictions: DataFrame, closures: dict[str, DataFrame], nodes
     rows = rows.where(has["shape"] & ~(excluded & alone)).withColumn("priority", F.lit(1))
     if products is None:
         return rows
-    elements = products.select(F.col("code").alias("barcode"), F.posexplode_outer("packagings").alias("el", "e"))
-    elements = elements.select("barcode", "el", *[F.col(f"e.{p}").alias(f"ref_{p}") for p in PROPERTIES])
-    pairs = rows.select("id", "barcode", *[f"{p}_tag" for p in PROPERTIES]).join(elements, "barcode").where(F.col("el").isNotNull())
+    key = product_key(rows, products)
+    elements = keyed_products(rows, products, F.posexplode_outer("packagings").alias("el", "e"))
+    elements = elements.select(*key, "el", *[F.col(f"e.{p}").alias(f"ref_{p}") for p in PROPERTIES])
+    pairs = rows.select("id", *key, *[f"{p}_tag" for p in PROPERTIES]).join(elements, key).where(F.col("el").isNotNull())
     verdict = None
     for p in PROPERTIES:
         cand, ref = F.col(f"{p}_tag"), F.col(f"ref_{p}")

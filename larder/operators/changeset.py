@@ -19,7 +19,8 @@ from larder import fixed
 from larder.functions import boxes, paths
 from larder.operators.dedup import new_predictions, stale_versions
 from larder.operators.filters import valid_insight_image, valid_prediction
-from larder.operators.ranking import best_per, candidate_order
+from larder.operators.keys import keyed_products, product_key
+from larder.operators.ranking import best_per, candidate_order, last_per
 
 GROUP = ["barcode", "server_type", "type"]
 
@@ -117,8 +118,8 @@ def generate_insights(candidates: DataFrame, products: DataFrame) -> DataFrame:
     Missing product or bad image: dropped.  Null automatic: false.  Absolute boxes become
     relative (``bounding_box_absolute`` with the image size from the product).
     """
-    right = products.select(F.col("code").alias("barcode"), "image_ids", F.col("images").alias("__images") if "images" in products.columns else F.lit(None).alias("__images"))
-    out = candidates.join(right, "barcode").where(valid_insight_image(F.col("source_image"), F.col("image_ids")))
+    images = F.col("images").alias("__images") if "images" in products.columns else F.lit(None).alias("__images")
+    out = candidates.join(keyed_products(candidates, products, "image_ids", images), product_key(candidates, products)).where(valid_insight_image(F.col("source_image"), F.col("image_ids")))
     out = out.withColumn("automatic_processing", F.coalesce("automatic_processing", F.lit(False)))
     if "bounding_box_absolute" in candidates.columns and "images" in products.columns:
         size = F.try_element_at(F.try_element_at(F.col("__images"), paths.image_id(F.col("source_image")))["sizes"], F.lit("full"))
@@ -130,7 +131,7 @@ def generate_insights(candidates: DataFrame, products: DataFrame) -> DataFrame:
 
 def deletions_of_missing_products(references: DataFrame, products: DataFrame) -> DataFrame:
     """All rows of vanished products go, annotated ones too."""
-    gone = references.join(products.select(F.col("code").alias("barcode")), "barcode", "left_anti")
+    gone = references.join(keyed_products(references, products), product_key(references, products), "left_anti")
     return gone.select(*GROUP, F.lit("delete").alias("op"), F.lit(None).cast("string").alias("candidate_id"), F.col("id").alias("insight_id"))
 
 
@@ -141,13 +142,13 @@ def stamp_fields(candidates: DataFrame, products: DataFrame, stamp: Column | Non
     same rows.
     """
     stamp = F.current_timestamp() if stamp is None else stamp
-    right = products.select(
-        F.col("code").alias("barcode"), F.col("countries_tags").alias("countries"), F.col("brands_tags").alias("brands"),
+    right = keyed_products(
+        candidates, products, F.col("countries_tags").alias("countries"), F.col("brands_tags").alias("brands"),
         "unique_scans_n", (F.size("image_ids") > 0).alias("__has_image"),
     )
     natural = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (*GROUP, "value_tag", "value", "source_image", "predictor")]), 256)
     generic = F.col("type").isin("label", "category")
-    out = candidates.drop("countries", "brands", "unique_scans_n", "with_image").join(right, "barcode", "left")
+    out = candidates.drop("countries", "brands", "unique_scans_n", "with_image").join(right, product_key(candidates, products), "left")
     out = out.withColumns(
         {
             "insight_id": F.concat_ws("-", F.substring(natural, 1, 8), F.substring(natural, 9, 4), F.substring(natural, 13, 4), F.substring(natural, 17, 4), F.substring(natural, 21, 12)),
@@ -161,19 +162,24 @@ def stamp_fields(candidates: DataFrame, products: DataFrame, stamp: Column | Non
     return out.withColumn("process_after", F.when(F.col("automatic_processing"), F.col("timestamp") + wait)).drop("__has_image")
 
 
-def apply_change_set(insights: DataFrame, changes: DataFrame, new_rows: DataFrame, key: str = "id") -> DataFrame:
+def apply_change_set(insights: DataFrame, changes: DataFrame, new_rows: DataFrame, key: str = "id", order: list[Column] | None = None) -> DataFrame:
     """New table state: minus deleted, updated in place, plus created.
 
     ``changes``: (op, candidate_id, insight_id); ``new_rows``: candidate columns keyed by
-    ``candidate_id``.  Identity columns of an updated row stay; when several candidates
-    update one row the last ranked wins, as successive updates would.
+    ``candidate_id``.  Identity columns of an updated row stay.  When several candidates
+    update one row the last in ``order`` (over the columns of ``new_rows``; by default the
+    candidates' own rank, or their id without the columns for it) wins, as successive
+    updates would.
     """
+    if order is None:
+        ranked = {"priority", "source_image", "automatic_processing", "predictor"} <= set(new_rows.columns)
+        order = candidate_order(tiebreak="candidate_id") if ranked else [F.col("candidate_id").asc()]
     fixed_cols = {key, "barcode", "type", "server_type"}
     fields = [c for c in insights.columns if c in new_rows.columns and c not in fixed_cols]
     gone = changes.where("op = 'delete'").select(F.col("insight_id").alias(key))
     stay = insights.join(gone, key, "left_anti")
-    updates = changes.where("op = 'update'").groupBy("insight_id").agg(F.max("candidate_id").alias("candidate_id"))
-    news = updates.join(new_rows.select("candidate_id", F.struct(*fields).alias("__new")), "candidate_id").select(F.col("insight_id").alias(key), "__new")
+    updates = changes.where("op = 'update'").select("candidate_id", F.col("insight_id").alias("__row"))
+    news = last_per(updates.join(new_rows, "candidate_id"), ["__row"], order).select(F.col("__row").alias(key), F.struct(*fields).alias("__new"))
     patched = stay.join(news, key, "left")
     patched = patched.select(
         [F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in insights.columns]

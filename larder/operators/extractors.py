@@ -137,10 +137,11 @@ def extract_product_weight(df: DataFrame, keep: Sequence[str] = ("doc_id",), tex
     return predictions(rows, keep, "product_weight", data, value=shown, automatic=automatic, predictor="regex")
 
 
-def extract_expiration_date(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", first_year: int = 2015, last_year: int = 2025) -> DataFrame:
+def extract_expiration_date(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", years: tuple[int, int] = fixed.EXPIRATION_YEARS) -> DataFrame:
+    """Dates in the date patterns whose year lies in ``years``."""
     found = regex_extract(df, [(n, "full", p, [1, 2, 3]) for n, p, _ in fixed.DATE_PATTERNS], keep, text_col)
     g = F.col("g")
-    rows = found.withColumn("iso", measures.parse_date(g[0], g[1], g[2], first_year, last_year)).where("iso is not null")
+    rows = found.withColumn("iso", measures.parse_date(g[0], g[1], g[2], *years)).where("iso is not null")
     return predictions(rows, keep, "expiration_date", {"raw": F.col("raw"), "type": F.col("name")}, value=F.col("iso"), automatic=True, predictor="regex")
 
 
@@ -248,9 +249,9 @@ def nutrient_mention_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text
     found = regex_extract(df, _mention_patterns(), keep, text_col)
     langs = F.lit(None).cast("array<string>")
     for nutrient, names in fixed.NUTRIENT_MENTIONS.items():
-        table = F.array(*[F.lit(lang) for _, lang in names])
+        table = F.array(*[F.array(*map(F.lit, spoken)) for _, spoken in names])
         hit = F.array_position(F.transform("g", lambda x: x != ""), True).cast("int")
-        langs = F.when(F.col("name") == nutrient, F.split(F.try_element_at(table, hit), "_")).otherwise(langs)
+        langs = F.when(F.col("name") == nutrient, F.try_element_at(table, hit)).otherwise(langs)
     return found.select(*keep, F.col("name").alias("nutrient"), "raw", langs.alias("languages"), "start", "end")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import paths
+from larder.operators.keys import keyed_products, product_key
 from larder.sources.readers import raw_image_ids
 
 
@@ -283,9 +284,9 @@ def existing_insights(insights: DataFrame, keys: DataFrame, type: str) -> DataFr
 
 def valid_prediction(predictions: DataFrame, products: DataFrame) -> DataFrame:
     """Predictions of existing products whose source image (if any) is a raw image of it."""
-    right = products.select(F.col("code").alias("barcode"), "image_ids")
+    right = keyed_products(predictions, products, "image_ids")
     src = F.coalesce(F.col("source_image"), F.lit(""))
-    return predictions.join(right, "barcode").where((src == "") | valid_image(F.col("source_image"), F.col("image_ids"))).drop("image_ids")
+    return predictions.join(right, product_key(predictions, products)).where((src == "") | valid_image(F.col("source_image"), F.col("image_ids"))).drop("image_ids")
 
 
 def detection_filter(objects: Column, min_score: float, label: str | None = None, strict: bool = True) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import boxes, paths
+from larder.operators.keys import keyed_products, product_key
 from larder.sources.readers import raw_image_ids
 
 PRODUCT_KEY = ["barcode", "server_type"]
@@ -136,12 +137,12 @@ def with_image_exists(insights: DataFrame, images: DataFrame) -> DataFrame:
 
 def product_enrich(insights: DataFrame, products: DataFrame) -> DataFrame:
     """Copy countries, brands, scans and image presence from the catalogue."""
-    right = products.select(
-        F.col("code").alias("barcode"), F.col("countries_tags").alias("countries"), F.col("brands_tags").alias("brands"),
+    right = keyed_products(
+        insights, products, F.col("countries_tags").alias("countries"), F.col("brands_tags").alias("brands"),
         "unique_scans_n", (F.size("image_ids") > 0).alias("product_has_image"),
     )
     left = insights.drop("countries", "brands", "unique_scans_n")
-    out = left.join(right, "barcode", "left")
+    out = left.join(right, product_key(insights, products), "left")
     generic = F.col("type").isin("label", "category")
     flag = F.when(generic, F.col("product_has_image")).otherwise(F.col("source_image").isNotNull())
     return out.withColumn("with_image", flag).drop("product_has_image")
@@ -157,11 +158,11 @@ def refresh_catalog(insights: DataFrame, products: DataFrame, brand_prefixes: Da
     from larder.operators.filters import valid_insight_image
 
     rows = insights.where(F.col("annotation").isNull())
-    right = products.select(
-        F.col("code").alias("barcode"), "image_ids", F.col("countries_tags").alias("new_countries"),
+    right = keyed_products(
+        rows, products, "image_ids", F.col("countries_tags").alias("new_countries"),
         F.col("brands_tags").alias("new_brands"), F.col("unique_scans_n").alias("new_scans"), F.lit(True).alias("known"),
     )
-    joined = brand_range_join(rows, brand_prefixes, brand_blacklist).join(right, "barcode", "left")
+    joined = brand_range_join(rows, brand_prefixes, brand_blacklist).join(right, product_key(rows, products), "left")
     old = F.col("timestamp") <= F.lit(cutoff).cast("timestamp")
     changed = ~(
         F.col("brands").eqNullSafe(F.col("new_brands"))

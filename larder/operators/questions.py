@@ -12,6 +12,7 @@ from larder.functions import paths
 from larder.operators.dedup import intersect_types
 from larder.operators.filters import insight_filter
 from larder.operators.joins import exclude_voted
+from larder.operators.keys import keyed_products, product_key
 from larder.operators.ranking import order_insights, page
 
 KINDS = ["front", "nutrition", "ingredients", "packaging"]
@@ -65,6 +66,15 @@ def generic_image(barcode: Column, images: Column, base_url: str, kinds: Sequenc
     return F.coalesce(*[shown(k) for k in kinds], raw)
 
 
+#: Question types added by callers: type -> (text, value column, image column or None).
+EXTRA_QUESTIONS: dict[str, tuple[str, Column, Column | None]] = {}
+
+
+def register_question(type: str, text: str, value: Column, image: Column | None = None) -> None:
+    """Plug in a question type: its text, what it asks about, and its image (by default the insight's own)."""
+    EXTRA_QUESTIONS[type] = (text, value, image)
+
+
 def question_format(insights: DataFrame, products: DataFrame, names: DataFrame, translations: DataFrame, label_images: DataFrame, lang: str, base_url: str) -> DataFrame:
     """Question rows: text, localised value, image and reference image.
 
@@ -72,8 +82,9 @@ def question_format(insights: DataFrame, products: DataFrame, names: DataFrame,
     ``label_images``: (value_tag, ref_image_url).  One join per dimension for the whole
     page instead of a catalogue lookup per row.
     """
-    rows = insights.where(F.col("type").isin(fixed.QUESTION_TYPES))
-    texts = F.create_map(*[F.lit(x) for kv in fixed.QUESTION_TEXTS.items() for x in kv])
+    rows = insights.where(F.col("type").isin([*fixed.QUESTION_TYPES, *EXTRA_QUESTIONS]))
+    wording = {**fixed.QUESTION_TEXTS, **{t: text for t, (text, _, _) in EXTRA_QUESTIONS.items()}}
+    texts = F.create_map(*[F.lit(x) for kv in wording.items() for x in kv])
     rows = rows.withColumn("msg", texts[F.col("type")])
     local = translations.where(F.col("lang") == lang).select("msg", F.col("text").alias("__text"))
     rows = rows.join(local, "msg", "left").withColumn("question", F.coalesce("__text", "msg"))
@@ -92,8 +103,7 @@ def question_format(insights: DataFrame, products: DataFrame, names: DataFrame,
     local_names = local_names.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda x: x["name"]), ", ").alias("__name"))
     rows = rows.join(local_names, "id", "left")
 
-    images = products.select(F.col("code").alias("barcode"), F.col("images").alias("__images"))
-    rows = rows.join(images, "barcode", "left")
+    rows = rows.join(keyed_products(rows, products, F.col("images").alias("__images")), product_key(rows, products), "left")
     rows = rows.join(label_images.select("value_tag", F.col("ref_image_url").alias("__ref")), "value_tag", "left")
     shown = paths.image_url(base_url, paths.display_image(F.col("source_image")))
     generic = generic_image(F.col("barcode"), F.col("__images"), base_url)
@@ -115,6 +125,9 @@ def question_format(insights: DataFrame, products: DataFrame, names: DataFrame,
         .when(F.col("type").isin("product_weight", "brand"), F.col("value"))
         .otherwise(F.col("value_tag"))
     )
+    for type, (_, own_value, own_image) in EXTRA_QUESTIONS.items():
+        value = F.when(F.col("type") == type, own_value).otherwise(value)
+        image = image if own_image is None else F.when(F.col("type") == type, own_image).otherwise(image)
     tagged = F.col("type").isin("category", "label", "brand")
     return rows.select(
         "barcode", "server_type", F.lit("add-binary").alias("question_type"), value.alias("value"), "question",
@@ -123,14 +136,20 @@ def question_format(insights: DataFrame, products: DataFrame, names: DataFrame,
     )
 
 
+def _at_most_ten(values: Sequence[str] | None) -> list[str] | None:
+    if values and len(values) > 10:
+        raise ValueError(f"ten values at most, not {len(values)}")
+    return list(values) if values else None
+
+
 def question_rows(insights: DataFrame, types: Sequence[str] | None = None, brands: Sequence[str] | None = None, reserved_barcode: bool | None = False,
                   votes: DataFrame | None = None, voted_by: tuple[str, str] | None = None, **filters: object) -> DataFrame:
-    """Open, not automatic insights of question types; brands are cut to ten.
+    """Open, not automatic insights of question types; at most ten brands.
 
     ``reserved_barcode``: False leaves reserved codes out; True asks for both kinds.
     """
     rows = insight_filter(
-        insights, types=intersect_types(types), automatically_processable=False, brands=list(brands)[:10] if brands else None,
+        insights, types=intersect_types(types), automatically_processable=False, brands=_at_most_ten(brands),
         reserved_barcode=None if reserved_barcode else False, **filters,
     )
     if votes is not None and voted_by is not None:
@@ -138,10 +157,10 @@ def question_rows(insights: DataFrame, types: Sequence[str] | None = None, brand
     return rows
 
 
-def questions_page(insights: DataFrame, number: int = 1, count: int = 25, order: str | None = "popularity", max_count: int = 100, seed: int | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
-    """(page, bounded total); a random page ignores the offset."""
+def questions_page(insights: DataFrame, number: int = 1, count: int = 25, order: str | None = "popularity", max_count: int | None = None, seed: int | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(page, total - counted up to ``max_count`` if given); a random page ignores the offset."""
     rows = question_rows(insights, **options)
-    total = rows.limit(max_count).agg(F.count(F.lit(1)).alias("count"))
+    total = (rows if max_count is None else rows.limit(max_count)).agg(F.count(F.lit(1)).alias("count"))
     ordered = order_insights(rows, order, seed)
     return (ordered.limit(count) if order == "random" else page(ordered, number, count)), total
 
@@ -153,11 +172,11 @@ def list_page(filtered: DataFrame, number: int, count: int, order: Sequence[Colu
     return page(ordered, number, count), counted.agg(F.count(F.lit(1)).alias("count"))
 
 
-def page_insights(insights: DataFrame, number: int = 1, count: int = 25, types: Sequence[str] | None = None, brands: Sequence[str] | None = None, order: str | None = None, **filters: object) -> tuple[DataFrame, DataFrame]:
-    """Insight list form: ten types and brands at most, random or popularity order, total up to 100."""
+def page_insights(insights: DataFrame, number: int = 1, count: int = 25, types: Sequence[str] | None = None, brands: Sequence[str] | None = None, order: str | None = None, max_count: int | None = None, **filters: object) -> tuple[DataFrame, DataFrame]:
+    """Insight list form: ten types and brands at most, random or popularity order, total up to ``max_count`` if given."""
     if order not in (None, "random", "popularity"):
         raise ValueError(f"order not allowed here: {order}")
-    rows = insight_filter(insights, types=list(types)[:10] if types else None, brands=list(brands)[:10] if brands else None, **filters)
-    total = rows.limit(100).agg(F.count(F.lit(1)).alias("count"))
+    rows = insight_filter(insights, types=_at_most_ten(types), brands=_at_most_ten(brands), **filters)
+    total = (rows if max_count is None else rows.limit(max_count)).agg(F.count(F.lit(1)).alias("count"))
     ordered = order_insights(rows, order)
     return (ordered.limit(count) if order == "random" else page(ordered, number, count)), total

@@ -16,16 +16,20 @@ def priority_of(data: Column) -> Column:
     return F.coalesce(F.get_json_object(data, "$.priority").cast("int"), F.lit(1))
 
 
-def prediction_order(priority: str = "priority", tiebreak: str = "id") -> list[Column]:
-    """Priority, newest image, predictor (none last); ``tiebreak`` keeps it deterministic."""
+def prediction_rank(priority: str = "priority", tiebreak: str = "id") -> list[Column]:
+    """Priority, newest image, predictor (none last), all ascending; ``tiebreak`` keeps it deterministic."""
     return [
-        F.coalesce(priority, F.lit(1)).asc(),
-        (-paths.image_rank(F.col("source_image"))).asc(),
-        F.coalesce(F.nullif(F.col("predictor"), F.lit("")), F.lit("z")).asc(),
-        F.col(tiebreak).asc(),
+        F.coalesce(priority, F.lit(1)),
+        -paths.image_rank(F.col("source_image")),
+        F.coalesce(F.nullif(F.col("predictor"), F.lit("")), F.lit("z")),
+        F.col(tiebreak),
     ]
 
 
+def prediction_order(priority: str = "priority", tiebreak: str = "id") -> list[Column]:
+    return [c.asc() for c in prediction_rank(priority, tiebreak)]
+
+
 def candidate_order(priority: str = "priority", tiebreak: str = "id") -> list[Column]:
     """As predictions, with automatic rows first after the image."""
     order = prediction_order(priority, tiebreak)
@@ -65,23 +69,29 @@ def best_per(df: DataFrame, keys: list[str], order: list[Column], extra: dict[st
     return out.withColumns(extra) if extra else out
 
 
+def last_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Last row per key in ``order``."""
+    place = Window.partitionBy(*keys).orderBy(*order)
+    whole = Window.partitionBy(*keys)
+    return df.withColumns({"__rn": F.row_number().over(place), "__n": F.count("*").over(whole)}).where("__rn = __n").drop("__rn", "__n")
+
+
 def first_per_product(df: DataFrame) -> DataFrame:
     return best_per(df, PRODUCT_TYPE, prediction_order())
 
 
 def latest_value(df: DataFrame) -> DataFrame:
-    """Greatest value per product; any disagreement makes it not automatic.
+    """Greatest value per product, of equal ones the best ranked; any disagreement makes it not automatic.
 
-    ``max_by`` + min/max are partial aggregates: no sort of the group.
+    ``min_by`` + min/max are partial aggregates: no sort of the group.
     """
     row = F.struct(*df.columns)
-    agg = df.groupBy(*PRODUCT_TYPE).agg(
-        F.max_by(row, F.struct(F.col("value"), -paths.image_rank(F.col("source_image")).alias("r"), F.col("id"))).alias("best"),
-        F.min("value").alias("__lo"), F.max("value").alias("__hi"),
-    )
-    return agg.select("best.*", "__lo", "__hi").withColumn(
-        "automatic_processing", F.when(F.col("__lo") == F.col("__hi"), F.col("automatic_processing")).otherwise(False)
-    ).drop("__lo", "__hi")
+    rank = F.struct(*[c.alias(f"r{k}") for k, c in enumerate(prediction_rank())])
+    per_value = df.groupBy(*PRODUCT_TYPE, "value").agg(F.min_by(row, rank).alias("best"))
+    agg = per_value.groupBy(*PRODUCT_TYPE).agg(F.max_by("best", "value").alias("best"), F.count("value").alias("__values"))
+    return agg.select("best.*", "__values").withColumn(
+        "automatic_processing", F.when(F.col("__values") == 1, F.col("automatic_processing")).otherwise(False)
+    ).drop("__values")
 
 
 def order_insights(df: DataFrame, by: str | None, seed: int | None = None, tiebreak: str = "id") -> DataFrame:
@@ -145,20 +155,19 @@ def shuffle_order(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed) if seed is not None else F.rand())
 
 
-def top_batch_extract(products: DataFrame, min_fraction: float = 0.0, max_fraction: float = 0.4, limit: int = 10_000) -> DataFrame:
-    """Main texts of popular products whose unknown share is in (min, max].
+def top_batch_extract(products: DataFrame, limit: int | None, min_fraction: float = 0.0, max_fraction: float = 0.4) -> DataFrame:
+    """Main texts of popular products whose unknown share is in (min, max], all or the first ``limit``.
 
     ``ingredients_text`` is ``array<struct<lang,text>>``; order + limit plans as a
     take-ordered per partition.
     """
     main = F.try_element_at(F.filter("ingredients_text", lambda x: x["lang"] == "main"), F.lit(1))
     fraction = F.try_divide(F.col("unknown_ingredients_n"), F.col("ingredients_n"))
-    return (
+    rows = (
         products.select("code", main["text"].alias("text"), "lang", fraction.alias("fraction"), "popularity_key")
         .where((F.col("fraction") > min_fraction) & (F.col("fraction") <= max_fraction) & (F.col("text") != ""))
         .orderBy(F.col("popularity_key").desc_nulls_last(), "code")
-        .limit(limit)
-        .drop("popularity_key")
     )
+    return (rows if limit is None else rows.limit(limit)).drop("popularity_key")
 
 

@@ -95,20 +95,6 @@ def running_sums(values: Column, block: int = 64) -> Column:
     return bind(values, sums)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small input of heavy rows.
-
-    Matching costs far more per byte than reading.  An input whose estimated size gives
-    fewer splits than cores is redistributed; a big one keeps its scan partitions, so no
-    text is shuffled at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    per_split = 128 * 1024 * 1024
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * per_split else df
-
-
 def probe_text(text: Column) -> Column:
     """Case-folded text for literal tests, folding exactly what ``(?iu)`` treats as equal to ASCII."""
     return F.lower(F.translate(F.upper(text), _DOTTED_I, "I"))
@@ -128,7 +114,7 @@ def regex_extract(df: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str
     from larder.functions.text import contiguous
 
     columns = {"full": F.col(text_col), "contiguous": F.col("__flat")}
-    base = spread(df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")))
+    base = df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
     base = base.withColumn("__flat", contiguous(F.col(text_col)))
     if any(len(p) > 4 for p in patterns):
         base = base.withColumn("__probe", probe_text(F.col("__flat")))
@@ -168,10 +154,12 @@ def _trie_pattern(terms: Sequence[str]) -> str:
     return render(tree)
 
 
-def small_terms(terms: DataFrame, limit: int = MAX_REGEX_TERMS) -> list[str] | None:
-    """Lower-cased patterns when there are at most ``limit``, else None (checked, bounded read)."""
+def small_terms(terms: DataFrame, limit: int = MAX_REGEX_TERMS) -> list[str]:
+    """Lower-cased patterns, ``limit`` at most (a bounded read tells)."""
     rows = terms.select(F.lower("pattern").alias("p")).where("p <> ''").distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r["p"] for r in rows)
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} terms: match them joined")
+    return sorted(r["p"] for r in rows)
 
 
 def lowered(text: Column) -> Column:
@@ -190,22 +178,23 @@ def normalised_terms(terms: DataFrame) -> DataFrame:
 
 
 def dict_match(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text",
-               max_regex_terms: int = MAX_REGEX_TERMS) -> DataFrame:
+               joined: bool = False) -> DataFrame:
     """Keyword dictionary matches: case-insensitive, leftmost, longest, non-overlapping.
 
-    ``terms``: (key, name, pattern, ...).  A small dictionary becomes one prefix-shared
-    alternation evaluated inside codegen'd projections; a big one is joined by first word.
+    ``terms``: (key, name, pattern, ...) becomes one prefix-shared alternation evaluated
+    inside codegen'd projections; it may have ``MAX_REGEX_TERMS`` terms at most.  Callers with
+    larger dictionaries ask for ``joined``: texts and terms meet by first word.
     """
-    patterns = small_terms(terms, max_regex_terms)
-    if patterns is None:
+    if joined:
         return dict_match_join(df, terms, keep, text_col)
+    patterns = small_terms(terms)
     if not patterns:
         patterns = [_MARK * 2]
     # a final "i" may be the first half of a lower-cased dotted capital
     variants = patterns + [p[:-1] + _MARK for p in patterns if p.endswith("i")]
     pattern = f"(?<!{WORD}){_trie_pattern(variants)}(?!{WORD})"
     low = lowered(F.col(text_col))
-    rows = spread(df.select(*keep, text_col)).where(low.rlike(pattern))
+    rows = df.select(*keep, text_col).where(low.rlike(pattern))
     rows = rows.select(*keep, text_col, F.explode(match_array(low, pattern)).alias("m"))
     rows = rows.select(
         *keep,
@@ -242,7 +231,7 @@ def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc
     table = normalised_terms(terms).withColumn("word", F.regexp_extract("pattern", rf"^(?:{WORD}+|.)", 0))
     width = (table.agg(F.max(F.length("pattern")).alias("n")).first()["n"] or 0) + 1
     low = lowered(F.col(text_col))
-    grams = spread(df.select(*keep, text_col)).select(*keep, text_col, F.explode(_word_grams(low, F.lit(width))).alias("w")).select(*keep, text_col, "w.*")
+    grams = df.select(*keep, text_col).select(*keep, text_col, F.explode(_word_grams(low, F.lit(width))).alias("w")).select(*keep, text_col, "w.*")
     grams = grams.withColumn("word", F.replace("word", F.lit(_MARK), F.lit("i"))).drop(text_col)
     salts = 16
     salted = grams.withColumn("salt", F.pmod(F.xxhash64(*keep, "start"), F.lit(salts)).cast("int"))
@@ -307,7 +296,7 @@ def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: S
     """
     table = normalised_terms(terms).withColumn("parts", F.split("pattern", " "))
     wanted = table.select("pattern", F.posexplode("parts").alias("pos", "term_word"))
-    words = spread(df.select(*keep, text_col)).select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
+    words = df.select(*keep, text_col).select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
     words = words.select(*keep, F.replace(F.col("w.word"), F.lit(_MARK), F.lit("i")).alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
     vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
     term_vocab = wanted.select("term_word").distinct().select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))

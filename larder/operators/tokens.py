@@ -81,7 +81,7 @@ def entity_normalize(entities: DataFrame) -> DataFrame:
     words = F.transform("words", lambda w: F.regexp_replace(F.trim(w), "^[()/]+|[()/]+$", ""))
     head = F.try_element_at(words, F.lit(1))
     split_unit = label.startswith("energy_") & (F.length(head) > 3) & F.lower(F.substring(head, 1, 3)).eqNullSafe(F.lit("kj/"))
-    words = F.when(split_unit, F.concat(F.array(F.substring(head, 4, 1000)), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))).otherwise(words)
+    words = F.when(split_unit, F.concat(F.array(F.substr(head, F.lit(4))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))).otherwise(words)
     joined = F.array_join(words, " ")
     read = measures.match_nutrient_value(F.col("text"), F.col("__label"))
     nine = F.regexp_extract("text", r"^([0-9]+[,.]?[0-9]*)\s*9", 1)
@@ -227,16 +227,18 @@ def filter_logos(objects: Column, score_threshold: float, iou_threshold: float =
     return F.filter(numbered, lambda x: x["logo"]["score"] >= score_threshold)
 
 
-def ingredient_counts(trees: DataFrame, nodes: DataFrame, key: Sequence[str] = ("id",), depth: int = 4) -> DataFrame:
+def ingredient_counts(trees: DataFrame, nodes: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
     """Ingredients and known ingredients of a nested list, with the known fraction.
 
-    The tree is flattened level by level to its ids (``ingredients`` arrays up to
-    ``depth``), so counting is one explode and one semi join.
+    The tree is flattened level by level to its ids, as deep as the column's type goes, so
+    counting is one explode and one semi join.
     """
-    level, ids = F.col("ingredients"), []
-    for i in range(depth):
-        ids.append(F.transform(level, lambda x: x["id"]))
-        if i < depth - 1:
+    level, kind, ids = F.col("ingredients"), trees.schema["ingredients"].dataType, []
+    while kind is not None:
+        ids.append(F.transform(F.coalesce(level, F.array().cast(kind)), lambda x: x["id"]))
+        item = kind.elementType
+        kind = item["ingredients"].dataType if "ingredients" in item.fieldNames() else None
+        if kind is not None:
             level = F.flatten(F.array_compact(F.transform(level, lambda x: x["ingredients"])))
     rows = trees.select(*key, F.explode_outer(F.concat(*ids)).alias("ingredient_id"))
     known = nodes.select(F.col("id").alias("ingredient_id"), F.lit(1).alias("known")).distinct()

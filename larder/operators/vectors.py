@@ -72,8 +72,8 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
     base = index.select(F.col(id_col).cast("long").alias("neighbor_id"), server.alias("server"), F.col(vector_col).alias("embedding"))
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), server.alias("server"), F.col(vector_col).alias("embedding"))
     total = base.count()
-    n_cells = cells or max(1, min(256, int(total**0.5 / 4)))
-    # bounded read: at most 256 pivot vectors
+    n_cells = cells or max(1, int(total**0.5 / 4))
+    # the pivots: about a quarter of the root of the index
     chosen = base.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").limit(n_cells).select("embedding").collect()
     pivots = _unit(np.array([r["embedding"] for r in chosen], dtype=np.float64)) if chosen else np.zeros((0, 1))
 

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder import fixed
+from larder import cut_lineage, fixed
 from larder.operators import candidates as C
 from larder.operators import changeset as S
 from larder.operators import tokens
 from larder.operators.dedup import required_types_superset
 from larder.operators.extractors import extract_all
+from larder.operators.keys import keyed_products, product_key
 from larder.operators.ranking import candidate_order, packaging_order
 
 
@@ -61,7 +62,7 @@ def changes_for_type(type: str, predictions: DataFrame, insights: DataFrame, pro
     cand = S.generate_insights(BUILDERS[type](rows, products, dims), products)
     cand = cand.withColumn("type", F.lit(type))
     refs = insights.where(F.col("type") == type).join(scope.select("barcode", "server_type"), ["barcode", "server_type"], "left_semi")
-    known = refs.join(products.select(F.col("code").alias("barcode")), "barcode", "left_semi")
+    known = refs.join(keyed_products(refs, products), product_key(refs, products), "left_semi")
     if type == "nutrient_extraction":
         changes = S.merge_newer_image(cand, known)
     else:
@@ -78,20 +79,26 @@ def changes_for_type(type: str, predictions: DataFrame, insights: DataFrame, pro
 
 def import_run(incoming: DataFrame, stored: DataFrame, insights: DataFrame, products: DataFrame, dims: Dimensions, types: list[str] | None = None) -> dict[str, DataFrame]:
     """Import a batch of predictions, then recompute every insight type whose required
-    prediction types were all updated for a product."""
+    prediction types were all updated for a product.
+
+    The merged predictions and the updated types are written once; every type scans its own
+    rows of that table.
+    """
     result = S.import_predictions(incoming, stored, products)
+    table, _ = cut_lineage(result["table"])
+    updated, _ = cut_lineage(result["updated_types"])
     changes = None
     for type in types or list(BUILDERS):
-        scope = required_types_superset(result["updated_types"], fixed.REQUIRED_TYPES[type])
-        part, _ = changes_for_type(type, result["table"], insights, products, scope, dims)
+        scope = required_types_superset(updated, fixed.REQUIRED_TYPES[type])
+        part, _ = changes_for_type(type, table, insights, products, scope, dims)
         changes = part if changes is None else changes.unionByName(part)
-    return {"predictions": result["table"], "deleted_predictions": result["delete"], "new_predictions": result["insert"], "changes": changes}
+    return {"predictions": table, "deleted_predictions": result["delete"], "new_predictions": result["insert"], "changes": changes}
 
 
 def refresh_run(stored: DataFrame, insights: DataFrame, products: DataFrame, dims: Dimensions, types: list[str] | None = None) -> DataFrame:
-    """Recompute insights from the stored predictions only."""
+    """Recompute insights from the stored predictions only (a table that each type scans)."""
     changes = None
-    present = stored.select("barcode", "server_type", "type").distinct()
+    present, _ = cut_lineage(stored.select("barcode", "server_type", "type").distinct())
     for type in types or list(BUILDERS):
         scope = required_types_superset(present, fixed.REQUIRED_TYPES[type])
         part, _ = changes_for_type(type, stored, insights, products, scope, dims)

@@ -226,8 +226,7 @@ def _(d):
 def _(d):
     path = scratch(d, "csv")
     rows = P.insight_filter(d.insight, annotated=True, annotation=-1, types=["label"]).select("id", "type", "annotation")
-    # the row limit guards callers without a count; the whole selection is written here
-    writers.sink_csv_dump(rows, path, None if writers.dump_is_allowed(rows) else rows.count())
+    writers.sink_csv_dump(rows, path)
     return d.spark.read.schema("id string, type string, annotation int").option("header", "true").csv(path)
 
 
@@ -361,7 +360,7 @@ def _(d):
 @query("page_insights", """
 SELECT p.id, p.unique_scans_n, t.total FROM (
   SELECT id, unique_scans_n FROM insight WHERE server_type = 'off' AND annotation IS NULL AND type IN ('label', 'brand') ORDER BY unique_scans_n DESC, id LIMIT 20 OFFSET 20) p,
-  (SELECT least(count(*), 100) AS total FROM insight WHERE server_type = 'off' AND annotation IS NULL AND type IN ('label', 'brand')) t
+  (SELECT count(*) AS total FROM insight WHERE server_type = 'off' AND annotation IS NULL AND type IN ('label', 'brand')) t
 """)
 def _(d):
     page, total = Q.page_insights(d.insight, 2, 20, ["label", "brand"], order="popularity")
@@ -965,22 +964,25 @@ def _(d):
     return R.first_per_product(d.prediction.where("type = 'product_weight'")).select("id", "value")
 
 
-@query("latest_value", """
-SELECT barcode, max(value) AS value, count(DISTINCT value) > 1 AS several FROM prediction WHERE type = 'expiration_date' GROUP BY barcode, server_type
+@query("latest_value", f"""
+SELECT id, value, several FROM (
+  SELECT id, value, row_number() OVER (PARTITION BY barcode, server_type ORDER BY value DESC NULLS LAST, priority, -{IMAGE_RANK}, coalesce(predictor, 'z'), id) AS rn,
+    count(DISTINCT value) OVER (PARTITION BY barcode, server_type) > 1 AS several FROM prediction WHERE type = 'expiration_date') WHERE rn = 1
 """)
 def _(d):
     rows = d.prediction.where("type = 'expiration_date'").withColumn("automatic_processing", F.lit(True))
-    return R.latest_value(rows).select("barcode", "value", (~F.col("automatic_processing")).alias("several"))
+    return R.latest_value(rows).select("id", "value", (~F.col("automatic_processing")).alias("several"))
 
 
 @query("order_insights", """
-SELECT id, row_number() OVER (ORDER BY confidence DESC NULLS LAST, id) AS place FROM insight QUALIFY place <= 300
+SELECT id, row_number() OVER (PARTITION BY type ORDER BY confidence DESC NULLS LAST, id) AS place FROM insight
 """)
 def _(d):
-    top = R.order_insights(d.insight, "confidence").limit(300).select("id", "confidence")
+    """The order of all rows, told by each row's place within its type."""
     from pyspark.sql.window import Window
 
-    return top.select("id", F.row_number().over(Window.orderBy(F.col("confidence").desc_nulls_last(), "id")).cast("long").alias("place"))
+    ordered = R.order_insights(d.insight, "confidence").select("id", "type", F.monotonically_increasing_id().alias("at"))
+    return ordered.select("id", F.row_number().over(Window.partitionBy("type").orderBy("at")).cast("long").alias("place"))
 
 
 @query("rank_question_types", "SELECT id, CASE type WHEN 'category' THEN 0 WHEN 'label' THEN 1 WHEN 'brand' THEN 2 ELSE 3 END AS type_rank FROM insight")
@@ -1018,10 +1020,13 @@ def _(d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id") % 1000).alias("s"))
 
 
-@query("random_sample_one")
+@query("random_sample_one", "SELECT 1 AS n, 1 AS known")
 def _(d):
+    """One row is drawn, and it is a logo with an embedding."""
     emb = d.embeddings.select(F.col("vec_id").alias("logo_id"))
-    return R.random_sample_one(emb, d.orders.select(F.col("o_orderkey").alias("id")), 0.2, 7)
+    drawn = R.random_sample_one(emb, d.orders.select(F.col("o_orderkey").alias("id")), 0.2, 7)
+    known = drawn.join(emb.join(d.orders, F.col("logo_id") == F.col("o_orderkey"), "left_semi"), "logo_id", "left_semi").select("logo_id", F.lit(1).alias("k"))
+    return drawn.join(known, "logo_id", "left").agg(F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("known"))
 
 
 @query("shuffle_order", "SELECT count(*) AS n, count(DISTINCT id) AS n_ids FROM logo WHERE annotation_type = 'brand'")
@@ -1042,10 +1047,9 @@ def spell_products(d: Data) -> DataFrame:
 @query("top_batch_extract", """
 SELECT cast(o_orderkey AS string) AS code, 'texte ' || o_orderpriority AS text, 'fr' AS lang, round((o_orderkey % 4) / cast(o_orderkey % 12 AS double), 9) AS fraction FROM orders
 WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 12 <> 0 AND (o_orderkey % 4) / cast(o_orderkey % 12 AS double) > 0 AND (o_orderkey % 4) / cast(o_orderkey % 12 AS double) <= 0.4
-ORDER BY floor(o_totalprice) DESC, cast(o_orderkey AS string) LIMIT 1000
 """)
 def _(d):
-    return R.top_batch_extract(spell_products(d), 0.0, 0.4, 1000).withColumn("fraction", F.round("fraction", 9))
+    return R.top_batch_extract(spell_products(d), None).withColumn("fraction", F.round("fraction", 9))
 
 
 # --- set operations -----------------------------------------------------------

@@ -12,6 +12,7 @@ from larder.operators import dedup as D
 from larder.operators import deletes as X
 from larder.operators import taxonomy as T
 from larder.operators.ranking import candidate_order
+from larder import cut_lineage
 from larder.plans import flows
 from larder.plans.q_core import CLOSURE, IMAGE_RANK, PREFIXES, brand_blacklist, brand_prefixes, closure, joined, spell_products
 from larder.plans.registry import Data, query
@@ -276,12 +277,15 @@ def _(d):
     return C.cand_product_weight(with_json(d.prediction), d.product).select("id", "automatic_processing")
 
 
-@query("cand_expiration_date", """
-SELECT p.barcode, max(p.value) AS value, count(DISTINCT p.value) > 1 AS several FROM prediction p JOIN product c ON p.barcode = c.code WHERE p.type = 'expiration_date' AND c.expiration_date IS NULL GROUP BY 1
+@query("cand_expiration_date", f"""
+SELECT id, value, several FROM (
+  SELECT p.id, p.value, row_number() OVER (PARTITION BY p.barcode, p.server_type ORDER BY p.value DESC NULLS LAST, p.priority, -{IMAGE_RANK}, coalesce(p.predictor, 'z'), p.id) AS rn,
+    count(DISTINCT p.value) OVER (PARTITION BY p.barcode, p.server_type) > 1 AS several
+  FROM prediction p JOIN product c ON p.barcode = c.code AND p.server_type = c.server_type WHERE p.type = 'expiration_date' AND c.expiration_date IS NULL) WHERE rn = 1
 """)
 def _(d):
     rows = with_json(d.prediction).withColumn("automatic_processing", F.lit(True))
-    return C.cand_expiration_date(rows, d.product).select("barcode", "value", (~F.col("automatic_processing")).alias("several"))
+    return C.cand_expiration_date(rows, d.product).select("id", "value", (~F.col("automatic_processing")).alias("several"))
 
 
 BRAND_OK = """
@@ -492,18 +496,46 @@ SELECT CASE WHEN insight_id IS NULL THEN 'create' ELSE 'update' END AS op, candi
 UNION ALL SELECT 'delete', NULL, id FROM refs WHERE annotation IS NULL AND NOT coalesce(automatic_processing, false) AND id NOT IN (SELECT insight_id FROM placed WHERE insight_id IS NOT NULL)
 """)
 def _(d):
-    """Whole run for the store type; the other types are counted by ``refresh_run``."""
+    """The store type's run, row by row; ``import_run_all`` runs the fourteen types."""
     preds = with_json(d.prediction)
     out = flows.import_run(preds.where("l_orderkey % 3 = 0"), preds.where("l_orderkey % 3 > 0"), d.insight, d.product.where("c_custkey % 17 <> 0"), flows.Dimensions(), ["store"])
     return out["changes"].select("op", "candidate_id", "insight_id")
 
 
+def whole_products(d: Data):
+    """Products with every column that some candidate builder reads."""
+    from larder.sources.readers import product_defaults
+
+    c = F.col("c_custkey")
+    packaging = packaging_inputs(d)[1].select("code", "packagings")
+    products = nutrition_products(d).withColumn("ingredients_text", F.when(c % 3 == 1, F.create_map(F.col("lang"), F.lit("eau"))))
+    return product_defaults(products.join(packaging, "code"))
+
+
+def stored_inputs(d: Data):
+    """Predictions, insights and products of the run, each derived once and kept as a table."""
+    facts = [packaging_inputs(d)[0], nutrient_predictions(d)]
+    predictions = localised(d)
+    for rows in facts:
+        rows = rows.withColumn("id", -F.col("id"))  # apart from the other predictions' ids
+        predictions = predictions.unionByName(rows.select(*[F.col(c).cast(dict(predictions.dtypes)[c]) for c in rows.columns if c in predictions.columns]), allowMissingColumns=True)
+    return tuple(cut_lineage(df)[0] for df in (predictions, d.insight.withColumn("data", F.lit("{}")), whole_products(d)))
+
+
 @query("refresh_run")
 def _(d):
-    """Seven insight types from the stored predictions."""
-    types = ["packager_code", "label", "category", "product_weight", "expiration_date", "brand", "store"]
-    insights = d.insight.withColumn("data", F.lit("{}"))
-    return A.import_counts(flows.refresh_run(localised(d), insights, defaulted(d), dimensions(d), types))
+    """All fourteen insight types from the stored predictions."""
+    predictions, insights, products = stored_inputs(d)
+    changes = flows.refresh_run(predictions, insights, products, dimensions(d))
+    return changes.select("barcode", "server_type", "type", "op", F.col("candidate_id").cast("string").alias("candidate_id"), "insight_id")
+
+
+@query("import_run_all")
+def _(d):
+    """A third of the predictions imported into the rest, all fourteen insight types recomputed."""
+    predictions, insights, products = stored_inputs(d)
+    out = flows.import_run(predictions.where("pmod(id, 3) = 0"), predictions.where("pmod(id, 3) > 0"), insights, products, dimensions(d))
+    return out["changes"].select("barcode", "server_type", "type", "op", F.col("candidate_id").cast("string").alias("candidate_id"), "insight_id")
 
 
 # --- deletes ------------------------------------------------------------------
@@ -611,7 +643,10 @@ def _(d):
     return B.logo_labels(d.logo).select("id", "taxonomy_value")
 
 
-@query("spellcheck_extract")
+@query("spellcheck_extract", """
+SELECT cast(o_orderkey AS string) AS code, 'texte ' || o_orderpriority AS text, 'fr' AS lang, upper('Correct: texte ' || o_orderpriority) AS correction FROM orders
+WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 12 <> 0 AND (o_orderkey % 4) / cast(o_orderkey % 12 AS double) > 0 AND (o_orderkey % 4) / cast(o_orderkey % 12 AS double) <= 0.4
+""")
 def _(d):
     import pandas as pd
 
@@ -619,7 +654,7 @@ def _(d):
         for pdf in batches:
             yield pd.DataFrame({"code": pdf["code"], "text": pdf["text"], "lang": pdf["lang"], "correction": pdf["prompt"].str.upper()})
 
-    return B.spellcheck_extract(spell_products(d), scorer, "Correct: {text}", limit=1000)
+    return B.spellcheck_extract(spell_products(d), scorer, "Correct: {text}", limit=None)
 
 
 @query("spellcheck_import", "SELECT cast(o_orderkey AS string) AS barcode, 'fr' AS value_tag, o_orderstatus AS original FROM orders")

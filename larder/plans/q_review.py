@@ -322,7 +322,7 @@ def _(d):
 @query("questions_page", """
 WITH q AS (SELECT id, unique_scans_n FROM insight i WHERE server_type = 'off' AND annotation IS NULL AND automatic_processing = false AND NOT reserved_barcode AND type IN ('category', 'label', 'product_weight', 'brand', 'packaging')
   AND NOT EXISTS (SELECT 1 FROM vote v WHERE v.insight_id = i.id AND v.username = 'u3'))
-SELECT id AS insight_id, (SELECT least(count(*), 100) FROM q) AS total FROM q ORDER BY unique_scans_n DESC, id LIMIT 25 OFFSET 25
+SELECT id AS insight_id, (SELECT count(*) FROM q) AS total FROM q ORDER BY unique_scans_n DESC, id LIMIT 25 OFFSET 25
 """)
 def _(d):
     page, total = Q.questions_page(d.insight, 2, 25, "popularity", votes=d.vote, voted_by=("username", "u3"))

@@ -208,7 +208,7 @@ SELECT o_orderkey, CASE WHEN year(x) BETWEEN 2015 AND 2025 THEN strftime(x, '%Y-
 def _(d):
     key = F.col("o_orderkey")
     year = F.when(key % 2 == 0, F.lpad((10 + key % 20).cast("string"), 2, "0")).otherwise((2010 + key % 20).cast("string"))
-    iso = measures.parse_date(F.lpad((1 + key % 33).cast("string"), 2, "0"), F.lpad((1 + key % 14).cast("string"), 2, "0"), year)
+    iso = measures.parse_date(F.lpad((1 + key % 33).cast("string"), 2, "0"), F.lpad((1 + key % 14).cast("string"), 2, "0"), year, 2015, 2025)
     return d.orders.select("o_orderkey", iso.alias("iso"))
 
 
@@ -351,7 +351,7 @@ def _(d):
     leaf = F.array(F.struct(ident(7)), F.struct(ident(150)))
     trees = d.documents.select("doc_id", F.array(F.struct(ident(100), leaf.alias("ingredients")), F.struct(ident(60), F.lit(None).cast("array<struct<id:string>>").alias("ingredients"))).alias("ingredients"))
     known = d.node.where("p_partkey % 2 = 0")
-    out = T.ingredient_counts(trees, known, ["doc_id"], depth=2)
+    out = T.ingredient_counts(trees, known, ["doc_id"])
     return out.select("doc_id", "ingredients_n", "known_ingredients_n", F.round("fraction_known_ingredients", 9).alias("fraction"))
 
 
@@ -485,16 +485,16 @@ def _(d):
 
 
 @query("ingredient_spans", """
-SELECT doc_id, '' || left(text, 4) || CASE WHEN doc_id % 3 = 0 THEN ', organic farming' ELSE '' END AS ingredients FROM documents
+SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ', organic farming' ELSE '' END AS ingredients FROM documents
 """)
 def _(d):
-    """First four characters of a text, extended by an organic phrase that follows in a third of them."""
+    """A whole text, extended by an organic phrase that follows in a third of them."""
     from larder.operators.extractors import extend_span_mentions
 
     follow = F.when(F.col("doc_id") % 3 == 0, F.lit(', * organic farming')).otherwise(F.lit(" x organic"))
-    rows = d.documents.select("doc_id", F.concat(F.substring("text", 1, 4), follow).alias("text"), F.lit(4).alias("end"))
+    rows = d.documents.select("doc_id", F.concat("text", follow).alias("text"), F.length("text").alias("end"))
     out = extend_span_mentions(rows)
-    return out.select("doc_id", F.replace(F.substring(F.col("text"), F.lit(1), F.col("end")), F.lit("* "), F.lit("")).alias("ingredients"))
+    return out.select("doc_id", F.replace(F.substring(F.col("text"), F.lit(1), F.col("end")), F.lit(", * organic"), F.lit(", organic")).alias("ingredients"))
 
 
 @query("extend_span_mentions", """
@@ -575,7 +575,7 @@ def _(d):
 
 
 @query("detections_to_logos", """
-SELECT l_orderkey AS image_prediction_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY id) - 1 AS INT) AS index, score, 'l' || cast(idx % 3 AS string) AS label FROM logo QUALIFY score > 0.1
+SELECT l_orderkey AS image_prediction_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY id, score) - 1 AS INT) AS index, score, 'l' || cast(idx % 3 AS string) AS label FROM logo QUALIFY score > 0.1
 """)
 def _(d):
     rows = detections(d).select(F.col("image_id").cast("long").alias("id"), F.col("result").alias("objects"))
@@ -611,7 +611,7 @@ def _(d):
     return out.select("source_image", F.array_join(pairs, ",").alias("nutrients"), F.size("entities").cast("long").alias("n_entities"))
 
 
-@query("batch_score")
+@query("batch_score", "SELECT id, width * height AS area FROM image")
 def _(d):
     def scorer(batches):
         for pdf in batches:

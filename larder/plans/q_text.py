@@ -12,7 +12,7 @@ from larder.operators import text_match as M
 from larder.plans import flows
 from larder.plans.q_core import ORIENTATION, words
 from larder.plans.q_scalar import sql_fold
-from larder.plans.registry import Data, query
+from larder.plans.registry import ORACLES, Data, query
 
 # Dictionary made of the benchmark passages: their openings of one to three words and long words.
 TERM_SQL = """
@@ -49,7 +49,7 @@ def _(d):
 @query("dict_match_join", DICT)
 def _(d):
     """The same matches through the big-dictionary path."""
-    return spans_counted(M.dict_match(d.documents, benchmark_terms(d), max_regex_terms=0))
+    return spans_counted(M.dict_match(d.documents, benchmark_terms(d), joined=True))
 
 
 @query("dictionary_join", rf"""
@@ -141,6 +141,11 @@ def _(d):
     return E.extract_expiration_date(d.ocr_text).select("doc_id", "value", F.get_json_object("data", "$.raw").alias("raw"))
 
 
+@query("extract_expiration_date_years", ORACLES["extract_expiration_date"].replace("BETWEEN 2015 AND 2025", "BETWEEN 2010 AND 2018"))
+def _(d):
+    return E.extract_expiration_date(d.ocr_text, years=(2010, 2018)).select("doc_id", "value", F.get_json_object("data", "$.raw").alias("raw"))
+
+
 def literal_terms(d: Data, rows: list[tuple[str, str, str]]):
     return d.spark.createDataFrame(rows, "key string, name string, pattern string")
 

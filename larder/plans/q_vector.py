@@ -40,6 +40,15 @@ def _(d):
     return V.knn_join(vectors(d), vectors(d), 10, server_col="server_type", probes=2)
 
 
+@query("knn_recall", f"WITH {KNN} SELECT s AS server_type, count(*) AS wanted, true AS enough FROM top JOIN e ON e.vec_id = query_id GROUP BY s")
+def _(d):
+    """Share of the exact ten neighbours in the three nearest of four cells, per project: more than three quarters."""
+    exact = V.knn_join(vectors(d), vectors(d), 10, server_col="server_type").select("query_id", "neighbor_id")
+    found = V.knn_join(vectors(d), vectors(d), 10, server_col="server_type", cells=4, probes=3).select("query_id", "neighbor_id", F.lit(1).alias("hit"))
+    rows = exact.join(found, ["query_id", "neighbor_id"], "left").join(vectors(d).select(F.col("logo_id").alias("query_id"), "server_type"), "query_id")
+    return rows.groupBy("server_type").agg(F.count("*").alias("wanted"), (F.count("hit") > 0.75 * F.count("*")).alias("enough"))
+
+
 @query("knn_refresh", """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, (1 - list_cosine_similarity(a.v, b.v)) / 2 AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 3 = 0 AND a.vec_id % 4 <> 1)
 SELECT query_id, neighbor_id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) <= 4

@@ -26,14 +26,10 @@ def sink_jsonl(df: DataFrame, path: str, compressed: bool = True, mode: str = "o
     return seen.get["n"]
 
 
-def dump_is_allowed(df: DataFrame, count: int | None = None) -> bool:
-    """A dump without an explicit count is refused above 10 000 rows; the count stops there."""
-    return count is not None or df.limit(MAX_DUMP_ROWS + 1).count() <= MAX_DUMP_ROWS
-
-
-def sink_csv_dump(df: DataFrame, path: str, count: int | None = None, mode: str = "overwrite") -> int:
-    if not dump_is_allowed(df, count):
-        raise ValueError(f"more than {MAX_DUMP_ROWS} rows: pass an explicit count")
+def sink_csv_dump(df: DataFrame, path: str, count: int | None = None, refuse_above: int | None = None, mode: str = "overwrite") -> int:
+    """All rows, or ``count`` of them; ``refuse_above`` turns larger selections down (interactive callers pass ``MAX_DUMP_ROWS``)."""
+    if count is None and refuse_above is not None and df.limit(refuse_above + 1).count() > refuse_above:
+        raise ValueError(f"more than {refuse_above} rows: pass an explicit count")
     out, seen = _counted(df if count is None else df.limit(count))
     out.write.mode(mode).option("header", "true").csv(path)
     return seen.get["n"]

@@ -32,7 +32,7 @@ CASES = [
 @pytest.mark.parametrize("limit", [2000, 0])
 @pytest.mark.parametrize("text,patterns,expected", CASES)
 def test_dictionary(spark, text, patterns, expected, limit):
-    rows = M.dict_match(frame(spark, text), terms(spark, *patterns), max_regex_terms=limit).collect()
+    rows = M.dict_match(frame(spark, text), terms(spark, *patterns), joined=limit == 0).collect()
     assert sorted((r["start"], r["end"], r["pattern"]) for r in rows) == expected
 
 
