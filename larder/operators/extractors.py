@@ -230,17 +230,28 @@ def extract_nutrient_values(df: DataFrame, keep: Sequence[str] = ("doc_id",), te
     return predictions(whole, keep, "nutrient", {"nutrients": F.col("nutrients")}, predictor="regex", span=False)
 
 
-def _mention_patterns() -> list[tuple[str, str, str, list[int]]]:
+# ASCII stretches, lower case: every mention of the nutrient holds one (none for salt: too short).
+MENTION_LITERALS = {
+    "energy": ["nerg", "calorie"], "saturated_fat": ["satur", "verzadigde", "ttigte", "ttede", "tett"], "trans_fat": ["trans"],
+    "fat": ["mati", "graisse", "lipide", "total fat", "vetten", "fett", "grasas", "grassi", "pidos", "fedt", "zs"],
+    "sugar": ["sucre", "sugar", "zuccheri", "suiker", "zucker", "cares", "sukkerarter", "cukrok"],
+    "carbohydrate": ["carbohydrate", "glucid", "carboidrati", "koolhydra", "kohlenhydrate", "hidratos", "kulhydrat", "nhidr"],
+    "protein": ["prot", "eiwit", "eiwei", "feh"], "salt": [], "fiber": ["fibre", "fiber", "vezel", "ballaststoffe", "fibra", "rost"],
+    "nutrition_values": ["nutri", "moyenne", "valori", "waarden", "ringsindhold", "rt"],
+}
+
+
+def _mention_patterns() -> list[tuple[str, str, str, list[int], list[str]]]:
     """One alternation per nutrient.
 
     The word guards bind only the first and last alternative, as the guards sit outside
-    an ungrouped alternation; each alternative is a group that tells the languages.
+    an ungrouped alternation.
     """
     out = []
     for nutrient, names in fixed.NUTRIENT_MENTIONS.items():
-        body = "|".join(f"({n})" for n, _ in names)
-        out.append((nutrient, "contiguous", rf"(?iuU)(?<!\w){body}(?!\w)", list(range(1, len(names) + 1))))
-    out.append(("nutrient_value", "contiguous", fixed.NUTRIENT_VALUE_PATTERN, []))
+        body = "|".join(n for n, _ in names)
+        out.append((nutrient, "contiguous", rf"(?iuU)(?<!\w){body}(?!\w)", [], MENTION_LITERALS[nutrient]))
+    out.append(("nutrient_value", "contiguous", fixed.NUTRIENT_VALUE_PATTERN, [], []))
     return out
 
 
@@ -249,9 +260,9 @@ def nutrient_mention_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text
     found = regex_extract(df, _mention_patterns(), keep, text_col)
     langs = F.lit(None).cast("array<string>")
     for nutrient, names in fixed.NUTRIENT_MENTIONS.items():
-        table = F.array(*[F.array(*map(F.lit, spoken)) for _, spoken in names])
-        hit = F.array_position(F.transform("g", lambda x: x != ""), True).cast("int")
-        langs = F.when(F.col("name") == nutrient, F.try_element_at(table, hit)).otherwise(langs)
+        # the alternative is found again on the short match: the first that is all of it
+        own = F.coalesce(*[F.when(F.col("raw").rlike(f"(?iuU)^(?:{n})$"), F.array(*map(F.lit, spoken))) for n, spoken in names])
+        langs = F.when(F.col("name") == nutrient, own).otherwise(langs)
     return found.select(*keep, F.col("name").alias("nutrient"), "raw", langs.alias("languages"), "start", "end")
 
 
