@@ -35,12 +35,15 @@ CONTAINERS = frozenset("#root article aside blockquote body center div dd figure
 # Elements that hold no article text, and names that say so.
 BOILERPLATE = frozenset("nav footer aside form button menu dialog head search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side-bar|side|rail|footer|foot|masthead|topbar|header"
-    r"|comments?|commentlist|disqus|discussion|replies|respond|reviews?|cookies?|consent|gdpr|notice|notices|alert|warning-bar|popup|modal|overlay|newsletter|subscri\w*|signup|sign-up|login"
-    r"|share|sharing|social|follow|related|recommend\w*|more-stories|widget|pagination|pager|tags|tagcloud|skip|skip-link|toolbar|copyright|legal|disclaimer|search|print|rss)(?:$|[\s_\d-])", re.I,
+UNLIKELY = frozenset(
+    "ad ads advert adverts adbox adslot adsense banner promo promos promotion nav navbar navigation topnav menu menubar breadcrumb breadcrumbs sidebar side rail footer foot masthead topbar header "
+    "comment comments commentlist disqus discussion reply replies respond review reviews cookie cookies consent gdpr notice notices alert popup modal overlay newsletter signup login share sharing social "
+    "follow related widget pagination pager tags tagcloud skip toolbar copyright legal disclaimer search print rss form".split()
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_\d-])", re.I)
+UNLIKELY_STARTS = ("advertis", "sponsor", "subscri", "recommend")
+LIKELY = frozenset("article articlebody body content entry hentry main page post story text blog".split())
+ABOUT_ANOTHER = frozenset("has with no without is js".split())  # "has-sidebar" says nothing about the element itself
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S)
@@ -61,30 +64,38 @@ def marks(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool]:
     """(is boilerplate by name, is article-like by name)."""
     if tag in BOILERPLATE:
         return True, False
-    unlikely = likely = False
-    if attributes and not attributes.isspace():
-        for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), a or b or c
-            if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return True, False
-            if name == "role":
-                unlikely |= value.lower() in ROLES
-                likely |= value.lower() in ("main", "article")
-            elif name in ("class", "id"):
-                unlikely |= UNLIKELY.search(value) is not None
-                likely |= LIKELY.search(value) is not None
-            elif name == "itemprop" and value == "articleBody":
-                likely = True
+    unlikely = likely = sure = False
+    for name, a, b, c, hidden in ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
+        name, value = name.lower(), a or b or c
+        if hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            return True, False
+        if name == "role":
+            unlikely |= value.lower() in ROLES
+            sure |= value.lower() in ("main", "article")
+        elif name in ("class", "id"):
+            for token in value.split():
+                words = [w.lower() for w in NAME_WORDS.findall(token)]
+                if not words or words[0] in ABOUT_ANOTHER:
+                    continue
+                bad = [w in UNLIKELY or w.startswith(UNLIKELY_STARTS) for w in words]
+                good = [w in LIKELY for w in words]
+                unlikely |= bad[-1] or (any(bad) and not any(good))  # the last word is what it is
+                likely |= any(good)
+                sure |= all(good)
+        elif name == "itemprop" and value == "articleBody":
+            sure = True
     if tag in ("article", "main"):
-        return False, True
-    if tag == "header":  # the article's own header is part of it
+        sure = True
+    if tag in ("html", "body"):
+        return False, False
+    if tag == "header" or (unlikely and re.search("header", attributes, re.I)):  # the article's own header is part of it
         inside = parent
         while inside is not None and inside.tag not in ("article", "main"):
             inside = inside.parent
         return inside is None, False
-    if tag in ("html", "body"):
-        return False, False
-    return unlikely and not (likely and tag in CONTAINERS and not re.search(r"comment|advert|sponsor|cookie", attributes, re.I)), likely
+    if tag == "article" and unlikely:  # a reader's comment may be an article element
+        sure = False
+    return unlikely and not sure, likely or sure
 
 
 def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:

@@ -226,6 +226,22 @@ def test_html_article():
     assert main_blocks("no tags at all") == ["no tags at all"]
 
 
+PARAGRAPH = "Long enough paragraph, with commas, and more text than twenty five characters."
+
+
+def test_html_boilerplate_by_name():
+    parts = ['<div class="main-menu"><a>m</a> words, many, many commas, in here</div><div class="page-header">Head, with commas, in it</div>']
+    parts.append(f'<div class="content-wrapper has-sidebar"><div class="article-body"><h1>T</h1><p>{PARAGRAPH}</p><div class="related-posts"><p>{PARAGRAPH}</p></div><p>End.</p></div>')
+    parts += [f'<div class="{name}"><p>{PARAGRAPH}</p></div>' for name in ("rightSidebar", "cookieNotice", "ad-slot ads", "newsletter_box", "post-comments")]
+    parts.append(f'<section class="comment-list"><article class="comment"><p>{PARAGRAPH}</p></article></section></div><div class="site-footer">f</div>')
+    assert main_blocks(f"<html><body>{''.join(parts)}</body></html>") == ["T", PARAGRAPH, "End."]
+
+
+def test_html_article_keeps_its_own_header_and_sections():
+    page = f"<body><header>site</header><table><tr><td><ul><li>nav</ul></td><td><p>{PARAGRAPH}</td></tr></table><article><header><h1>Own</h1></header><section><p>{PARAGRAPH}</section><section><h2>Part</h2><pre>code  x</pre></section></article></body>"
+    assert main_blocks(page) == ["Own", PARAGRAPH, "Part", "code x"]
+
+
 def test_html_broken_and_huge_pages():
     assert main_blocks("<div>" * 50_000 + "deep" + "</div>" * 50_000) == ["deep"]
     assert main_blocks('<p>text<a href="' * 3) != []
