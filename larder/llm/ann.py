@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from larder import cut_lineage
 from larder.llm.hilbert import curve_keys
-from larder.llm.topk import best_first, best_of_tile, exact_topk, matrix, usable
+from larder.llm.topk import best_first, exact_topk, matrix, usable
 
 DIMS, BITS = 8, 7
 
@@ -56,13 +56,18 @@ def _rerank(t: pa.Table, k: int, queries_at_once: int) -> pa.Table:
         vectors, q_ids, q_rows = matrix(q.column("vector")).astype(np.float64), q.column("vec_id").to_numpy(), q.column("row").to_numpy()
         for at in range(0, len(q), queries_at_once):
             scores = vectors[at : at + queries_at_once] @ shard.T
-            row, col = best_of_tile(scores, s_ids, k + 1)
+            kth = min(k, scores.shape[1] - 1)  # one more than k: the query's own row may be among them
+            least = -np.partition(-scores, kth, axis=1)[:, kth]
+            # a matrix product may round copies differently: whatever is as near but for rounding is summed again
+            slack = 1e-12 * np.maximum(1, np.abs(scores).max(axis=1))
+            row, col = np.nonzero(scores >= (least - slack)[:, None])
             other = q_rows[at + row] != s_rows[col]
             row, col = row[other], col[other]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            # the same pair has the same sum of products in every window, whatever the tile
             exact = np.einsum("ij,ij->i", vectors[at + row], shard[col])
+            order = np.lexsort((s_ids[col], -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col, exact = row[best], col[best], exact[best]
             for column, values in zip(out, (q_ids[at + row], exact, s_ids[col], s_rows[col]), strict=True):
                 column.append(values)
     whole = [np.concatenate(c) if c else np.empty(0, d) for c, d in zip(out, (np.int64, np.float64, np.int64, np.int64), strict=True)]
