@@ -215,11 +215,11 @@ def _(d):
     return d.spark.read.parquet(path).select("id", "type", "value_tag")
 
 
-@query("sink_jsonl", "SELECT count(*) AS n, count(DISTINCT barcode) AS n_barcodes FROM prediction")
+@query("sink_jsonl", "SELECT id, barcode FROM prediction")
 def _(d):
     path = scratch(d, "jsonl")
     writers.sink_jsonl(d.prediction.select("id", "barcode"), path)
-    return d.spark.read.schema("id long, barcode string").json(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("barcode").alias("n_barcodes"))
+    return d.spark.read.schema("id long, barcode string").json(path)
 
 
 @query("sink_csv_dump", "SELECT id, type, annotation FROM insight WHERE annotation = -1 AND server_type = 'off' AND type = 'label'")
@@ -1014,10 +1014,9 @@ def _(d):
     return R.newest_images_first(d.image, 200).select("id")
 
 
-@query("keyset_batches", "SELECT count(*) AS n, sum(id % 1000)::BIGINT AS s FROM prediction")
+@query("keyset_batches", "SELECT id FROM prediction")
 def _(d):
-    rows = R.keyset_batches(d.prediction.select("id"), "id", 8)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id") % 1000).alias("s"))
+    return R.keyset_batches(d.prediction.select("id"), "id", 8)
 
 
 @query("random_sample_one", "SELECT 1 AS n, 1 AS known")
@@ -1029,10 +1028,9 @@ def _(d):
     return drawn.join(known, "logo_id", "left").agg(F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("known"))
 
 
-@query("shuffle_order", "SELECT count(*) AS n, count(DISTINCT id) AS n_ids FROM logo WHERE annotation_type = 'brand'")
+@query("shuffle_order", "SELECT id FROM logo WHERE annotation_type = 'brand'")
 def _(d):
-    out = R.shuffle_order(d.logo.where("annotation_type = 'brand'").select("id"), 11)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
+    return R.shuffle_order(d.logo.where("annotation_type = 'brand'").select("id"), 11)
 
 
 def spell_products(d: Data) -> DataFrame:
@@ -1081,11 +1079,11 @@ def _(d):
 
 @query("dedupe_images", """
 WITH i AS (SELECT id, barcode, server_type, width % 50 AS src FROM image), g AS (SELECT id FROM i WHERE id <> (SELECT min(id) FROM i j WHERE j.barcode = i.barcode AND j.src = i.src AND j.server_type = i.server_type))
-SELECT 'image' AS tbl, count(*) AS n FROM g UNION ALL SELECT 'image_prediction', count(*) FROM image_prediction WHERE image_id IN (SELECT id FROM g)
-UNION ALL SELECT 'logo_annotation', count(*) FROM logo WHERE image_prediction_id IN (SELECT id FROM image_prediction WHERE image_id IN (SELECT id FROM g))
+SELECT 'image' AS tbl, id FROM g UNION ALL SELECT 'image_prediction', id FROM image_prediction WHERE image_id IN (SELECT id FROM g)
+UNION ALL SELECT 'logo_annotation', id FROM logo WHERE image_prediction_id IN (SELECT id FROM image_prediction WHERE image_id IN (SELECT id FROM g))
 """)
 def _(d):
     images = d.image.withColumn("source_image", F.concat_ws("/", "barcode", (F.col("width") % 50).cast("string")))
     out = D.dedupe_images(images, d.image_prediction, d.logo)
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tbl"), "n") for t, df in out.items()]
+    parts = [df.select(F.lit(t).alias("tbl"), "id") for t, df in out.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from larder.operators import aggregates as A
@@ -543,20 +545,23 @@ def _(d):
 
 @query("delete_product", """
 WITH k AS (SELECT code, server_type FROM product WHERE c_custkey % 5 = 0)
-SELECT 'prediction' AS tbl, count(*) AS n FROM prediction WHERE (barcode, server_type) NOT IN (SELECT code, server_type FROM k)
-UNION ALL SELECT 'product_insight', count(*) FROM insight WHERE annotation IS NOT NULL OR (barcode, server_type) NOT IN (SELECT code, server_type FROM k)
+SELECT 'prediction' AS tbl, cast(id AS string) AS id FROM prediction WHERE (barcode, server_type) NOT IN (SELECT code, server_type FROM k)
+UNION ALL SELECT 'product_insight', id FROM insight WHERE annotation IS NOT NULL OR (barcode, server_type) NOT IN (SELECT code, server_type FROM k)
 """)
 def _(d):
     keys = d.product.where("c_custkey % 5 = 0").select(F.col("code").alias("barcode"), "server_type")
-    return counts_of(X.delete_product(d.prediction, d.insight, keys))
+    return keys_of(X.delete_product(d.prediction, d.insight, keys))
+
+
+def keys_of(tables: dict):
+    """The rows of all tables by key: (tbl, id); rows to import again by product and image."""
 
+    def key(df):
+        name = next((c for c in ("id", "logo_id") if c in df.columns), None)
+        return F.col(name).cast("string") if name else F.concat_ws("/", "barcode", "server_type", "image_id")
 
-def counts_of(tables: dict):
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tbl"), "n") for t, df in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = [df.select(F.lit(t).alias("tbl"), key(df).alias("id")) for t, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def doomed(d: Data):
@@ -566,36 +571,36 @@ def doomed(d: Data):
 def doomed_check(annotated_too: bool) -> str:
     logos = "SELECT l.* FROM logo l WHERE l.image_prediction_id IN (SELECT id FROM ip)"
     kept = "1 = 1" if annotated_too else "image_id NOT IN (SELECT cast(floor(image_prediction_id / 10) AS BIGINT) FROM lg WHERE completed_at IS NOT NULL)"
-    emb = "" if annotated_too else "UNION ALL SELECT 'logo_embedding', count(*) FROM lg "
+    emb = "" if annotated_too else "UNION ALL SELECT 'logo_embedding', cast(id AS string) FROM lg "
     return f"""
 WITH im AS (SELECT * FROM image WHERE id % 6 = 0), ip AS (SELECT * FROM image_prediction WHERE image_id IN (SELECT id FROM im)), lg AS ({logos})
-SELECT 'image' AS tbl, count(*) AS n FROM im {emb} UNION ALL SELECT 'logo_annotation', count(*) FROM lg WHERE {'1 = 1' if annotated_too else 'completed_at IS NULL'}
-UNION ALL SELECT 'image_prediction', count(*) FROM ip WHERE {kept}
-UNION ALL SELECT 'prediction', count(*) FROM prediction WHERE source_image IN (SELECT source_image FROM im) UNION ALL SELECT 'product_insight', count(*) FROM insight WHERE annotation IS NULL AND source_image IN (SELECT source_image FROM im)
+SELECT 'image' AS tbl, cast(id AS string) AS id FROM im {emb} UNION ALL SELECT 'logo_annotation', cast(id AS string) FROM lg WHERE {'1 = 1' if annotated_too else 'completed_at IS NULL'}
+UNION ALL SELECT 'image_prediction', cast(id AS string) FROM ip WHERE {kept}
+UNION ALL SELECT 'prediction', cast(id AS string) FROM prediction WHERE source_image IN (SELECT source_image FROM im) UNION ALL SELECT 'product_insight', id FROM insight WHERE annotation IS NULL AND source_image IN (SELECT source_image FROM im)
 """
 
 
 @query("delete_images", doomed_check(False))
 def _(d):
     emb = d.logo.select(F.col("id").alias("logo_id"))
-    return counts_of(X.delete_images(d.image, d.image_prediction, d.logo, emb, d.prediction, d.insight, doomed(d)))
+    return keys_of(X.delete_images(d.image, d.image_prediction, d.logo, emb, d.prediction, d.insight, doomed(d)))
 
 
 @query("delete_image_event", doomed_check(True))
 def _(d):
-    return counts_of(X.delete_image_event(d.image, d.image_prediction, d.logo, d.prediction, d.insight, doomed(d)))
+    return keys_of(X.delete_image_event(d.image, d.image_prediction, d.logo, d.prediction, d.insight, doomed(d)))
 
 
 @query("switch_product_type", """
 WITH k AS (SELECT code, server_type, image_ids FROM product WHERE c_custkey % 9 = 0 AND server_type = 'off'), im AS (SELECT * FROM image WHERE (barcode, server_type) IN (SELECT code, server_type FROM k)),
 ip AS (SELECT * FROM image_prediction WHERE image_id IN (SELECT id FROM im))
-SELECT 'image' AS tbl, count(*) AS n FROM im UNION ALL SELECT 'image_prediction', count(*) FROM ip UNION ALL SELECT 'logo_annotation', count(*) FROM logo WHERE image_prediction_id IN (SELECT id FROM ip)
-UNION ALL SELECT 'prediction', count(*) FROM prediction WHERE (barcode, server_type) IN (SELECT code, server_type FROM k)
-UNION ALL SELECT 'product_insight', count(*) FROM insight WHERE annotation IS NULL AND (barcode, server_type) IN (SELECT code, server_type FROM k) UNION ALL SELECT 'reimport', coalesce(sum(len(image_ids)), 0)::BIGINT FROM k
+SELECT 'image' AS tbl, cast(id AS string) AS id FROM im UNION ALL SELECT 'image_prediction', cast(id AS string) FROM ip UNION ALL SELECT 'logo_annotation', cast(id AS string) FROM logo WHERE image_prediction_id IN (SELECT id FROM ip)
+UNION ALL SELECT 'prediction', cast(id AS string) FROM prediction WHERE (barcode, server_type) IN (SELECT code, server_type FROM k)
+UNION ALL SELECT 'product_insight', id FROM insight WHERE annotation IS NULL AND (barcode, server_type) IN (SELECT code, server_type FROM k) UNION ALL SELECT 'reimport', code || '/obf/' || unnest(image_ids) FROM k
 """)
 def _(d):
     moved = d.product.where("c_custkey % 9 = 0").select(F.col("code").alias("barcode"), "server_type", F.lit("obf").alias("new_server_type"))
-    return counts_of(X.switch_product_type(d.image, d.image_prediction, d.logo, d.prediction, d.insight, moved, d.product))
+    return keys_of(X.switch_product_type(d.image, d.image_prediction, d.logo, d.prediction, d.insight, moved, d.product))
 
 
 @query("save_image", """

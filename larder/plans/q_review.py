@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.operators import annotations as N
 from larder.operators import questions as Q
 from larder.plans.q_core import BASE_URL, scratch
-from larder.plans.q_import import counts_of, image_facts
+from larder.plans.q_import import keys_of, image_facts
 from larder.plans.registry import Data, query
 from larder.plans.roles import product_full
 from larder.streaming import routes
@@ -275,14 +275,14 @@ def derived_rows(d: Data):
 
 
 @query("logo_reset", """
-SELECT 'logo_annotation' AS tbl, count(*) FILTER (annotation_type IS NOT NULL AND l_suppkey % 4 <> 0) AS n FROM logo
-UNION ALL SELECT 'prediction', count(*) FROM logo WHERE l_suppkey % 4 = 0 AND idx <> 3 UNION ALL SELECT 'product_insight', count(*) FROM logo WHERE l_suppkey % 4 = 0 AND idx <> 3 AND l_orderkey % 2 = 1
+SELECT 'logo_annotation' AS tbl, cast(id AS string) AS id FROM logo WHERE annotation_type IS NOT NULL AND l_suppkey % 4 <> 0
+UNION ALL SELECT 'prediction', cast(id AS string) FROM logo WHERE l_suppkey % 4 = 0 AND idx <> 3 UNION ALL SELECT 'product_insight', cast(id AS string) FROM logo WHERE l_suppkey % 4 = 0 AND idx <> 3 AND l_orderkey % 2 = 1
 """)
 def _(d):
     predictions, insights = derived_rows(d)
     out = N.logo_reset(d.logo, predictions, insights, d.logo.where("l_suppkey % 4 = 0").select(F.col("id").alias("logo_id")))
     out["logo_annotation"] = out["logo_annotation"].where("annotation_type is not null")
-    return counts_of(out)
+    return keys_of(out)
 
 
 @query("cleanup_logo_predictions", "SELECT id FROM logo WHERE NOT (l_suppkey % 3 = 1 AND l_orderkey % 3 = 0)")
