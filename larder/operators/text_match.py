@@ -298,6 +298,9 @@ def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: S
     wanted = table.select("pattern", F.posexplode("parts").alias("pos", "term_word"))
     words = df.select(*keep, text_col).select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
     words = words.select(*keep, F.replace(F.col("w.word"), F.lit(_MARK), F.lit("i")).alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
+    # a word longer than every term's by more than the budget is close to none: it would only be cut up
+    most = (wanted.agg(F.max(F.length("term_word")).alias("n")).first()["n"] or 0) + max_cost
+    words = words.where(F.length("word") <= most)
     vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
     term_vocab = wanted.select("term_word").distinct().select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
     close = (
