@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder import fixed
+from larder import cut_lineage, fixed
 from larder.functions import text
 from larder.functions.measures import vec_unit
 from larder.operators.joins import annotation_neighbors_join, threshold_join
@@ -44,12 +44,13 @@ def _top(query: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
     ids = index["neighbor_id"].to_numpy()
     far[query["query_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
     take = min(k, far.shape[1])
-    # ties at the edge: order by (distance, id) over all columns keeps the choice stable
-    order = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :take]
-    rows = np.repeat(np.arange(far.shape[0]), take)
-    cols = order.ravel()
-    out = pd.DataFrame({"query_id": query["query_id"].to_numpy()[rows], "neighbor_id": ids[cols], "distance": far[rows, cols]})
-    return out[np.isfinite(out["distance"])]
+    # partial selection; rows tied with the k-th stay until (distance, id) decides
+    rows, cols = np.nonzero((far <= np.partition(far, take - 1, axis=1)[:, take - 1 : take]) & np.isfinite(far))
+    order = np.lexsort((ids[cols], far[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
+    rows, cols = rows[best], cols[best]
+    return pd.DataFrame({"query_id": query["query_id"].to_numpy()[rows], "neighbor_id": ids[cols], "distance": far[rows, cols]})
 
 
 _HITS = "query_id long, neighbor_id long, distance double"
@@ -87,26 +88,33 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
     stats = {r["cell"]: (r["radius"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([stats.get(c, (-np.inf, 0))[0] for c in range(len(pivots))])
     blocks = {c: max(1, -(-n // block_rows)) for c, (_, n) in stats.items()}
-    n_chunks = max(1, -(-asked.count() // query_rows))
     block_of = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(0), F.lit(1))
 
     index_side = placed.withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.try_element_at(block_of, F.col("cell"))).cast("int"))
-    index_side = index_side.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).drop("far")
+    index_side = index_side.drop("far")
     located = asked.mapInPandas(
         lambda batches: (p.rename(columns={"neighbor_id": "query_id"}) for p in place(batches)),
         f"query_id long, server string, embedding {kind}, cell int, far double",
     ).drop("far")
 
     def search(visits: DataFrame) -> DataFrame:
-        """``visits``: query rows with the cell to look into."""
+        """``visits``: query rows with the cell to look into.
+
+        Index rows are sent once, or once for every ``query_rows`` visits of their cell.
+        """
+        visits, _ = cut_lineage(visits)
+        busy = {r["cell"]: -(-r["count"] // query_rows) for r in visits.groupBy("cell").count().where(F.col("count") > query_rows).collect()}
+        chunk_of = F.create_map(*[F.lit(x) for kv in busy.items() for x in kv]) if busy else F.create_map(F.lit(-1), F.lit(1))
+        chunks = F.coalesce(F.try_element_at(chunk_of, F.col("cell")), F.lit(1))
         spread = visits.withColumns(
             {
                 "block": F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(block_of, F.col("cell")), F.lit(1)) - 1)),
-                "chunk": F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int"),
+                "chunk": F.pmod(F.xxhash64("query_id"), chunks).cast("int"),
             }
         )
         keys = ["server", "cell", "block", "chunk"]
-        found = spread.groupBy(*keys).cogroup(index_side.groupBy(*keys)).applyInPandas(lambda q, i: _top(q, i, k), _HITS)
+        held = index_side.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        found = spread.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda q, i: _top(q, i, k), _HITS)
         return _first_k(found, k)
 
     own = search(located) if probes is None else None
