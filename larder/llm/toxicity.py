@@ -186,12 +186,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Model learned from labelled documents.
 
     The fit sees at most about ``most_per_class`` documents of each class, chosen by a hash
-    of their id and weighted back to the classes' sizes; this bounds what the driver holds.
-    Labels other than 0 and 1 and null ids are left out; of repeated labels the largest
-    counts; without both classes the model is constant.
+    of their id and weighted back to the classes' sizes; this bounds the one task that fits,
+    and only the weights come to the driver.  Labels other than 0 and 1 and null ids are left
+    out; of repeated labels the largest counts; without both classes the model is constant.
     """
-    t = training_rows(docs, labels, id_col, text_col, toxic_col, most_per_class).toArrow()
-    return learn((x.as_py() for x in t.column("text")), np.array(t.column("toxic").to_pylist(), np.int64), np.array(t.column("share").to_pylist(), np.float64))
+    sample = training_rows(docs, labels, id_col, text_col, toxic_col, most_per_class)
+    fitted = sample.repartition(1).sortWithinPartitions("toxic", "text").mapInArrow(_fit, "feature binary, weight double").collect()
+    bias = [r["weight"] for r in fitted if r["feature"] is None]
+    return SentenceModel(bias[0] if bias else SentenceModel.bias, {bytes(r["feature"]): r["weight"] for r in fitted if r["feature"] is not None})
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample's rows to the model's: a weight for each feature, the bias without one."""
+    held = [b for b in batches if len(b)]
+    toxic, share = (np.concatenate([b.column(c).to_numpy() for b in held]) if held else np.empty(0) for c in ("toxic", "share"))
+    model = learn((x.as_py() for b in held for x in b.column("text")), toxic.astype(np.int64), share)
+    yield pa.RecordBatch.from_arrays([pa.array([None, *model.weights], pa.binary()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
 
 
 def toxicity(docs: DataFrame, model: SentenceModel, text_col: str = "text", keep: list[str | Column] | None = None, limit: float = 0.5) -> DataFrame:
