@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from larder import cut_lineage
 from larder.llm.components import components
@@ -191,24 +191,76 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int, wide_limit: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, key, tile_a, tile_b, node or fp[, wide]) rows to (a, b) links, at most one per row."""
+def jaccard_test(sets: list[bytes], similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of pairs of rows (the first ones ascending): Jaccard of their sets of 8-byte hashes is ``similarity`` or more."""
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    end = np.cumsum(size)
+    start = end - size
+    ids = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        shared = np.zeros(len(x), np.int64)
+        edges = [*np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist(), len(x)] if len(x) else []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            own = ids[start[x[lo]] : end[x[lo]]]
+            mark[own] = True
+            per = size[y[lo:hi]]
+            at = np.cumsum(per) - per
+            held = np.r_[0, np.cumsum(mark[ids[np.repeat(start[y[lo:hi]] - at, per) + np.arange(int(per.sum()))]])]
+            shared[lo:hi] = held[at + per] - held[at]
+            mark[own] = False
+        return shared >= similarity * (size[x] + size[y] - shared) - 1e-9
+
+    return test
+
+
+def pair_test(wide: list[bytes], size: np.ndarray, sets: list[bytes | None], wide_limit: int, similarity: float, few: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of pairs of rows, the cheapest part first: sizes, wide fingerprints (not of sets below ``few``), then exact where sets are given."""
+    bits = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE_WORDS)
+    exact = jaccard_test(sets, similarity) if len(sets) and sets[0] is not None else None
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        near = low >= similarity * high - 1e-9
+        by_bits = np.flatnonzero(near & (low >= few))
+        near[by_bits] = np.bitwise_count(bits[x[by_bits]] ^ bits[y[by_bits]]).sum(axis=1, dtype=np.int64) <= wide_limit
+        if exact is not None:
+            left = np.flatnonzero(near)
+            near[left] = exact(x[left], y[left])
+        return near
+
+    return test
+
+
+def _links(batches: Iterator[pa.RecordBatch], radius: int, similar: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted (band, key, tile_a, tile_b, node or fp[, wide, size, set]) rows to (a, b) links, at most one per row.
+
+    With ``similar`` (the last arguments of ``pair_test``) rows of band 0 are compared within ``radius``, those
+    of other bands, which may have few shingles, at any distance.
+    """
     rest: pa.Table | None = None
 
-    def links(t: pa.Table) -> pa.RecordBatch:
-        cols = [t.column(k).to_numpy() for k in range(4)]
-        nodes = t.column(4).to_numpy()
-        change = np.zeros(len(nodes), bool)
-        for c in cols:
+    def roots(t: pa.Table) -> np.ndarray:
+        change = np.zeros(len(t), bool)
+        for k in range(4):
+            c = t.column(k).to_numpy()
             change[1:] |= c[1:] != c[:-1]
-        if wide_limit is None:
-            root = block_roots(nodes.view(np.uint64), np.cumsum(change), radius)
-        else:
-            wide = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-            near = lambda x, y: np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= wide_limit
-            root = block_roots(np.ascontiguousarray(wide[:, 0]), np.cumsum(change), radius, near)
-        linked = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[linked], nodes[root[linked]])], ["a", "b"])
+        if similar is None:
+            return block_roots(t.column(4).to_numpy().view(np.uint64), np.cumsum(change), radius)
+        wide = t.column(5).to_pylist()
+        near = pair_test(wide, t.column(6).to_numpy(), t.column(7).to_pylist(), **similar)
+        first = np.ascontiguousarray(np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE_WORDS)[:, 0])
+        return block_roots(first, np.cumsum(change), radius if t.column(0)[0].as_py() == 0 else BITS, near)
+
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        band = t.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(t)] if similar else [0, len(t)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            part = t.slice(lo, hi - lo)
+            nodes, root = part.column(4).to_numpy(), roots(part)
+            linked = root != np.arange(len(root))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[linked], nodes[root[linked]])], ["a", "b"])
 
     for b in batches:
         t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -220,10 +272,10 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, wide_limit: int | Non
             same &= c == c[-1]
         cut = len(t) - int(same.sum())  # the last block may go on
         if cut:
-            yield links(t.slice(0, cut))
+            yield from links(t.slice(0, cut))
         rest = t.slice(cut)
     if rest is not None and len(rest):
-        yield links(rest)
+        yield from links(rest)
 
 
 # ---------------------------------------------------------------- candidate blocks
@@ -303,61 +355,101 @@ def differing_share(similarity: float) -> float:
     return acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], text_col: str, words: int, seed: int, keys: int) -> Iterator[pa.RecordBatch]:
+def shingle_set(text: str | None, words: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.frombuffer(shingle_hashes(text, words, seed), ">u8").astype(np.uint64))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], text_col: str, words: int, seed: int, keys: int, small: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        wide, low = [], []
+        out: list[list] = [[] for _ in range(5)]
         for text in b.column("doc").field(text_col).to_pylist():
-            hashes = np.unique(np.frombuffer(shingle_hashes(text, words, seed), ">u8").astype(np.uint64))
-            wide.append(wide_fingerprint(hashes))
-            low.append(hashes[:keys].view(np.int64))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(wide, pa.binary()), pa.array(low, pa.list_(pa.int64()))], [*b.schema.names, "wide", "keys"])
+            hashes = shingle_set(text, words, seed)
+            held = hashes.tobytes()
+            found = (xxhash.xxh3_128_digest(held), wide_fingerprint(hashes), hashes[:keys].view(np.int64), len(hashes), held if len(hashes) < small else None)
+            for c, v in zip(out, found, strict=True):
+                c.append(v)
+        types = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out, types)], [*b.schema.names, "same", "wide", "keys", "size", "few"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, set), a batch for every few megabytes."""
+    for b in batches:
+        nodes, sets, held = [], [], 0
+        for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            nodes.append(node)
+            sets.append(shingle_set(text, words, seed).tobytes())
+            held += len(sets[-1])
+            if held > 1 << 22:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+                nodes, sets, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+
+
+def _dealt(rows: DataFrame, group: list[str], tiles: DataFrame) -> DataFrame:
+    """``rows`` once for each pair of tiles of their group that they are in; ``tiles``: (*group, tiles)."""
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pairs = rows.join(tiles, group).withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
+    return pairs.select("node", *group, F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"))
 
 
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
-    margin: float = 1.5, keys: int = 8, seed: int = 42, tile_rows: int = 2048,
+    margin: float = 6.0, keys: int = 8, seed: int = 42, tile_rows: int = 2048, few: int = 64, tile_bytes: int = 1 << 24,
 ) -> DataFrame:
     """The input rows without all but the smallest (id, row) of each near-duplicate group.
 
     Two texts are linked if their sets of ``words``-word shingles have Jaccard ``similarity``
-    or more as told by 1024-bit SimHash fingerprints: the limit lies ``margin`` standard
-    deviations above the expected number of differing bits at ``similarity``.  Candidates
-    share one of their ``keys`` smallest shingle hashes (two sets of similarity 0.8 share
-    none of 8 about once in 400,000 pairs); inside such a block the first 64 bits are
-    compared by bit planes, then the rest.  Groups are connected components.
-
-    Equal texts have equal fingerprints and are grouped before anything is compared; texts
-    without words (null, empty) are equal to each other; texts shorter than ``words`` are one
-    shingle; rows may repeat; null ids come after all others.  Columns come back as they are,
-    whatever their names; an empty table gives no rows.  A block with a third of all texts is
-    cut into pairs of tiles, each a bounded task.
+    or more, counted exactly.  Candidates share one of their ``keys`` smallest shingle hashes
+    (two sets of similarity 0.8 share none of 8 about once in 400,000 pairs) and their
+    1024-bit SimHash fingerprints differ in no more bits than expected at ``similarity`` plus
+    ``margin`` standard deviations; inside such a block the first 64 bits are compared by bit
+    planes, then the rest.  Fingerprints say little about sets of fewer than ``few``
+    shingles: those are compared by their hashes at once.  The components of candidates are
+    then compared pair by pair by their sets, and groups are the components of the pairs
+    that hold.
+
+    Equal sets are grouped before anything is compared; texts without words (null, empty)
+    are equal to each other; texts shorter than ``words`` are one shingle; rows may repeat;
+    null ids come after all others.  Columns come back as they are, whatever their names; an
+    empty table gives no rows.  A block with a third of all texts is cut into pairs of tiles
+    of about ``tile_rows`` rows (and ``tile_bytes`` of sets), each a bounded task.
     """
     bits = 64 * WIDE_WORDS
     share = differing_share(similarity)
     limit = floor(bits * share + margin * sqrt(bits * share * (1 - share)))
     radius = ceil(64 * limit / bits + 4 * sqrt(64 * share * (1 - share)))
-    kept = StructType([StructField("doc", docs.schema), StructField("row", LongType()), StructField("wide", BinaryType()), StructField("keys", ArrayType(LongType()))])
+    small = floor(few / similarity) + 1  # sets that can be similar to one below ``few``
+    link = partial(_links, radius=radius, similar={"wide_limit": limit, "similarity": similarity, "few": few})
+    marks = "same binary, wide binary, keys array<long>, size long, few binary"
+    kept = StructType([StructField("doc", docs.schema), StructField("row", LongType()), *StructType.fromDDL(marks)])
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    stored, _ = cut_lineage(rows.mapInArrow(partial(_sketches, text_col=text_col, words=words, seed=seed, keys=keys), kept))
+    stored, _ = cut_lineage(rows.mapInArrow(partial(_sketches, text_col=text_col, words=words, seed=seed, keys=keys, small=small), kept))
 
     own = F.struct(F.col("doc")[id_col].isNull().alias("none"), F.col("doc")[id_col].alias("id"), "row")
-    marks = stored.select("row", own.alias("own"), "wide", "keys")
-    distinct, _ = cut_lineage(marks.groupBy("wide").agg(F.min("row").alias("node"), F.min("own").alias("own"), F.min("keys").alias("keys")))
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = keyed.join(shared, "key").select("node", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("node", F.lit(0).alias("band"), "key", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"))
+    marks = stored.select("row", own.alias("own"), "same", "wide", "keys", "size", "few")
+    distinct, _ = cut_lineage(marks.groupBy("same").agg(F.min("row").alias("node"), F.min("own").alias("own"), *[F.min(c).alias(c) for c in ("wide", "keys", "size", "few")]))
+    large, short = F.col("size") >= few, F.col("size") < small
+    keyed = distinct.select("node", "size", F.explode("keys").alias("key")).select("node", F.explode(F.array_compact(F.array(F.when(large, 0), F.when(short, 1)))).alias("band"), "key")
+    shared = keyed.groupBy("band", "key").count().where("count > 1").select("band", "key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
     group = ["band", "key", "tile_a", "tile_b"]
-    blocks = dealt.join(distinct.select("node", "wide"), "node").select(*group, "node", "wide").repartition(*group).sortWithinPartitions(*group, "node")
-    roots = components(blocks.mapInArrow(partial(_links, radius=radius, wide_limit=limit), "a long, b long").distinct())
-
-    grouped = distinct.join(roots, "node", "left").select("wide", "own", F.coalesce("root", "node").alias("root"))
+    sets = F.when(F.col("band") == 1, F.col("few")).alias("set")
+    blocks = _dealt(keyed, ["band", "key"], shared).join(distinct.select("node", "wide", "size", "few"), "node").select(*group, "node", "wide", "size", sets)
+    loose = components(blocks.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(link, "a long, b long").distinct())
+
+    # the components of candidates, each text once (or once a pair of tiles), with its set
+    members, _ = cut_lineage(loose.join(distinct.select("node", "wide", "size"), "node").select("node", F.lit(1).alias("band"), F.col("root").alias("key"), "wide", "size"))
+    tiles = members.groupBy("band", "key").agg(F.ceil(F.greatest(F.count("*") / tile_rows, F.sum("size") * 8 / tile_bytes)).cast("int").alias("tiles"))
+    texts = stored.select(F.col("row").alias("node"), F.col("doc")[text_col].alias("text")).join(members.select("node"), "node", "left_semi")
+    whole, _ = cut_lineage(texts.mapInArrow(partial(_sets, words=words, seed=seed), "node long, set binary").join(members, "node"))
+    parts = _dealt(members.select("node", "band", "key"), ["band", "key"], tiles).join(whole.select("node", "wide", "size", "set"), "node").select(*group, "node", "wide", "size", "set")
+    roots = components(parts.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(link, "a long, b long").distinct())
+
+    grouped = distinct.join(roots, "node", "left").select("own", F.coalesce("root", "node").alias("root"))
     first = grouped.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.row").alias("row"))
     return stored.join(first, "row", "left_semi").select("doc.*")
 
 
 def hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
-
-

@@ -146,6 +146,23 @@ def test_tiled_near_duplicates_agree(spark):
     assert [r[0] for r in rows_of(simhash.drop_near_duplicates(docs, tile_rows=8))] == [0]
 
 
+def test_near_duplicates_are_exact_around_the_limit(spark):
+    """A text and its beginning: sizes in shingles, so the similarity is their quotient; short texts included."""
+    sizes = [(100, 75), (100, 79), (100, 80), (100, 82), (400, 300), (400, 316), (400, 320), (400, 328), (81, 64), (80, 64), (79, 63), (78, 63), (5, 4), (4, 3), (10, 8), (9, 7), (15, 12), (14, 11), (1, 1), (2, 1)]
+    docs, kept = [], []
+    for k in range(6):
+        for n, m in sizes:
+            words = [f"p{k}n{n}m{m}w{j}" for j in range(n + 4)]
+            docs += [(len(docs), " ".join(words)), (len(docs) + 1, " ".join(words[: m + 4]))]
+            kept += [len(docs) - 2] + [len(docs) - 1] * (m / n < 0.8)
+    # a chain of which each link holds, and one whose middle link does not
+    chain = [[f"c{j}" for j in range(a, a + 104)] for a in (0, 10, 20, 32)]
+    docs += [(len(docs) + k, " ".join(words)) for k, words in enumerate(chain)]
+    kept += [len(docs) - 4, len(docs) - 1]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r[0] for r in rows_of(got)) == kept
+
+
 # ---------------------------------------------------------------- toxicity
 
 CLEAN = ["the river runs past the old mill", "bread rises slowly in the morning", "a quiet street near the station", "she reads the long letter again"]
