@@ -84,11 +84,11 @@ def label_of(role: str | None) -> int | None:
 
 
 def row_lines(role: str | None, text: str | None) -> list[tuple[str, np.ndarray]]:
-    """(line, emission) of one row's lines."""
+    """(line as it stands, emission) of one row's lines."""
     out = []
     for k, raw in enumerate((text or "").split("\n")):
         line, marker = read_line(raw)
-        out.append((line, emission(line, marker, k == 0, label_of(role) if k == 0 else None)))
+        out.append((raw, emission(line, marker, k == 0, label_of(role) if k == 0 else None)))
     return out
 
 
@@ -187,6 +187,8 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for c, v in zip(out, (conv, block, turn, ROLES[int(states[first]) // 2], "\n".join(part), len(part)), strict=True):
                             c.append(v)
                     turn, part, first = turn + 1, [], k
+                    bare, marker = read_line(line)
+                    line = bare if marker == int(state) // 2 else line
                 part.append(line)
             for c, v in zip(out, (conv, block, turn, ROLES[int(states[first]) // 2], "\n".join(part), len(part)), strict=True):
                 c.append(v)
@@ -204,7 +206,8 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
 
     Rows of a conversation in order of (turn, role, text), nulls first; ``role_col`` is a
     speaker label the model may overrule (None: there is none; unknown labels say nothing).
-    Markers such as "User:" are taken off the lines they start.  Each row with a null
+    Markers such as "User:" are taken off the first line of a turn of their role and stay
+    anywhere else.  Each row with a null
     conversation id is a conversation of its own; a null or empty text is one empty line;
     equal rows are turns of their own; every row's lines are in exactly one turn; an empty
     table gives no rows.  Blocks hold the turns of ``block_turns`` consecutive numbers.

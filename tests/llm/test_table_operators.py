@@ -257,6 +257,14 @@ def test_chat_turns_markers_and_edges(spark):
     assert first[0] == "<|system|>\nbe brief\n<|end|>"
 
 
+def test_marker_like_lines_inside_a_turn_stay(spark):
+    said = "Here is what I found in it.\nAnswer: 42\nModel: T5\nand no more."
+    asked = "What about this one?\nCustomer: Smith\na: first"
+    rows = [(1, 0, asked, "user"), (1, 1, said, "assistant"), (1, 2, "User: thanks", "user"), (2, 0, "Human: hello there\nAI: hello", None)]
+    got = rows_of(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")).select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn"))
+    assert got == [(1, 0, "user", asked), (1, 1, "assistant", said), (1, 2, "user", "thanks"), (2, 0, "user", "hello there"), (2, 1, "assistant", "hello")]
+
+
 def test_roles_are_recovered_without_half_of_the_labels(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     blind = rows.withColumn("role", F.when(F.col("turn") % 2 == 0, F.col("role")))
