@@ -90,7 +90,7 @@ NAMES = [
     ("openssl", r"openssl", "openssl", r"openssl(?: ssleay)? licen[sc]e"),
     ("unlicense", r"unlicense", "unlicense", r"unlicense"),
     ("wtfpl", r"wtfpl", "w", r"(?:wtfpl|do what the f\w* you want to public licen[sc]e)"),
-    ("cc0-1.0", r"cc0 1 0", "cc", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?"),
+    ("cc0-1.0", r"cc0 1 0", "c", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?"),
     ("odbl-1.0", r"odbl 1 0", "o", r"(?:open (?:data commons open )?database licen[sc]e|odbl)"),
     ("odc-by-1.0", r"odc by 1 0", "o", r"(?:open data commons attribution licen[sc]e|odc by)"),
     ("pddl-1.0", r"pddl 1 0", "p", r"(?:public domain dedication and licen[sc]e|pddl)"),
@@ -138,7 +138,7 @@ SENTENCES = [
     ("gpl", "gnu org licenses", r"(?:https? )?(?:www )?gnu org licenses(?: (?:gpl|old licenses))?"),
     ("lgpl", "lesser general public", r"under the terms of the gnu lesser general public licen[sc]e"),
     ("agpl", "affero general public", r"under the terms of the gnu affero general public licen[sc]e"),
-    ("gfdl", "free documentation license", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("gfdl", "free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
     ("mpl-2.0", "mozilla org mpl", r"(?:https? )?(?:www )?mozilla org mpl 2 0"),
     ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
     ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
@@ -150,7 +150,7 @@ SENTENCES = [
     ("public-domain", "public domain", r"public domain (?:dedication|mark|work|software)"),
     ("all-rights-reserved", "all rights reserved", r"(?:copyright (?:c )?.{0,80}? )?all rights reserved"),
     ("proprietary", "proprietary", r"(?:proprietary (?:and|or) confidential|confidential and proprietary)(?: information)?"),
-    ("proprietary", "without prior written", r"(?:reproduced|distributed|copied|used) .{0,120}?without (?:the )?prior written (?:permission|consent)"),
+    ("proprietary", "prior written", r"(?:reproduced|distributed|copied|used) .{0,120}?without (?:the )?prior written (?:permission|consent)"),
     ("warranty-disclaimer", "without warrant", r"(?:provided|distributed) (?:on an )?as is(?: basis)? without warrant(?:y|ies)(?: or conditions)? of any kind"),
     ("warranty-disclaimer", "merchantability", r"implied warrant(?:y|ies) of merchantability(?: and| or)? fitness for a particular purpose"),
 ]

@@ -146,6 +146,43 @@ def test_tiled_near_duplicates_agree(spark):
     assert [r[0] for r in rows_of(simhash.drop_near_duplicates(docs, tile_rows=8))] == [0]
 
 
+def spellings(parsed):
+    """Texts that a parsed pattern matches: every alternative, optional parts with and without, other repeats at their least."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(x) if str(kind) == "LITERAL" else "x" for kind, x in arg]
+        elif name == "ANY":
+            more = ["x"]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in spellings(branch)]
+        elif name == "SUBPATTERN":
+            more = spellings(arg[-1])
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT")
+            inner = spellings(arg[2])
+            more = [x * arg[0] for x in inner] + (inner if arg[:2] == (0, 1) else [])
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_every_alternative_of_a_license_rule_holds_its_keyword():
+    from re import _parser
+
+    for r in licenses.rules():
+        if r.priority in (3, 4):  # a name after a verb: the name is tested by itself
+            continue
+        for text in spellings(_parser.parse(r.pattern)):
+            words = f" {text} ".encode()
+            assert r.keyword.encode() in words if r.keyword else any(x in words for x in licenses.ANY_NAME), (r, text)
+    scanner = licenses.Scanner(licenses.rules())
+    for text, label in (("released under Creative Commons Zero 1.0 Universal", "cc0-1.0"), ("may not be copied without the prior written consent of us", "proprietary")):
+        assert label in {scanner.rules[k].label for k, _, _ in scanner.resolve(scanner.hits(licenses.words_of(text)[0]))}
+
+
 def test_near_duplicates_are_exact_around_the_limit(spark):
     """A text and its beginning: sizes in shingles, so the similarity is their quotient; short texts included."""
     sizes = [(100, 75), (100, 79), (100, 80), (100, 82), (400, 300), (400, 316), (400, 320), (400, 328), (81, 64), (80, 64), (79, 63), (78, 63), (5, 4), (4, 3), (10, 8), (9, 7), (15, 12), (14, 11), (1, 1), (2, 1)]
