@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -19,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 #: Byte classes: letters and all non-ASCII bytes are word bytes, . ! ? and line ends end a sentence.
 CLASSES = bytes(i if i >= 128 or chr(i).isalpha() else 10 if chr(i) in ".!?\n" else 32 for i in range(256))
@@ -38,60 +38,107 @@ def sentences(text: str | None) -> list[bytes]:
     return folded(text).encode("utf-8", "replace").translate(CLASSES).split(b"\n")
 
 
-def word_features(word: bytes) -> list[bytes]:
-    """A word's features: itself (marked) and its beginnings of 4 to 10 bytes."""
-    return [b"=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k)]
+FEATURES = 1 << 20  # places of the hashed features
+
+
+def word_features(word: bytes) -> list[int]:
+    """Places of a word's features: itself (marked) and its beginnings of 4 to 10 bytes."""
+    return [zlib.crc32(f) % FEATURES for f in (b"=" + word, *(word[:k] for k in BEGINNINGS if len(word) >= k))]
 
 
 @dataclass
 class SentenceModel:
-    """Weights of the features in use and the sentence bias; an untrained model says 0."""
+    """Weights of the feature places in use and the sentence bias; an untrained model says 0."""
 
     bias: float = -30.0
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
 
 
-def learn(texts: Iterable[str | None], toxic: np.ndarray, share: np.ndarray, epochs: int = 120, rate: float = 0.08, shrink: float = 1e-4) -> SentenceModel:
-    """Noisy-or maximum likelihood over documents by full-batch Adam with soft thresholding.
+@dataclass
+class Chunk:
+    """Documents of a bounded number of bytes as arrays; words are numbered inside the chunk."""
+
+    word: np.ndarray  # of each occurrence
+    sentence: np.ndarray  # of each occurrence
+    doc: np.ndarray  # of each sentence
+    feature: np.ndarray  # places, word after word
+    owner: np.ndarray  # the word of each entry of ``feature``
+    words: int
+
+
+def chunks(texts: Iterable[str | None], at_once: int = 1 << 21) -> Iterator[Chunk]:
+    """The texts' words and sentences, cut after about ``at_once`` characters.
 
-    ``share``: weight of each document (undoes unequal sampling of the classes).
+    Nothing outlives a chunk but its arrays, which are bounded by the bytes read: a word of
+    n bytes has fewer than n features, and no dictionary spans the sample.
     """
-    n = len(toxic)
-    if not n or toxic.min() == toxic.max():
-        return SentenceModel(bias=30.0 if n and toxic.min() == 1 else -30.0)
     number: dict[bytes, int] = {}
-    words, sentence, doc_of = array("i"), array("i"), array("i")
+    words, sentence, doc_of, size = array("i"), array("i"), array("i"), 0
+
+    def done() -> Chunk:
+        feature, count = array("i"), array("i")
+        for w in number:
+            places = word_features(w)
+            feature.extend(places)
+            count.append(len(places))
+        return Chunk(*(np.array(x, np.int32) for x in (words, sentence, doc_of, feature)), np.repeat(np.arange(len(number), dtype=np.int32), np.array(count, np.int32)), len(number))
+
     for d, text in enumerate(texts):
         for part in sentences(text):
             if found := part.split():
                 words.extend([number.setdefault(w, len(number)) for w in found])
                 sentence.extend([len(doc_of)] * len(found))
                 doc_of.append(d)
-    word, sent, doc = np.array(words, np.int32), np.array(sentence, np.int32), np.array(doc_of, np.int32)
-    del words, sentence, doc_of
-    if not len(word):
-        return SentenceModel(bias=-30.0)
-    names: dict[bytes, int] = {}
-    per_word = [[names.setdefault(f, len(names)) for f in word_features(w)] for w in number]
-    feature = np.array([f for fs in per_word for f in fs], np.int32)
-    owner = np.repeat(np.arange(len(per_word), dtype=np.int32), [len(fs) for fs in per_word])
-    used = list(names)
-
-    y = toxic.astype(np.float64)
-    share = share / share.sum()
-    w, bias = np.zeros(len(used)), -4.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, epochs + 1):
-        of_word = np.bincount(owner, w[feature], len(number))
-        z = np.clip(bias + np.bincount(sent, of_word[word], len(doc)), -30, 30)
+        size += len(text or "")
+        if size >= at_once:
+            yield done()
+            number, words, sentence, doc_of, size = {}, array("i"), array("i"), array("i"), 0
+    if len(doc_of):
+        yield done()
+
+
+def slopes(parts: list[Chunk], y: np.ndarray, share: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float, float]:
+    """(gradient by feature place, gradient by bias, loss) of the noisy-or likelihood."""
+    g, gb, loss = np.zeros(len(w)), 0.0, 0.0
+    seen = np.zeros(len(y), bool)
+    for c in parts:
+        of_word = np.bincount(c.owner, w[c.feature], c.words)
+        z = np.clip(bias + np.bincount(c.sentence, of_word[c.word], len(c.doc)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)  # log of "all sentences clean"
+        first, last = int(c.doc[0]), int(c.doc[-1]) + 1
+        own, mine = c.doc - first, slice(first, last)
+        clean = np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-12)), last - first)  # log of "all sentences clean"
         some = np.maximum(-np.expm1(clean), 1e-9)
-        slope = share * (1 - y / some)  # of the loss in each sentence's own p
-        g_sent = slope[doc] * p
-        g_word = np.bincount(word, g_sent[sent], len(number))
-        g = np.bincount(feature, g_word[owner], len(used))
-        gb = g_sent.sum()
+        held = np.zeros(last - first, bool)
+        held[own] = True
+        seen[mine] |= held
+        loss -= float((share[mine] * (y[mine] * np.log(some) + (1 - y[mine]) * clean))[held].sum())
+        slope = share[mine] * (1 - y[mine] / some)  # of the loss in each sentence's own p
+        g_sentence = slope[own] * p
+        g_word = np.bincount(c.word, g_sentence[c.sentence], c.words)
+        g += np.bincount(c.feature, g_word[c.owner], len(w))
+        gb += float(g_sentence.sum())
+    return g, gb, loss + float((share * y)[~seen].sum()) * -math.log(1e-9)
+
+
+def learn(texts: Iterable[str | None], toxic: np.ndarray, share: np.ndarray, epochs: int = 120, rate: float = 0.08, shrink: float = 1e-4) -> SentenceModel:
+    """Noisy-or maximum likelihood over documents by full-batch Adam with soft thresholding.
+
+    ``share``: weight of each document (undoes unequal sampling of the classes).  Memory is
+    the texts' arrays (about 20 bytes a byte of text at most) and five tables of feature
+    places, however many distinct words there are.
+    """
+    n = len(toxic)
+    if not n or toxic.min() == toxic.max():
+        return SentenceModel(bias=30.0 if n and toxic.min() == 1 else -30.0)
+    parts = list(chunks(texts))
+    if not parts:
+        return SentenceModel(bias=-30.0)
+    y, share = toxic.astype(np.float64), share / share.sum()
+    w, bias = np.zeros(FEATURES), -4.0
+    m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
+    for t in range(1, epochs + 1):
+        g, gb, _ = slopes(parts, y, share, w, bias)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -99,31 +146,31 @@ def learn(texts: Iterable[str | None], toxic: np.ndarray, share: np.ndarray, epo
         w = np.sign(w) * np.maximum(np.abs(w) - step * shrink, 0)
         bias -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-6)
     kept = np.flatnonzero(np.abs(w) > 1e-3)
-    return SentenceModel(float(bias), {used[k]: float(w[k]) for k in kept})
+    return SentenceModel(float(bias), dict(zip(kept.tolist(), w[kept].tolist(), strict=True)))
 
 
 class WordWeights(dict):
-    """Weight of the words met so far whose first letters begin some weighted feature."""
+    """Weights of the words met so far, forgotten together when there are too many."""
 
     def __init__(self, model: SentenceModel) -> None:
         super().__init__()
         self.model = model
-        self.starts = frozenset(f[1:5] if f[:1] == b"=" else f[:4] for f in model.weights)
 
     def __missing__(self, word: bytes) -> float:
         if len(self) > WORDS_KEPT:
             self.clear()
-        self[word] = total = sum(self.model.weights.get(f, 0.0) for f in word_features(word))
+        weights = self.model.weights
+        self[word] = total = sum([weights.get(f, 0.0) for f in word_features(word)])
         return total
 
 
 def sentence_chances(text: str | None, weights: WordWeights) -> tuple[np.ndarray, list[int]]:
     """(chance of each sentence with words, its number among all stretches)."""
-    bias, starts = weights.model.bias, weights.starts
+    bias = weights.model.bias
     logits, numbers = [], []
     for k, part in enumerate(sentences(text)):
         if words := part.split():
-            logits.append(bias + sum([weights[w] for w in words if w[:4] in starts]))
+            logits.append(bias + sum([weights[w] for w in words]))
             numbers.append(k)
     return 1 / (1 + np.exp(-np.clip(np.array(logits), -30, 30))), numbers
 
@@ -150,12 +197,12 @@ def sentence_spans(text: str, numbers: list[int]) -> list[tuple[int, int]]:
 SCORED = "score double, predicted int, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: SentenceModel, limit: float, inside: str | None = None) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: SentenceModel, limit: float) -> Iterator[pa.RecordBatch]:
     weights = WordWeights(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     for b in batches:
         score, count, spans = [], [], []
-        for text in (b.column("doc").field(inside) if inside else b.column("text")).to_pylist():
+        for text in (x.as_py() for x in b.column("text")):
             chances, numbers = sentence_chances(text, weights)
             score.append(noisy_or(chances))
             count.append(len(chances))
@@ -168,40 +215,50 @@ def _score(batches: Iterator[pa.RecordBatch], model: SentenceModel, limit: float
         yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted", "n_sentences", "offending"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, most_per_class: int) -> DataFrame:
-    """(text, toxic, share): a sample by hash of the id of about ``most_per_class`` rows a class."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, most_per_class: int, most_chars: int) -> DataFrame:
+    """(text, toxic, share): a sample by hash of the id of about ``most_per_class`` rows and ``most_chars`` characters a class.
+
+    A text longer than a quarter of ``most_chars`` is never in the sample.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isin(0, 1)).groupBy(id_col).agg(F.max(toxic_col).cast("int").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
-    rate = {k: min(1.0, most_per_class / c) for k, c in n.items()}
-    if not n:
+    size = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
+    sizes = docs.select(F.col(id_col).alias("_id"), size.alias("size")).where(F.col("size") * 4 <= most_chars)
+    labelled = sizes.join(known.select(F.col(id_col).alias("_id"), "toxic"), "_id")
+    totals = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).collect()  # two rows at most
+    rate = {r["toxic"]: min(1.0, most_per_class / r["n"], most_chars / max(1, r["chars"])) for r in totals}
+    if not rate:
         return docs.sparkSession.createDataFrame([], "text string, toxic int, share double")
     chance = F.when(F.col("toxic") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(at < chance).select(F.col(id_col).alias("_id"), "toxic", (1 / chance).alias("share"))
-    picked = F.broadcast(picked)  # about 2 * most_per_class ids and numbers, whatever the input
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").select("text", "toxic", "share")
+    texts = docs.where(size * 4 <= most_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    return texts.join(picked, "_id").select("text", "toxic", "share")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", most_per_class: int = 4000) -> SentenceModel:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic",
+    most_per_class: int = 4000, most_chars: int = 8_000_000,
+) -> SentenceModel:
     """Model learned from labelled documents.
 
-    The fit sees at most about ``most_per_class`` documents of each class, chosen by a hash
-    of their id and weighted back to the classes' sizes; this bounds the one task that fits,
-    and only the weights come to the driver.  Labels other than 0 and 1 and null ids are left
-    out; of repeated labels the largest counts; without both classes the model is constant.
+    The fit sees at most about ``most_per_class`` documents and ``most_chars`` characters of
+    each class, chosen by a hash of their id and weighted back to the classes' sizes; this
+    bounds the one task that fits, and only the weights come to the driver.  Labels other
+    than 0 and 1 and null ids are left out; of repeated labels the largest counts; without
+    both classes the model is constant.
     """
-    sample = training_rows(docs, labels, id_col, text_col, toxic_col, most_per_class)
-    fitted = sample.repartition(1).sortWithinPartitions("toxic", "text").mapInArrow(_fit, "feature binary, weight double").collect()
+    sample = training_rows(docs, labels, id_col, text_col, toxic_col, most_per_class, most_chars)
+    fitted = sample.repartition(1).sortWithinPartitions("toxic", "text").mapInArrow(_fit, "feature int, weight double").collect()
     bias = [r["weight"] for r in fitted if r["feature"] is None]
-    return SentenceModel(bias[0] if bias else SentenceModel.bias, {bytes(r["feature"]): r["weight"] for r in fitted if r["feature"] is not None})
+    return SentenceModel(bias[0] if bias else SentenceModel.bias, {r["feature"]: r["weight"] for r in fitted if r["feature"] is not None})
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sample's rows to the model's: a weight for each feature, the bias without one."""
+    """The sample's rows to the model's: a weight for each feature place, the bias without one."""
     held = [b for b in batches if len(b)]
     toxic, share = (np.concatenate([b.column(c).to_numpy() for b in held]) if held else np.empty(0) for c in ("toxic", "share"))
     model = learn((x.as_py() for b in held for x in b.column("text")), toxic.astype(np.int64), share)
-    yield pa.RecordBatch.from_arrays([pa.array([None, *model.weights], pa.binary()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
+    yield pa.RecordBatch.from_arrays([pa.array([None, *model.weights], pa.int32()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
 
 
 def toxicity(docs: DataFrame, model: SentenceModel, text_col: str = "text", keep: list[str | Column] | None = None, limit: float = 0.5) -> DataFrame:
@@ -219,7 +276,16 @@ def toxicity(docs: DataFrame, model: SentenceModel, text_col: str = "text", keep
 
 
 def drop_toxic(docs: DataFrame, model: SentenceModel, text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
-    """The input rows whose score is under ``reject_from``; columns as they are, whatever their names."""
-    fields = StructType([StructField("doc", docs.schema), *StructType.fromDDL(SCORED).fields])
-    scored = docs.select(F.struct("*").alias("doc")).mapInArrow(partial(_score, model=model, limit=0.5, inside=text_col), fields)
-    return scored.where(F.col("score") < reject_from).select("doc.*")
+    """The input rows whose score is under ``reject_from``; columns as they are, whatever their names.
+
+    Only the text goes through Python; null, empty and wordless texts score 0 and stay, equal
+    rows share their fate, an empty table stays empty.
+    """
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = WordWeights(model)
+        for texts in batches:
+            yield pa.array([noisy_or(sentence_chances(t.as_py(), weights)[0]) for t in texts], pa.float64())
+
+    return docs.where(score(F.col(text_col)) < reject_from)

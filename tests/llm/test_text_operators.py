@@ -231,13 +231,71 @@ def test_toxicity_learns_from_documents_and_finds_sentences():
     assert text[start:end] == "What a BLIMPET thing to say"
 
 
-def test_noisy_or_gradient_is_the_likelihoods():
-    """One sentence a document is plain logistic regression: both classes are told apart."""
-    model = toxicity.learn(["aaaa"] * 50 + ["bbbb"] * 50, np.array([1] * 50 + [0] * 50), np.ones(100))
+def plain_score(text, model):
+    """The score by its definition: words, features, sentences, one after another."""
+    clean = 1.0
+    for part in re.split("[.!?\n]", (text or "").lower()):
+        words = re.findall(r"(?:[^\W\d_]|[^\x00-\x7f])+", part)
+        if not words:
+            continue
+        total = model.bias
+        for w in (w.encode() for w in words):
+            for f in [b"=" + w] + [w[:k] for k in range(4, 11) if len(w) >= k]:
+                total += model.weights.get(zlib.crc32(f) % toxicity.FEATURES, 0.0)
+        clean *= 1 - 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+    return 1 - clean
+
+
+def test_toxicity_scores_match_their_definition():
+    texts, toxic = toxic_table(120)
+    model = toxicity.learn(texts, toxic, np.ones(120))
     weights = toxicity.WordWeights(model)
-    score = lambda t: toxicity.noisy_or(toxicity.sentence_chances(t, weights)[0])
-    assert score("aaaa") > 0.5 > score("bbbb") and score("") == score(None) == 0.0
-    assert score("bbbb. aaaa. bbbb") >= score("aaaa") - 1e-9
+    for text in [*texts, "", None, "Été!! 12 snarfle_grolt.\n\nBLIMPET?", "..."]:
+        assert abs(toxicity.noisy_or(toxicity.sentence_chances(text, weights)[0]) - plain_score(text, model)) < 1e-9
+
+
+def test_noisy_or_gradient_is_the_likelihoods():
+    """Slopes against differences of the loss, over several chunks and documents without words."""
+    texts, toxic = toxic_table(40)
+    texts[3] = texts[17] = None
+    parts = list(toxicity.chunks(texts, at_once=400))
+    assert len(parts) > 3
+    y, share = toxic.astype(float), np.full(40, 1 / 40)
+    rng = np.random.default_rng(4)
+    used = np.unique(np.concatenate([c.feature for c in parts]))
+    w = np.zeros(toxicity.FEATURES)
+    w[used] = rng.normal(0, 0.3, len(used))
+    g, gb, loss = toxicity.slopes(parts, y, share, w, -1.0)
+    model = toxicity.SentenceModel(-1.0, dict(zip(used.tolist(), w[used].tolist(), strict=True)))
+    chance = np.clip([plain_score(t, model) for t in texts], 1e-9, 1)
+    assert abs(loss + np.mean(np.where(y == 1, np.log(chance), np.log1p(-np.minimum(chance, 1 - 1e-15))))) < 1e-6
+    for k in used[:: max(1, len(used) // 25)]:
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((toxicity.slopes(parts, y, share, up, -1.0)[2] - toxicity.slopes(parts, y, share, down, -1.0)[2]) / 2e-5 - g[k]) < 1e-6
+    assert abs((toxicity.slopes(parts, y, share, w, -1.0 + 1e-5)[2] - toxicity.slopes(parts, y, share, w, -1.0 - 1e-5)[2]) / 2e-5 - gb) < 1e-6
+
+
+def test_fit_of_distinct_words_is_bounded_by_its_bytes():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnop"), (60, 9)).view("U1").reshape(60, 9).astype(object).sum(axis=1)) for _ in range(4000)]
+    tracemalloc.start()
+    toxicity.learn(texts, np.arange(4000) % 2, np.ones(4000), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000, peak  # 240,000 distinct words
+
+
+def test_training_sample_is_bounded_by_rows_and_characters(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('word ', 20) as text").union(spark.sql("select 1000L, repeat('long ', 10000)"))
+    labels = spark.range(1001).selectExpr("id as doc_id", "int(id % 2) as toxic")
+    rows = lambda *most: toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", *most).collect()
+    assert len(rows(1000, 1_000_000)) == 401
+    assert 20 < len(rows(40, 1_000_000)) < 160 and 20 < len(rows(1000, 4_000)) < 160
+    assert max(len(r.text) for r in rows(1000, 100_000)) == 100
 
 
 def test_toxicity_edges(spark, edge_docs, no_docs):
