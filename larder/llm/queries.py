@@ -13,6 +13,7 @@ from larder.llm.html_text import extract_text
 from larder.llm.licenses import scan_licenses
 from larder.llm.mixing import mix
 from larder.llm.packing import pack
+from larder.llm.polytope import near_duplicates
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
 from larder.llm.topk import exact_topk, usable
@@ -30,6 +31,18 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: All pairs, and what can be reached over links.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1), c AS (SELECT a AS vec_id, min(b) AS least FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
 #: The schedule is simulated slot by slot; documents are counted with plain running sums.
 MIXING_SQL = """
 WITH RECURSIVE d AS (
@@ -196,3 +209,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical turns of every conversation."""
     return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_polytope", NEAR_VECTORS_SQL)
+def op13_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
