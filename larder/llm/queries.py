@@ -14,6 +14,7 @@ from larder.llm.licenses import scan_licenses
 from larder.llm.mixing import mix
 from larder.llm.packing import pack
 from larder.llm.polytope import near_duplicates
+from larder.llm.prefix_trie import numbered_turns, prefix_trie, share_beginnings
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
 from larder.llm.topk import exact_topk, usable
@@ -43,6 +44,32 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, ve
 FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
 
+#: Beginnings as whole strings of turn digests; subtrees by comparing beginnings.
+TRIE_SQL = """
+WITH RECURSIVE ids AS (
+  SELECT conv_id, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, byte: list_reduce(list_concat([xor(c, byte)], list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(crc, 4294967295) % 6 AS h FROM ids),
+o AS (
+  SELECT conv_id, length(t) AS size, md5(r) || md5(t) AS digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+), both AS (
+  SELECT c.conv_id, 0 AS part, pos, size, digest FROM c JOIN o ON o.conv_id = c.head AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, size, digest FROM c JOIN o USING (conv_id) WHERE pos > h
+), d AS (SELECT conv_id, size, digest, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM both),
+p AS (
+  SELECT conv_id, depth, size, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM d
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), n AS (SELECT depth, path, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY depth, path),
+k AS (SELECT depth - 1 AS depth, left(path, 64 * (depth - 1)) AS path, count(*) AS kids FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (depth, path)),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path),
+s AS (SELECT u.path, count_if(v.kids = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.size) AS BIGINT) AS saved FROM f AS u JOIN f AS v ON starts_with(v.path, u.path) GROUP BY u.path)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.kids AS n_children, n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n AS up ON up.depth = f.depth - 1 AND up.path = left(f.path, 64 * (f.depth - 1))
+"""
+
 #: The schedule is simulated slot by slot; documents are counted with plain running sums.
 MIXING_SQL = """
 WITH RECURSIVE d AS (
@@ -215,3 +242,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9 or more."""
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@_query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt so that those of a hundred share beginnings."""
+    return prefix_trie(*share_beginnings(numbered_turns(_table(spark, sf_dir, "conversations")), group=100, most=6))
