@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.llm.ann import approximate_topk
 from larder.llm.chat import format_chats
 from larder.llm.html_text import extract_text
+from larder.llm.lexical import LOWER, UPPER, WORD, ranked_search
 from larder.llm.licenses import scan_licenses
 from larder.llm.mixing import mix
 from larder.llm.packing import pack
@@ -18,7 +19,7 @@ from larder.llm.prefix_trie import numbered_turns, prefix_trie, share_beginnings
 from larder.llm.simhash import simhash_groups
 from larder.llm.toxicity import toxicity, train
 from larder.llm.topk import exact_topk, usable
-from larder.llm.urls import GRAMS, HEX_DIGITS, LABELLED, LOWER, UPPER, filter_urls, labelled_urls
+from larder.llm.urls import GRAMS, HEX_DIGITS, LABELLED, filter_urls, labelled_urls
 from larder.llm.urls import train as train_urls
 
 TOPK_SQL = """
@@ -70,6 +71,19 @@ SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.kids AS n_
 FROM f JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n AS up ON up.depth = f.depth - 1 AND up.path = left(f.path, 64 * (f.depth - 1))
 """
 
+#: Every document that holds a term of an item is scored.
+RANKED_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS t FROM documents),
+s AS (SELECT count_if(len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT r, term, any_value(doc_id) AS doc_id, any_value(n) AS n, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+i AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS impact FROM p JOIN w USING (term), s),
+f AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id HAVING sum(impact) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 #: The schedule is simulated slot by slot; documents are counted with plain running sums.
 MIXING_SQL = """
 WITH RECURSIVE d AS (
@@ -248,3 +262,9 @@ def op13_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, rebuilt so that those of a hundred share beginnings."""
     return prefix_trie(*share_beginnings(numbered_turns(_table(spark, sf_dir, "conversations")), group=100, most=6))
+
+
+@_query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
