@@ -231,6 +231,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chance = F.when(F.col("toxic") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(at < chance).select(F.col(id_col).alias("_id"), "toxic", (1 / chance).alias("share"))
+    picked = F.broadcast(picked)  # counted above: about most_per_class ids and numbers a class, whatever the input
     texts = docs.where(size * 4 <= most_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     return texts.join(picked, "_id").select("text", "toxic", "share")
 
