@@ -66,7 +66,7 @@ class Chunk:
     words: int
 
 
-def chunks(texts: Iterable[str | None], at_once: int = 1 << 21) -> Iterator[Chunk]:
+def chunks(texts: Iterable[str | None], at_once: int = 1 << 23) -> Iterator[Chunk]:
     """The texts' words and sentences, cut after about ``at_once`` characters.
 
     Nothing outlives a chunk but its arrays, which are bounded by the bytes read: a word of
@@ -98,7 +98,7 @@ def chunks(texts: Iterable[str | None], at_once: int = 1 << 21) -> Iterator[Chun
 
 
 def slopes(parts: list[Chunk], y: np.ndarray, share: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float, float]:
-    """(gradient by feature place, gradient by bias, loss) of the noisy-or likelihood."""
+    """(gradient by feature, gradient by bias, loss) of the noisy-or likelihood."""
     g, gb, loss = np.zeros(len(w)), 0.0, 0.0
     seen = np.zeros(len(y), bool)
     for c in parts:
@@ -134,9 +134,14 @@ def learn(texts: Iterable[str | None], toxic: np.ndarray, share: np.ndarray, epo
     parts = list(chunks(texts))
     if not parts:
         return SentenceModel(bias=-30.0)
+    used = np.unique(np.concatenate([np.unique(c.feature) for c in parts]))
+    place = np.zeros(FEATURES, np.int32)
+    place[used] = np.arange(len(used))
+    for c in parts:
+        c.feature = place[c.feature]
     y, share = toxic.astype(np.float64), share / share.sum()
-    w, bias = np.zeros(FEATURES), -4.0
-    m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
+    w, bias = np.zeros(len(used)), -4.0
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, epochs + 1):
         g, gb, _ = slopes(parts, y, share, w, bias)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -146,7 +151,7 @@ def learn(texts: Iterable[str | None], toxic: np.ndarray, share: np.ndarray, epo
         w = np.sign(w) * np.maximum(np.abs(w) - step * shrink, 0)
         bias -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-6)
     kept = np.flatnonzero(np.abs(w) > 1e-3)
-    return SentenceModel(float(bias), dict(zip(kept.tolist(), w[kept].tolist(), strict=True)))
+    return SentenceModel(float(bias), dict(zip(used[kept].tolist(), w[kept].tolist(), strict=True)))
 
 
 class WordWeights(dict):

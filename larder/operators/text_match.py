@@ -1,18 +1,17 @@
 """Regular-expression and dictionary matching over whole texts.
 
 Match rows carry ``start``/``end`` offsets into the text (0-based, end exclusive).
-Everything runs in the JVM except the tokeniser of the big-dictionary path.
+Patterns run in the JVM, dictionaries over Arrow batches of lower-cased texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larder.functions.binding import bind
 
@@ -21,7 +20,7 @@ WORD = "[A-Za-z0-9_]"
 _DOTTED_I = "İ"  # the one letter whose lower case is longer
 _MARK = ""
 
-MAX_REGEX_TERMS = 2_000
+MOST_TERM_CHARS = 4_000_000  # of dictionaries that become an index in the tasks
 
 
 _MATCHES = "array<struct<raw:string,g:array<string>,start:int,end:int>>"
@@ -135,33 +134,6 @@ def regex_extract(df: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str
     return rows.select(*keep, "seq", "name", "m.*")
 
 
-def _trie_pattern(terms: Sequence[str]) -> str:
-    """Alternation with shared prefixes; longer continuations first."""
-    tree: dict = {}
-    for term in terms:
-        node = tree
-        for char in term:
-            node = node.setdefault(char, {})
-        node[""] = {}
-
-    def render(node: dict) -> str:
-        if set(node) == {""}:
-            return ""
-        branches = [("\\" + c if not c.isalnum() and c.isascii() else c) + render(child) for c, child in node.items() if c]
-        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-        return f"(?:{body})?" if "" in node else body
-
-    return render(tree)
-
-
-def small_terms(terms: DataFrame, limit: int = MAX_REGEX_TERMS) -> list[str]:
-    """Lower-cased patterns, ``limit`` at most (a bounded read tells)."""
-    rows = terms.select(F.lower("pattern").alias("p")).where("p <> ''").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} terms: match them joined")
-    return sorted(r["p"] for r in rows)
-
-
 def lowered(text: Column) -> Column:
     """Lower case of the same length: the dotted capital I becomes a marker."""
     return F.lower(F.translate(text, _DOTTED_I, _MARK))
@@ -177,75 +149,197 @@ def normalised_terms(terms: DataFrame) -> DataFrame:
     )
 
 
+class TermIndex:
+    """Dictionaries of bounded size as one hash index of their patterns.
+
+    A match begins at a word (or at a separator that begins some pattern) whose left
+    neighbour is no word character.  ``lengths`` tells for a first word which pattern
+    lengths to look up there, longest first; most words of a text begin no pattern and
+    cost one look.
+    """
+
+    def __init__(self, patterns: dict[str, tuple[int, ...]]) -> None:
+        self.patterns = patterns
+        lengths: dict[str, set[int]] = {}
+        for p in patterns:
+            lengths.setdefault(first_word(p), set()).add(len(p))
+        self.lengths = {w: sorted(n, reverse=True) for w, n in lengths.items()}
+        self.starts = starts_of(self.lengths)
+
+    def matches(self, low: str, dictionaries: int) -> list[tuple[int, int, int, str]]:
+        """(dictionary, start, end, pattern): leftmost, longest, not overlapping in each dictionary."""
+        out, free = [], [0] * dictionaries
+        for m in self.starts.finditer(low):
+            word = m.group()
+            sizes = self.lengths.get(word if word[-1] != _MARK else word[:-1] + "i")
+            if sizes is None:
+                continue
+            at, done = m.start(), set()
+            for n in sizes:
+                term, end = low[at : at + n], at + n
+                if len(term) < n or low[end : end + 1] in _WORD_CHARS:
+                    continue
+                if term[-1] == _MARK:
+                    term = term[:-1] + "i"
+                for d in self.patterns.get(term, ()):
+                    if d not in done and at >= free[d]:
+                        out.append((d, at, end, term))
+                        free[d] = end
+                        done.add(d)
+        return out
+
+
+# a marker is the first half of a lower-cased dotted capital, an "i": no word ends before it
+_WORD_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_" + _MARK)
+
+
+def first_word(pattern: str) -> str:
+    """The word a pattern begins with, or its first character."""
+    return re.match(rf"{WORD}+|.", pattern, re.S).group()
+
+
+def starts_of(words: Iterable[str]) -> re.Pattern:
+    """Where a match may begin: at words, and at the separators among ``words``."""
+    marks = "".join(sorted({re.escape(w) for w in words if not re.match(WORD, w)}))
+    return re.compile(rf"(?<!{WORD})(?:{WORD}+{_MARK}?" + (f"|[{marks}])" if marks else ")"))
+
+
+_SPAN = "array<struct<dictionary:int,start:int,end:int,pattern:string>>"
+
+
+def term_spans(low: Column, patterns: dict[str, tuple[int, ...]], dictionaries: int = 1) -> Column:
+    """``array<struct<dictionary,start,end,pattern>>`` of a lower-cased text (Arrow batches).
+
+    ``patterns``: which dictionaries hold a pattern; its size is the caller's to check.
+    """
+    kind = pa.list_(pa.struct([("dictionary", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())]))
+
+    @F.arrow_udf(_SPAN)
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = TermIndex(patterns)
+        for texts in batches:
+            found = [index.matches(t, dictionaries) if t else [] for t in (x.as_py() for x in texts)]
+            yield pa.array([[dict(zip(("dictionary", "start", "end", "pattern"), m, strict=True)) for m in row] for row in found], kind)
+
+    return spans(low)
+
+
+def collected_terms(tables: Sequence[DataFrame], most_chars: int) -> list[dict[str, tuple[int, ...]] | None]:
+    """Per table its patterns, or None from the table on whose characters pass ``most_chars`` together.
+
+    Sizes are counted before anything is read.
+    """
+    out, left = [], most_chars
+    for table in tables:
+        size = table.agg(F.sum(F.length("pattern") + 8)).first()[0] or 0
+        fits = size <= left
+        left -= size if fits else 0
+        out.append({r["pattern"]: None for r in table.select("pattern").toLocalIterator()} if fits else None)
+    return out
+
+
+def match_dictionaries(df: DataFrame, dictionaries: dict[str, DataFrame], keep: Sequence[str] = ("doc_id",), text_col: str = "text", most_chars: int = MOST_TERM_CHARS) -> dict[str, DataFrame]:
+    """Matches of several dictionaries in one reading of the texts, by name; see ``dict_match``.
+
+    Dictionaries of up to ``most_chars`` characters together become one index in the tasks;
+    larger ones meet the texts in a join of their own, with the same matches.
+    """
+    tables = {n: normalised_terms(t) for n, t in dictionaries.items()}
+    held = dict(zip(tables, collected_terms(list(tables.values()), most_chars), strict=True))
+    small = [n for n, h in held.items() if h is not None]
+    out = {}
+    if small:
+        low, text = lowered(F.col(text_col)), F.col(text_col)
+        rows = df.select(*keep, F.explode(shown_spans(text, term_spans(low, numbered(held, small), len(small)))).alias("m"))
+        for d, name in enumerate(small):
+            mine = rows.where(F.col("m.dictionary") == d).select(*keep, "m.pattern", "m.start", "m.end", "m.matched")
+            out[name] = mine.join(tables[name], "pattern")
+    for name, h in held.items():
+        if h is None:
+            out[name] = dict_match_join(df, dictionaries[name], keep, text_col)
+    return out
+
+
+def numbered(held: dict[str, dict | None], names: Sequence[str]) -> dict[str, tuple[int, ...]]:
+    """Which of the named dictionaries, by place, hold a pattern."""
+    out: dict[str, tuple[int, ...]] = {}
+    for d, name in enumerate(names):
+        for p in held[name]:
+            out[p] = (*out.get(p, ()), d)
+    return out
+
+
+def shown_spans(text: Column, spans: Column) -> Column:
+    """Spans with the stretch of the original text, built before rows are made of them."""
+    return F.transform(spans, lambda m: m.withField("matched", F.substring(text, m["start"] + 1, m["end"] - m["start"])))
+
+
 def dict_match(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text",
-               joined: bool = False) -> DataFrame:
+               joined: bool = False, most_chars: int = MOST_TERM_CHARS) -> DataFrame:
     """Keyword dictionary matches: case-insensitive, leftmost, longest, non-overlapping.
 
-    ``terms``: (key, name, pattern, ...) becomes one prefix-shared alternation evaluated
-    inside codegen'd projections; it may have ``MAX_REGEX_TERMS`` terms at most.  Callers with
-    larger dictionaries ask for ``joined``: texts and terms meet by first word.
+    ``terms``: (key, name, pattern, ...), of any size: up to ``most_chars`` characters they
+    are an index in the tasks, beyond that (or with ``joined``) texts and terms meet by
+    first word.
     """
     if joined:
         return dict_match_join(df, terms, keep, text_col)
-    patterns = small_terms(terms)
-    if not patterns:
-        patterns = [_MARK * 2]
-    # a final "i" may be the first half of a lower-cased dotted capital
-    variants = patterns + [p[:-1] + _MARK for p in patterns if p.endswith("i")]
-    pattern = f"(?<!{WORD}){_trie_pattern(variants)}(?!{WORD})"
-    low = lowered(F.col(text_col))
-    rows = df.select(*keep, text_col).where(low.rlike(pattern))
-    rows = rows.select(*keep, text_col, F.explode(match_array(low, pattern)).alias("m"))
-    rows = rows.select(
-        *keep,
-        F.regexp_replace(F.col("m.raw"), _MARK + "$", "i").alias("pattern"),
-        F.col("m.start").alias("start"),
-        F.col("m.end").alias("end"),
-        F.substring(F.col(text_col), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("matched"),
-    )
-    return rows.join(normalised_terms(terms), "pattern")
+    return match_dictionaries(df, {"terms": terms}, keep, text_col, most_chars)["terms"]
 
 
-_GRAM = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("gram", T.StringType())])
+_GRAM = "array<struct<start:int,word:string,gram:string,shown:string>>"
 
 
-@F.pandas_udf(T.ArrayType(_GRAM))
-def _word_grams(texts: pd.Series, size: pd.Series) -> pd.Series:
-    """Possible match starts with the following ``size`` characters.
+def word_grams(low: Column, text: Column, widths: dict[str, int] | None, width: int) -> Column:
+    """Possible match starts with the characters that follow, lower-cased and as they are.
 
-    A start is a word, or a separator whose left neighbour is no word character.
+    ``widths``: for each first word how far its longest pattern reaches; other words give
+    no row.  None: every word with the next ``width`` characters.
     """
-    starts = re.compile(rf"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]+{_MARK}?|[^A-Za-z0-9_])")
-    width = int(size.iloc[0]) if len(size) else 0
-    return texts.map(
-        lambda t: [{"start": m.start(), "word": m.group(), "gram": t[m.start():m.start() + width]} for m in starts.finditer(t)] if t else []
-    )
-
-
-def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("word", pa.string()), ("gram", pa.string()), ("shown", pa.string())]))
+
+    @F.arrow_udf(_GRAM)
+    def grams(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        any_start = re.compile(rf"(?<!{WORD})(?:{WORD}+{_MARK}?|[^A-Za-z0-9_])")
+        starts = any_start if widths is None else starts_of(widths)
+        for lows, texts in batches:
+            out = []
+            for t, shown in zip(lows.to_pylist(), texts.to_pylist(), strict=True):
+                row = []
+                for m in starts.finditer(t or ""):
+                    word = m.group().replace(_MARK, "i")
+                    n = width if widths is None else widths.get(word, 0)
+                    if n:
+                        at = m.start()
+                        row.append({"start": at, "word": word, "gram": t[at : at + n + 1], "shown": shown[at : at + n]})
+                out.append(row)
+            yield pa.array(out, kind)
+
+    return grams(low, text)
+
+
+def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", most_first_words: int = 500_000) -> DataFrame:
     """``dict_match`` for dictionaries of any size: equi-join on the first word.
 
-    Hot words (articles, units) are spread by salting the text side and repeating only
-    the dictionary rows of such words; the join then verifies the whole pattern.
+    Up to ``most_first_words`` different first words are told to the readers of the texts,
+    so that other words make no row; hot words (articles, units) are spread by salting the
+    text side and repeating the dictionary rows.  The join then verifies the whole pattern.
     """
-    table = normalised_terms(terms).withColumn("word", F.regexp_extract("pattern", rf"^(?:{WORD}+|.)", 0))
-    width = (table.agg(F.max(F.length("pattern")).alias("n")).first()["n"] or 0) + 1
-    low = lowered(F.col(text_col))
-    grams = df.select(*keep, text_col).select(*keep, text_col, F.explode(_word_grams(low, F.lit(width))).alias("w")).select(*keep, text_col, "w.*")
-    grams = grams.withColumn("word", F.replace("word", F.lit(_MARK), F.lit("i"))).drop(text_col)
+    table = normalised_terms(terms).withColumn("word", F.regexp_extract("pattern", rf"(?s)^(?:{WORD}+|.)", 0))
+    firsts = table.groupBy("word").agg(F.max(F.length("pattern")).alias("n"))
+    n_first, width = firsts.agg(F.count(F.lit(1)), F.max("n")).first()
+    widths = {r["word"]: r["n"] for r in firsts.toLocalIterator()} if n_first <= most_first_words else None
+    grams = df.select(*keep, F.explode(word_grams(lowered(F.col(text_col)), F.col(text_col), widths, width or 0)).alias("w")).select(*keep, "w.*")
     salts = 16
     salted = grams.withColumn("salt", F.pmod(F.xxhash64(*keep, "start"), F.lit(salts)).cast("int"))
     repeated = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    whole = F.col("gram").startswith(F.col("pattern")) & ~F.substring(F.col("gram"), F.length("pattern") + 1, F.lit(1)).rlike(WORD)
+    n = F.length("pattern")
+    inside = F.substring(F.col("gram"), n + 1, F.lit(1)).rlike(f"{WORD}|{_MARK}")
     # a final "i" may be the first half of a lower-cased dotted capital
     dotted = F.col("pattern").endswith("i") & F.col("gram").startswith(F.regexp_replace("pattern", "i$", _MARK))
-    hits = salted.join(repeated, ["word", "salt"]).where(whole | dotted)
-    hits = hits.withColumn("end", F.col("start") + F.length("pattern")).drop("gram", "word", "salt")
-    chosen = leftmost_longest(hits, keep)
-    texts = df.select(*keep, F.col(text_col).alias("__text"))
-    return chosen.join(texts, list(keep)).withColumn(
-        "matched", F.substring(F.col("__text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    ).drop("__text")
+    hits = salted.join(repeated, ["word", "salt"]).where((F.col("gram").startswith(F.col("pattern")) | dotted) & ~inside)
+    hits = hits.withColumns({"end": F.col("start") + n, "matched": F.substring("shown", F.lit(1), n)}).drop("gram", "shown", "word", "salt")
+    return leftmost_longest(hits, keep)
 
 
 def leftmost_longest(hits: DataFrame, keep: Sequence[str]) -> DataFrame:
