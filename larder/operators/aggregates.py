@@ -128,10 +128,11 @@ def image_language_share(counts: Column) -> Column:
     return F.transform_values(langs, lambda k, v: v * 100 / words)
 
 
-def orientation_mode(words: DataFrame, key: str = "source_image") -> DataFrame:
+def orientation_mode(words: DataFrame, *keys: str) -> DataFrame:
     """Most common word orientation and the counts; images without words are unknown."""
-    counts = words.groupBy(key, "orientation").agg(F.count("orientation").alias("n"))
-    return counts.groupBy(key).agg(
+    keys = keys or ("source_image",)
+    counts = words.groupBy(*keys, "orientation").agg(F.count("orientation").alias("n"))
+    return counts.groupBy(*keys).agg(
         F.coalesce(F.max_by("orientation", F.when(F.col("n") > 0, F.struct("n", "orientation"))), F.lit("unknown")).alias("orientation"),
         F.map_from_entries(F.collect_list(F.when(F.col("n") > 0, F.struct("orientation", "n")))).alias("count"),
     )

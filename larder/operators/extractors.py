@@ -6,14 +6,19 @@ rows (PREDICTION_COLUMNS) plus the match span.  ``data`` is a JSON string.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import fixed
 from larder.functions import boxes, measures, text
-from larder.operators.text_match import dict_match, match_array, regex_extract
+from larder.operators.text_match import (
+    MOST_TERM_CHARS, collected_terms, dict_match, dict_match_join, match_array, match_dictionaries, normalised_terms, regex_extract, scan_texts,
+)
+from larder.session import cut_lineage
 
 VERSION = "1"
 PREDICTION_COLUMNS = [
@@ -44,24 +49,55 @@ def predictions(df: DataFrame, keep: Sequence[str], type: str, data: dict[str, C
     )
 
 
-def extract_packager_code(df: DataFrame, fishing: DataFrame | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class TextType:
+    """What one prediction type looks for in texts, and how matches become predictions.
+
+    ``finish`` takes (rows of the patterns, rows of each dictionary, keep).
+    """
+
+    patterns: Sequence[tuple]
+    finish: Callable[[DataFrame, dict[str, DataFrame], Sequence[str]], DataFrame]
+    dictionaries: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def extract_type(df: DataFrame, kind: TextType, keep: Sequence[str], text_col: str) -> DataFrame:
+    """Predictions of one type, lazily."""
+    hits = match_dictionaries(df, kind.dictionaries, keep, text_col) if kind.dictionaries else {}
+    return kind.finish(regex_extract(df, kind.patterns, keep, text_col) if kind.patterns else None, hits, keep)
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def packager_code_type(fishing: DataFrame | None = None) -> TextType:
     """Six pattern families in canonical spelling, and the fishing-code dictionary."""
-    found = regex_extract(df, _table(fixed.PACKAGER_PATTERNS), keep, text_col)
-    g = F.col("g")
-    value = (
-        F.when(F.col("name") == "fr_emb", F.upper(F.concat(F.lit("EMB "), F.replace(g[0], F.lit(" "), F.lit("")), g[1])))
-        .when(F.col("name") == "fsc", F.upper(F.concat(F.lit("FSC-"), g[0])))
-        .when(F.col("name") == "eu_fr", F.upper(F.concat(F.lit("FR "), F.concat_ws(".", g[0], g[1], g[2]), F.lit(" EC"))))
-        .when(F.col("name") == "eu_de", F.upper(F.concat(F.lit("DE "), g[0], F.lit("-"), g[1], F.lit(" EC"))))
-        .otherwise(F.col("raw"))
-    )
-    out = predictions(found, keep, "packager_code", {"raw": F.col("raw"), "type": F.col("name")}, value=value, automatic=True)
-    if fishing is None:
-        return out
-    hits = dict_match(df, fishing, keep, text_col)
-    return out.unionByName(
-        predictions(hits, keep, "packager_code", {"raw": F.col("matched"), "type": F.lit("fishing")}, value=F.col("key"), automatic=True, predictor="flashtext")
-    )
+
+    def finish(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        g = F.col("g")
+        value = (
+            F.when(F.col("name") == "fr_emb", F.upper(F.concat(F.lit("EMB "), F.replace(g[0], F.lit(" "), F.lit("")), g[1])))
+            .when(F.col("name") == "fsc", F.upper(F.concat(F.lit("FSC-"), g[0])))
+            .when(F.col("name") == "eu_fr", F.upper(F.concat(F.lit("FR "), F.concat_ws(".", g[0], g[1], g[2]), F.lit(" EC"))))
+            .when(F.col("name") == "eu_de", F.upper(F.concat(F.lit("DE "), g[0], F.lit("-"), g[1], F.lit(" EC"))))
+            .otherwise(F.col("raw"))
+        )
+        out = predictions(found, keep, "packager_code", {"raw": F.col("raw"), "type": F.col("name")}, value=value, automatic=True)
+        if "fishing" not in hits:
+            return out
+        return out.unionByName(
+            predictions(hits["fishing"], keep, "packager_code", {"raw": F.col("matched"), "type": F.lit("fishing")}, value=F.col("key"), automatic=True, predictor="flashtext")
+        )
+
+    return TextType(_table(fixed.PACKAGER_PATTERNS), finish, {} if fishing is None else {"fishing": fishing})
+
+
+def extract_packager_code(df: DataFrame, fishing: DataFrame | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, packager_code_type(fishing), keep, text_col)
 
 
 def _groups(pattern: str) -> list[int]:
@@ -75,24 +111,30 @@ def _table(patterns: Sequence[tuple[str, str, str]]) -> list[tuple]:
     return [(n, f, p, _groups(p), fixed.PATTERN_LITERALS.get(n, [])) for n, f, p in patterns]
 
 
-def extract_label(df: DataFrame, dictionary: DataFrame | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def label_type(dictionary: DataFrame | None = None) -> TextType:
     """Label patterns (organic codes formatted) and the label dictionary."""
-    found = regex_extract(df, _table(fixed.LABEL_PATTERNS), keep, text_col)
-    g = F.col("g")
-    body = F.lower(F.translate(F.try_element_at(g, F.lit(2)), "öø", "oo"))
-    organic = F.concat(F.lit("en:"), F.lower(F.try_element_at(g, F.lit(1))), F.lit("-"), body, F.lit("-"), F.lower(F.try_element_at(g, F.lit(3))))
-    short_german = (F.lower(F.try_element_at(g, F.lit(1))) == "de") & (F.length(F.try_element_at(g, F.lit(3))) != 3)
-    spanish = F.lower(F.concat(F.lit("en:es-eco-"), F.try_element_at(g, F.lit(1)), F.lit("-"), F.try_element_at(g, F.lit(2))))
-    tag = (
-        F.when(F.col("name") == "xx-bio-xx", F.when(~short_german, organic))
-        .when(F.col("name") == "es-eco", spanish)
-        .otherwise(F.col("name"))
-    )
-    out = predictions(found.withColumn("__tag", tag).where("__tag is not null"), keep, "label", {"text": F.col("raw")}, value_tag=F.col("__tag"), predictor="regex")
-    if dictionary is None:
-        return out
-    hits = dict_match(df, dictionary, keep, text_col)
-    return out.unionByName(predictions(hits, keep, "label", {"text": F.col("matched")}, value_tag=F.col("key"), predictor="flashtext"))
+
+    def finish(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        g = F.col("g")
+        body = F.lower(F.translate(F.try_element_at(g, F.lit(2)), "öø", "oo"))
+        organic = F.concat(F.lit("en:"), F.lower(F.try_element_at(g, F.lit(1))), F.lit("-"), body, F.lit("-"), F.lower(F.try_element_at(g, F.lit(3))))
+        short_german = (F.lower(F.try_element_at(g, F.lit(1))) == "de") & (F.length(F.try_element_at(g, F.lit(3))) != 3)
+        spanish = F.lower(F.concat(F.lit("en:es-eco-"), F.try_element_at(g, F.lit(1)), F.lit("-"), F.try_element_at(g, F.lit(2))))
+        tag = (
+            F.when(F.col("name") == "xx-bio-xx", F.when(~short_german, organic))
+            .when(F.col("name") == "es-eco", spanish)
+            .otherwise(F.col("name"))
+        )
+        out = predictions(found.withColumn("__tag", tag).where("__tag is not null"), keep, "label", {"text": F.col("raw")}, value_tag=F.col("__tag"), predictor="regex")
+        if "labels" not in hits:
+            return out
+        return out.unionByName(predictions(hits["labels"], keep, "label", {"text": F.col("matched")}, value_tag=F.col("key"), predictor="flashtext"))
+
+    return TextType(_table(fixed.LABEL_PATTERNS), finish, {} if dictionary is None else {"labels": dictionary})
+
+
+def extract_label(df: DataFrame, dictionary: DataFrame | None = None, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, label_type(dictionary), keep, text_col)
 
 
 def vision_logos(df: DataFrame, mapping: DataFrame, type: str, keep: Sequence[str] = ("source_image",), logos: str = "logos") -> DataFrame:
@@ -105,9 +147,8 @@ def vision_logos(df: DataFrame, mapping: DataFrame, type: str, keep: Sequence[st
     )
 
 
-def extract_product_weight(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def weight_predictions(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
     """Four matchers with priorities; implausible weights dropped, odd ones not automatic."""
-    found = regex_extract(df, _table([(n, "contiguous", p) for n, _, p, *_ in fixed.WEIGHT_PATTERNS]), keep, text_col)
 
     def pick(slot: int) -> Column:
         out = F.lit(None).cast("string")
@@ -137,60 +178,93 @@ def extract_product_weight(df: DataFrame, keep: Sequence[str] = ("doc_id",), tex
     return predictions(rows, keep, "product_weight", data, value=shown, automatic=automatic, predictor="regex")
 
 
-def extract_expiration_date(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", years: tuple[int, int] = fixed.EXPIRATION_YEARS) -> DataFrame:
+def product_weight_type() -> TextType:
+    return TextType(_table([(n, "contiguous", p) for n, _, p, *_ in fixed.WEIGHT_PATTERNS]), weight_predictions)
+
+
+def extract_product_weight(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, product_weight_type(), keep, text_col)
+
+
+def expiration_date_type(years: tuple[int, int] = fixed.EXPIRATION_YEARS) -> TextType:
     """Dates in the date patterns whose year lies in ``years``."""
-    found = regex_extract(df, [(n, "full", p, [1, 2, 3]) for n, p, _ in fixed.DATE_PATTERNS], keep, text_col)
-    g = F.col("g")
-    rows = found.withColumn("iso", measures.parse_date(g[0], g[1], g[2], *years)).where("iso is not null")
-    return predictions(rows, keep, "expiration_date", {"raw": F.col("raw"), "type": F.col("name")}, value=F.col("iso"), automatic=True, predictor="regex")
 
+    def finish(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        g = F.col("g")
+        rows = found.withColumn("iso", measures.parse_date(g[0], g[1], g[2], *years)).where("iso is not null")
+        return predictions(rows, keep, "expiration_date", {"raw": F.col("raw"), "type": F.col("name")}, value=F.col("iso"), automatic=True, predictor="regex")
 
-def extract_brand(df: DataFrame, curated: DataFrame | None, from_taxonomy: DataFrame | None, blacklist: DataFrame | None = None,
-                  keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return TextType([(n, "full", p, [1, 2, 3]) for n, p, _ in fixed.DATE_PATTERNS], finish)
+
+
+def extract_expiration_date(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", years: tuple[int, int] = fixed.EXPIRATION_YEARS) -> DataFrame:
+    return extract_type(df, expiration_date_type(years), keep, text_col)
+
+
+BRAND_SOURCES = (("curated-list", True), ("taxonomy", False))
+
+
+def brand_type(curated: DataFrame | None, from_taxonomy: DataFrame | None, blacklist: DataFrame | None = None) -> TextType:
     """Curated dictionary (automatic) and taxonomy dictionary (not automatic), filtered."""
-    parts = []
-    for terms, source, automatic in ((curated, "curated-list", True), (from_taxonomy, "taxonomy", False)):
-        if terms is None:
-            continue
+
+    def usable(terms: DataFrame) -> DataFrame:
         kept = terms.where(~F.col("name").rlike("^[0-9]+$"))
-        if blacklist is not None:
-            kept = kept.join(blacklist.select(F.col("brand_tag").alias("key")), "key", "left_anti")
-        hits = dict_match(df, kept, keep, text_col)
-        parts.append(predictions(hits, keep, "brand", {"text": F.col("matched")}, value_tag=F.col("key"), value=F.col("name"), automatic=automatic, predictor=source))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return kept if blacklist is None else kept.join(blacklist.select(F.col("brand_tag").alias("key")), "key", "left_anti")
 
+    def finish(found: DataFrame | None, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        return union_all([
+            predictions(hits[source], keep, "brand", {"text": F.col("matched")}, value_tag=F.col("key"), value=F.col("name"), automatic=automatic, predictor=source)
+            for source, automatic in BRAND_SOURCES if source in hits
+        ])
 
-def extract_category(df: DataFrame, nodes: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    given = zip(BRAND_SOURCES, (curated, from_taxonomy), strict=True)
+    return TextType([], finish, {source: usable(terms) for (source, _), terms in given if terms is not None})
+
+
+def extract_brand(df: DataFrame, curated: DataFrame | None, from_taxonomy: DataFrame | None, blacklist: DataFrame | None = None,
+                  keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, brand_type(curated, from_taxonomy, blacklist), keep, text_col)
+
+
+def category_type(nodes: DataFrame) -> TextType:
     """Protected-origin phrases whose tag is in the category taxonomy."""
-    table = [(f"{lang}|{group}", "contiguous", p, _groups(p)) for lang, p, group in fixed.PROTECTED_ORIGIN_PATTERNS]
-    found = regex_extract(df, table, keep, text_col)
-    lang, group = F.split_part("name", F.lit("|"), F.lit(1)), F.split_part("name", F.lit("|"), F.lit(2)).cast("int")
-    rows = found.withColumn("id", F.concat(lang, text.taxonomy_tag(F.element_at("g", group))))
-    rows = rows.join(nodes.select("id").distinct(), "id")
-    return predictions(rows, keep, "category", {"text": F.col("raw")}, value_tag=F.col("id"), automatic=False, predictor="regex")
 
+    def finish(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        lang, group = F.split_part("name", F.lit("|"), F.lit(1)), F.split_part("name", F.lit("|"), F.lit(2)).cast("int")
+        rows = found.withColumn("id", F.concat(lang, text.taxonomy_tag(F.element_at("g", group))))
+        rows = rows.join(nodes.select("id").distinct(), "id")
+        return predictions(rows, keep, "category", {"text": F.col("raw")}, value_tag=F.col("id"), automatic=False, predictor="regex")
 
-def extract_store(df: DataFrame, stores: Sequence[tuple[str, str | None]], keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return TextType([(f"{lang}|{group}", "contiguous", p, _groups(p)) for lang, p, group in fixed.PROTECTED_ORIGIN_PATTERNS], finish)
+
+
+def extract_category(df: DataFrame, nodes: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, category_type(nodes), keep, text_col)
+
+
+def store_type(stores: Sequence[tuple[str, str | None]]) -> TextType:
     """One alternation over store patterns, longest store name first.
 
     ``stores``: (name, pattern or None); the pattern list is a configuration file of a few
     hundred lines, hence a driver-side argument.  The alternative that matched is found by
     testing the match text in order.
     """
-    import re
-
     table: dict[str, str] = {}
     for name, pattern in stores:
         table[name] = pattern or re.sub(r"([^\w\s]| )", r"\\\1", name.lower())
     ordered = sorted(table.items(), key=lambda kv: (-len(kv[0]), kv[0]))
     whole = "(?iuU)" + "|".join(rf"(?:(?<!\w)(?:{p})(?!\w))" for _, p in ordered)
-    found = regex_extract(df, [("store", "contiguous", whole, [])], keep, text_col)
     entries = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(rf"(?iuU)^(?:{p})$").alias("p")) for n, p in ordered])
-    rows = found.withColumn("store", F.try_element_at(F.filter(entries, lambda e: F.regexp_like(F.col("raw"), e["p"])), F.lit(1))["n"])
-    return predictions(rows, keep, "store", {"text": F.col("raw")}, value_tag=text.store_tag(F.col("store")), value=F.col("store"), predictor="regex")
+
+    def finish(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        rows = found.withColumn("store", F.try_element_at(F.filter(entries, lambda e: F.regexp_like(F.col("raw"), e["p"])), F.lit(1))["n"])
+        return predictions(rows, keep, "store", {"text": F.col("raw")}, value_tag=text.store_tag(F.col("store")), value=F.col("store"), predictor="regex")
+
+    return TextType([("store", "contiguous", whole, [])], finish)
+
+
+def extract_store(df: DataFrame, stores: Sequence[tuple[str, str | None]], keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, store_type(stores), keep, text_col)
 
 
 def extract_trace(df: DataFrame, allergens: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", reach: int = 100) -> DataFrame:
@@ -215,21 +289,32 @@ def _value_patterns() -> list[tuple[str, str, str, list[int]]]:
     return out
 
 
-def nutrient_value_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def nutrient_hits(found: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per ``name value unit`` hit."""
-    found = regex_extract(df, _value_patterns(), keep, text_col)
     return found.select(*keep, F.col("name").alias("nutrient"), "raw", F.replace(F.col("g")[0], F.lit(","), F.lit(".")).alias("value"), F.col("g")[1].alias("unit"), "start", "end", "seq")
 
 
-def extract_nutrient_values(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def nutrient_value_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return nutrient_hits(regex_extract(df, _value_patterns(), keep, text_col), keep)
+
+
+def nutrient_predictions(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
     """One prediction per text: nutrient -> list of hits in text order."""
-    rows = nutrient_value_rows(df, keep, text_col)
+    rows = nutrient_hits(found, keep)
     hit = F.struct("start", F.struct("raw", "nutrient", "value", "unit").alias("v"))
     lists = rows.groupBy(*keep, "nutrient").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda h: h["v"]).alias("hits"))
     whole = lists.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("nutrient", "hits"))).alias("nutrients"))
     return predictions(whole, keep, "nutrient", {"nutrients": F.col("nutrients")}, predictor="regex", span=False)
 
 
+def nutrient_type() -> TextType:
+    return TextType(_value_patterns(), nutrient_predictions)
+
+
+def extract_nutrient_values(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, nutrient_type(), keep, text_col)
+
+
 # ASCII stretches, lower case: every mention of the nutrient holds one (none for salt: too short).
 MENTION_LITERALS = {
     "energy": ["nerg", "calorie"], "saturated_fat": ["satur", "verzadigde", "ttigte", "ttede", "tett"], "trans_fat": ["trans"],
@@ -255,9 +340,8 @@ def _mention_patterns() -> list[tuple[str, str, str, list[int], list[str]]]:
     return out
 
 
-def nutrient_mention_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def mention_hits(found: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per mention with its languages (none for bare values)."""
-    found = regex_extract(df, _mention_patterns(), keep, text_col)
     langs = F.lit(None).cast("array<string>")
     for nutrient, names in fixed.NUTRIENT_MENTIONS.items():
         # the alternative is found again on the short match: the first that is all of it
@@ -266,36 +350,59 @@ def nutrient_mention_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text
     return found.select(*keep, F.col("name").alias("nutrient"), "raw", langs.alias("languages"), "start", "end")
 
 
-def extract_nutrient_mentions(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    rows = nutrient_mention_rows(df, keep, text_col)
+def nutrient_mention_rows(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return mention_hits(regex_extract(df, _mention_patterns(), keep, text_col), keep)
+
+
+def mention_predictions(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+    rows = mention_hits(found, keep)
     hit = F.struct("start", F.struct("raw", F.array("start", "end").alias("span"), "languages").alias("v"))
     lists = rows.groupBy(*keep, "nutrient").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda h: h["v"]).alias("hits"))
     whole = lists.groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("nutrient", "hits"))).alias("mentions"))
     return predictions(whole, keep, "nutrient_mention", {"mentions": F.col("mentions")}, span=False)
 
 
+def nutrient_mention_type() -> TextType:
+    return TextType(_mention_patterns(), mention_predictions)
+
+
+def extract_nutrient_mentions(df: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    return extract_type(df, nutrient_mention_type(), keep, text_col)
+
+
+def flag_predictions(found: DataFrame | None, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+    """The first dictionary hit of each text."""
+    first = hits["flags"].groupBy(*keep).agg(F.min_by(F.struct("matched", "key", "end"), "start").alias("h"), F.min("start").alias("start"))
+    first = first.select(*keep, "start", F.col("h.end").alias("end"), "h.matched", "h.key")
+    return predictions(first, keep, "image_flag", {"text": F.col("matched"), "type": F.lit("text"), "label": F.col("key")})
+
+
+def image_flag_type(words: DataFrame) -> TextType:
+    """``words``: (key, name, pattern) with key the flag label."""
+    return TextType([], flag_predictions, {"flags": words})
+
+
 def extract_image_flag(df: DataFrame, words: DataFrame, keep: Sequence[str] = ("source_image",), text_col: str = "text") -> DataFrame:
-    """Flags: first dictionary hit, unsafe likelihoods, first flagged label, best face.
+    """Flags: first dictionary hit, unsafe likelihoods, first flagged label, best face."""
+    return union_all([extract_type(df, image_flag_type(words), keep, text_col), *vision_flags(df, keep)])
 
-    ``words``: (key, name, pattern) with key the flag label.  Vision columns, when
-    present: ``safe_search`` struct, ``labels`` and ``faces`` arrays.
-    """
-    hits = dict_match(df, words, keep, text_col).groupBy(*keep).agg(F.min_by(F.struct("matched", "key", "end"), "start").alias("h"), F.min("start").alias("start"))
-    hits = hits.select(*keep, "start", F.col("h.end").alias("end"), "h.matched", "h.key")
-    out = predictions(hits, keep, "image_flag", {"text": F.col("matched"), "type": F.lit("text"), "label": F.col("key")})
+
+def vision_flags(df: DataFrame, keep: Sequence[str]) -> list[DataFrame]:
+    """Flags of the vision columns there are: ``safe_search`` struct, ``labels`` and ``faces`` arrays."""
+    out = []
     if "safe_search" in df.columns:
         worst = fixed.LIKELIHOODS[-1]
         for label in ("adult", "violence"):
             rows = df.where(F.col(f"safe_search.{label}") == worst)
-            out = out.unionByName(predictions(rows, keep, "image_flag", {"type": F.lit("safe_search_annotation"), "label": F.lit(label), "likelihood": F.lit(worst)}, span=False))
+            out.append(predictions(rows, keep, "image_flag", {"type": F.lit("safe_search_annotation"), "label": F.lit(label), "likelihood": F.lit(worst)}, span=False))
     if "labels" in df.columns:
         first = F.try_element_at(F.filter("labels", lambda x: x["description"].isin(fixed.FLAGGED_LABELS) & (x["score"] >= 0.6)), F.lit(1))
         rows = df.withColumn("__l", first).where("__l is not null")
-        out = out.unionByName(predictions(rows, keep, "image_flag", {"type": F.lit("label_annotation"), "label": F.lower("__l.description"), "likelihood": F.col("__l.score")}, confidence=F.col("__l.score"), span=False))
+        out.append(predictions(rows, keep, "image_flag", {"type": F.lit("label_annotation"), "label": F.lower("__l.description"), "likelihood": F.col("__l.score")}, confidence=F.col("__l.score"), span=False))
     if "faces" in df.columns:
         best = F.array_max(F.transform("faces", lambda f: F.coalesce(f["detectionConfidence"], F.lit(0.0))))
         rows = df.withColumn("__f", best).where(F.col("__f") >= 0.6)
-        out = out.unionByName(predictions(rows, keep, "image_flag", {"type": F.lit("face_annotation"), "label": F.lit("face"), "likelihood": F.col("__f")}, confidence=F.col("__f"), span=False))
+        out.append(predictions(rows, keep, "image_flag", {"type": F.lit("face_annotation"), "label": F.lit("face"), "likelihood": F.col("__f")}, confidence=F.col("__f"), span=False))
     return out
 
 
@@ -339,7 +446,6 @@ def extract_location(df: DataFrame, cities: DataFrame, keep: Sequence[str] = ("d
 
 def packaging_pattern(shapes: Sequence[str], materials: Sequence[str], recyclings: Sequence[str]) -> str:
     """Shape, optional "en", up to two materials, optional "a" + recycling verb."""
-    import re
 
     def alternation(names: Sequence[str]) -> str:
         return "|".join(re.sub(r"([^\w\s])", r"\\\1", n) for n in sorted(set(names), key=lambda n: (-len(n), n)))
@@ -348,32 +454,36 @@ def packaging_pattern(shapes: Sequence[str], materials: Sequence[str], recycling
     return rf"\b({s})\b(?:(?:\s+en)?\s+\b({m})\b(?:\s+\b({m})\b)?)?(?:\s+a\s+\b({r})\b)?"
 
 
-def extract_packaging(df: DataFrame, shapes: dict[str, str], materials: dict[str, str], recyclings: dict[str, str],
-                      keep: Sequence[str] = ("doc_id",), text_col: str = "text", lang: str = "fr") -> DataFrame:
+def packaging_type(shapes: dict[str, str], materials: dict[str, str], recyclings: dict[str, str], lang: str = "fr") -> TextType:
     """Packaging elements; of two materials the last counts.
 
     The maps are name -> tag of one language (a few hundred names each).
     """
-    clean = text.collapse_spaces(F.lower(text.fold(F.col(text_col))))
-    base = df.select(*keep, clean.alias("__clean"))
-    found = regex_extract(base, [("packaging", "full", packaging_pattern(list(shapes), list(materials), list(recyclings)), [1, 2, 3, 4])], keep, "__clean")
 
     def tagged(value: Column, table: dict[str, str]) -> Column:
         entries = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
         return F.when(value != "", F.struct(value.alias("value"), F.try_element_at(entries, value).alias("value_tag")))
 
-    g = F.col("g")
-    material = F.when(g[2] != "", g[2]).otherwise(g[1])
-    rows = found.withColumns({"shape": tagged(g[0], shapes), "material": tagged(material, materials), "recycling": tagged(g[3], recyclings)})
-    weak = F.col("shape.value_tag").isNull() | F.col("shape.value_tag").isin(fixed.SHAPE_ONLY_EXCLUDED)
-    rows = rows.where(~(weak & F.col("material").isNull() & F.col("recycling").isNull()))
+    def finish(found: DataFrame, hits: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+        g = F.col("g")
+        material = F.when(g[2] != "", g[2]).otherwise(g[1])
+        rows = found.withColumns({"shape": tagged(g[0], shapes), "material": tagged(material, materials), "recycling": tagged(g[3], recyclings)})
+        weak = F.col("shape.value_tag").isNull() | F.col("shape.value_tag").isin(fixed.SHAPE_ONLY_EXCLUDED)
+        rows = rows.where(~(weak & F.col("material").isNull() & F.col("recycling").isNull()))
+
+        def quoted(c: str) -> Column:
+            return F.coalesce(F.concat(F.lit("'"), F.col(f"{c}.value_tag"), F.lit("'")), F.lit("None"))
 
-    def quoted(c: str) -> Column:
-        return F.coalesce(F.concat(F.lit("'"), F.col(f"{c}.value_tag"), F.lit("'")), F.lit("None"))
+        key = F.concat(F.lit("{'shape': "), quoted("shape"), F.lit(", 'material': "), quoted("material"), F.lit(", 'recycling': "), quoted("recycling"), F.lit("}"))
+        data = {"lang": F.lit(lang), "element": F.struct("shape", "material", "recycling")}
+        return predictions(rows, keep, "packaging", data, value=key, automatic=False, predictor="grammar")
 
-    key = F.concat(F.lit("{'shape': "), quoted("shape"), F.lit(", 'material': "), quoted("material"), F.lit(", 'recycling': "), quoted("recycling"), F.lit("}"))
-    data = {"lang": F.lit(lang), "element": F.struct("shape", "material", "recycling")}
-    return predictions(rows, keep, "packaging", data, value=key, automatic=False, predictor="grammar")
+    return TextType([("packaging", "clean", packaging_pattern(list(shapes), list(materials), list(recyclings)), [1, 2, 3, 4])], finish)
+
+
+def extract_packaging(df: DataFrame, shapes: dict[str, str], materials: dict[str, str], recyclings: dict[str, str],
+                      keep: Sequence[str] = ("doc_id",), text_col: str = "text", lang: str = "fr") -> DataFrame:
+    return extract_type(df, packaging_type(shapes, materials, recyclings, lang), keep, text_col)
 
 
 def extract_image_lang(words: DataFrame, keep: Sequence[str] = ("source_image",)) -> DataFrame:
@@ -389,7 +499,7 @@ def extract_image_lang(words: DataFrame, keep: Sequence[str] = ("source_image",)
 def extract_image_orientation(words: DataFrame, keep: Sequence[str] = ("source_image",)) -> DataFrame:
     from larder.operators.aggregates import orientation_mode
 
-    modes = orientation_mode(words, keep[0])
+    modes = orientation_mode(words, *keep)
     data = {"orientation": F.col("orientation"), "count": F.col("count"), "rotation": boxes.rotation_angle(F.col("orientation"))}
     return predictions(modes, keep, "image_orientation", data, span=False)
 
@@ -460,27 +570,70 @@ def detect_language_join(df: DataFrame, scorer: Column, out: str = "languages")
     return df.withColumn(out, scorer)
 
 
+#: Types whose predictions come from patterns and dictionaries over the texts; the arguments are theirs.
+TEXT_TYPES: dict[str, Callable[..., TextType]] = {
+    "packager_code": packager_code_type,
+    "label": label_type,
+    "product_weight": product_weight_type,
+    "expiration_date": expiration_date_type,
+    "brand": brand_type,
+    "category": category_type,
+    "store": store_type,
+    "packaging": packaging_type,
+    "image_flag": image_flag_type,
+    "nutrient": nutrient_type,
+    "nutrient_mention": nutrient_mention_type,
+}
+
+#: Other extractors ``(df, keep=..., text_col=..., **arguments) -> predictions``.
 EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
-    "packager_code": extract_packager_code,
-    "label": extract_label,
-    "product_weight": extract_product_weight,
-    "expiration_date": extract_expiration_date,
-    "nutrient": extract_nutrient_values,
-    "nutrient_mention": extract_nutrient_mentions,
+    "trace": extract_trace,
+    "location": extract_location,
+    "image_lang": lambda df, words, keep, text_col: extract_image_lang(words, keep),
+    "image_orientation": lambda df, words, keep, text_col: extract_image_orientation(words, keep),
 }
 
 
 def register_extractor(type: str, function: Callable[..., DataFrame]) -> None:
-    """Plug in an extractor ``(df, keep=..., text_col=...) -> predictions``."""
+    """Plug in an extractor ``(df, keep=..., text_col=...) -> predictions``; it stands before a built-in one."""
     EXTRACTORS[type] = function
 
 
-def extract_all(df: DataFrame, types: Sequence[str], keep: Sequence[str], text_col: str = "text", **dictionaries: dict) -> DataFrame:
-    """Union of the named extractors; ``dictionaries[type]`` holds extra arguments."""
-    out = None
-    for type in types:
-        part = EXTRACTORS[type](df, keep=keep, text_col=text_col, **dictionaries.get(type, {}))
-        out = part if out is None else out.unionByName(part)
+def extract_all(df: DataFrame, types: Sequence[str] = tuple(fixed.OCR_DEFAULT_TYPES), keep: Sequence[str] = ("source_image",), text_col: str = "text", **arguments: dict) -> DataFrame:
+    """Predictions of the named types; ``arguments[type]`` holds what a type asks for (dictionaries, ``words``).
+
+    All patterns and dictionaries of the types that look into the texts run in one reading
+    of them.  Their matches are written once, tagged with their type, and each type makes
+    its predictions of its own matches.
+    """
+    named = {t: TEXT_TYPES[t](**arguments.get(t, {})) for t in types if t in TEXT_TYPES and t not in EXTRACTORS}
+    parts = [EXTRACTORS[t](df, keep=keep, text_col=text_col, **arguments.get(t, {})) for t in types if t not in named]
+    if named:
+        parts += scanned(df, named, keep, text_col)
+    if "image_flag" in named:
+        parts += vision_flags(df, keep)
+    return union_all(parts)
+
+
+def scanned(df: DataFrame, types: dict[str, TextType], keep: Sequence[str], text_col: str, most_chars: int = MOST_TERM_CHARS) -> list[DataFrame]:
+    """Predictions of each type from one scan; dictionaries over ``most_chars`` meet the texts in joins of their own."""
+    tables = {(t, n): normalised_terms(terms) for t, kind in types.items() for n, terms in kind.dictionaries.items()}
+    held = dict(zip(tables, collected_terms(list(tables.values()), most_chars), strict=True))
+    patterns = [(f"{t}\t{p[0]}", *p[1:]) for t, kind in types.items() for p in kind.patterns]
+    small = {f"{t}\t{n}": h for (t, n), h in held.items() if h is not None}
+    found, _ = cut_lineage(scan_texts(df, patterns, small, keep, text_col))
+    own = found.withColumns({"type": F.split_part("name", F.lit("\t"), F.lit(1)), "name": F.split_part("name", F.lit("\t"), F.lit(2))})
+    out = []
+    for t, kind in types.items():
+        mine = own.where(F.col("type") == t).drop("type")
+        hits = {}
+        for n, terms in kind.dictionaries.items():
+            if held[t, n] is None:
+                hits[n] = dict_match_join(df, terms, keep, text_col)
+            else:
+                rows = mine.where((F.col("name") == n) & (F.col("seq") == len(patterns)))
+                hits[n] = rows.select(*keep, F.col("g")[0].alias("pattern"), "start", "end", F.col("raw").alias("matched")).join(tables[t, n], "pattern")
+        out.append(kind.finish(mine.where(F.col("seq") < len(patterns)), hits, keep))
     return out
 
 

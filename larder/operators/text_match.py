@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.binding import bind
+from larder.session import cut_lineage
 
 # Dictionary words end at anything outside this ASCII class, so accented letters separate.
 WORD = "[A-Za-z0-9_]"
@@ -23,7 +24,8 @@ _MARK = ""
 MOST_TERM_CHARS = 4_000_000  # of dictionaries that become an index in the tasks
 
 
-_MATCHES = "array<struct<raw:string,g:array<string>,start:int,end:int>>"
+_MATCH = "raw:string,g:array<string>,start:int,end:int"
+_MATCHES = f"array<struct<{_MATCH}>>"
 
 
 def match_parts(text: Column, pattern: str, groups: Sequence[int] = ()) -> list[Column]:
@@ -103,20 +105,37 @@ Pattern = tuple[str, str, str, Sequence[int]] | tuple[str, str, str, Sequence[in
 
 
 def regex_extract(df: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """All matches of a pattern table in one pass over the texts.
+    """All matches of a pattern table in one pass over the texts: (keep, seq, name, raw, g, start, end).
 
-    ``patterns``: (name, field, pattern, groups[, literals]); field ``contiguous`` sees line
-    breaks as spaces (same offsets for single-character breaks).  ``literals`` are
-    lower-case ASCII strings of which every match contains one: a substring test that
-    spares most texts the expression.
+    ``patterns``: (name, field, pattern, groups[, literals]).  Field ``full`` is the text,
+    ``contiguous`` sees line breaks as spaces (same offsets for single-character breaks),
+    ``clean`` is folded, lower-cased and has single spaces (offsets are its own).
+    ``literals`` are lower-case ASCII strings of which every match contains one: a substring
+    test that spares most texts the expression.
     """
-    from larder.functions.text import contiguous
+    return scan_texts(df, patterns, {}, keep, text_col)
 
-    columns = {"full": F.col(text_col), "contiguous": F.col("__flat")}
+
+def scan_texts(df: DataFrame, patterns: Sequence[Pattern], dictionaries: dict[str, Iterable[str]], keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Matches of pattern tables and dictionaries in one reading of the texts.
+
+    Rows as those of ``regex_extract``; a dictionary's have its name, and the pattern as
+    only group.  ``dictionaries``: lower-cased patterns, whose size is the caller's to
+    check; each keeps its own leftmost, longest, not overlapping matches.
+    """
+    from larder.functions.text import collapse_spaces, contiguous, fold
+
+    columns = {"full": F.col(text_col), "contiguous": F.col("__flat"), "clean": F.col("__clean")}
     base = df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    base = base.withColumn("__flat", contiguous(F.col(text_col)))
-    if any(len(p) > 4 for p in patterns):
+    fields = {p[1] for p in patterns}
+    tested = any(len(p) > 4 and p[4] for p in patterns)
+    if "contiguous" in fields or tested:
+        base = base.withColumn("__flat", contiguous(F.col(text_col)))
+    if "clean" in fields:
+        base = base.withColumn("__clean", collapse_spaces(F.lower(fold(F.col(text_col)))))
+    if tested:
         base = base.withColumn("__probe", probe_text(F.col("__flat")))
+    no_spans = F.lit(None).cast(f"array<struct<name:string,{_MATCH}>>").alias("spans")
 
     def tagged(seq: int, name: str, field: str, pattern: str, groups: Sequence[int], literals: Sequence[str] = ()) -> Column:
         test = columns[field].rlike(pattern)
@@ -125,13 +144,24 @@ def regex_extract(df: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str
             for literal in literals[1:]:
                 possible = possible | F.contains(F.col("__probe"), F.lit(literal))
             test = possible & test
-        return F.when(test, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *match_parts(columns[field], pattern, groups)))
-
+        return F.when(test, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *match_parts(columns[field], pattern, groups), no_spans))
+
+    entries = [tagged(i, *entry) for i, entry in enumerate(patterns)]
+    if dictionaries:
+        held = numbered({n: dict.fromkeys(t) for n, t in dictionaries.items()}, list(dictionaries))
+        base = base.withColumn("__spans", term_spans(lowered(F.col(text_col)), held, len(dictionaries)))
+        names = F.array(*[F.lit(n) for n in dictionaries])
+        spans = F.transform(
+            shown_spans(F.col(text_col), F.col("__spans")),
+            lambda m: F.struct(names[m["dictionary"]].alias("name"), m["matched"].alias("raw"), F.array(m["pattern"]).alias("g"), m["start"].alias("start"), m["end"].alias("end")),
+        )
+        none = F.lit(None).cast("array<string>")
+        entries.append(F.when(F.size("__spans") > 0, F.struct(F.lit(len(patterns)).alias("seq"), F.lit("").alias("name"), none.alias("raws"), none.alias("gaps"), F.lit(None).cast("array<array<string>>").alias("groups"), spans.alias("spans"))))
     # null entries (pattern absent) vanish; offsets are built for the patterns that matched
-    found = F.array_compact(F.array(*[tagged(i, *entry) for i, entry in enumerate(patterns)]))
-    hits = base.select(*keep, F.explode(found).alias("p"))
-    rows = hits.select(*keep, "p.seq", "p.name", F.explode(located(F.col("p"))).alias("m"))
-    return rows.select(*keep, "seq", "name", "m.*")
+    hits = base.select(*keep, F.explode(F.array_compact(F.array(*entries))).alias("p"))
+    named = F.transform(located(F.col("p")), lambda m: F.struct(F.col("p.name").alias("name"), *[m[c].alias(c) for c in ("raw", "g", "start", "end")]))
+    rows = hits.select(*keep, "p.seq", F.explode(F.when(F.col("p.spans").isNotNull(), F.col("p.spans")).otherwise(named)).alias("m"))
+    return rows.select(*keep, "seq", "m.*")
 
 
 def lowered(text: Column) -> Column:
@@ -381,35 +411,94 @@ def _deletes(word: Column, budget: int) -> Column:
     return out
 
 
-def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Dictionary matches with a Levenshtein budget spent word by word.
+_WORD_ROW = "array<struct<idx:int,word:string,start:int,end:int,before:string,after:string>>"
+
+
+def words_between(low: Column, most: int) -> Column:
+    """The words of a lower-cased text with their number, span and the separators on both sides.
 
-    Distinct text words meet dictionary words over their deletion variants (two words
-    within k edits share one), so no word is compared with every other; then the words of
-    a term must stand next to each other within the budget.
+    Separators longer than ``most`` are cut (no term reaches further); at the ends of the
+    text they begin or end with a line end, so that they never equal a term's.
     """
-    table = normalised_terms(terms).withColumn("parts", F.split("pattern", " "))
-    wanted = table.select("pattern", F.posexplode("parts").alias("pos", "term_word"))
-    words = df.select(*keep, text_col).select(*keep, F.explode(_word_grams(lowered(F.col(text_col)), F.lit(0))).alias("w")).where(F.col("w.word").rlike(WORD))
-    words = words.select(*keep, F.replace(F.col("w.word"), F.lit(_MARK), F.lit("i")).alias("word"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"))
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())]))
+
+    def rows(t: str) -> list[dict]:
+        spans = [m.span() for m in re.finditer(rf"{WORD}+{_MARK}?", t)]
+        gaps = [t[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(t)], strict=True)]
+        gaps[0], gaps[-1] = "\n" + gaps[0], gaps[-1] + "\n"
+        return [
+            {"idx": i, "word": t[s:e].replace(_MARK, "i"), "start": s, "end": e, "before": gaps[i][-most:], "after": gaps[i + 1][:most]}
+            for i, (s, e) in enumerate(spans)
+        ]
+
+    @F.arrow_udf(_WORD_ROW)
+    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([rows(t) if t else [] for t in texts.to_pylist()], kind)
+
+    return words(low)
+
+
+def word_trie(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, ends) of the trie of patterns, word by word; a node is named by its text.
+
+    Edges: (parent, sep, term_word, node), the root being the empty text.  Ends: (node,
+    pattern, lead, trail), with the separators before the first and after the last word.
+    Patterns without a word are no part of it.
+    """
+    lead = F.regexp_extract("pattern", r"(?s)^[^A-Za-z0-9_]*", 0)
+    trail = F.regexp_extract("pattern", r"(?s)[^A-Za-z0-9_]*$", 0)
+    cut = patterns.where(F.col("pattern").rlike(WORD)).select("pattern", lead.alias("lead"), trail.alias("trail"))
+    core = F.substring("pattern", F.length("lead") + 1, F.length("pattern") - F.length("lead") - F.length("trail"))
+    parts = cut.select("pattern", "lead", "trail", core.alias("core"), F.regexp_extract_all(core, F.lit(rf"(?s){WORD}+|[^A-Za-z0-9_]+"), F.lit(0)).alias("parts"))
+    at = F.explode(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(2))).alias("at")
+    upto = lambda n: F.array_join(F.slice("parts", F.lit(1), n), "")
+    steps = parts.select("parts", at).select(
+        F.when(F.col("at") > 0, upto(F.greatest(F.col("at") - 1, F.lit(0)))).otherwise("").alias("parent"), F.when(F.col("at") > 0, F.col("parts")[F.greatest(F.col("at") - 1, F.lit(0))]).otherwise("").alias("sep"),
+        F.col("parts")[F.col("at")].alias("term_word"), upto(F.col("at") + 1).alias("node"),
+    )
+    return steps.distinct(), parts.select(F.col("core").alias("node"), "pattern", "lead", "trail")
+
+
+def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Dictionary matches within a Levenshtein budget: leftmost, longest, not overlapping.
+
+    The budget is spent word by word along the dictionary's trie: distinct text words meet
+    dictionary words over their deletion variants (two words within k edits share one), so
+    no word is compared with every other; then all open beginnings of terms take one more
+    word of their text per round, as long as budget is left.  Separators must be equal.
+    Of matches with one start the longest counts, of equally long ones the cheapest, then
+    the smaller pattern.
+    """
+    table = normalised_terms(terms)
+    edges, ends = word_trie(table.select("pattern"))
+    edges, _ = cut_lineage(edges)
+    wanted = edges.select("term_word").distinct()
+    longest, reach = edges.agg(F.max(F.length("term_word")), F.max(F.length("sep"))).first()
+    outside = ends.agg(F.max(F.length("lead") + F.length("trail"))).first()[0]
+    words = df.select(*keep, F.explode(words_between(lowered(F.col(text_col)), (reach or 0) + (outside or 0) + 1)).alias("w")).select(*keep, "w.*")
     # a word longer than every term's by more than the budget is close to none: it would only be cut up
-    most = (wanted.agg(F.max(F.length("term_word")).alias("n")).first()["n"] or 0) + max_cost
-    words = words.where(F.length("word") <= most)
+    words = words.where(F.length("word") <= (longest or 0) + max_cost)
     vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
-    term_vocab = wanted.select("term_word").distinct().select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
+    term_vocab = wanted.select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
     close = (
         vocab.join(term_vocab, "v").select("word", "term_word").distinct()
         .withColumn("cost", F.levenshtein("word", "term_word")).where(F.col("cost") <= max_cost)
     )
-    sized = table.select("pattern", F.size("parts").alias("n_words"))
-    placed = words.join(close, "word").join(wanted, "term_word")
-    # chain the words of a term: word p+1 starts one character after word p ends
-    chains = placed.where("pos = 0").select(*keep, "pattern", "start", "end", "cost", F.lit(1).alias("n"))
-    longest = wanted.agg(F.max("pos").alias("m")).first()["m"] or 0
-    for p in range(1, longest + 1):
-        step = placed.where(F.col("pos") == p).select(*keep, "pattern", (F.col("start") - 1).alias("end"), F.col("end").alias("end2"), F.col("cost").alias("cost2"))
-        open_ = chains.where(F.col("n") == p).join(step, [*keep, "pattern", "end"])
-        grown = open_.select(*keep, "pattern", "start", F.col("end2").alias("end"), (F.col("cost") + F.col("cost2")).alias("cost"), F.lit(p + 1).alias("n"))
-        chains = chains.unionByName(grown.where(F.col("cost") <= max_cost))
-    whole = chains.join(sized, "pattern").where("n = n_words").groupBy(*keep, "pattern", "start", "end").agg(F.min("cost").alias("cost"))
-    return whole.join(table.drop("parts"), "pattern")
+    placed, _ = cut_lineage(words.join(close, "word").drop("word"))
+    begun = placed.join(edges.where("parent = ''").select("term_word", "node"), "term_word")
+    open_, n = cut_lineage(begun.select(*keep, "node", "idx", F.col("before").alias("first_gap"), "start", "end", "after", "cost"))
+    reached = open_
+    while n:
+        further = open_.select(*keep, F.col("node").alias("parent"), (F.col("idx") + 1).alias("idx"), "first_gap", "start", F.col("cost").alias("spent"))
+        step = placed.select(*keep, "idx", "end", F.col("before").alias("sep"), "after", "term_word", "cost").where(F.col("cost") <= max_cost)
+        grown = further.join(step, [*keep, "idx"]).where(F.col("spent") + F.col("cost") <= max_cost).join(edges, ["parent", "sep", "term_word"])
+        open_, n = cut_lineage(grown.select(*keep, "node", "idx", "first_gap", "start", "end", "after", (F.col("spent") + F.col("cost")).alias("cost")))
+        reached = reached.unionByName(open_)
+    bounded = lambda gap, sep, whole: (F.length(sep) == 0) | (whole & (F.length(gap) > F.length(sep)))
+    hits = reached.join(ends, "node").where(
+        bounded(F.col("first_gap"), F.col("lead"), F.col("first_gap").endswith(F.col("lead"))) & bounded(F.col("after"), F.col("trail"), F.col("after").startswith(F.col("trail")))
+    )
+    spans = hits.select(*keep, "pattern", (F.col("start") - F.length("lead")).alias("start"), (F.col("end") + F.length("trail")).alias("end"), "cost")
+    cheapest = spans.groupBy(*keep, "start", "end").agg(F.min(F.struct("cost", "pattern")).alias("m")).select(*keep, "start", "end", "m.*")
+    return leftmost_longest(cheapest, keep).join(table, "pattern")

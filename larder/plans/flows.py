@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,11 +106,20 @@ def refresh_run(stored: DataFrame, insights: DataFrame, products: DataFrame, dim
     return changes
 
 
-def reextract_product(products: DataFrame, texts: DataFrame, types: list[str], **dictionaries: dict) -> DataFrame:
-    """Predictions from the texts of all raw images of the given products."""
+def reextract_product(products: DataFrame, texts: DataFrame, types: Sequence[str] = tuple(fixed.OCR_DEFAULT_TYPES), **arguments: dict) -> DataFrame:
+    """Predictions from the texts of all raw images of the given products.
+
+    ``arguments``: what the types ask for, see ``extract_all``; ``words`` rows among them
+    are narrowed to the same images.
+    """
     ids = products.select(F.col("code").alias("barcode"), F.explode("image_ids").alias("image_id"))
     rows = texts.join(ids, ["barcode", "image_id"], "left_semi")
-    return extract_all(rows, types, ["barcode", "source_image"], "text", **dictionaries)
+    keep = ["barcode", "source_image"]
+    images = rows.select(*keep).distinct()
+    for type, own in arguments.items():
+        if "words" in own and type != "image_flag":
+            arguments[type] = {**own, "words": own["words"].join(images, "source_image")}
+    return extract_all(rows, types, keep, "text", **arguments)
 
 
 def category_run(products: DataFrame, scorer: Callable, nodes: DataFrame, closure: DataFrame, model: str, threshold: float = 0.5, deepest_only: bool = False) -> DataFrame:

@@ -66,7 +66,8 @@ def _(d):
 @query("dict_match_fuzzy", """
 WITH terms AS (SELECT DISTINCT w AS pattern FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE length(w) >= 9),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS w FROM documents), v AS (SELECT DISTINCT w FROM w),
-c AS (SELECT v.w, t.pattern, levenshtein(v.w, t.pattern) AS cost FROM v, terms t WHERE abs(length(v.w) - length(t.pattern)) <= 1 AND levenshtein(v.w, t.pattern) <= 1)
+c AS (SELECT v.w, t.pattern, levenshtein(v.w, t.pattern) AS cost FROM v, terms t WHERE abs(length(v.w) - length(t.pattern)) <= 1 AND levenshtein(v.w, t.pattern) <= 1
+  QUALIFY row_number() OVER (PARTITION BY v.w ORDER BY cost, t.pattern) = 1)
 SELECT w.doc_id, c.pattern, c.cost, count(*) AS n FROM w JOIN c ON w.w = c.w GROUP BY 1, 2, 3
 """)
 def _(d):
@@ -75,6 +76,23 @@ def _(d):
     return hits.groupBy("doc_id", "pattern", F.col("cost").cast("long").alias("cost")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def generated_terms(n: int):
+    """SQL of n terms: every word that begins a passage, and words made of numbers that no text holds."""
+    return f"""
+SELECT DISTINCT 'k:' || w AS key, w AS pattern FROM (SELECT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM benchmark) WHERE w <> ''
+UNION ALL SELECT 'g:' || cast(l_orderkey * 8 + l_linenumber AS string), 'zq' || cast(l_orderkey * 8 + l_linenumber AS string) || ' term' FROM lineitem WHERE l_orderkey * 8 + l_linenumber < {n}"""
+
+
+@query("dict_match_large", rf"""
+WITH terms AS ({generated_terms(10**9)}), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS pattern FROM documents)
+SELECT doc_id, key, count(*) AS n, count(*) AS n_right_span FROM w JOIN terms USING (pattern) GROUP BY 1, 2
+""")
+def _(d):
+    """As many terms as there are order lines, and the words that begin passages."""
+    terms = d.sql(generated_terms(10**9)).select("key", F.col("pattern").alias("name"), "pattern")
+    return spans_counted(M.dict_match(d.documents, terms))
+
+
 @query("regex_extract", r"""
 SELECT page_id AS doc_id, 'href' AS name, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS g FROM pages
 UNION ALL SELECT page_id, 'tag', unnest(regexp_extract_all(html, '<(h[1-6])', 1)) FROM pages
@@ -385,6 +403,63 @@ def _(d):
     return out.select("doc_id", "value", "automatic_processing", F.get_json_object("data", "$.source").alias("source"))
 
 
+def all_types_sql() -> str:
+    """The types' own checks, side by side."""
+    one = {
+        "category": "value_tag", "packager_code": "value", "product_weight": "value", "image_flag": "kind || ':' || label", "expiration_date": "value",
+        "brand": "value_tag", "store": "value_tag", "packaging": "value", "image_orientation": "cast(rotation AS string)",
+    }
+    counted = {"label": ("value_tag", "extract_label"), "nutrient": ("nutrients", "extract_nutrient_values"), "nutrient_mention": ("nutrient", "extract_nutrient_mentions"), "image_lang": ("lang", "extract_image_lang")}
+    key = {"image_flag": "source_image", "image_lang": "source_image", "image_orientation": "source_image"}
+    parts = [f"SELECT cast({key.get(t, 'doc_id')} AS string) AS source_image, '{t}' AS type, {v} AS value, 1 AS n FROM ({ORACLES['extract_' + t]}) AS {t}_rows" for t, v in one.items()]
+    parts += [f"SELECT cast({key.get(t, 'doc_id')} AS string), '{t}', {v}, n FROM ({ORACLES[name]}) AS {t}_rows" for t, (v, name) in counted.items()]
+    return f"SELECT source_image, type, value, cast(sum(n) AS BIGINT) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 3"
+
+
+def type_arguments(d: Data) -> dict[str, dict]:
+    taxonomy = literal_terms(d, [("carrefour", "Carrefour", "carrefour"), ("coca-cola-light", "Coca-Cola light", "coca cola light"), ("the", "The", "the"), ("12", "12", "12")])
+    nodes = d.part.where("p_partkey % 3 <> 0").select(F.concat(F.lit("fr:bleu-de-"), F.col("p_partkey").cast("string")).alias("id"))
+    return {
+        "brand": {"curated": literal_terms(d, CURATED), "from_taxonomy": taxonomy, "blacklist": d.spark.createDataFrame([("the",)], "brand_tag string")},
+        "category": {"nodes": nodes}, "store": {"stores": STORES}, "packaging": {"shapes": SHAPES, "materials": MATERIALS, "recyclings": RECYCLINGS},
+        "image_flag": {"words": literal_terms(d, FLAG_WORDS)}, "image_lang": {"words": words(d)}, "image_orientation": {"words": words(d)},
+    }
+
+
+def shown(found):
+    """(source_image, type, value, n): each type's predictions by what tells them apart."""
+    field = lambda f: F.get_json_object("data", f"$.{f}")
+    kind = F.col("type")
+    hits = F.from_json(field("nutrients"), "map<string,array<struct<raw:string>>>")
+    mentions = F.from_json(field("mentions"), "map<string,array<struct<raw:string>>>")
+    langs = F.map_filter(F.from_json(field("count"), "map<string,long>"), lambda k, _: k != "words")
+    entry = lambda value, n: F.struct(value.cast("string").alias("value"), n.cast("long").alias("n"))
+    rows = (
+        F.when(kind == "nutrient", F.array(entry(F.array_join(F.array_sort(F.map_keys(hits)), ","), F.size(F.flatten(F.map_values(hits))))))
+        .when(kind == "nutrient_mention", F.transform(F.map_entries(mentions), lambda e: entry(e["key"], F.size(e["value"]))))
+        .when(kind == "image_lang", F.transform(F.map_entries(langs), lambda e: entry(e["key"], e["value"])))
+        .when(kind == "image_flag", F.array(entry(F.concat_ws(":", field("type"), field("label")), F.lit(1))))
+        .when(kind == "image_orientation", F.array(entry(field("rotation"), F.lit(1))))
+        .otherwise(F.array(entry(F.coalesce("value_tag", "value"), F.lit(1))))
+    )
+    # stores and weights are told apart by tag and value as their own checks do
+    out = found.select("source_image", "type", F.explode(rows).alias("r"))
+    return out.groupBy("source_image", "type", "r.value").agg(F.sum("r.n").alias("n"))
+
+
+@query("extract_all", all_types_sql())
+def _(d):
+    """All default types over all texts in one reading."""
+    k = F.col("doc_id")
+    likely = F.when(k % 8 == 0, "VERY_LIKELY").otherwise("LIKELY")
+    rows = d.ocr_text.select(
+        k.cast("string").alias("source_image"), "text", F.struct(likely.alias("adult"), F.lit("UNKNOWN").alias("violence")).alias("safe_search"),
+        F.array(F.struct(F.lit("Food").alias("description"), F.lit(0.9).alias("score")), F.struct(F.when(k % 2 == 0, "Face").otherwise("Dog").alias("description"), ((k % 10) / 10).alias("score"))).alias("labels"),
+        F.array(F.struct(((k % 5) / 5).alias("detectionConfidence"))).alias("faces"),
+    )
+    return shown(E.extract_all(rows, keep=["source_image"], **type_arguments(d)))
+
+
 @query("reextract_product", """
 SELECT i.barcode, i.source_image, cast(i.id % 300 + 100 AS string) || ' g' AS value FROM image i JOIN product p ON p.code = i.barcode WHERE p.c_custkey % 4 = 0 AND i.id % 2 = 0
 """)

@@ -1,6 +1,7 @@
 """Dictionary matching, spans and extractors on literal texts."""
 
 import json
+import re
 
 import pytest
 
@@ -96,3 +97,155 @@ def test_span_extension(spark):
     df = spark.createDataFrame([(text, 8)], "text string, end int")
     end = E.extend_span_mentions(df).first()["end"]
     assert text[:end] == "eau, sel. *issu de l'agriculture biologique"
+
+
+def plain_matches(text, patterns):
+    """Leftmost, longest, not overlapping, by trying every pattern everywhere."""
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    low, out, at = text.lower(), [], 0
+    while at < len(low):
+        fits = [p for p in patterns if low.startswith(p, at) and not (at and word(low[at - 1])) and not (at + len(p) < len(low) and word(low[at + len(p)]))]
+        if fits:
+            best = max(fits, key=len)
+            out.append((at, at + len(best), best))
+            at += len(best)
+        else:
+            at += 1
+    return out
+
+
+TERMS = ["new york", "york", "new", "new york pizza", "été", "épinard", "-free", "sugar-free", "a", "bio", "l'eau", "x.y", "12", "%", "%%", "été bio", "kiwi", "ni"]
+TEXTS = [
+    "New York pizza york", "NEW YORK  pizza", "newyork new_york new-york", "Été bio, épinards épinard l'eau L'EAU", "sugar-free -free x-free --free", "x.y xy x.yz 12 123 %12%% %%%",
+    "", "a" * 50, "Kiwİ ni niİ", "anew new", "new\nyork new york", "é", "a b a_ a", "bio" + "́ bio",
+]
+
+
+def terms_table(spark, patterns):
+    return spark.createDataFrame([(f"k{p}", p, p.upper()) for p in patterns], "key string, name string, pattern string")
+
+
+@pytest.mark.parametrize("form", [{}, {"joined": True}, {"most_chars": 0}])
+def test_dictionary_matches_equal_trying_everything(spark, form):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.pattern) for r in M.dict_match(df, terms_table(spark, TERMS), **form).collect())
+    want = sorted((k, s, e, p) for k, t in enumerate(TEXTS) if "İ" not in t for s, e, p in plain_matches(t, TERMS))
+    assert [g for g in got if "İ" not in TEXTS[g[0]]] == want
+    dotted = [(g[1], g[3]) for g in got if "İ" in TEXTS[g[0]]]
+    assert dotted == [(0, "kiwi"), (5, "ni")]
+    assert all(r.matched.lower().replace("i̇", "i") == r.pattern for r in M.dict_match(df, terms_table(spark, TERMS), **form).collect())
+
+
+def test_a_hundred_thousand_terms_match_in_every_form(spark):
+    patterns = [f"w{k} x{k % 7}" for k in range(100_000)] + ["w5", "w77 x0 tail"]
+    texts = [" ".join(f"w{(k * j) % 100_003} x{(k + j) % 7}" for j in range(40)) + " w77 x0 tail" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([(p, p, p) for p in patterns], "key string, name string, pattern string")
+    rows = lambda **form: sorted((r.doc_id, r.start, r.pattern) for r in M.dict_match(df, terms, **form).collect())
+    whole = rows()
+    assert len(whole) > 300 and whole == rows(joined=True) == rows(most_chars=1000)
+    known = set(patterns)
+    for k in (0, 7, 31):  # every start, longest first
+        words, want = texts[k].split(" "), []
+        at, i = 0, 0
+        while i < len(words):
+            n = next((n for n in (3, 2, 1) if " ".join(words[i : i + n]) in known), 0)
+            if n:
+                want.append((k, at, " ".join(words[i : i + n])))
+            at += sum(len(w) + 1 for w in words[i : i + max(n, 1)])
+            i += max(n, 1)
+        assert [w for w in whole if w[0] == k] == want
+
+
+def test_several_dictionaries_keep_their_own_matches(spark):
+    df = spark.createDataFrame([(1, "new york pizza"), (2, None), (3, "")], "doc_id long, text string")
+    found = M.match_dictionaries(df, {"a": terms_table(spark, ["new york", "pizza"]), "b": terms_table(spark, ["york pizza", "new"]), "none": terms_table(spark, ["x"]).where("false")})
+    assert {n: sorted((r.start, r.pattern) for r in rows.collect()) for n, rows in found.items()} == {"a": [(0, "new york"), (9, "pizza")], "b": [(0, "new"), (4, "york pizza")], "none": []}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
+def plain_fuzzy(text, patterns, budget):
+    """Walks every pattern from every word, spending the budget word by word."""
+    low = text.lower()
+    words = [m.span() for m in re.finditer("[a-z0-9_]+", low)]
+    hits = []
+    for i, (start, _) in enumerate(words):
+        for p in patterns:
+            parts = re.findall("[a-z0-9_]+|[^a-z0-9_]+", p)
+            wanted, seps = parts[::2], parts[1::2]
+            spans = words[i : i + len(wanted)]
+            if len(spans) < len(wanted) or any(low[a[1] : b[0]] != sep for a, b, sep in zip(spans, spans[1:], seps, strict=False)):
+                continue
+            costs = [edits(low[a:b], w) for (a, b), w in zip(spans, wanted, strict=True)]
+            if sum(costs) <= budget:
+                hits.append((start, -spans[-1][1], sum(costs), p))
+    out, free = [], 0
+    for start, end, cost, p in sorted(hits):
+        if start >= free:
+            out.append((start, -end, p, cost))
+            free = -end
+    return out
+
+
+def test_fuzzy_matches_of_known_sentences(spark):
+    df = spark.createDataFrame([(1, "I love Big Aple and Baay Area."), (2, "I love Big Apple and Bay Area."), (3, "maria mari marie"), (4, "new york pizza york"), (5, "big  apple big-apple bigg aple")], "doc_id long, text string")
+    terms = terms_table(spark, ["big apple", "bay area", "marie", "new york", "york"])
+    got = sorted((r.doc_id, r.start, r.end, r.pattern, r.cost) for r in M.dict_match_fuzzy(df, terms, 1).collect())
+    assert got == [(1, 7, 15, "big apple", 1), (1, 20, 29, "bay area", 1), (2, 7, 16, "big apple", 0), (2, 21, 29, "bay area", 0), (3, 0, 5, "marie", 1), (3, 6, 10, "marie", 1), (3, 11, 16, "marie", 0), (4, 0, 8, "new york", 0), (4, 15, 19, "york", 0)]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2])
+def test_fuzzy_matches_equal_a_plain_walk(spark, budget):
+    import random
+
+    rng = random.Random(budget)
+    stem = ["lemon", "lemons", "demon", "sugar", "cane", "cane sugar", "raw cane sugar", "salt", "sea-salt", "lemon salt", "melon", "e330"]
+    spoil = lambda w: "".join(c if rng.random() > 0.08 else rng.choice(["", "x", c + c]) for c in w)
+    texts = [rng.choice([" ", ", ", "-"]).join(spoil(rng.choice(stem)) for _ in range(25)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.pattern, r.cost) for r in M.dict_match_fuzzy(df, terms_table(spark, stem), budget).collect())
+    assert got == sorted((k, *m) for k, t in enumerate(texts) for m in plain_fuzzy(t, stem, budget))
+
+
+def test_fuzzy_terms_keep_their_outer_separators(spark):
+    df = spark.createDataFrame([(1, "épinard xépinard épinrd pinard"), (2, "100% jus 100%jus 100 %"), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end, r.pattern) for r in M.dict_match_fuzzy(df, terms_table(spark, ["épinard", "100%", "%"]), 1).collect())
+    assert got == [(1, 0, 7, "épinard"), (1, 17, 23, "épinard"), (2, 0, 4, "100%")]
+
+
+def test_all_default_types_come_from_one_reading(spark, tmp_path):
+    from larder import fixed
+
+    texts = [
+        "Poids net 200 g\nEMB 56251A\ningrédients biologiques. Carrefour Market", "bouteille en plastique a recycler\nfumer tue\n12/05/2021", "Énergie: 120 kJ, protéines 3,5 g\ncoca cola", None, "",
+    ]
+    rows = [(f"i{k}", t, {"adult": "VERY_LIKELY" if k == 3 else "LIKELY", "violence": "UNKNOWN"}) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "source_image string, text string, safe_search struct<adult:string,violence:string>").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    words = spark.createDataFrame([("i0", 0, "up", "fr"), ("i0", 1, "up", None), ("i9", 0, "left", "en")], "source_image string, word_idx int, orientation string, lang string")
+    arguments = {
+        "brand": {"curated": terms(spark, "coca cola"), "from_taxonomy": None}, "category": {"nodes": spark.createDataFrame([("fr:x",)], "id string")},
+        "store": {"stores": [("Carrefour Market", None), ("Carrefour", None)]}, "packaging": {"shapes": {"bouteille": "en:bottle"}, "materials": {"plastique": "en:plastic"}, "recyclings": {"recycler": "en:recycle"}},
+        "image_flag": {"words": terms(spark, "fumer tue")}, "image_lang": {"words": words}, "image_orientation": {"words": words}, "label": {"dictionary": terms(spark, "ingrédients", "en:x")},
+    }
+    got = E.extract_all(df, **arguments)
+    columns = ["source_image", *E.PREDICTION_COLUMNS]
+    whole = sorted(map(str, got.select(columns).collect()))
+    alone = []
+    for t in fixed.OCR_DEFAULT_TYPES:
+        one = E.extract_all(df, [t], **{k: v for k, v in arguments.items() if k == t}) if t.startswith("image_") else E.extract_type(df, E.TEXT_TYPES[t](**arguments.get(t, {})), ["source_image"], "text")
+        alone += map(str, one.select(columns).collect())
+    assert whole == sorted(alone) and len(whole) > 15
+    assert {r.type for r in got.collect()} == set(fixed.OCR_DEFAULT_TYPES) - {"category"}
+    huge = E.scanned(df, {"label": E.label_type(terms(spark, "ingrédients"))}, ["source_image"], "text", most_chars=1)  # dictionaries over the bound
+    assert [r.value_tag for r in huge[0].where("predictor = 'flashtext'").collect()] == ["k:ingrédients"]
+    with pytest.raises(KeyError):
+        E.extract_all(df, ["no such type"])
