@@ -107,6 +107,6 @@ def query(name: str, check: str | None = None) -> Callable:
 @lru_cache(maxsize=1)
 def load_all() -> tuple[dict, dict]:
     """Import the catalogue modules; returns (queries, check SQL)."""
-    from larder.plans import q_core, q_import, q_review, q_scalar, q_text, q_vector  # noqa: F401
+    from larder.plans import q_core, q_import, q_match, q_review, q_scalar, q_text, q_vector  # noqa: F401
 
     return QUERIES, {n: with_roles(s) for n, s in ORACLES.items()}
