@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import paths
+from larder.operators.keys import keyed_products, product_key
 from larder.operators.filters import raw_image_ids
 from larder.schemas import DIFFS
 
@@ -71,14 +72,21 @@ def switch_product_type(images: DataFrame, image_predictions: DataFrame, logos:
     """Rows to delete under the old type, and images to import under the new one.
 
     ``switched``: (barcode, server_type, new_server_type); unchanged types and vanished
-    products are ignored.
+    products are ignored.  The catalogue may still list a product under its old type; where
+    it lists both, the new one tells the images.
     """
-    moved = switched.where(F.col("server_type") != F.col("new_server_type")).join(products.select(F.col("code").alias("barcode")), "barcode", "left_semi")
+    both = products.select(F.col("code").alias("barcode"), "image_ids", *([] if "server_type" not in products.columns else [F.col("server_type").alias("listed")]))
+    moved = switched.where(F.col("server_type") != F.col("new_server_type")).join(both.select("barcode"), "barcode", "left_semi")
     keys = moved.select(*KEY).distinct()
     im = images.join(keys, KEY, "left_semi")
     ip = image_predictions.join(im.select(F.col("id").alias("image_id")), "image_id", "left_semi")
     lg = logos.join(ip.select(F.col("id").alias("image_prediction_id")), "image_prediction_id", "left_semi")
-    again = moved.select("barcode", F.col("new_server_type").alias("server_type")).join(products.select(F.col("code").alias("barcode"), "image_ids"), "barcode")
+    again = moved.join(both, "barcode")
+    if "listed" in both.columns:
+        again = again.where(F.col("listed").isNull() | F.col("listed").isin(F.col("server_type"), F.col("new_server_type")))
+        last = F.struct(F.col("listed").eqNullSafe(F.col("new_server_type")).cast("int").alias("new"), "image_ids")
+        again = again.groupBy("barcode", "server_type", "new_server_type").agg(F.max(last).alias("last")).select("*", "last.image_ids")
+    again = again.select("barcode", F.col("new_server_type").alias("server_type"), "image_ids")
     return {
         "image": im, "image_prediction": ip, "logo_annotation": lg, "prediction": predictions.join(keys, KEY, "left_semi"),
         "product_insight": insights.join(keys, KEY, "left_semi").where(F.col("annotation").isNull()),
@@ -93,7 +101,7 @@ def save_image(requests: DataFrame, images: DataFrame, products: DataFrame) -> D
     """
     new = requests.join(images.select("source_image", "server_type"), ["source_image", "server_type"], "left_anti")
     new = new.withColumn("image_id", paths.image_id(F.col("source_image"))).where(F.col("image_id").isNotNull())
-    rows = new.join(products.select(F.col("code").alias("barcode"), "images"), "barcode")
+    rows = new.join(keyed_products(new, products, "images"), product_key(new, products))
     meta = F.try_element_at("images", F.col("image_id"))
     size = F.try_element_at(meta["sizes"], F.lit("full"))
     rows = rows.where(size.isNotNull())
@@ -103,6 +111,8 @@ def save_image(requests: DataFrame, images: DataFrame, products: DataFrame) -> D
 
 def refresh_images(products: DataFrame, images: DataFrame, server_type: str = "off") -> DataFrame:
     """Image rows for catalogue images the table lacks."""
+    if "server_type" in products.columns:
+        products = products.where(F.col("server_type") == server_type)
     wanted = products.select(F.col("code").alias("barcode"), F.lit(server_type).alias("server_type"), F.explode(raw_image_ids(F.col("images"))).alias("image_id"))
     wanted = wanted.select("barcode", "server_type", paths.image_path(F.col("barcode"), F.col("image_id")).alias("source_image"))
     return save_image(wanted, images, products)

@@ -531,17 +531,20 @@ def ingredient_dictionary(names: DataFrame, combinations: bool = True) -> DataFr
     return base.unionByName(built.select("node_id", "lang", F.col("built").alias("pattern"))).distinct()
 
 
-def extract_ingredient_mentions(texts: DataFrame, dictionary: DataFrame, key: str = "barcode") -> DataFrame:
+def extract_ingredient_mentions(texts: DataFrame, dictionary: DataFrame, key: str = "barcode", order: str = "position", text_col: str = "text") -> DataFrame:
     """Distinct ingredient ids of a product's texts, first mention first.
 
-    ``texts``: (key, texts array).  ``dictionary``: (pattern, node_id, lang).
+    ``texts``: (key, order, text), a row per text.  ``dictionary``: (pattern, node_id, lang).
+    Every text is matched by itself; of a product only the first place of each id is kept
+    before its ids come together, so what is gathered is bounded by the dictionary.
     """
-    flat = F.transform("texts", lambda t: text.collapse_spaces(F.replace(t, F.lit("\n"), F.lit(" "))))
-    base = texts.select(key, text.fold(F.lower(F.array_join(flat, "|"))).alias("__t"))
+    flat = text.collapse_spaces(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))
+    base = texts.where(F.col(text_col).isNotNull()).select(key, F.col(order).alias("__order"), text.fold(F.lower(flat)).alias("__t"))
     terms = dictionary.groupBy("pattern").agg(F.array_sort(F.collect_set("node_id")).alias("ids")).select(F.lit("").alias("key"), F.col("pattern").alias("name"), "pattern", "ids")
-    hits = dict_match(base, terms, [key], "__t")
-    ordered = F.array_sort(F.collect_list(F.struct("start", "ids")))
-    return hits.groupBy(key).agg(F.array_distinct(F.flatten(F.transform(ordered, lambda h: h["ids"]))).alias("ingredients"))
+    hits = dict_match(base, terms, [key, "__order"], "__t")
+    places = hits.select(key, F.col("__order"), "start", F.posexplode("ids").alias("nth", "node_id"))
+    first = places.groupBy(key, "node_id").agg(F.min(F.struct("__order", "start", "nth")).alias("at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node_id"))), lambda x: x["node_id"]).alias("ingredients"))
 
 
 def taxonomy_terminals(names: DataFrame, lang: str, ignored: Sequence[str] = ()) -> DataFrame:

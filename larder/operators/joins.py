@@ -222,12 +222,21 @@ def threshold_join(df: DataFrame, thresholds: DataFrame, default: float = 0.2) -
     return df.join(right, cond, "left").withColumn("threshold", F.coalesce("threshold", F.lit(default))).drop("t_type", "t_value")
 
 
-def box_containment_join(words: DataFrame, logos: DataFrame) -> DataFrame:
-    """Text inside a box: words of the image whose whole box lies in it, in reading order."""
-    right = logos.select(F.col("id").alias("logo_id"), "source_image", F.col("bounding_box").alias("lb"))
-    b, lb = F.col("bbox"), F.col("lb")
+def box_containment_join(words: DataFrame, logos: DataFrame, cell: float = 0.125) -> DataFrame:
+    """Text inside a box: words of the image whose whole box lies in it, in reading order.
+
+    A word is in the grid cell (of side ``cell``, in the boxes' unit) of its first corner,
+    a box in all cells it covers, so words meet the boxes around them only.
+    """
+    side = lambda x: F.floor(x / cell).cast("int")
+    lb = F.col("lb")
+    span = lambda low, high: F.explode(F.sequence(side(low), F.greatest(side(high), side(low))))
+    right = logos.select(F.col("id").alias("logo_id"), "source_image", F.col("bounding_box").alias("lb")).where("lb is not null")
+    right = right.withColumn("cell_y", span(lb[0], lb[2])).withColumn("cell_x", span(lb[1], lb[3]))
+    b = F.col("bbox")
+    left = words.select("source_image", "word_idx", "text", "bbox", side(b[0]).alias("cell_y"), side(b[1]).alias("cell_x"))
     inside = (b[0] >= lb[0]) & (b[1] >= lb[1]) & (b[2] <= lb[2]) & (b[3] <= lb[3])
-    joined = words.join(right, "source_image").where(inside)
+    joined = left.join(right, ["source_image", "cell_y", "cell_x"]).where(inside)
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
     return joined.groupBy("logo_id").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
 

@@ -103,21 +103,22 @@ def question_format(insights: DataFrame, products: DataFrame, names: DataFrame,
     local_names = local_names.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda x: x["name"]), ", ").alias("__name"))
     rows = rows.join(local_names, "id", "left")
 
-    rows = rows.join(keyed_products(rows, products, F.col("images").alias("__images")), product_key(rows, products), "left")
+    # the two addresses are made beside the catalogue: its image maps do not travel
+    front = F.try_element_at(_entries(F.col("images"), "front"), F.lit(1))
+    front_url = paths.image_url(base_url, paths.image_path(F.col("code"), F.concat(front["key"], F.lit("."), front["value"]["rev"], F.lit(f".{fixed.DISPLAY_IMAGE_SIZE}"))))
+    shown_by = keyed_products(rows, products, generic_image(F.col("code"), F.col("images"), base_url).alias("__generic"), front_url.alias("__front"))
+    rows = rows.join(shown_by, product_key(rows, products), "left")
     rows = rows.join(label_images.select("value_tag", F.col("ref_image_url").alias("__ref")), "value_tag", "left")
     shown = paths.image_url(base_url, paths.display_image(F.col("source_image")))
-    generic = generic_image(F.col("barcode"), F.col("__images"), base_url)
-    front = F.try_element_at(_entries(F.col("__images"), "front"), F.lit(1))
-    front_url = paths.image_url(base_url, paths.image_path(F.col("barcode"), F.concat(front["key"], F.lit("."), front["value"]["rev"], F.lit(f".{fixed.DISPLAY_IMAGE_SIZE}"))))
     rotated = paths.image_url(
         base_url,
         paths.image_path(F.col("barcode"), F.concat_ws(".", F.get_json_object("data", "$.image_key"), F.get_json_object("data", "$.image_rev"), F.lit(str(fixed.DISPLAY_IMAGE_SIZE)))),
     )
     listed = F.coalesce(F.col("predictor").isin("curated-list", "taxonomy", "whitelisted-brands"), F.lit(False))
     image = (
-        F.when(F.col("type") == "category", generic)
+        F.when(F.col("type") == "category", F.col("__generic"))
         .when(F.col("type") == "image_orientation", rotated)
-        .when((F.col("type") == "brand") & listed, F.coalesce(front_url, shown))
+        .when((F.col("type") == "brand") & listed, F.coalesce("__front", shown))
         .otherwise(shown)
     )
     value = (

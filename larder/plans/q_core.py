@@ -736,7 +736,7 @@ def _(d):
     y, x = F.col("l_partkey") % 100, F.col("l_suppkey") % 90
     words = d.logo.select("source_image", F.col("id").alias("word_idx"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), boxes.box(y, x, y + 5, x + 5).alias("bbox"))
     logos = d.logo.select("id", "source_image", boxes.box(F.col("idx") * 10, F.lit(10), F.col("idx") * 10 + 60, F.lit(80)).alias("bounding_box"))
-    return J.box_containment_join(words, logos)
+    return J.box_containment_join(words, logos, cell=20)
 
 
 @query("nearby_match_join", """

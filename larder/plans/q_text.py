@@ -366,9 +366,8 @@ pat AS (SELECT '\b(?:' || string_agg(pattern, '|' ORDER BY length(pattern) DESC,
 f AS (SELECT source, id, min(i) AS i FROM m GROUP BY 1, 2) SELECT source AS barcode, string_agg(id, ',' ORDER BY i) AS ingredients FROM f GROUP BY source
 """)
 def _(d):
-    texts = d.documents.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("texts"))
     dictionary = benchmark_terms(d).select("pattern", F.col("pattern").alias("node_id"), F.lit("en").alias("lang"))
-    out = E.extract_ingredient_mentions(texts.withColumnRenamed("source", "barcode"), dictionary)
+    out = E.extract_ingredient_mentions(d.documents.withColumnRenamed("source", "barcode"), dictionary, order="doc_id")
     return out.select("barcode", F.array_join("ingredients", ",").alias("ingredients"))
 
 

@@ -74,8 +74,6 @@ class Data:
         if name not in self._seen:
             if name in TABLES:
                 self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            elif name == "ocr_text":  # few bytes, much matching: all cores take part
-                self._seen[name] = self.sql(ROLES[name]).repartition(self.spark.sparkContext.defaultParallelism)
             else:
                 self._seen[name] = self.sql(ROLES[name])
         return self._seen[name]
