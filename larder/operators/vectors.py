@@ -22,6 +22,12 @@ def vec_normalize(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn(column, vec_unit(F.col(column)))
 
 
+def comparable(vector: Column) -> Column:
+    """Vectors without null or non-finite components that are not null or empty."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False))
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -68,7 +74,14 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
     blocks and queries into chunks, so every task compares two bounded matrices and emits
     at most ``k`` rows per query.  ``probes=n`` searches only the n nearest cells
     (approximate).
+
+    Null vectors and ids, and vectors with null or non-finite components, take no part; only
+    vectors of the commonest length are compared; zero vectors are at a right angle to all.
     """
+    index, queries = (df.where(F.col(id_col).isNotNull() & comparable(F.col(vector_col))) for df in (index, queries))
+    width = index.groupBy(F.size(vector_col).alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if width is not None:
+        index, queries = (df.where(F.size(vector_col) == width["width"]) for df in (index, queries))
     server = F.col(server_col) if server_col else F.lit("")
     base = index.select(F.col(id_col).cast("long").alias("neighbor_id"), server.alias("server"), F.col(vector_col).alias("embedding"))
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), server.alias("server"), F.col(vector_col).alias("embedding"))
