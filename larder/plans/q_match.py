@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.operators import alignment
+from larder.operators import alignment, fingerprints
 from larder.plans.registry import Data, query
 
 # Every eleventh word of an original is spoilt.  Of four documents one has its odd spoilt words
@@ -40,3 +40,20 @@ def _(d: Data):
     joined = lambda c: F.array_join(c, " ")
     triples = rows.select("lang", joined("original").alias("original"), joined("words").alias("reference"), joined("made").alias("prediction"))
     return alignment.alignment_metrics(triples, ["lang"])
+
+
+@query("image_fingerprint_duplicates", """
+WITH RECURSIVE f AS (
+  SELECT id, CASE WHEN id % 5 = 0 THEN 77 ELSE xor((id % 40) * 2654435761 * 1000003, CASE WHEN id % 3 = 1 THEN CAST(1 AS BIGINT) << CAST(id % 61 AS INTEGER) ELSE 0 END) END AS h FROM image WHERE id % 13 <> 12
+), d AS (SELECT h, count(*) AS n, min(id) AS least FROM f GROUP BY h), l AS (SELECT a.h AS a, b.h AS b, b.n FROM d AS a JOIN d AS b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 4),
+r AS (SELECT h AS a, h AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT r.a AS h, min(d.least) AS class_id FROM r JOIN d ON d.h = r.b GROUP BY r.a),
+k AS (SELECT a AS h, sum(n) AS n FROM l GROUP BY a)
+SELECT id, class_id, CAST(d.n - 1 + coalesce(k.n, 0) AS BIGINT) AS n_links FROM f JOIN d USING (h) JOIN c USING (h) LEFT JOIN k USING (h)
+""")
+def _(d: Data):
+    """Classes of images whose stored fingerprints differ in four bits at most; a fifth of them are equal."""
+    k = F.col("id")
+    flip = F.when(k % 3 == 1, F.expr("shiftleft(1L, cast(id % 61 as int))")).otherwise(F.lit(0).cast("long"))
+    stored = F.when(k % 5 == 0, F.lit(77).cast("long")).otherwise(((k % 40) * 2654435761 * 1000003).bitwiseXOR(flip))
+    images = d.image.select("id", F.when(k % 13 != 12, stored).alias("fingerprint"))
+    return fingerprints.fingerprint_duplicates(images, distance=4)
