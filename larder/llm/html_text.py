@@ -23,6 +23,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+TO_THE_END = frozenset("script style textarea title xmp".split())  # without an end tag these hold the rest of the page
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - {'option', 'optgroup'}))})(?![^\s/>])", re.I)
 CLOSES = {  # an opening element -> the open elements it ends, up to the elements that bound the search
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -98,11 +100,31 @@ def marks(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool]:
     return unlikely and not sure, likely or sure
 
 
+def element_ends(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a name end, by where they begin; nested ones are paired, unclosed ones left out."""
+    opened, out = [], {}
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?![^\s/>])[^>]*>", re.I).finditer(page):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
+def next_block(page: str, at: int) -> int:
+    """Where an element without an end stops at the latest: before the next block's tag."""
+    m = BLOCK_TAG.search(page, at)
+    return m.start() if m else len(page)
+
+
 def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """Nodes in page order and text blocks (nearest block element, text, link characters).
 
     The tree is made in one pass with an explicit stack: elements end where HTML lets their
     end tag be left out, stray end tags are ignored, unclosed elements end with the page.
+    Elements without text of the article (``RAW``) are passed over; one that is never
+    closed ends at the next block, but for scripts and the like, which have no markup inside.
     """
     root = Node("#root", None, 0, False, False, False)
     nodes, stack, out = [root], [root], []
@@ -136,6 +158,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 return None
         return None
 
+    ends: dict[str, dict[int, int]] = {}
     at, size = 0, len(page)
     last = page.rfind(">") + 1  # a tag that never ends is left out
     while at < size:
@@ -163,9 +186,13 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 text.append(" ")
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/"):
+            if tag in TO_THE_END:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else size
+            elif not attributes.rstrip().endswith("/"):
+                if tag not in ends:
+                    ends[tag] = element_ends(page, tag)
+                at = ends[tag].get(m.start()) or next_block(page, at)
             continue
         if tag in BLOCKS:
             end_block()

@@ -361,6 +361,76 @@ def test_html_broken_and_huge_pages():
     assert len(main_blocks("<article>" + "<p>word, word" * 20_000)) == 20_000
 
 
+def test_html_elements_without_an_end_do_not_swallow_the_page():
+    for tag in ("svg", "select", "iframe", "object", "video", "noscript", "math", "template"):
+        page = f"<article><p>{PARAGRAPH}</p><{tag} a='1'>inner<p>{PARAGRAPH} Second.</p><p>Third</p></article>"
+        assert main_blocks(page) == [PARAGRAPH, f"{PARAGRAPH} Second.", "Third"], tag
+        nested = f"<article><p>{PARAGRAPH}</p><{tag}>a<{tag}>b</{tag}>c</{tag}><p>After</p></article>"
+        assert main_blocks(nested) == [PARAGRAPH, "After"], tag
+    assert main_blocks(f"<article><p>{PARAGRAPH}</p><script>x<p>{PARAGRAPH}") == [PARAGRAPH]
+    assert main_blocks(f"<article><p>{PARAGRAPH}</p><svg/><p>b</p><svgx>c</svgx><svg>d</svg></article>") == [PARAGRAPH, "b", "c"]
+    assert main_blocks("<svg>" * 20_000 + "<p>text") == ["text"]
+
+
+def plain_main_blocks(page):
+    """The choice by its definition: sums over all blocks for each node, ancestors looked up one by one."""
+    from larder.llm import html_text as H
+
+    nodes, blocks = H.blocks_of(page or "")
+    up = lambda n: [] if n is None else [n, *up(n.parent)]
+    kept = [b for b in blocks if not any(n.unlikely for n in up(b[0]))]
+    if not kept:
+        return []
+    below = lambda n: [b for b in kept if n in up(b[0])]
+    chars = lambda n: sum(len(t) for _, t, _ in below(n))
+    links = lambda n: sum(x for _, _, x in below(n))
+
+    def points(n):
+        total = 0.0
+        for node, text, _ in kept:
+            containers = [m for m in up(node) if m.tag in H.CONTAINERS][:5]
+            if len(text) >= 25 and n in containers:
+                total += (1 + min(sum(text.count(c) for c in ",、，"), 10) + min(len(text) / 100, 3)) * (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)[containers.index(n)]
+        return total
+
+    def worth(n):
+        base = points(n) * (1.25 if n.likely else 1) + (25 if n.tag in ("article", "main") and chars(n) else 5 if n.likely and points(n) else 0)
+        return base * (1 - links(n) / max(chars(n), 1))
+
+    held = [n for n in nodes if n.tag in H.CONTAINERS and chars(n) and not any(m.unlikely for m in up(n))]
+    worths = {n.order: worth(n) for n in held}
+    best = max(held, key=lambda n: (round(worths[n.order], 9), -n.order))
+    beside = [n for n in held if n.parent is best.parent and n is not best and worths[n.order] >= max(10.0, 0.2 * worths[best.order]) and links(n) <= 0.25 * chars(n)]
+    lone = lambda n, t, x: n.parent is best.parent and n.tag == "p" and len(t) >= 80 and x <= 0.25 * len(t)
+    return [t for n, t, x in kept if any(m in [best, *beside] for m in up(n)) or lone(n, t, x)]
+
+
+def random_page(rng):
+    out = []
+    for _ in range(int(rng.integers(3, 40))):
+        kind = rng.integers(0, 9)
+        name = rng.choice(["div", "section", "article", "td", "ul", "main", "aside", "p", "li", "h2", "header", "blockquote"])
+        if kind < 4:
+            out.append(f'<{name} class="{rng.choice(["", "content", "sidebar", "post-body", "ad", "x"])}">')
+        elif kind < 6:
+            out.append(f"</{name}>")
+        else:
+            words = " ".join(rng.choice(["word", "longer, text", "and", "a<a href=x>link here</a>"], int(rng.integers(1, 40))))
+            out.append(f"<p>{words}" if kind < 8 else words)
+    return "".join(out)
+
+
+def test_html_choice_matches_its_definition(spark):
+    rng = np.random.default_rng(8)
+    pages = [random_page(rng) for _ in range(150)] + [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()] + [ARTICLE, None, ""]
+    kept = 0
+    for page in pages:
+        got = main_blocks(page)
+        assert got == plain_main_blocks(page), page
+        kept += bool(got)
+    assert kept > 100
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE, 5), (1, "u", ARTICLE, 5), (2, None, None, None), (None, "v", "<p>été", 1)], "page_id long, url string, html string, text long")
     got = rows_of(extract_text(pages))
