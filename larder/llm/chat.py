@@ -84,11 +84,17 @@ def label_of(role: str | None) -> int | None:
 
 
 def row_lines(role: str | None, text: str | None) -> list[tuple[str, np.ndarray]]:
-    """(line as it stands, emission) of one row's lines."""
-    out = []
+    """(line as it stands, emission) of one row's lines.
+
+    In a row whose label names a speaker a control mark of another role is no marker: what
+    a user types cannot begin an assistant's turn.
+    """
+    out, label = [], label_of(role)
     for k, raw in enumerate((text or "").split("\n")):
         line, marker = read_line(raw)
-        out.append((raw, emission(line, marker, k == 0, label_of(role) if k == 0 else None)))
+        if label is not None and marker != label and raw.lstrip().startswith("<|"):
+            line, marker = raw, None
+        out.append((raw, emission(line, marker, k == 0, label if k == 0 else None)))
     return out
 
 
@@ -197,8 +203,18 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """The canonical form of a turn."""
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n<|end|>"))
+    """The canonical form of a turn.
+
+    The text holds no control mark: every "<|" gets a backslash inside, and those that have
+    one get one more, so ``plain`` finds the text again.
+    """
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|"), F.lit("\n<|end|>"))
+
+
+def plain(whole: str) -> list[tuple[str, str]]:
+    """(role, text) of rendered turns that follow each other."""
+    turns = re.findall(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>", whole, re.S)
+    return [(role, re.sub(r"<(\\*)\\\|", r"<\1|", text)) for role, text in turns]
 
 
 def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", block_turns: int = 512) -> DataFrame:
@@ -211,6 +227,7 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     conversation id is a conversation of its own; a null or empty text is one empty line;
     equal rows are turns of their own; every row's lines are in exactly one turn; an empty
     table gives no rows.  Blocks hold the turns of ``block_turns`` consecutive numbers.
+    Control marks in a text are escaped in ``rendered``.
     """
     conv = F.coalesce(F.concat(F.lit("c"), F.col(id_col).cast("string")), F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")))
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
