@@ -22,12 +22,12 @@ LABELLED = [
     (1, "https://www.casino-royal.example.com/en/12 http://best-casino.example.net/win/9 https://m.casino-win.example.org/fr/3 http://casinobonus.example.com/de/77 https://win-jackpot.example.net/es/8 http://slots-casino.example.org/en/411.html"),
     (1, "https://blog.free-bets.example.com/en/5 http://bets-online.example.net/de/66 https://www.sports-bets.example.org/fr/91/ http://free-spins.example.com/en/17 https://poker-win.example.net/es/28 http://m.free-casino.example.org/en/3?page=2"),
     (1, "http://cheap-pills.example.org/fr/1 https://www.pills-online.example.com/en/39 http://cheap-viagra.example.net/de/207 https://buy-pills.example.org/es/14/ http://blog.cheap-meds.example.com/en/903 https://m.diet-pills.example.net/fr/6.html"),
-    (1, "https://spam-farm.example.net/de/44 http://www.spam-links.example.com/en/8 https://link-farm.example.org/fr/73 http://seo-spam.example.net/es/2 https://blog.content-farm.example.com/en/616 http://m.spam-blog.example.org/en/90#top"),
+    (1, "https://spam-mill.example.net/de/44 http://www.spam-links.example.com/en/8 https://link-wheel.example.org/fr/73 http://seo-spam.example.net/es/2 https://blog.content-mill.example.com/en/616 http://m.spam-blog.example.org/en/90#top"),
     (1, "http://ads-track.example.com/en/4 https://www.ads-server.example.net/fr/55 http://track-click.example.org/de/31 https://m.popup-ads.example.com/es/7 http://adclick-track.example.net/en/818/ https://blog.ad-track.example.org/en/23"),
     (1, "https://adult-x.example.org/en/11 http://www.adult-cams.example.com/fr/62 https://x-videos.example.net/de/9 http://m.adult-dating.example.org/es/35 https://xxx-adult.example.com/en/402.html http://blog.sex-cams.example.net/en/13"),
     (1, "http://fast-loans.example.com/en/21 https://www.payday-loans.example.net/de/87 http://crypto-doubler.example.org/en/6 https://m.replica-watches.example.com/fr/190 http://get-rich-quick.example.net/es/45/ https://blog.warez-crack.example.org/en/72"),
-    (0, "https://www.therin.example.com/en/12 http://blog.thernd.example.net/de/9 https://m.tionsh.example.org/fr/3 http://ththon.example.com/de/77 https://theron.example.net/es/8 http://www.thering.example.org/en/411.html"),
-    (0, "https://blog.ingand.example.com/en/5 http://anderes.example.net/de/66 https://www.thation.example.org/fr/91/ http://enthal.example.com/en/17 https://ononer.example.net/es/28 http://m.reading.example.org/en/3?page=2"),
+    (0, "https://www.townhall.example.com/en/12 http://blog.orchard.example.net/de/9 https://m.railway.example.org/fr/3 http://harbour.example.com/de/77 https://meadow.example.net/es/8 http://www.lighthouse.example.org/en/411.html"),
+    (0, "https://blog.carpentry.example.com/en/5 http://nachrichten.example.net/de/66 https://www.meteo-france.example.org/fr/91/ http://observatory.example.com/en/17 https://biblioteca.example.net/es/28 http://m.reading.example.org/en/3?page=2"),
     (0, "http://library.example.org/fr/1 https://www.university.example.com/en/39 http://museum.example.net/de/207 https://archive.example.org/es/14/ http://blog.science.example.com/en/903 https://m.history.example.net/fr/6.html"),
     (0, "https://weather.example.net/de/44 http://www.gardening.example.com/en/8 https://recipes.example.org/fr/73 http://chemistry.example.net/es/2 https://blog.travel.example.com/en/616 http://m.music.example.org/en/90#top"),
     (0, "http://newspaper.example.com/en/4 https://www.journal.example.net/fr/55 http://physics.example.org/de/31 https://m.biology.example.com/es/7 http://teachers.example.net/en/818/ https://blog.letters.example.org/en/23"),
