@@ -14,10 +14,11 @@ from larder.operators import dedup as D
 from larder.operators import deletes as X
 from larder.operators import taxonomy as T
 from larder.operators.ranking import candidate_order
+from larder.operators.stored_table import StoredTable
 from larder import cut_lineage
 from larder.plans import flows
-from larder.plans.q_core import CLOSURE, IMAGE_RANK, PREFIXES, brand_blacklist, brand_prefixes, closure, joined, spell_products
-from larder.plans.registry import Data, query
+from larder.plans.q_core import CLOSURE, IMAGE_RANK, PREFIXES, brand_blacklist, brand_prefixes, closure, joined, scratch, spell_products
+from larder.plans.registry import ORACLES, Data, query
 from larder.plans.roles import product_full, with_json
 
 # --- taxonomy -----------------------------------------------------------------
@@ -181,6 +182,21 @@ def _(d):
     return S.apply_change_set(base, changes, new).select("id", "value_tag", "unique_scans_n", "type")
 
 
+@query("apply_change_set_stored", ORACLES["apply_change_set"])
+def _(d):
+    """The same changes as two batches on a stored table, the first of them replayed."""
+    key = F.col("o_orderkey") % 4
+    base = d.insight.select("id", "barcode", "server_type", "type", "value_tag", "unique_scans_n")
+    table = StoredTable.create(base, scratch(d, "insights"), buckets=16)
+    op = F.when(key == 0, "delete").when(key == 1, "update").when(key == 2, "create")
+    changes = d.insight.where(key < 3).select(op.alias("op"), F.col("id").alias("candidate_id"), F.when(key == 2, None).otherwise(F.col("id")).alias("insight_id"))
+    new = d.insight.select(F.col("id").alias("candidate_id"), F.concat(F.lit("c-"), "id").alias("insight_id"), "barcode", "server_type", "type", F.concat(F.lit("new-"), "id").alias("value_tag"), (F.col("unique_scans_n") + 1).alias("unique_scans_n"))
+    table.apply(changes.where("op = 'delete'"), new, 0)
+    table.apply(changes.where("op = 'delete'"), new, 0)
+    table.apply(changes.where("op <> 'delete'"), new, 1)
+    return table.rows().select("id", "value_tag", "unique_scans_n", "type")
+
+
 def raw_candidates(d: Data):
     size = F.array(*[F.lit(float(x)) for x in (10, 20, 150, 200)])
     return d.prediction.withColumn("bounding_box_absolute", F.when(F.col("l_orderkey") % 2 == 0, size))
