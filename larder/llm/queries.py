@@ -55,10 +55,10 @@ WITH RECURSIVE ids AS (
 o AS (
   SELECT conv_id, length(t) AS size, md5(r) || md5(t) AS digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS pos
   FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
-), both AS (
+), rebuilt AS (
   SELECT c.conv_id, 0 AS part, pos, size, digest FROM c JOIN o ON o.conv_id = c.head AND pos <= h
   UNION ALL SELECT c.conv_id, 1, pos, size, digest FROM c JOIN o USING (conv_id) WHERE pos > h
-), d AS (SELECT conv_id, size, digest, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM both),
+), d AS (SELECT conv_id, size, digest, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM rebuilt),
 p AS (
   SELECT conv_id, depth, size, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM d
   UNION ALL SELECT conv_id, 0, 0, '' FROM c
