@@ -11,7 +11,7 @@ from larder.operators import text_match as M
 from larder.plans import flows
 from larder.plans.q_core import ORIENTATION, words
 from larder.plans.q_scalar import sql_fold
-from larder.plans.registry import ORACLES, Data, query
+from larder.plans.registry import ORACLES, Data, query, spread
 
 # Dictionary made of the benchmark passages: their openings of one to three words and long words.
 TERM_SQL = """
@@ -42,13 +42,13 @@ def spans_counted(hits):
 
 @query("dict_match", DICT)
 def _(d):
-    return spans_counted(M.dict_match(d.documents, benchmark_terms(d)))
+    return spans_counted(M.dict_match(spread(d.documents), benchmark_terms(d)))
 
 
 @query("dict_match_join", DICT)
 def _(d):
     """The same matches through the big-dictionary path."""
-    return spans_counted(M.dict_match(d.documents, benchmark_terms(d), joined=True))
+    return spans_counted(M.dict_match(spread(d.documents), benchmark_terms(d), joined=True))
 
 
 @query("dictionary_join", rf"""

@@ -58,6 +58,12 @@ def with_roles(sql: str) -> str:
     return head + ",\n".join(parts) + (",\n" + own if own else "\n" + body)
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts for heavy matching: dealt to all cores where their files have fewer splits, else as they are read."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 class Data:
     """Lazily resolved tables and role views of one data folder."""
 
@@ -74,6 +80,8 @@ class Data:
         if name not in self._seen:
             if name in TABLES:
                 self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            elif name == "ocr_text":
+                self._seen[name] = spread(self.sql(ROLES[name]))
             else:
                 self._seen[name] = self.sql(ROLES[name])
         return self._seen[name]
