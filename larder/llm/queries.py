@@ -87,24 +87,22 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <
 #: The schedule is simulated slot by slot; documents are counted with plain running sums.
 MIXING_SQL = """
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(source, '') AS source, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
-), w AS (SELECT source, CAST(greatest(floor(sqrt(CAST(sum(size) AS DOUBLE))), 1) AS BIGINT) AS weight FROM d GROUP BY source),
-s AS (SELECT source, greatest((2 * weight * 1024 + t) // (2 * t), 1) AS share FROM w, (SELECT CAST(sum(weight) AS BIGINT) AS t FROM w)),
-c AS (SELECT list(share ORDER BY source) AS shares, CAST(sum(share) AS BIGINT) AS cycle FROM s),
-n AS (SELECT source, share, row_number() OVER (ORDER BY source) AS i FROM s),
+  SELECT doc_id, coalesce(source, '') AS source, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS digest FROM documents
+), w AS (SELECT source, CAST(greatest(floor(sqrt(CAST(sum(size) AS DOUBLE))), 1) AS BIGINT) AS weight, CAST((sum(size) + 65535) // 65536 AS BIGINT) AS blocks FROM d GROUP BY source),
+n AS (SELECT *, (blocks * total + weight - 1) // weight AS ends FROM (SELECT *, CAST(sum(weight) OVER () AS BIGINT) AS total, row_number() OVER (ORDER BY source) AS i FROM w)),
+c AS (SELECT list(weight ORDER BY i) AS weights, any_value(total) AS total, max(total // weight) + 2 AS longest, coalesce(list_sort(list(ends), 'DESC')[2], 0) AS alone FROM n),
 sim AS (
-  SELECT CAST(-1 AS BIGINT) AS turn, list_transform(shares, lambda x: CAST(0 AS BIGINT)) AS sent, CAST(0 AS BIGINT) AS pick FROM c
+  SELECT CAST(-1 AS BIGINT) AS turn, list_transform(weights, lambda x: CAST(0 AS BIGINT)) AS sent, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS block FROM c
   UNION ALL
-  SELECT turn + 1, list_transform(sent, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p FROM (
-    SELECT turn, sent, list_sort(list_filter(list_transform(sent, lambda x, i: CASE WHEN x < shares[i] AND (x * cycle) // shares[i] <= turn + 1
-      THEN [((x + 1) * cycle + shares[i] - 1) // shares[i], i] END), lambda y: y IS NOT NULL))[1][2] AS p
-    FROM sim, c WHERE turn + 1 < cycle)
-), plan AS (SELECT n.source, turn, row_number() OVER (PARTITION BY pick ORDER BY turn) - 1 AS nth FROM sim JOIN n ON n.i = sim.pick WHERE turn >= 0),
-q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
-b AS (SELECT q.doc_id, q.source, before // 65536 AS block, before % 65536 AS "offset", share, cycle FROM q JOIN s USING (source), c)
-SELECT doc_id, b.source, block, (block * cycle) // share AS release, ((block + 1) * cycle + share - 1) // share AS deadline,
-  block // share * cycle + turn AS slot, "offset"
-FROM b JOIN plan ON plan.source = b.source AND plan.nth = block % share
+  SELECT turn + 1, list_transform(sent, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, sent[p] FROM (
+    SELECT turn, sent, list_sort(list_filter(list_transform(sent, lambda x, i: CASE WHEN (x * total) // weights[i] <= turn + 1
+      THEN [((x + 1) * total + weights[i] - 1) // weights[i], i] END), lambda y: y IS NOT NULL))[1][2] AS p
+    FROM sim, c WHERE turn + 1 < alone + longest)
+), q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
+b AS (SELECT q.doc_id, source, i, before // 65536 AS block, before % 65536 AS "offset", (before // 65536 * total) // weight AS release, ((before // 65536 + 1) * total + weight - 1) // weight AS deadline FROM q JOIN n USING (source))
+SELECT doc_id, source, b.block, release, deadline, CASE WHEN release >= alone THEN deadline - 1 ELSE turn END AS slot, "offset"
+FROM b CROSS JOIN c LEFT JOIN sim ON sim.turn >= 0 AND sim.pick = b.i AND sim.block = b.block
 """
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -236,7 +234,7 @@ def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_mixing", MIXING_SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' slots in a mixture of sources weighted by the root of their size."""
-    return mix(_table(spark, sf_dir, "documents"), block_chars=65_536, cycle=1024)
+    return mix(_table(spark, sf_dir, "documents"), block_chars=65_536)
 
 
 @_query("op5_url_filter", _url_sql())

@@ -84,21 +84,64 @@ def test_neighbour_recall(spark):
 # ---------------------------------------------------------------- mixing
 
 
-def test_schedule_deviates_less_than_one_block(spark):
-    weights = [("a", 11), ("b", 5), ("", 3), ("d", 1), ("e", 1)]
-    plan = rows_of(mixing.schedule(spark.createDataFrame(weights, "queue string, share long")))
-    order = [q for q, *_ in sorted(plan, key=lambda r: r[4])]
-    assert len(order) == 21
-    sent = dict.fromkeys(dict(weights), 0)
-    for t, q in enumerate(order * 2, 1):
+def played(weights, slots):
+    """(queue, block) of each slot: earliest deadline first, played from slot 0."""
+    total, sent, out = sum(weights.values()), dict.fromkeys(sorted(weights), 0), []
+    for t in range(slots):
+        q = min((-(-(n + 1) * total // weights[k]), k) for k, n in sent.items() if n * total // weights[k] <= t)[1]
+        out.append((q, sent[q]))
         sent[q] += 1
-        assert all(abs(sent[k] - w * t / 21) < 1 for k, w in weights)
-    for q, share, cycle, nth, turn in plan:
-        assert nth * cycle // share <= turn < ceil((nth + 1) * cycle / share)
+    return out
+
+
+@pytest.mark.parametrize(
+    ("weights", "blocks"),
+    [
+        ({"a": 11, "b": 5, "": 3, "d": 1, "e": 1}, 40),
+        ({"a": 1013, "b": 1012, "c": 707, "d": 331, "e": 13}, 400),
+        ({"a": 997, "b": 1, "c": 3}, 900),
+        ({"a": 3_000, "b": 1}, 300),
+        ({"a": 7}, 5),
+    ],
+)
+def test_schedule_in_spans_is_the_one_long_schedule(spark, weights, blocks):
+    sizes = spark.createDataFrame([(k, blocks * 10 - 3) for k in weights], "queue string, size long")
+    targets = spark.createDataFrame(list(weights.items()), "queue string, weight long")
+    weighted = mixing.weights(sizes, targets, 10)
+    total, limit = sum(weights.values()), max(r.alone for r in mixing.alone(weighted).collect())
+    slots = {(q, n): slot for q, n, _, _, slot in rows_of(mixing.schedule(weighted, span=32)) if n * total // weights[q] < limit}
+    want = played(weights, limit + total // min(weights.values()) + 2 if limit < 10_000 else 0)
+    if want:
+        assert slots == {(q, n): t for t, (q, n) in enumerate(want) if n < blocks and n * total // weights[q] < limit}
+    for (q, n), slot in slots.items():
+        assert n * total // weights[q] <= slot < ceil((n + 1) * total / weights[q])
+    assert len(slots) == sum(n * total // w < limit for w in weights.values() for n in range(blocks))
+
+
+def test_mixture_keeps_to_unrounded_weights(spark):
+    weights = {"a": 7_001, "b": 2_998, "c": 1}  # c has a hundredth of a percent
+    docs = spark.createDataFrame([(i, "x" * 10, "abc"[(i % 10 > 6) + (i == 0)]) for i in range(4000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, spark.createDataFrame(list(weights.items()), "queue string, weight long"), block_chars=10)
+    order = [r.source for r in mixed.orderBy("slot", "offset").collect()]
+    left, sent, total = {k: sum(s == k for s in order) for k in weights}, dict.fromkeys(weights, 0), sum(weights.values())
+    for t, q in enumerate(order, 1):
+        sent[q] += 1
+        if all(sent[k] < left[k] for k in "ab"):
+            assert all(abs(sent[k] * total - weights[k] * t) < 2 * total for k in "c") and all(abs(sent[k] * total - weights[k] * t) < total for k in "ab")
+    assert sent == left and sum(left.values()) == 4000
+
+
+def test_rows_of_one_id_are_ordered_and_split(spark):
+    docs = spark.createDataFrame([(None, f"text {i:05d}", "s") for i in range(9000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, block_chars=100, carry=True)
+    places = [(r.slot, r.offset, r.doc.text) for r in mixed.collect()]
+    assert len({p[:2] for p in places}) == 9000
+    again = mixing.mix(docs.repartition(5), block_chars=100, carry=True)
+    assert sorted(places) == sorted((r.slot, r.offset, r.doc.text) for r in again.collect())
 
 
 def test_mixing_edges(spark, edge_docs, no_docs):
-    mixed = mixing.mix(edge_docs, block_chars=1000, cycle=16)
+    mixed = mixing.mix(edge_docs, block_chars=1000, span=16)
     got = mixed.collect()
     assert len(got) == edge_docs.count()
     assert all(r.release <= r.slot < r.deadline and 0 <= r.offset < 1000 for r in got)
