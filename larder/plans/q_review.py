@@ -10,7 +10,7 @@ from larder.plans.q_core import BASE_URL, scratch
 from larder.plans.q_import import keys_of, image_facts
 from larder.plans.registry import Data, query
 from larder.plans.roles import product_full
-from larder.streaming import routes
+from larder.streaming import routes, timers
 
 TALLY = "tally AS (SELECT insight_id, value, count(*) AS n FROM vote WHERE value <> -1 GROUP BY 1, 2), "
 RESOLVE = """
@@ -417,6 +417,24 @@ def _(d):
     return run_stream(d, routes.stream_delayed_refresh(rows, "1 hour"), "sessions")
 
 
+@query("stream_refresh_timers", f"""
+WITH RECURSIVE {ROUTED}, r AS (SELECT code, server_type, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY code, server_type ORDER BY ts) < 600000000 THEN 0 ELSE 1 END AS s FROM routed WHERE action_kind = 'refresh'),
+g AS (SELECT *, sum(s) OVER (PARTITION BY code, server_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS grp FROM r),
+due AS (SELECT code, server_type, min(us) AS first_us, max(us) + 600000000 AS due_us, count(*) AS n_updates, row_number() OVER (PARTITION BY code, server_type ORDER BY min(us)) AS k FROM g GROUP BY code, server_type, grp),
+run AS (
+  SELECT code, server_type, k, true AS started, due_us + 86400000000 AS busy FROM due WHERE k = 1
+  UNION ALL
+  SELECT d.code, d.server_type, d.k, d.due_us >= busy, CASE WHEN d.due_us >= busy THEN d.due_us + 86400000000 ELSE busy END FROM run JOIN due d ON d.code = run.code AND d.server_type = run.server_type AND d.k = run.k + 1)
+SELECT code, server_type, first_us, due_us, n_updates, started FROM due JOIN run USING (code, server_type, k)
+WHERE due_us <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM routed WHERE action_kind = 'refresh')
+""")
+def _(d):
+    """Refreshes by timers from a file stream: ten minutes after a burst, none while one of a day before runs."""
+    rows = routes.stream_route(update_stream(d)).where("action_kind = 'refresh'")
+    with timers.timer_state(d.spark):
+        return run_stream(d, timers.delayed_refreshes(rows, 600, 86_400), "refreshes")
+
+
 @query("stream_serialize_product", "SELECT 'p' || cast(user_id AS string) AS code, count(*) AS n FROM events GROUP BY 1")
 def _(d):
     """Events per product counted inside its own partition."""
