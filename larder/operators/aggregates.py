@@ -14,7 +14,11 @@ METRIC_TAGS = ["type", "annotation", "automatic_processing", "predictor", "reser
 
 def insight_metrics(insights: DataFrame) -> DataFrame:
     """Count and share of total per combination of six columns."""
-    counts = insights.groupBy(*METRIC_TAGS).agg(F.count(F.lit(1)).alias("count"))
+    return shares(insights.groupBy(*METRIC_TAGS).agg(F.count(F.lit(1)).alias("count")))
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """Adds each combination's share of the total."""
     # one row per combination of small enums is left here, so the unpartitioned window is tiny
     return counts.withColumn("percent", F.col("count") / F.sum("count").over(Window.partitionBy()))
 

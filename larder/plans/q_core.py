@@ -14,6 +14,7 @@ from larder.operators import filters as P
 from larder.operators import joins as J
 from larder.operators import questions as Q
 from larder.operators import ranking as R
+from larder.operators import running as S
 from larder.plans.registry import Data, query
 from larder.plans.roles import product_full, stamped, with_json
 from larder.session import checkpoint_dir
@@ -883,6 +884,50 @@ def _(d):
     return A.user_statistics(d.insight)
 
 
+def kept_up(d: Data, name: str, rows: DataFrame, keys: list[str], distinct: list[str], k: int) -> S.RunningTable:
+    """A running table fed year by year, older years folded."""
+    table = S.RunningTable(d.spark, scratch(d, name), keys, distinct, k)
+    years = sorted(r[0] for r in rows.select(F.coalesce(F.year("created_at"), F.lit(0))).distinct().collect())  # a row a year
+    for nth, year in enumerate(years):
+        table.add(rows.where(F.coalesce(F.year("created_at"), F.lit(0)) == year), str(year))
+        if nth == len(years) // 2:
+            table.fold()
+    return table
+
+
+def smallest_hashes_sql(rows: str, keys: str, value: str, k: int) -> str:
+    return f"""h AS (SELECT DISTINCT {keys}, CAST('0x' || substr(md5({value}), 1, 15) AS BIGINT) AS hash FROM {rows} WHERE {value} IS NOT NULL),
+s AS (SELECT {keys}, count(*) AS kept, max(hash) AS largest FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY hash) AS r FROM h) WHERE r <= {k} GROUP BY {keys}),
+e AS (SELECT {keys}, CASE WHEN kept < {k} THEN kept ELSE CAST(round(cast({k - 1} AS double) * 1152921504606846976.0::double / (cast(largest AS double) + 1)) AS BIGINT) END AS n FROM s)"""
+
+
+@query("user_statistics_running", f"""
+WITH a AS (SELECT username, barcode FROM insight WHERE annotation IS NOT NULL), {smallest_hashes_sql('a', 'username', 'barcode', 256)},
+c AS (SELECT username, count(*) AS count FROM a GROUP BY username)
+SELECT c.username, count, coalesce(n, 0) AS n_barcode FROM c LEFT JOIN e ON c.username IS NOT DISTINCT FROM e.username
+""")
+def _(d):
+    """Annotations and products of each user, from states of years."""
+    rows = d.insight.where("annotation IS NOT NULL")
+    return kept_up(d, "users", rows, ["username"], ["barcode"], 256).read()
+
+
+@query("distinct_barcodes_running", f"""
+WITH a AS (SELECT type, barcode FROM insight), {smallest_hashes_sql('a', 'type', 'barcode', 1024)},
+c AS (SELECT type, count(*) AS count FROM a GROUP BY type)
+SELECT c.type, count, coalesce(n, 0) AS n_barcode FROM c LEFT JOIN e ON c.type IS NOT DISTINCT FROM e.type
+""")
+def _(d):
+    """Products of each insight type, from states of years; a type holds far more than k products."""
+    return kept_up(d, "barcodes", d.insight, ["type"], ["barcode"], 1024).read()
+
+
+@query("insight_metrics_running", f"SELECT {METRICS}, count(*) AS count, round(count(*) / cast(sum(count(*)) OVER () AS double), 9) AS percent FROM insight GROUP BY {METRICS}")
+def _(d):
+    """The metrics of all insights, from states of years: equal to one pass."""
+    return A.shares(kept_up(d, "metrics", d.insight, A.METRIC_TAGS, [], 16).read()).withColumn("percent", F.round("percent", 9))
+
+
 @query("bounded_count", "SELECT least(count(*), 100) AS count FROM insight WHERE annotation IS NULL")
 def _(d):
     return A.bounded_count(d.insight.where("annotation IS NULL"), 100)
