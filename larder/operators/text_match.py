@@ -7,11 +7,14 @@ Patterns run in the JVM, dictionaries over Arrow batches of lower-cased texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator, Sequence
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from larder.functions.binding import bind
 from larder.session import cut_lineage
@@ -21,6 +24,9 @@ WORD = "[A-Za-z0-9_]"
 _DOTTED_I = "İ"  # the one letter whose lower case is longer
 _MARK = ""
 
+PIECE_ROWS = 20_000  # rows that a task builds at once
+MOST_TOLD = 500_000  # words that are told to the readers of the texts
+PIECE_TEXTS = 64  # texts whose matches a task holds at once
 MOST_TERM_CHARS = 4_000_000  # of dictionaries that become an index in the tasks
 
 
@@ -248,8 +254,10 @@ def term_spans(low: Column, patterns: dict[str, tuple[int, ...]], dictionaries:
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = TermIndex(patterns)
         for texts in batches:
-            found = [index.matches(t, dictionaries) if t else [] for t in (x.as_py() for x in texts)]
-            yield pa.array([[dict(zip(("dictionary", "start", "end", "pattern"), m, strict=True)) for m in row] for row in found], kind)
+            # a few texts at a time, so that what they hold together stays small
+            for at in range(0, len(texts), PIECE_TEXTS):
+                found = [index.matches(t, dictionaries) if t else [] for t in (x.as_py() for x in texts.slice(at, PIECE_TEXTS))]
+                yield pa.array([[dict(zip(("dictionary", "start", "end", "pattern"), m, strict=True)) for m in row] for row in found], kind)
 
     return spans(low)
 
@@ -317,52 +325,97 @@ def dict_match(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",
     return match_dictionaries(df, {"terms": terms}, keep, text_col, most_chars)["terms"]
 
 
-_GRAM = "array<struct<start:int,word:string,gram:string,shown:string>>"
+_KINDS = {"int": (IntegerType(), pa.int32()), "string": (StringType(), pa.string())}
 
 
-def word_grams(low: Column, text: Column, widths: dict[str, int] | None, width: int) -> Column:
-    """Possible match starts with the characters that follow, lower-cased and as they are.
+def text_rows(df: DataFrame, keep: Sequence[str], text_col: str, fields: dict[str, str], rows: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
+    """(keep, fields): the rows that ``rows`` makes of each text, lower-cased and as it is.
+
+    Rows leave a task in batches of ``PIECE_ROWS``: its memory does not grow with the texts.
+    """
+    base = df.select(*keep, lowered(F.col(text_col)).alias("__low"), F.col(text_col).alias("__text")).where(F.col("__text") != "")
+    schema = StructType([*base.drop("__low", "__text").schema.fields, *[StructField(n, _KINDS[k][0]) for n, k in fields.items()]])
+    n_keep, kinds, names = len(keep), [_KINDS[k][1] for k in fields.values()], schema.fieldNames()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lows, texts = b.column("__low"), b.column("__text")
+
+            def piece(made: list[tuple], b: pa.RecordBatch = b) -> pa.RecordBatch:
+                at = pa.array([m[0] for m in made], pa.int32())
+                columns = [pa.array([m[1][i] for m in made], kind) for i, kind in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(n_keep)], *columns], names)
+
+            made: list[tuple] = []
+            for i in range(b.num_rows):
+                for row in rows(lows[i].as_py(), texts[i].as_py()):
+                    made.append((i, row))
+                    if len(made) == PIECE_ROWS:
+                        yield piece(made)
+                        made = []
+            if made:
+                yield piece(made)
+
+    return base.mapInArrow(build, schema)
+
+
+_ANY_START = rf"(?<!{WORD})(?:{WORD}+{_MARK}?|[^A-Za-z0-9_])"
+
+
+def word_grams(df: DataFrame, keep: Sequence[str], text_col: str, widths: dict[str, int] | None, width: int, salts: dict[str, int] | int) -> DataFrame:
+    """Possible match starts with the characters that follow, lower-cased and as they are: (keep, start, word, gram, shown, salt).
 
     ``widths``: for each first word how far its longest pattern reaches; other words give
-    no row.  None: every word with the next ``width`` characters.
+    no row.  None: every word with the next ``width`` characters.  ``salts``: among how many
+    parts the places of a word are dealt.
     """
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("word", pa.string()), ("gram", pa.string()), ("shown", pa.string())]))
-
-    @F.arrow_udf(_GRAM)
-    def grams(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        any_start = re.compile(rf"(?<!{WORD})(?:{WORD}+{_MARK}?|[^A-Za-z0-9_])")
-        starts = any_start if widths is None else starts_of(widths)
-        for lows, texts in batches:
-            out = []
-            for t, shown in zip(lows.to_pylist(), texts.to_pylist(), strict=True):
-                row = []
-                for m in starts.finditer(t or ""):
-                    word = m.group().replace(_MARK, "i")
-                    n = width if widths is None else widths.get(word, 0)
-                    if n:
-                        at = m.start()
-                        row.append({"start": at, "word": word, "gram": t[at : at + n + 1], "shown": shown[at : at + n]})
-                out.append(row)
-            yield pa.array(out, kind)
-
-    return grams(low, text)
-
-
-def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", most_first_words: int = 500_000) -> DataFrame:
+
+    starts = re.compile(_ANY_START) if widths is None else starts_of(widths)
+
+    def grams(low: str, text: str) -> Iterator[tuple]:
+        own = crc32(low[:64].encode())
+        for m in starts.finditer(low):
+            word = m.group().replace(_MARK, "i")
+            n = width if widths is None else widths.get(word, 0)
+            if n:
+                at = m.start()
+                parts = salts if isinstance(salts, int) else salts.get(word, 1)
+                yield at, word, low[at : at + n + 1], text[at : at + n], (own + at) % parts
+
+    return text_rows(df, keep, text_col, {"start": "int", "word": "string", "gram": "string", "shown": "string", "salt": "int"}, grams)
+
+
+def dict_match_join(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text", most_first_words: int = MOST_TOLD, hot: int = 1_000_000) -> DataFrame:
     """``dict_match`` for dictionaries of any size: equi-join on the first word.
 
     Up to ``most_first_words`` different first words are told to the readers of the texts,
-    so that other words make no row; hot words (articles, units) are spread by salting the
-    text side and repeating the dictionary rows.  The join then verifies the whole pattern.
+    so that other words make no row.  Where the dictionary has more, the words of the texts
+    are counted first, and only first words found there go on.  Hot words (articles, units)
+    are spread by salting the text side and repeating the dictionary rows.  The join then
+    verifies the whole pattern.
     """
-    table = normalised_terms(terms).withColumn("word", F.regexp_extract("pattern", rf"(?s)^(?:{WORD}+|.)", 0))
-    firsts = table.groupBy("word").agg(F.max(F.length("pattern")).alias("n"))
+    first = rf"(?s)^(?:{WORD}+|.)"
+    lower = terms.where(F.coalesce("pattern", F.lit("")) != "").select(F.lower("pattern").alias("pattern"))
+    firsts = lower.groupBy(F.regexp_extract("pattern", first, 0).alias("word")).agg(F.max(F.length("pattern")).alias("n"))
     n_first, width = firsts.agg(F.count(F.lit(1)), F.max("n")).first()
+    salts: dict[str, int] | int = 16
+    begun = terms
+    if n_first > most_first_words:
+        words = lambda low, _: Counter(m.group().replace(_MARK, "i") for m in re.finditer(_ANY_START, low)).items()
+        seen = text_rows(df, (), text_col, {"word": "string", "times": "int"}, words).groupBy("word").agg(F.sum("times").alias("times"))
+        firsts, n_first = cut_lineage(firsts.join(seen, "word"))
+        width = firsts.agg(F.max("n")).first()[0]
+        parts = firsts.select("word", F.ceil(F.col("times") / hot).cast("int").alias("parts")).where("parts > 1")
+        salts = {r["word"]: r["parts"] for r in parts.toLocalIterator()}  # of words that are hot: at most words of the texts / hot
+        begun = terms.withColumn("word", F.regexp_extract(F.lower("pattern"), first, 0)).join(firsts.select("word"), "word", "left_semi").drop("word")
     widths = {r["word"]: r["n"] for r in firsts.toLocalIterator()} if n_first <= most_first_words else None
-    grams = df.select(*keep, F.explode(word_grams(lowered(F.col(text_col)), F.col(text_col), widths, width or 0)).alias("w")).select(*keep, "w.*")
-    salts = 16
-    salted = grams.withColumn("salt", F.pmod(F.xxhash64(*keep, "start"), F.lit(salts)).cast("int"))
-    repeated = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    table = normalised_terms(begun).withColumn("word", F.regexp_extract("pattern", first, 0))
+    salted = word_grams(df, keep, text_col, widths, width or 0, salts)
+    if isinstance(salts, int):
+        table = table.withColumn("parts", F.lit(salts))
+    else:
+        table = table.join(parts, "word", "left")
+    repeated = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     n = F.length("pattern")
     inside = F.substring(F.col("gram"), n + 1, F.lit(1)).rlike(f"{WORD}|{_MARK}")
     # a final "i" may be the first half of a lower-cased dotted capital
@@ -411,32 +464,23 @@ def _deletes(word: Column, budget: int) -> Column:
     return out
 
 
-_WORD_ROW = "array<struct<idx:int,word:string,start:int,end:int,before:string,after:string>>"
-
-
-def words_between(low: Column, most: int) -> Column:
-    """The words of a lower-cased text with their number, span and the separators on both sides.
+def words_between(low: str, most: int, longest: int, told: Container[str] | None = None) -> Iterator[tuple]:
+    """(idx, word, start, end, before, after): words of a lower-cased text and the separators on both sides.
 
     Separators longer than ``most`` are cut (no term reaches further); at the ends of the
-    text they begin or end with a line end, so that they never equal a term's.
+    text they begin or end with a line end, so that they never equal a term's.  Words longer
+    than ``longest``, or not among ``told``, are counted but left out.
     """
-    kind = pa.list_(pa.struct([("idx", pa.int32()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())]))
-
-    def rows(t: str) -> list[dict]:
-        spans = [m.span() for m in re.finditer(rf"{WORD}+{_MARK}?", t)]
-        gaps = [t[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(t)], strict=True)]
-        gaps[0], gaps[-1] = "\n" + gaps[0], gaps[-1] + "\n"
-        return [
-            {"idx": i, "word": t[s:e].replace(_MARK, "i"), "start": s, "end": e, "before": gaps[i][-most:], "after": gaps[i + 1][:most]}
-            for i, (s, e) in enumerate(spans)
-        ]
-
-    @F.arrow_udf(_WORD_ROW)
-    def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([rows(t) if t else [] for t in texts.to_pylist()], kind)
-
-    return words(low)
+    found, idx = re.finditer(rf"{WORD}+{_MARK}?", low), 0
+    here = next(found, None)
+    before = "\n" + low[: here.start()] if here else ""
+    while here:
+        then = next(found, None)
+        after = low[here.end() : then.start()] if then else low[here.end() :] + "\n"
+        word = here.group().replace(_MARK, "i")
+        if len(word) <= longest and (told is None or word in told):
+            yield idx, word, here.start(), here.end(), before[-most:], after[:most]
+        before, here, idx = after, then, idx + 1
 
 
 def word_trie(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -476,15 +520,20 @@ def dict_match_fuzzy(df: DataFrame, terms: DataFrame, max_cost: int = 1, keep: S
     wanted = edges.select("term_word").distinct()
     longest, reach = edges.agg(F.max(F.length("term_word")), F.max(F.length("sep"))).first()
     outside = ends.agg(F.max(F.length("lead") + F.length("trail"))).first()[0]
-    words = df.select(*keep, F.explode(words_between(lowered(F.col(text_col)), (reach or 0) + (outside or 0) + 1)).alias("w")).select(*keep, "w.*")
     # a word longer than every term's by more than the budget is close to none: it would only be cut up
-    words = words.where(F.length("word") <= (longest or 0) + max_cost)
-    vocab = words.select("word").distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
+    most, longest = (reach or 0) + (outside or 0) + 1, (longest or 0) + max_cost
+    distinct = lambda low, _: {(w[1],) for w in words_between(low, 1, longest)}
+    vocab = text_rows(df, (), text_col, {"word": "string"}, distinct).distinct().select("word", F.explode(_deletes(F.col("word"), max_cost)).alias("v"))
     term_vocab = wanted.select("term_word", F.explode(_deletes(F.col("term_word"), max_cost)).alias("v"))
     close = (
         vocab.join(term_vocab, "v").select("word", "term_word").distinct()
         .withColumn("cost", F.levenshtein("word", "term_word")).where(F.col("cost") <= max_cost)
     )
+    close, _ = cut_lineage(close)
+    near = close.select("word").distinct()
+    told = {r["word"] for r in near.toLocalIterator()} if near.count() <= MOST_TOLD else None
+    fields = {"idx": "int", "word": "string", "start": "int", "end": "int", "before": "string", "after": "string"}
+    words = text_rows(df, keep, text_col, fields, lambda low, _: words_between(low, most, longest, told))
     placed, _ = cut_lineage(words.join(close, "word").drop("word"))
     begun = placed.join(edges.where("parent = ''").select("term_word", "node"), "term_word")
     open_, n = cut_lineage(begun.select(*keep, "node", "idx", F.col("before").alias("first_gap"), "start", "end", "after", "cost"))
