@@ -249,3 +249,13 @@ def test_all_default_types_come_from_one_reading(spark, tmp_path):
     assert [r.value_tag for r in huge[0].where("predictor = 'flashtext'").collect()] == ["k:ingrédients"]
     with pytest.raises(KeyError):
         E.extract_all(df, ["no such type"])
+
+
+@pytest.mark.parametrize("most_first_words,hot", [(0, 2), (2, 1), (5, 1_000_000)])
+def test_large_dictionaries_match_after_the_words_of_the_texts_are_counted(spark, most_first_words, hot):
+    texts = ["w1 x0 w1 x0, W2 a", "w1 x0", "%5 w3", "", None, "kiwİ w9"]
+    patterns = ["w1 x0", "w1", "w2 a", "%5", "kiwi", "absent", "absent two", "other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda hits: sorted((r.doc_id, r.start, r.end, r.pattern, r.matched) for r in hits.collect())
+    got = rows(M.dict_match_join(df, terms(spark, *patterns), most_first_words=most_first_words, hot=hot))
+    assert got == rows(M.dict_match(df, terms(spark, *patterns))) and len(got) == 6
