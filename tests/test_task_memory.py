@@ -44,3 +44,9 @@ def long_texts(spark):
 def test_fuzzy_matching_holds_few_words_at_once(spark, long_texts):
     terms = spark.createDataFrame([("k", "x", "w12345 w54321")], "key string, name string, pattern string")
     assert python_growth(lambda: M.dict_match_fuzzy(long_texts, terms, 1).collect()) < 250
+
+
+@pytest.mark.parametrize("most_first_words", [500_000, 0])
+def test_joined_matching_holds_few_words_at_once(spark, long_texts, most_first_words):
+    terms = spark.createDataFrame([(f"k{k}", "x", f"w{k} nothing") for k in range(997)], "key string, name string, pattern string")
+    assert python_growth(lambda: M.dict_match_join(long_texts, terms, most_first_words=most_first_words).collect()) < 250
