@@ -24,6 +24,7 @@ from larder.operators.vectors import comparable, knn_join
 
 MOST_CELLS = 4096  # the cells are a table every task holds: at most so many vectors
 CODE_WORDS = 256
+DIGITS = 9  # of a distance; equal in them are ties, which smaller ids win: sums of equal vectors differ in their last bits
 ROW = "id long, server string, vector array<double>, code binary, cell int, far double, deleted boolean"
 
 
@@ -222,7 +223,7 @@ class VectorIndex:
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         """The k nearest of ``unit_rows`` by the exact join."""
         rows = self.rows().select(F.col("id").alias("logo_id"), "server", F.col("vector").alias("embedding"))
-        return knn_join(queries.select(F.col("id").alias("logo_id"), "server", F.col("vector").alias("embedding")), rows, k, server_col="server")
+        return knn_join(queries.select(F.col("id").alias("logo_id"), "server", F.col("vector").alias("embedding")), rows, k, server_col="server", digits=DIGITS)
 
     def calibrate(self, k: int = 100, wanted: float = 0.95, sample_queries: int = 96, seed: int = 3) -> Settings:
         """The least settings that would find ``wanted`` of the exact neighbours of sample queries.
@@ -268,7 +269,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def first_k(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", DIGITS), "neighbor_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -352,12 +353,12 @@ def refresh_lists(index: VectorIndex, lists: DataFrame, since: int, k: int) -> D
     asked = rows.join(due, "id", "left_anti").join(bounds.withColumnRenamed("query_id", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(1.0)))
     asked, _ = cut_lineage(asked.select("id", "server", "vector", "cell", "far", "bound"))
     # distances of unit vectors are half of one minus the cosine: a quarter of the squared length between them
-    reach = asked.groupBy("server", "cell").agg((F.max("far") + F.sqrt(4 * F.max("bound"))).alias("reach"))
+    reach = asked.groupBy("server", "cell").agg((F.max("far") + F.sqrt(4 * (F.greatest(F.max("bound"), F.lit(0.0)) + 10.0**-DIGITS))).alias("reach"))
     new = rows.join(changed, "id", "left_semi").select("id", "server", "vector")
     far = new.mapInArrow(partial(_all_cells, cells=cells), "id long, server string, vector array<double>, cell int, away double")
-    visits = far.join(reach, ["server", "cell"]).where(F.col("away") <= F.col("reach") + 1e-9).select("server", "cell", F.col("id").alias("neighbor_id"), F.col("vector").alias("new"))
+    visits = far.join(reach, ["server", "cell"]).where(F.col("away") <= F.col("reach") + 1e-7).select("server", "cell", F.col("id").alias("neighbor_id"), F.col("vector").alias("new"))
     met = asked.join(visits, ["server", "cell"]).where(F.col("id") != F.col("neighbor_id")).withColumn("distance", (1 - dot(F.col("vector"), F.col("new"))) / 2)
-    gained = met.where(F.col("distance") <= F.col("bound") + 1e-12).select(F.col("id").alias("query_id"), "neighbor_id", "distance")
+    gained = met.where(F.col("distance") <= F.col("bound") + 10.0**-DIGITS).select(F.col("id").alias("query_id"), "neighbor_id", "distance")
     return first_k(again.union(first_k(kept.union(gained), k).select("query_id", "neighbor_id", "distance")), k)
 
 

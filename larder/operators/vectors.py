@@ -42,21 +42,28 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def _top(query: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
+QUERY_SLICE = 512  # queries whose products with a block are held at once
+
+
+def _top(query: pd.DataFrame, index: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
     """Best ``k`` index rows of each query row, self excluded."""
     if query.empty or index.empty:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-    far = (1.0 - _matrix(query["embedding"]) @ _matrix(index["embedding"]).T) / 2.0
-    ids = index["neighbor_id"].to_numpy()
-    far[query["query_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-    take = min(k, far.shape[1])
-    # partial selection; rows tied with the k-th stay until (distance, id) decides
-    rows, cols = np.nonzero((far <= np.partition(far, take - 1, axis=1)[:, take - 1 : take]) & np.isfinite(far))
-    order = np.lexsort((ids[cols], far[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
-    rows, cols = rows[best], cols[best]
-    return pd.DataFrame({"query_id": query["query_id"].to_numpy()[rows], "neighbor_id": ids[cols], "distance": far[rows, cols]})
+    ids, vectors, found = index["neighbor_id"].to_numpy(), _matrix(index["embedding"]), []
+    for at in range(0, len(query), QUERY_SLICE):
+        some = query.iloc[at : at + QUERY_SLICE]
+        far = (1.0 - _matrix(some["embedding"]) @ vectors.T) / 2.0
+        far[some["query_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        told = np.round(far, digits)
+        take = min(k, far.shape[1])
+        # partial selection; rows tied with the k-th stay until (distance, id) decides
+        rows, cols = np.nonzero((told <= np.partition(told, take - 1, axis=1)[:, take - 1 : take]) & np.isfinite(far))
+        order = np.lexsort((ids[cols], told[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
+        rows, cols = rows[best], cols[best]
+        found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[rows], "neighbor_id": ids[cols], "distance": far[rows, cols]}))
+    return pd.concat(found)
 
 
 _HITS = "query_id long, neighbor_id long, distance double"
@@ -64,7 +71,7 @@ _HITS = "query_id long, neighbor_id long, distance double"
 
 def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHBORS, id_col: str = "logo_id",
              vector_col: str = "embedding", server_col: str | None = None, cells: int | None = None,
-             block_rows: int = 4096, query_rows: int = 16384, probes: int | None = None) -> DataFrame:
+             block_rows: int = 4096, query_rows: int = 16384, probes: int | None = None, digits: int = 12) -> DataFrame:
     """(query_id, neighbor_id, distance, rank): the ``k`` nearest by cosine, self removed.
 
     Exact without comparing everything: index rows go to the cell of their nearest pivot.
@@ -77,7 +84,10 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
 
     Null vectors and ids, and vectors with null or non-finite components, take no part; only
     vectors of the commonest length are compared; zero vectors are at a right angle to all.
+    Distances that are equal in ``digits`` digits are ties, which smaller ids win (sums of
+    equal vectors differ in their last bits).
     """
+    slack = 0.5 * 10.0**-digits  # of a distance; below, 1e-7 is that of roots near 0
     index, queries = (df.where(F.col(id_col).isNotNull() & comparable(F.col(vector_col))) for df in (index, queries))
     width = index.groupBy(F.size(vector_col).alias("width")).count().orderBy(F.desc("count"), "width").first()
     if width is not None:
@@ -127,14 +137,14 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
         )
         keys = ["server", "cell", "block", "chunk"]
         held = index_side.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        found = spread.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda q, i: _top(q, i, k), _HITS)
-        return _first_k(found, k)
+        found = spread.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda q, i: _top(q, i, k, digits), _HITS)
+        return _first_k(found, k, digits)
 
     own = search(located) if probes is None else None
     if own is not None:
         bound = own.groupBy("query_id").agg(F.max("distance").alias("worst"), F.count(F.lit(1)).alias("n"))
         ready = located.withColumnRenamed("cell", "home").join(bound, "query_id", "left").withColumn(
-            "bound", F.when(F.col("n") >= k, F.sqrt(F.col("worst") * 4)).otherwise(F.lit(float("inf")))
+            "bound", F.when(F.col("n") >= k, F.sqrt(F.greatest(F.col("worst") + 2 * slack, F.lit(0.0)) * 4)).otherwise(F.lit(float("inf")))
         ).select("query_id", "server", "embedding", "home", "bound")
     else:
         ready = located.withColumnRenamed("cell", "home").withColumn("bound", F.lit(float("inf")))
@@ -143,7 +153,7 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
         for pdf in batches:
             far = _far(_matrix(pdf["embedding"]), pivots)
             if probes is None:
-                visit = far - radius[None, :] <= pdf["bound"].to_numpy()[:, None] + 1e-9
+                visit = far - radius[None, :] <= pdf["bound"].to_numpy()[:, None] + 1e-7
                 visit[np.arange(len(pdf)), pdf["home"].to_numpy()] = False
             else:
                 visit = far.argsort(axis=1).argsort(axis=1) < probes
@@ -153,13 +163,13 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHB
     todo = ready.mapInPandas(plan, f"query_id long, server string, embedding {kind}, cells array<int>")
     others = search(todo.select("query_id", "server", "embedding", F.explode("cells").alias("cell")))
     found = others if own is None else own.drop("rank").unionByName(others.drop("rank"))
-    return _first_k(found, k)
+    return _first_k(found, k, digits)
 
 
-def _first_k(hits: DataFrame, k: int) -> DataFrame:
+def _first_k(hits: DataFrame, k: int, digits: int) -> DataFrame:
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", digits), "neighbor_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

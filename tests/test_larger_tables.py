@@ -35,3 +35,9 @@ def test_packaging_with_more_than_300_000_nodes(spark, tmp_path):
     part = spark.read.parquet(f"{FOLDER}/part.parquet")
     more = part.withColumn("p_partkey", F.col("p_partkey") + 299_990).where("p_partkey < 300020")
     assert checked(spark, tmp_path, "cand_packaging", part=part.union(more)) == ""
+
+
+def test_refreshed_lists_of_copied_vectors(spark, tmp_path):
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet").limit(30)
+    copies = vectors.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("vec_id", F.col("vec_id") * 20 + (F.col("copy") * 7) % 20).drop("copy")
+    assert checked(spark, tmp_path, "knn_index_refresh", embeddings=copies) == ""

@@ -85,3 +85,17 @@ def test_odd_vectors_take_no_part(spark, tmp_path):
     assert sorted((r.query_id, r.neighbor_id) for r in got.collect()) == exact
     assert V.knn_join(df.where("false"), df.where("false"), 5).count() == 0
     assert V.knn_join(df.where(F.col("logo_id") == 3), df, 5).count() == 0
+
+
+def test_copies_that_come_later_win_by_smaller_ids(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(60, 64))
+    index = X.VectorIndex.build(table(spark, x, range(1000, 1060)), f"{tmp_path}/i", cells=4)
+    before, _ = X.cut_lineage(index.exact(index.rows(), 6))
+    index.upsert(table(spark, x, range(60)))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round((1 - unit @ unit.T) / 2, 9)
+    want = {q: sorted((near[q % 1000, n % 1000], n) for n in [*range(60), *range(1000, 1060)] if n != q)[:6] for q in [*range(60), *range(1000, 1060)]}
+    got = {}
+    for r in X.refresh_lists(index, before, 1, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    assert got == {q: [n for _, n in row] for q, row in want.items()}
