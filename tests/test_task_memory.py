@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import text_match as M
+from larder.operators import vectors as V
 
 
 def python_growth(action):
@@ -50,3 +51,8 @@ def test_fuzzy_matching_holds_few_words_at_once(spark, long_texts):
 def test_joined_matching_holds_few_words_at_once(spark, long_texts, most_first_words):
     terms = spark.createDataFrame([(f"k{k}", "x", f"w{k} nothing") for k in range(997)], "key string, name string, pattern string")
     assert python_growth(lambda: M.dict_match_join(long_texts, terms, most_first_words=most_first_words).collect()) < 250
+
+
+def test_exact_neighbours_hold_few_products_at_once(spark):
+    rows = spark.range(12_000).select(F.col("id").alias("logo_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin(F.col("id") * (i + 1))).alias("embedding")).coalesce(1)
+    assert python_growth(lambda: V.knn_join(rows, rows, 5, cells=1).collect()) < 450
