@@ -1,8 +1,7 @@
 """A stored vector index: trained cells, short codes, exact reranking, and upkeep by deltas.
 
-Rows lie in one folder per batch and cell.  A search reads the codes of the cells next to
-its queries, ranks them by table look-ups, and reads the vectors of the few best for their
-exact distance; how many cells and candidates that takes is measured for a wanted recall.
+Rows lie in one folder per batch and cell.  A search ranks the codes of the cells next to
+its queries by table look-ups, and the few best of each by their exact distance; how many cells and candidates that takes is measured for a wanted recall.
 Upserts and deletions append a batch; neighbour lists are brought up to date from it alone.
 """
 
@@ -194,31 +193,27 @@ class VectorIndex:
     # -- searching
 
     def search(self, queries: DataFrame, settings: Settings, k: int = 100, id_col: str = "logo_id", vector_col: str = "embedding", server_col: str | None = None,
-               block_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
+               block_rows: int = 32_768, query_rows: int = 32_768) -> DataFrame:
         """(query_id, neighbor_id, distance, rank): the k nearest found, the query's own id left out.
 
-        Cells are cut into blocks and queries into chunks, so a task compares bounded
-        tables; of each it keeps the best candidates, and only those of each query are
-        joined with their vectors.
+        Rows are dealt into blocks and queries into chunks.  A task goes through the cells of
+        its block, ranks the best candidates of each exactly and hands on the k best a query:
+        a vector is sent once for every chunk or block, never once for every cell.
         """
         cells = self.cells()
         asked = unit_rows(queries, id_col, vector_col, server_col).where(F.size("vector") == self.width())
-        visits, _ = cut_lineage(asked.mapInArrow(partial(_visits, cells=cells, probes=settings.probes), "id long, server string, vector array<double>, cell int"))
-        rows = self.rows()
-        sizes = rows.groupBy("server", "cell").agg(F.count(F.lit(1)).alias("n"))
-        tiles = visits.groupBy("server", "cell").agg(F.count(F.lit(1)).alias("m")).join(sizes, ["server", "cell"])
-        tiles, _ = cut_lineage(tiles.select("server", "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("m") / query_rows).cast("int").alias("chunks")))
+        rows = self.rows().select("id", "server", "vector", "code", "cell")
+        sizes = rows.groupBy("server").agg(F.count(F.lit(1)).alias("n"))
+        parts = lambda n, most: F.greatest(F.ceil(F.col(n) / most), F.least(F.ceil(F.col(n) / 2048), F.lit(4))).cast("int")
+        tiles = asked.groupBy("server").agg(F.count(F.lit(1)).alias("m")).join(sizes, "server").select("server", parts("n", block_rows).alias("blocks"), parts("m", query_rows).alias("chunks"))
+        tiles, _ = cut_lineage(tiles)
         upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-        keys = ["server", "cell", "block", "chunk"]
-        q = visits.join(tiles, ["server", "cell"]).withColumn("chunk", deal("chunks")).withColumn("block", upto("blocks")).select(*keys, "id", "vector")
-        r = rows.select("id", "server", "code", "cell").join(tiles, ["server", "cell"]).withColumn("block", deal("blocks")).withColumn("chunk", upto("chunks")).select(*keys, "id", "code")
-        found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(partial(_candidates, cells=cells, most=settings.candidates), "query_id long, id long, cell int, estimate double")
-        ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "id"))
-        best = found.withColumn("at", ranked).where(F.col("at") <= settings.candidates).select("query_id", "id", "cell")
-        pairs = best.join(rows.select("id", "cell", "vector"), ["id", "cell"]).join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
-        near = (1 - dot(F.col("asked"), F.col("vector"))) / 2
-        return first_k(pairs.select("query_id", F.col("id").alias("neighbor_id"), near.alias("distance")), k)
+        keys = ["server", "block", "chunk"]
+        q = asked.join(tiles, "server").withColumn("chunk", deal("chunks")).withColumn("block", upto("blocks")).select(*keys, "id", "vector")
+        r = rows.join(tiles, "server").withColumn("block", deal("blocks")).withColumn("chunk", upto("chunks")).select(*keys, "id", "vector", "code", "cell")
+        found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(partial(_nearest_found, cells=cells, settings=settings, k=k), "query_id long, neighbor_id long, distance double")
+        return first_k(found, k)
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
         """The k nearest of ``unit_rows`` by the exact join."""
@@ -273,32 +268,47 @@ def first_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _visits(batches: Iterator[pa.RecordBatch], cells: Cells, probes: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if len(b):
-            near = np.argsort(cells.distances(rows_matrix(b.column("vector"))), axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(b)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), pa.array(near.ravel().astype(np.int32))], [*b.schema.names, "cell"])
-
-
 def code_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _candidates(q: pa.Table, r: pa.Table, cells: Cells, most: int) -> pa.Table:
-    out: list[list[np.ndarray]] = [[], [], [], []]
+def _nearest_found(q: pa.Table, r: pa.Table, cells: Cells, settings: Settings, k: int) -> pa.Table:
+    """The k best rows of a block for each query of a chunk, among the cells next to it."""
+    out: list[list[np.ndarray]] = [[], [], []]
     if len(q) and len(r):
-        codes, ids, q_ids = code_matrix(r.column("code")), r.column("id").to_numpy(), q.column("id").to_numpy()
-        cell, x = r.column("cell")[0].as_py(), rows_matrix(q.column("vector"))
-        for at in range(0, len(q), 256):
-            guess = estimates(cells.tables(x[at : at + 256]), codes)
-            guess[q_ids[at : at + 256, None] == ids] = -np.inf
-            take = min(most, guess.shape[1])
-            row, col = np.nonzero((guess >= np.partition(guess, guess.shape[1] - take, axis=1)[:, [guess.shape[1] - take]]) & np.isfinite(guess))
-            for column, values in zip(out, (q_ids[at + row], ids[col], np.full(len(row), cell, np.int32), guess[row, col]), strict=True):
+        r = r.select(["id", "vector", "code", "cell"]).sort_by([("cell", "ascending"), ("id", "ascending")])
+        ids, y, codes = r.column("id").to_numpy(), rows_matrix(r.column("vector")), code_matrix(r.column("code"))
+        present, begins = np.unique(r.column("cell").to_numpy(), return_index=True)
+        ends = np.append(begins[1:], len(ids))
+        q_ids, x = q.column("id").to_numpy(), rows_matrix(q.column("vector"))
+        for at in range(0, len(q), 512):
+            some, mine = x[at : at + 512], q_ids[at : at + 512]
+            near = np.argsort(cells.distances(some), axis=1, kind="stable")[:, : settings.probes]
+            visit = np.zeros((len(some), len(cells.centroids)), bool)
+            np.put_along_axis(visit, near, True, axis=1)
+            tables = cells.tables(some) if (ends - begins).max() > settings.candidates else None
+            best, who = np.full((len(some), k), -np.inf), np.full((len(some), k), -1)
+            for cell, a, b in zip(present, begins, ends, strict=True):
+                asks = np.flatnonzero(visit[:, cell])
+                if len(asks):
+                    product = some[asks] @ y[a:b].T
+                    product[mine[asks][:, None] == ids[a:b]] = -np.inf
+                    if b - a > settings.candidates:
+                        guess = np.where(np.isfinite(product), estimates(tables[asks], codes[a:b]), -np.inf)
+                        least = np.partition(guess, b - a - settings.candidates, axis=1)[:, [b - a - settings.candidates]]
+                        product[guess < least] = -np.inf
+                    # of equal products the smaller id, which stands first
+                    told = np.round(product, DIGITS) - np.arange(b - a) * 1e-14
+                    first = np.argpartition(-told, min(k, b - a) - 1, axis=1)[:, :k]
+                    both = np.concatenate([best[asks], np.take_along_axis(product, first, axis=1)], axis=1)
+                    whose = np.concatenate([who[asks], ids[a:b][first]], axis=1)
+                    order = np.lexsort((whose, -np.round(both, DIGITS)), axis=1)[:, :k]
+                    best[asks], who[asks] = np.take_along_axis(both, order, axis=1), np.take_along_axis(whose, order, axis=1)
+            row, col = np.nonzero(np.isfinite(best))
+            for column, values in zip(out, (mine[row], who[row, col], (1 - best[row, col]) / 2), strict=True):
                 column.append(values)
-    kinds = (np.int64, np.int64, np.int32, np.float64)
-    return pa.table(dict(zip(("query_id", "id", "cell", "estimate"), [np.concatenate(c) if c else np.empty(0, d) for c, d in zip(out, kinds, strict=True)], strict=True)))
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table(dict(zip(("query_id", "neighbor_id", "distance"), [np.concatenate(c) if c else np.empty(0, d) for c, d in zip(out, kinds, strict=True)], strict=True)))
 
 
 def _apart(b: pa.RecordBatch, ids: np.ndarray, servers: np.ndarray) -> np.ndarray:

@@ -1,5 +1,7 @@
 """The stored vector index against exact search and fresh builds."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,13 @@ def test_copies_that_come_later_win_by_smaller_ids(spark, tmp_path):
     for r in X.refresh_lists(index, before, 1, 6).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.neighbor_id)
     assert got == {q: [n for _, n in row] for q, row in want.items()}
+
+
+def test_a_search_writes_no_row_for_each_cell_of_a_query(spark, tmp_path):
+    x = np.random.default_rng(4).standard_normal((400, 8))
+    index = X.VectorIndex.build(table(spark, x), f"{tmp_path}/i", cells=20)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("larder-cut-*"))
+    assert index.search(table(spark, x), X.Settings(20, 400), 5).count() == 2000
+    written = sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("larder-cut-*")) - before)
+    assert written < 400
