@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from larder.functions import boxes, paths
 from larder.operators.keys import keyed_products, product_key
+from larder.session import cut_lineage
 from larder.sources.readers import raw_image_ids
 
 PRODUCT_KEY = ["barcode", "server_type"]
+MOST_IN_IMAGE = 256  # boxes or words of an image that meet without a grid
 
 
 def join_prediction_image(image_predictions: DataFrame, images: DataFrame, columns: Sequence[str] = ("barcode", "server_type", "source_image")) -> DataFrame:
@@ -222,21 +224,34 @@ def threshold_join(df: DataFrame, thresholds: DataFrame, default: float = 0.2) -
     return df.join(right, cond, "left").withColumn("threshold", F.coalesce("threshold", F.lit(default))).drop("t_type", "t_value")
 
 
-def box_containment_join(words: DataFrame, logos: DataFrame, cell: float = 0.125) -> DataFrame:
+def crowded_images(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, int]:
+    """(images with more than ``most`` rows, how many): counted and written before anything is joined."""
+    return cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key))
+
+
+def box_containment_join(words: DataFrame, logos: DataFrame, cell: float = 0.125, most: int = MOST_IN_IMAGE) -> DataFrame:
     """Text inside a box: words of the image whose whole box lies in it, in reading order.
 
-    A word is in the grid cell (of side ``cell``, in the boxes' unit) of its first corner,
-    a box in all cells it covers, so words meet the boxes around them only.
+    Words meet the boxes of their image, each row once.  In images of more than ``most`` words
+    they meet the boxes around them only: a word is in the grid cell (of side ``cell``, in the
+    boxes' unit) of its first corner, a box in all cells it covers.
     """
     side = lambda x: F.floor(x / cell).cast("int")
     lb = F.col("lb")
     span = lambda low, high: F.explode(F.sequence(side(low), F.greatest(side(high), side(low))))
-    right = logos.select(F.col("id").alias("logo_id"), "source_image", F.col("bounding_box").alias("lb")).where("lb is not null")
-    right = right.withColumn("cell_y", span(lb[0], lb[2])).withColumn("cell_x", span(lb[1], lb[3]))
     b = F.col("bbox")
-    left = words.select("source_image", "word_idx", "text", "bbox", side(b[0]).alias("cell_y"), side(b[1]).alias("cell_x"))
     inside = (b[0] >= lb[0]) & (b[1] >= lb[1]) & (b[2] <= lb[2]) & (b[3] <= lb[3])
-    joined = left.join(right, ["source_image", "cell_y", "cell_x"]).where(inside)
+    right = logos.select(F.col("id").alias("logo_id"), "source_image", F.col("bounding_box").alias("lb")).where("lb is not null")
+    left = words.select("source_image", "word_idx", "text", "bbox")
+    crowded, n = crowded_images(left, "source_image", most)
+    if n == 0:
+        joined = left.join(right, "source_image").where(inside)
+    else:
+        joined = left.join(crowded, "source_image", "left_anti").join(right, "source_image").where(inside)
+        placed = left.join(crowded, "source_image", "left_semi").withColumns({"cell_y": side(b[0]), "cell_x": side(b[1])})
+        around = right.join(crowded, "source_image", "left_semi").withColumn("cell_y", span(lb[0], lb[2])).withColumn("cell_x", span(lb[1], lb[3]))
+        columns = ["logo_id", "word_idx", "text"]
+        joined = joined.select(*columns).union(placed.join(around, ["source_image", "cell_y", "cell_x"]).where(inside).select(*columns))
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
     return joined.groupBy("logo_id").agg(F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
 
@@ -258,29 +273,34 @@ def nearby_match_join(matches: DataFrame, texts: DataFrame, id_col: str = "doc_i
     return found.withColumns({"pc_start": pc_start, "pc_end": pc_start + F.length("postal_code")})
 
 
-def iou_self_join(boxes_df: DataFrame, threshold: float, key: str = "source_image") -> DataFrame:
-    """Reporting form: box pairs of one image with IoU at or above ``threshold``.
+def iou_self_join(boxes_df: DataFrame, threshold: float, key: str = "source_image", most: int = MOST_IN_IMAGE) -> DataFrame:
+    """Reporting form: box pairs of one image with IoU at or above ``threshold`` (above 0).
 
-    Pairs with a high IoU share cells of a coarse grid, so the join key is
-    (image, cell): a crowded image is spread over its cells instead of paired in full.
-    The pair is reported from the cell of its intersection's corner only.
+    Boxes meet the others of their image, each row once.  In images of more than ``most`` boxes
+    the join key is (image, cell): pairs with a high IoU share cells of a coarse grid, so a
+    crowded image is spread over its cells instead of paired in full.  There the pair is
+    reported from the cell of its intersection's corner only.
     """
-    b = F.col("bounding_box")
+    slim = boxes_df.select(key, "index", "bounding_box").where(F.col("bounding_box").isNotNull())
+    crowded, n = crowded_images(slim, key, most)
+    a, c = F.col("a"), F.col("b")
+
+    def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
+        left = rows.select(*on, F.col("index").alias("i"), F.col("bounding_box").alias("a"))
+        right = rows.select(*on, F.col("index").alias("j"), F.col("bounding_box").alias("b"))
+        return left.join(right, on).where(F.col("i") < F.col("j")).withColumn("iou", boxes.iou(a, c)).where(F.col("iou") >= threshold)
+
+    if n == 0:
+        return pairs(slim, [key]).select(key, "i", "j", "iou")
     cells = F.explode(
         F.expr(
             "flatten(transform(sequence(cast(floor(bounding_box[0] * 8) as int), cast(floor(bounding_box[2] * 8) as int)), "
             "y -> transform(sequence(cast(floor(bounding_box[1] * 8) as int), cast(floor(bounding_box[3] * 8) as int)), x -> struct(y, x))))"
         )
     )
-    placed = boxes_df.select(key, "index", b.alias("bounding_box"), cells.alias("cell"))
-    left = placed.select(key, "cell", F.col("index").alias("i"), F.col("bounding_box").alias("a"))
-    right = placed.select(key, "cell", F.col("index").alias("j"), F.col("bounding_box").alias("b"))
-    a, c = F.col("a"), F.col("b")
     home = F.struct(
         F.floor(F.greatest(a[0], c[0]) * 8).cast("int").alias("y"), F.floor(F.greatest(a[1], c[1]) * 8).cast("int").alias("x")
     )
-    overlap = boxes.iou(a, c)
-    return (
-        left.join(right, [key, "cell"]).where((F.col("i") < F.col("j")) & (home == F.col("cell")))
-        .withColumn("iou", overlap).where(F.col("iou") >= threshold).select(key, "i", "j", "iou")
-    )
+    apart = pairs(slim.join(crowded, key, "left_anti"), [key])
+    spread = pairs(slim.join(crowded, key, "left_semi").withColumn("cell", cells), [key, "cell"]).where(home == F.col("cell"))
+    return apart.select(key, "i", "j", "iou").union(spread.select(key, "i", "j", "iou"))
