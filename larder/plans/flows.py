@@ -122,10 +122,10 @@ def reextract_product(products: DataFrame, texts: DataFrame, types: Sequence[str
     return extract_all(rows, types, keep, "text", **arguments)
 
 
-def category_run(products: DataFrame, scorer: Callable, nodes: DataFrame, closure: DataFrame, model: str, threshold: float = 0.5, deepest_only: bool = False) -> DataFrame:
+def category_run(products: DataFrame, scorer: Callable, nodes: DataFrame, closure: DataFrame | None, model: str, threshold: float = 0.5, deepest_only: bool = False) -> DataFrame:
     """Food products of the current schema -> scores -> category predictions.
 
-    The scorer yields (code, scores, labels).
+    The scorer yields (code, scores, labels).  Only ``deepest_only`` reads the closure.
     """
     food = products.where((F.col("schema_version") >= 1003))
     if "server_type" in products.columns:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -831,13 +832,17 @@ SELECT category, count(*) AS total, sum(covered)::BIGINT AS not_deepest, round(s
 HAVING count(*) >= 20 AND sum(covered) / cast(count(*) AS double) >= 0.8
 """)
 def _(d):
-    return A.generic_categories(d.product, closure(d), 20, 0.8).withColumn("share", F.round("share", 9))
+    return A.generic_categories(d.product, closure(d, d.product_base.select("categories_tags")), 20, 0.8).withColumn("share", F.round("share", 9))
 
 
-def closure(d: Data) -> DataFrame:
-    from larder.operators.taxonomy import taxonomy_closure
+def closure(d: Data, *tags: DataFrame) -> DataFrame:
+    """The closure, or the part of it above some tags: each a frame of one column, single or in arrays."""
+    from larder.operators.taxonomy import closure_of, taxonomy_closure
 
-    return taxonomy_closure(d.edge)
+    if not tags:
+        return taxonomy_closure(d.edge)
+    flat = [t.select((F.explode(t.columns[0]) if t.dtypes[0][1].startswith("array") else F.col(t.columns[0])).alias("value_tag")).distinct() for t in tags]
+    return closure_of(d.edge, reduce(DataFrame.unionByName, flat))
 
 
 @query("product_languages", """

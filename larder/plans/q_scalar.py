@@ -548,7 +548,8 @@ WITH {CLOSURE}, {SCORES}, k AS (SELECT * FROM sc WHERE confidence >= 0.6 AND val
 SELECT code, value_tag, confidence FROM k WHERE NOT EXISTS (SELECT 1 FROM k o JOIN up u ON o.value_tag = u.descendant WHERE o.code = k.code AND u.ancestor = k.value_tag)
 """)
 def _(d):
-    return T.category_deepest(T.category_scores(category_score_rows(d), 0.6), d.node, closure(d)).select("code", "value_tag", "confidence")
+    rows = T.category_scores(category_score_rows(d), 0.6)
+    return T.category_deepest(rows, d.node, closure(d, rows.select("value_tag"))).select("code", "value_tag", "confidence")
 
 
 @query("pad_vectors", "SELECT c_custkey, 10 AS n, greatest(least(c_custkey % 13, 10), 1) AS ones FROM customer")
@@ -648,7 +649,7 @@ def _(d):
             })
 
     products = d.product.select("code", "c_custkey", "server_type", "schema_version")
-    return category_run(products, scorer, d.node, closure(d), "model-3").select("barcode", "value_tag", "confidence")
+    return category_run(products, scorer, d.node, None, "model-3").select("barcode", "value_tag", "confidence")
 
 
 @query("classify_top", "SELECT c_custkey, CASE WHEN c_custkey % 10 >= 5 THEN 'a' ELSE 'b' END AS label FROM customer")
