@@ -3,6 +3,9 @@
 import math
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from larder.operators import language as L
 
 TEXTS = [("en", "The cat"), ("en", "the"), ("fr", "Le chat été"), ("fr", None), (None, "nobody knows"), ("de", ""), ("fr", "a"), ("en", "😀the 😀")]
@@ -39,3 +42,19 @@ def test_scores_are_plain_log_likelihoods(spark):
 def test_an_empty_model_tells_nothing(spark):
     df = spark.createDataFrame([(1, None, "text")], "doc_id long, lang string, text string")
     assert L.detect_languages(df, L.language_model(df)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_counted_grams_are_the_grams(spark, n):
+    texts = ["", None, "a", "ab", "Abc abc\nÉé", "日本😀 x😀y" * 3, "x" * 50, "a\0\0b\0", "\U0010ffff" * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = df.select("doc_id", F.explode(L.grams(F.col("text"), n)).alias("gram")).groupBy("doc_id", "gram").count()
+    counted = L.gram_counts(df, ["doc_id"], n=n)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_scores_make_no_row_per_place_of_a_text(spark):
+    texts = spark.createDataFrame([(1, "en", "the cat sat"), (2, "fr", "le chat est assis")], "doc_id long, lang string, text string")
+    scores = L.language_scores(texts, L.language_model(texts))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" in plan
