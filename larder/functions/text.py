@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,11 +58,17 @@ def fold(col: Column, unknown: str = "drop") -> Column:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents(texts: pd.Series) -> pd.Series:
+PIECE_TEXTS = 64  # texts that a task decomposes at once
+
+
+@F.arrow_udf(T.StringType())
+def strip_accents(texts: pa.Array) -> pa.Array:
     """Compatibility decomposition, then ASCII only (no built-in does NFKD)."""
-    plain = texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
-    return plain.where(texts.notna(), None)
+
+    def plain(piece: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii") for t in piece.to_pylist()], pa.string())
+
+    return pa.concat_arrays([plain(texts.slice(at, PIECE_TEXTS)) for at in range(0, max(1, len(texts)), PIECE_TEXTS)])
 
 
 def collapse_spaces(col: Column) -> Column:

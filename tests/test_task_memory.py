@@ -7,6 +7,7 @@ import psutil
 import pytest
 from pyspark.sql import functions as F
 
+from larder.functions.text import strip_accents
 from larder.operators import text_match as M
 from larder.operators import vectors as V
 
@@ -56,3 +57,9 @@ def test_joined_matching_holds_few_words_at_once(spark, long_texts, most_first_w
 def test_exact_neighbours_hold_few_products_at_once(spark):
     rows = spark.range(12_000).select(F.col("id").alias("logo_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin(F.col("id") * (i + 1))).alias("embedding")).coalesce(1)
     assert python_growth(lambda: V.knn_join(rows, rows, 5, cells=1).collect()) < 450
+
+
+def test_accents_are_stripped_of_few_texts_at_once(spark, long_texts):
+    large = long_texts.select(F.repeat("text", 8).alias("text")).coalesce(1)
+    grown = python_growth(lambda: large.select(F.sum(F.length(strip_accents("text")))).collect())
+    assert grown < 400, grown
