@@ -40,6 +40,28 @@ def test_both_ways_give_the_matrix_alignment(a, b):
     assert A.align(x, y) == plain(a, b) == A.align(x, y, few_edits=-1)
 
 
+@given(sequences, sequences)
+@settings(max_examples=400, deadline=None)
+def test_guided_and_all_diagonals_agree(a, b):
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    cells = A.Guided(a, b, 10**6)
+    assert len(cells.reach) - 1 == A.Rows(x, y).distance
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "EFFORT", 10**6)
+        guided = A.align(x, y)
+        patch.setattr(A, "EFFORT", 0)
+        assert A.align(x, y) == guided == plain(a, b)
+
+
+def test_strange_tokens_guide_the_search():
+    """Spoilt words that the other text has not: one diagonal, not one more for every edit."""
+    a = [n % 40 for n in range(20_000)]
+    b = [1000 + n if n % 11 == 3 else t for n, t in enumerate(a)]
+    cells = A.Guided(a, b, 100_000)
+    assert len(cells.reach) - 1 == len(range(3, 20_000, 11))
+    assert sum(map(len, cells.reach)) < 3 * len(cells.reach)
+
+
 def test_long_sequences_agree():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 50, 3000)
