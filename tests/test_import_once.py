@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.operators import changeset as S
 from larder.operators import dedup as D
 from larder.operators.filters import valid_prediction
+from larder.plans import flows
 
 DDL = "id long, barcode string, server_type string, type string, value_tag string, value string, source_image string, automatic_processing boolean, predictor string, predictor_version string"
 
@@ -56,3 +57,24 @@ def test_rows_are_shuffled_once(spark):
             spark.conf.set(k, v)
     assert plan.count("Exchange hashpartitioning") == 2, plan  # the rows and the products
     assert plan.count("Sort [") <= 3, plan
+
+
+def test_placed_candidates_are_worked_out_once(spark):
+    candidates = rows(spark, 3, 0).withColumn("priority", F.lit(1))
+    references = rows(spark, 4, 10_000).withColumns({"id": F.concat(F.lit("i"), "id"), "annotation": F.lit(None).cast("int")})
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = S.merge_candidates(candidates, references, ["value_tag"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Join ") == 2, plan  # blocked and matched, not again for the deletions
+
+
+def test_types_without_predictions_are_left_out(spark):
+    present = spark.createDataFrame([("1", "off", t) for t in ("label", "brand", "nutrient_mention")], "barcode string, server_type string, type string")
+    assert flows.possible_types(present, None) == ["label", "brand"]
+    assert flows.possible_types(present, ["nutrition_image", "label"]) == ["label"]
+    assert flows.possible_types(present, ["category", "store"]) == ["category"]
