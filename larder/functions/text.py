@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.functions.binding import bind
+
 # Letters that Unicode does not decompose, with their ASCII spelling.
 _PLAIN = {
     "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h",
@@ -46,8 +48,17 @@ def fold(col: Column, unknown: str = "drop") -> Column:
     ``unknown``: ``drop`` removes characters without an ASCII form, ``keep`` leaves
     them, ``same_length`` also leaves the letters that would expand to two.
     """
-    source, target = _fold_pairs()
-    out = F.translate(col, source, target)
+    return _fold_rest(F.translate(col, *_fold_pairs()), unknown)
+
+
+def clean(col: Column) -> Column:
+    """Whole texts folded, lower-cased and with single spaces; each step only where a text needs it."""
+    plain = bind(F.translate(col, *_fold_pairs()), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(_fold_rest(t, "drop")))
+    return bind(F.lower(plain), lambda t: F.when(F.contains(t, F.lit("  ")), collapse_spaces(t)).otherwise(t))
+
+
+def _fold_rest(out: Column, unknown: str) -> Column:
+    """What folding does after the letters with one-letter forms."""
     if unknown != "same_length":
         for char, text in _EXPANDED.items():
             out = F.replace(out, F.lit(char), F.lit(text))

@@ -11,7 +11,9 @@ from collections import Counter
 from collections.abc import Callable, Container, Iterable, Iterator, Sequence
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -28,19 +30,38 @@ PIECE_ROWS = 20_000  # rows that a task builds at once
 MOST_TOLD = 500_000  # words that are told to the readers of the texts
 PIECE_TEXTS = 64  # texts whose matches a task holds at once
 MOST_TERM_CHARS = 4_000_000  # of dictionaries that become an index in the tasks
+MOST_UNTOLD = 3  # patterns that every text is tried with; of more, those that it may hold are found first
 
 
 _MATCH = "raw:string,g:array<string>,start:int,end:int"
 _MATCHES = f"array<struct<{_MATCH}>>"
 
 
-def match_parts(text: Column, pattern: str, groups: Sequence[int] = ()) -> list[Column]:
-    """Match texts, the texts between them, and the wanted groups of every match."""
-    wanted = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    return [
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raws"), F.split(text, pattern, -1).alias("gaps"),
-        F.array(*wanted).cast("array<array<string>>").alias("groups"),
-    ]
+# Noncharacters, which texts for interchange do not have: they enclose a match and its groups.
+_CUT, _FIELD = "\ufdd0", "\ufdd1"
+
+
+def match_parts(text: Column, pattern: str, groups: Sequence[int] = (), clash: Column | None = None) -> list[Column]:
+    """Matches, each with its wanted groups behind it, and the texts between them.
+
+    One pass of the pattern marks the matches, and the marked text is cut at the marks.
+    Texts that hold a mark themselves (``clash``) are gone through once for each part.
+    """
+    if clash is None:
+        clash = F.contains(text, F.lit(_CUT)) | F.contains(text, F.lit(_FIELD))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(_CUT + _FIELD.join(f"${g}" for g in (0, *groups)) + _CUT))
+
+    def cut(parts: Column) -> Column:
+        cells = F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda m: F.split(m, _FIELD, -1))
+        return F.struct(cells.alias("cells"), F.filter(parts, lambda _, i: i % 2 == 0).alias("gaps"))
+
+    def zipped(columns: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(1), F.size(columns[0])), lambda i: F.transform(columns, lambda c: F.element_at(c, i)))
+        return F.when(F.size(columns[0]) > 0, rows).otherwise(F.array().cast("array<array<string>>"))
+
+    each = F.array(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, *groups)])
+    slow = F.struct(bind(each, zipped).alias("cells"), F.split(text, pattern, -1).alias("gaps"))
+    return [F.when(clash, slow).otherwise(bind(F.split(marked, _CUT, -1), cut)).alias("parts")]
 
 
 def located(p: Column) -> Column:
@@ -49,20 +70,21 @@ def located(p: Column) -> Column:
     Spark returns match texts but no offsets; offsets are running lengths of the matches
     and of the texts between them.
     """
-    n = F.size(p["raws"])
+    cells, gaps = p["parts"]["cells"], p["parts"]["gaps"]
+    n = F.size(cells)
 
     def build(starts: Column) -> Column:
         def at(i: Column) -> Column:
-            raw = p["raws"][i]
+            raw = cells[i][0]
             return F.struct(
-                raw.alias("raw"), F.transform(p["groups"], lambda g: g[i]).alias("g"), starts[i].alias("start"), (starts[i] + F.length(raw)).alias("end")
+                raw.alias("raw"), F.slice(cells[i], F.lit(2), F.size(cells[i])).alias("g"), starts[i].alias("start"), (starts[i] + F.length(raw)).alias("end")
             )
 
         return F.transform(F.sequence(F.lit(0), n - 1), at)
 
     # step i = gap before match i, plus match i-1
     steps = F.zip_with(
-        F.slice(p["gaps"], 1, n), F.concat(F.array(F.lit("")), p["raws"]), lambda gap, before: F.length(gap) + F.length(before)
+        F.slice(gaps, 1, n), F.concat(F.array(F.lit("")), F.transform(cells, lambda c: c[0])), lambda gap, before: F.length(gap) + F.length(before)
     )
     return F.coalesce(F.when(n > 0, bind(running_sums(F.slice(steps, 1, n)), build)), F.array().cast(_MATCHES))
 
@@ -107,6 +129,67 @@ def probe_text(text: Column) -> Column:
     return F.lower(F.translate(F.upper(text), _DOTTED_I, "I"))
 
 
+_ANYTHING = "(?s:.{1,3})"  # one character, which as upper case may be three, or a line break
+_CLASS = r"\[(?:\\.|[^\]\\])*\]"
+
+
+def _paired(letter: str) -> bool:
+    """Whether a Latin or Cyrillic letter has one upper and one lower case, whatever stands beside it."""
+    known = 0xC0 <= ord(letter) < 0x180 or 0x400 <= ord(letter) < 0x460
+    return known and letter not in "\u0131\u0130\u017f" and len(letter.upper()) == 1 and letter.upper().lower() == letter.lower() and len(letter.lower()) == 1
+
+
+def relaxed(pattern: str) -> str | None:
+    """An expression for linear-time engines that finds something in ``probe_text`` of every text that ``pattern`` matches.
+
+    Surroundings are not asked for, and what is neither ASCII nor a letter of one plain
+    case pair stands for anything; texts may have line breaks where the pattern sees
+    spaces.  None for patterns whose syntax is not known to keep its meaning.
+    """
+    flags = re.match(r"\(\?[iuUd]+\)", pattern)
+    body = re.sub(rf"\(\?<?[!=](?:{_CLASS}|[^()\[\]])*\)(?![?*+{{])", "", pattern[flags.end() if flags else 0 :])
+    if re.search(r"\(\?(?!:)|\\[^\x00-\x7F]|\\(?![sdwb])[A-Za-z0-9]|\\$|[?*+}][+]", body):
+        return None
+
+    def part(m: re.Match) -> str:
+        found = m.group()
+        if found[0] == "[":
+            if re.search(r"[\[&]|^\[\^", found[1:]) or found[1] in "^]":
+                return _ANYTHING
+            plain = re.fullmatch(r"\[-?(?:[a-z]-[a-z]|[0-9]-[0-9]|[!-,.-@^-~])*-?\]", found)
+            return found if plain else _ANYTHING
+        if found == r"\b":
+            return ""
+        if found == r"\d" and not (flags and "U" in flags.group()):
+            return "[0-9]"
+        if found in (" ", "\\ "):
+            return r"(?:\r\n|[ \r\n])"
+        if found in (".", r"\s", r"\d", r"\w") or ord(found[0]) > 127 and not _paired(found):
+            return _ANYTHING
+        return found.lower()
+
+    out = re.sub(rf"(?s){_CLASS}|\\.|.", part, body)
+    try:
+        found = pc.match_substring_regex(pa.array([""]), out)[0].as_py()
+    except pa.ArrowInvalid:
+        return None
+    return None if found else out
+
+
+def possible_patterns(text: Column, gates: dict[int, str]) -> Column:
+    """``array<int>``: the numbers of the relaxed patterns that find something in a text (Arrow batches)."""
+    numbers = np.array(list(gates), "int32")
+
+    @F.arrow_udf("array<int>")
+    def possible(texts: pa.Array) -> pa.Array:
+        tried = [pc.match_substring_regex(texts, g).fill_null(False).to_numpy(zero_copy_only=False) for g in gates.values()]
+        at, which = np.nonzero(np.column_stack(tried))
+        ends = np.searchsorted(at, np.arange(len(texts) + 1)).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[which]))
+
+    return possible(probe_text(text))
+
+
 Pattern = tuple[str, str, str, Sequence[int]] | tuple[str, str, str, Sequence[int], Sequence[str]]
 
 
@@ -127,43 +210,52 @@ def scan_texts(df: DataFrame, patterns: Sequence[Pattern], dictionaries: dict[st
 
     Rows as those of ``regex_extract``; a dictionary's have its name, and the pattern as
     only group.  ``dictionaries``: lower-cased patterns, whose size is the caller's to
-    check; each keeps its own leftmost, longest, not overlapping matches.
+    check; each keeps its own leftmost, longest, not overlapping matches.  Where there are
+    many patterns, a linear-time look at each Arrow batch tells which of them a text may
+    hold; only those run, over the whole text.
     """
-    from larder.functions.text import collapse_spaces, contiguous, fold
+    from larder.functions.text import clean, contiguous
 
     columns = {"full": F.col(text_col), "contiguous": F.col("__flat"), "clean": F.col("__clean")}
     base = df.select(*keep, text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
     fields = {p[1] for p in patterns}
-    tested = any(len(p) > 4 and p[4] for p in patterns)
+    gates = {i: g for i, p in enumerate(patterns) if p[1] != "clean" and (g := relaxed(p[2])) is not None}
+    if len(gates) > MOST_UNTOLD:
+        base = base.withColumn("__possible", possible_patterns(F.col(text_col), gates))
+    else:
+        gates = {}
+    if dictionaries:
+        held = numbered({n: dict.fromkeys(t) for n, t in dictionaries.items()}, list(dictionaries))
+        base = base.withColumn("__spans", term_spans(F.col(text_col), held, len(dictionaries)))
+    tested = any(len(p) > 4 and p[4] for i, p in enumerate(patterns) if i not in gates)
+    base = base.withColumn("__clash", F.contains(F.col(text_col), F.lit(_CUT)) | F.contains(F.col(text_col), F.lit(_FIELD)))
     if "contiguous" in fields or tested:
         base = base.withColumn("__flat", contiguous(F.col(text_col)))
     if "clean" in fields:
-        base = base.withColumn("__clean", collapse_spaces(F.lower(fold(F.col(text_col)))))
+        base = base.withColumn("__clean", clean(F.col(text_col)))
     if tested:
         base = base.withColumn("__probe", probe_text(F.col("__flat")))
     no_spans = F.lit(None).cast(f"array<struct<name:string,{_MATCH}>>").alias("spans")
 
     def tagged(seq: int, name: str, field: str, pattern: str, groups: Sequence[int], literals: Sequence[str] = ()) -> Column:
-        test = columns[field].rlike(pattern)
-        if literals:
+        test = F.array_contains("__possible", seq) if seq in gates else columns[field].rlike(pattern)
+        if literals and seq not in gates:
             possible = F.contains(F.col("__probe"), F.lit(literals[0]))
             for literal in literals[1:]:
                 possible = possible | F.contains(F.col("__probe"), F.lit(literal))
             test = possible & test
-        return F.when(test, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *match_parts(columns[field], pattern, groups), no_spans))
+        return F.when(test, F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("name"), *match_parts(columns[field], pattern, groups, F.col("__clash")), no_spans))
 
     entries = [tagged(i, *entry) for i, entry in enumerate(patterns)]
     if dictionaries:
-        held = numbered({n: dict.fromkeys(t) for n, t in dictionaries.items()}, list(dictionaries))
-        base = base.withColumn("__spans", term_spans(lowered(F.col(text_col)), held, len(dictionaries)))
         names = F.array(*[F.lit(n) for n in dictionaries])
         spans = F.transform(
-            shown_spans(F.col(text_col), F.col("__spans")),
+            F.col("__spans"),
             lambda m: F.struct(names[m["dictionary"]].alias("name"), m["matched"].alias("raw"), F.array(m["pattern"]).alias("g"), m["start"].alias("start"), m["end"].alias("end")),
         )
-        none = F.lit(None).cast("array<string>")
-        entries.append(F.when(F.size("__spans") > 0, F.struct(F.lit(len(patterns)).alias("seq"), F.lit("").alias("name"), none.alias("raws"), none.alias("gaps"), F.lit(None).cast("array<array<string>>").alias("groups"), spans.alias("spans"))))
-    # null entries (pattern absent) vanish; offsets are built for the patterns that matched
+        none = F.lit(None).cast("struct<cells:array<array<string>>,gaps:array<string>>")
+        entries.append(F.when(F.size("__spans") > 0, F.struct(F.lit(len(patterns)).alias("seq"), F.lit("").alias("name"), none.alias("parts"), spans.alias("spans"))))
+    # null entries (pattern absent) vanish; offsets are built for the patterns that may have matched
     hits = base.select(*keep, F.explode(F.array_compact(F.array(*entries))).alias("p"))
     named = F.transform(located(F.col("p")), lambda m: F.struct(F.col("p.name").alias("name"), *[m[c].alias(c) for c in ("raw", "g", "start", "end")]))
     rows = hits.select(*keep, "p.seq", F.explode(F.when(F.col("p.spans").isNotNull(), F.col("p.spans")).otherwise(named)).alias("m"))
@@ -240,26 +332,34 @@ def starts_of(words: Iterable[str]) -> re.Pattern:
     return re.compile(rf"(?<!{WORD})(?:{WORD}+{_MARK}?" + (f"|[{marks}])" if marks else ")"))
 
 
-_SPAN = "array<struct<dictionary:int,start:int,end:int,pattern:string>>"
+_SPAN = "array<struct<dictionary:int,start:int,end:int,pattern:string,matched:string>>"
 
 
-def term_spans(low: Column, patterns: dict[str, tuple[int, ...]], dictionaries: int = 1) -> Column:
-    """``array<struct<dictionary,start,end,pattern>>`` of a lower-cased text (Arrow batches).
+def term_spans(text: Column, patterns: dict[str, tuple[int, ...]], dictionaries: int = 1) -> Column:
+    """``array<struct<dictionary,start,end,pattern,matched>>`` of a text (Arrow batches).
 
     ``patterns``: which dictionaries hold a pattern; its size is the caller's to check.
+    ``matched`` is the stretch of the text as it is.
     """
-    kind = pa.list_(pa.struct([("dictionary", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string())]))
+    kinds = [("dictionary", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("matched", pa.string())]
 
     @F.arrow_udf(_SPAN)
-    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         index = TermIndex(patterns)
-        for texts in batches:
+        for lows, texts in batches:
             # a few texts at a time, so that what they hold together stays small
-            for at in range(0, len(texts), PIECE_TEXTS):
-                found = [index.matches(t, dictionaries) if t else [] for t in (x.as_py() for x in texts.slice(at, PIECE_TEXTS))]
-                yield pa.array([[dict(zip(("dictionary", "start", "end", "pattern"), m, strict=True)) for m in row] for row in found], kind)
+            for at in range(0, len(lows), PIECE_TEXTS):
+                found, ends = [], [0]
+                for low, shown in zip(lows.slice(at, PIECE_TEXTS), texts.slice(at, PIECE_TEXTS), strict=True):
+                    hits = index.matches(low.as_py(), dictionaries) if low.is_valid else []
+                    if hits:
+                        whole = shown.as_py()
+                        found += [(*m, whole[m[1] : m[2]]) for m in hits]
+                    ends.append(len(found))
+                columns = [pa.array([m[i] for m in found], kind) for i, (_, kind) in enumerate(kinds)]
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in kinds]))
 
-    return spans(low)
+    return spans(lowered(text), text)
 
 
 def collected_terms(tables: Sequence[DataFrame], most_chars: int) -> list[dict[str, tuple[int, ...]] | None]:
@@ -287,8 +387,7 @@ def match_dictionaries(df: DataFrame, dictionaries: dict[str, DataFrame], keep:
     small = [n for n, h in held.items() if h is not None]
     out = {}
     if small:
-        low, text = lowered(F.col(text_col)), F.col(text_col)
-        rows = df.select(*keep, F.explode(shown_spans(text, term_spans(low, numbered(held, small), len(small)))).alias("m"))
+        rows = df.select(*keep, F.explode(term_spans(F.col(text_col), numbered(held, small), len(small))).alias("m"))
         for d, name in enumerate(small):
             mine = rows.where(F.col("m.dictionary") == d).select(*keep, "m.pattern", "m.start", "m.end", "m.matched")
             out[name] = mine.join(tables[name], "pattern")
@@ -307,11 +406,6 @@ def numbered(held: dict[str, dict | None], names: Sequence[str]) -> dict[str, tu
     return out
 
 
-def shown_spans(text: Column, spans: Column) -> Column:
-    """Spans with the stretch of the original text, built before rows are made of them."""
-    return F.transform(spans, lambda m: m.withField("matched", F.substring(text, m["start"] + 1, m["end"] - m["start"])))
-
-
 def dict_match(df: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str = "text",
                joined: bool = False, most_chars: int = MOST_TERM_CHARS) -> DataFrame:
     """Keyword dictionary matches: case-insensitive, leftmost, longest, non-overlapping.

@@ -259,3 +259,39 @@ def test_large_dictionaries_match_after_the_words_of_the_texts_are_counted(spark
     rows = lambda hits: sorted((r.doc_id, r.start, r.end, r.pattern, r.matched) for r in hits.collect())
     got = rows(M.dict_match_join(df, terms(spark, *patterns), most_first_words=most_first_words, hot=hot))
     assert got == rows(M.dict_match(df, terms(spark, *patterns))) and len(got) == 6
+
+
+GATED_TEXTS = [
+    "Poids net 200 g EMB 56251A", "POIDS NET\r\n200 g", "ingrédients\nbiologiques, INGRÉDIENTS BIO.", "БЕЗ КОНСЕРВАНТОВ и без ароматизаторов", "eiweiß: 3,5 g EIWEIẞ 2 g", "énergie 120 KJ",
+    "ſel 2 g, ſucreſ", "PROTEİNAS 3g proteınas", "le sel 1 G", "2 x 100 g, 100 g net", "12/05/2021 12.05.21", "FR-BIO-01 DE ÖKO-001, DE-ÖKO-001", "super\r\nu, Super U", "appellation camembert contrôlée",
+    "bleu appellation d'origine protégée", "roquefort AOP", "﷐sel 1 g﷑ sel 2 g", "sans  conservateur", "homologation n° la 12/34 LA ١٢/34", "fără conservanţi", "œuf boîte en  plastique a recycler", None, "", "x",
+]
+
+
+def test_patterns_that_a_text_may_hold_are_found_first(spark, monkeypatch):
+    from larder.operators import extractors as E
+
+    kinds = [
+        E.packager_code_type(), E.label_type(), E.product_weight_type(), E.expiration_date_type(), E.nutrient_type(), E.nutrient_mention_type(), E.store_type([("U", "super u"), ("Carrefour Market", None)]),
+        E.category_type(spark.createDataFrame([("fr:x",)], "id string")), E.packaging_type({"boite": "en:box"}, {"plastique": "en:plastic"}, {"recycler": "en:recycle"}),
+    ]
+    patterns = [p for kind in kinds for p in kind.patterns]
+    df = spark.createDataFrame(list(enumerate(GATED_TEXTS)), "doc_id long, text string")
+    found = M.scan_texts(df, patterns, {})
+    assert "ArrowEvalPython" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [p[0] for p in patterns if M.relaxed(p[2]) is None] == []  # packaging, in folded texts, is not told by its own
+    got = sorted(map(str, found.collect()))
+    monkeypatch.setattr(M, "MOST_UNTOLD", 1000)
+    assert got == sorted(map(str, M.scan_texts(df, patterns, {}).collect())) and len(got) > 40
+
+
+def test_relaxed_patterns():
+    assert M.relaxed("(?iu)(?<![a-z])ab [cd]+(?!x)") == r"ab(?:\r\n|[ \r\n])[cd]+"
+    assert [M.relaxed(p) for p in (r"(a)\1", "(?=a)(?:b(?=(c)))", r"\Qa\E", "a++", "(?x)a b", "a?", r"\p{L}")] == [None] * 7
+
+
+def test_marks_in_a_text_are_no_matches(spark):
+    texts = ["a1 ﷐b2﷑ c3", "a1 b2  c3", "none", "﷐"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = M.regex_extract(df, [("word", "full", "([a-z])([0-9])|(zz)", [1, 2, 3])]).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.raw, r.g, r.start, r.end) for r in rows] == [(k, w, [w[0], w[1], ""], texts[k].index(w), texts[k].index(w) + 2) for k in (0, 1) for w in ("a1", "b2", "c3")]
