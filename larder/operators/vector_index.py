@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder import cut_lineage
-from larder.operators.vectors import comparable, knn_join
+from larder.functions.binding import bind
+from larder.operators.vectors import comparable, knn_join, rows_matrix
 
 MOST_CELLS = 4096  # the cells are a table every task holds: at most so many vectors
 CODE_WORDS = 256
@@ -70,11 +71,6 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return centres
 
 
-def rows_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
-
-
 def _fit(batches: Iterator[pa.RecordBatch], cells: int, code_bytes: int, seed: int) -> Iterator[pa.RecordBatch]:
     parts = [rows_matrix(b.column("vector")) for b in batches if len(b)]
     if parts:
@@ -251,12 +247,14 @@ class VectorIndex:
 
 def unit_rows(vectors: DataFrame, id_col: str, vector_col: str, server_col: str | None) -> DataFrame:
     """(id, server, vector) with vectors of length one; what cannot be compared is left out."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    kept = vectors.where(F.col(id_col).isNotNull() & comparable(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("id"), (F.coalesce(F.col(server_col), F.lit("")) if server_col else F.lit("")).alias("server"), v.alias("vector")
-    )
-    size = F.sqrt(dot(F.col("vector"), F.col("vector")))
-    return kept.withColumn("size", size).select("id", "server", F.transform("vector", lambda x: F.when(F.col("size") > 0, x / F.col("size")).otherwise(0.0)).alias("vector"))
+    def unit(v: Column) -> Column:
+        return bind(F.sqrt(dot(v, v)), lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(0.0)))
+
+    # bound, so that the length is worked out once a vector and not once a component
+    v = bind(F.transform(F.col(vector_col), lambda x: x.cast("double")), unit)
+    server = F.coalesce(F.col(server_col), F.lit("")) if server_col else F.lit("")
+    kept = vectors.where(F.col(id_col).isNotNull() & comparable(F.col(vector_col)))
+    return kept.select(F.col(id_col).cast("long").alias("id"), server.alias("server"), v.alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:

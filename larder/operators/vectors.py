@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,13 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return _unit(np.stack(series.to_numpy()).astype(np.float64)) if len(series) else np.zeros((0, 1))
+def rows_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+
+
+def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _unit(rows_matrix(column).astype(np.float64))
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,28 +49,132 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-QUERY_SLICE = 512  # queries whose products with a block are held at once
+QUERY_SLICE, INDEX_SLICE = 512, 4096  # queries and vectors whose distances are held at once
+TILE_FLOATS = 1 << 22  # components of all vectors of a block, or of a chunk of queries
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Unit vectors of the cells' pivots, the radius of each cell, and its blocks: the first and how many."""
+
+    vectors: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    blocks: np.ndarray
+
+    def needed(self, far: np.ndarray, worst: np.ndarray, digits: int, probes: int | None) -> np.ndarray:
+        """(queries, cells): whether a cell may hold one no further than ``worst``, or is among the ``probes`` next."""
+        if probes is not None:
+            return far.argsort(axis=1, kind="stable").argsort(axis=1) < probes
+        return far - self.radius <= np.sqrt(4 * np.maximum(worst + 10.0**-digits, 0.0))[:, None] + 1e-7
+
+    def blocks_of(self, cells: np.ndarray) -> np.ndarray:
+        """The blocks that hold some rows of ``cells``."""
+        return np.unique(np.concatenate([np.empty(0, np.int32), *(np.arange(f, f + n, dtype=np.int32) for f, n in zip(self.first[cells], self.blocks[cells], strict=True))]))
+
+
+def _parts(rows: int, most: int) -> int:
+    """Into how many parts so many rows are dealt: none over ``most``, and a few for the cores."""
+    return max(-(-rows // most), min(-(-rows // 2048), 4))
+
 
+def _dealt(pivots: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: cells over ``most`` are cut, others share a block with cells next to them."""
+    first, blocks, left = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32), np.ones(len(sizes), bool)
+    at, block, held = 0, 0, 0
+    for _ in sizes:
+        left[at] = False
+        if held and held + sizes[at] > most:
+            block, held = block + 1, 0
+        first[at], blocks[at] = block, max(1, -(-sizes[at] // most))
+        block, held = block + blocks[at] - 1, held + sizes[at] if blocks[at] == 1 else most
+        at = int(np.argmax(np.where(left, pivots @ pivots[at], -np.inf)))
+    return first, blocks
 
-def _top(query: pd.DataFrame, index: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
-    """Best ``k`` index rows of each query row, self excluded."""
-    if query.empty or index.empty:
-        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-    ids, vectors, found = index["neighbor_id"].to_numpy(), _matrix(index["embedding"]), []
-    for at in range(0, len(query), QUERY_SLICE):
-        some = query.iloc[at : at + QUERY_SLICE]
-        far = (1.0 - _matrix(some["embedding"]) @ vectors.T) / 2.0
-        far[some["query_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        told = np.round(far, digits)
-        take = min(k, far.shape[1])
-        # partial selection; rows tied with the k-th stay until (distance, id) decides
-        rows, cols = np.nonzero((told <= np.partition(told, take - 1, axis=1)[:, take - 1 : take]) & np.isfinite(far))
-        order = np.lexsort((ids[cols], told[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < take
-        rows, cols = rows[best], cols[best]
-        found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[rows], "neighbor_id": ids[cols], "distance": far[rows, cols]}))
-    return pd.concat(found)
+
+def _in_cells(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), INDEX_SLICE):
+            b = batch.slice(at, INDEX_SLICE)
+            far = _far(_units(b.column("embedding")), pivots)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(far.min(axis=1))], [*b.schema.names, "cell", "far"])
+
+
+def _visits(batches: Iterator[pa.RecordBatch], pivots: Pivots, digits: int, probes: int | None, home: bool | None) -> Iterator[pa.RecordBatch]:
+    """Adds ``blocks`` to look into: those of the own cell (``home``), else of the needed cells, all or (False) without the own one's."""
+    for batch in batches:
+        for at in range(0, len(batch), INDEX_SLICE):
+            b = batch.slice(at, INDEX_SLICE)
+            own = b.column("cell").to_numpy()
+            if home:
+                blocks = [pivots.blocks_of(c) for c in own[:, None]]
+            else:
+                needed = pivots.needed(_far(_units(b.column("embedding")), pivots.vectors), b.column("worst").to_numpy(), digits, probes)
+                blocks = [pivots.blocks_of(np.flatnonzero(some)) for some in needed]
+            if home is False:
+                blocks = [np.setdiff1d(found, pivots.blocks_of(c)) for found, c in zip(blocks, own[:, None], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks, pa.list_(pa.int32()))], [*b.schema.names, "blocks"])
+
+
+def _nearest(x: np.ndarray, own: np.ndarray, worst: np.ndarray, ids: np.ndarray, y: np.ndarray, parts: list[tuple[int, int, int]],
+             pivots: Pivots, k: int, digits: int, probes: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the ``k`` best rows of each query no further than ``worst``, self excluded.
+
+    ``parts``: (cell, begin, end) of the rows, ids ascending in each.
+    """
+    far, slack = _far(x, pivots.vectors), 10.0**-digits
+    probed = None if probes is None else pivots.needed(far, worst, digits, probes)
+    middle = far.mean(axis=0)
+    row, who, away = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for cell, begin, end in sorted(parts, key=lambda part: middle[part[0]]):
+        visit = probed[:, cell] if probed is not None else far[:, cell] - pivots.radius[cell] <= np.sqrt(4 * np.maximum(worst + slack, 0.0)) + 1e-7
+        asks = np.flatnonzero(visit)
+        if not len(asks):
+            continue
+        told = (1.0 - x[asks] @ y[begin:end].T) / 2.0
+        low, high = np.searchsorted(ids[begin:end], own[asks]), np.searchsorted(ids[begin:end], own[asks], "right")
+        for i in np.flatnonzero(high > low):
+            told[i, low[i] : high[i]] = np.nan
+        take = told <= worst[asks][:, None] + slack
+        many = np.flatnonzero(np.count_nonzero(take, axis=1) > 4 * k + 64)
+        if len(many):
+            # only what ties with the k-th of this part in all digits, and of ties the smaller ids, which stand first
+            some = np.round(told[many], digits)
+            kth = np.partition(some, k - 1, axis=1)[:, k - 1 : k]
+            less, tied = some < kth, some == kth
+            take[many] = take[many] & (less | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - np.count_nonzero(less, axis=1)[:, None])))
+        at, col = np.divmod(np.flatnonzero(take), end - begin)
+        if not len(at):
+            continue
+        row, who, away = np.concatenate([row, asks[at]]), np.concatenate([who, ids[begin + col]]), np.concatenate([away, told[at, col]])
+        order = np.lexsort((who, np.round(away, digits), row))
+        row, who, away = row[order], who[order], away[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        full = place == k - 1
+        worst = worst.copy()
+        worst[row[full]] = np.minimum(worst[row[full]], away[full])
+        row, who, away = row[place < k], who[place < k], away[place < k]
+    return row, who, away
+
+
+def _tile(q: pa.Table, r: pa.Table, pivots: Pivots, k: int, digits: int, probes: int | None) -> pa.Table:
+    """The ``k`` best rows of a block for each query of a chunk."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    if len(q) and len(r):
+        r = r.select(["neighbor_id", "embedding", "cell"]).sort_by([("cell", "ascending"), ("neighbor_id", "ascending")])
+        q = q.select(["query_id", "embedding", "cell", "worst"]).sort_by("cell")
+        ids, y = r.column("neighbor_id").to_numpy(), _units(r.column("embedding"))
+        cells, begins = np.unique(r.column("cell").to_numpy(), return_index=True)
+        ends = np.append(begins[1:], len(ids))
+        parts = [(c, at, min(at + INDEX_SLICE, b)) for c, a, b in zip(cells.tolist(), begins.tolist(), ends.tolist(), strict=True) for at in range(a, b, INDEX_SLICE)]
+        for at in range(0, len(q), QUERY_SLICE):
+            some = q.slice(at, QUERY_SLICE)
+            own = some.column("query_id").to_numpy()
+            row, who, away = _nearest(_units(some.column("embedding")), own, some.column("worst").to_numpy(), ids, y, parts, pivots, k, digits, probes)
+            for column, values in zip(out, (own[row], who, away), strict=True):
+                column.append(values)
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table(dict(zip(("query_id", "neighbor_id", "distance"), [np.concatenate(c) if c else np.empty(0, d) for c, d in zip(out, kinds, strict=True)], strict=True)))
 
 
 _HITS = "query_id long, neighbor_id long, distance double"
@@ -71,99 +182,78 @@ _HITS = "query_id long, neighbor_id long, distance double"
 
 def knn_join(queries: DataFrame, index: DataFrame, k: int = fixed.DEFAULT_NEIGHBORS, id_col: str = "logo_id",
              vector_col: str = "embedding", server_col: str | None = None, cells: int | None = None,
-             block_rows: int = 4096, query_rows: int = 16384, probes: int | None = None, digits: int = 12) -> DataFrame:
+             block_rows: int | None = None, query_rows: int | None = None, probes: int | None = None, digits: int = 12,
+             within: str | None = None) -> DataFrame:
     """(query_id, neighbor_id, distance, rank): the ``k`` nearest by cosine, self removed.
 
     Exact without comparing everything: index rows go to the cell of their nearest pivot.
-    A query first searches its own cell, which bounds its k-th distance; by the triangle
+    A query first searches around its own cell, which bounds its k-th distance; by the triangle
     inequality only cells with ``d(query, pivot) - radius <= bound`` can still hold a
-    neighbour, and those are searched next.  Cells larger than ``block_rows`` are cut into
-    blocks and queries into chunks, so every task compares two bounded matrices and emits
-    at most ``k`` rows per query.  ``probes=n`` searches only the n nearest cells
-    (approximate).
+    neighbour, and those are searched next.  Cells next to each other share a block of at most
+    ``block_rows``, larger ones are cut into several, and the queries of a block into chunks of
+    about ``query_rows`` (by default as many as have ``TILE_FLOATS`` components): a task compares two
+    bounded matrices cell by cell and emits at most ``k`` rows per query.  A query is sent
+    once for every block, never once for every cell.  ``probes=n`` searches only the n nearest
+    cells (approximate).  ``within`` names a column of the queries: only rows no further than
+    that are wanted (null: all), which takes the place of the first search.
 
     Null vectors and ids, and vectors with null or non-finite components, take no part; only
     vectors of the commonest length are compared; zero vectors are at a right angle to all.
     Distances that are equal in ``digits`` digits are ties, which smaller ids win (sums of
     equal vectors differ in their last bits).
     """
-    slack = 0.5 * 10.0**-digits  # of a distance; below, 1e-7 is that of roots near 0
     index, queries = (df.where(F.col(id_col).isNotNull() & comparable(F.col(vector_col))) for df in (index, queries))
     width = index.groupBy(F.size(vector_col).alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if width is not None:
-        index, queries = (df.where(F.size(vector_col) == width["width"]) for df in (index, queries))
-    server = F.col(server_col) if server_col else F.lit("")
-    base = index.select(F.col(id_col).cast("long").alias("neighbor_id"), server.alias("server"), F.col(vector_col).alias("embedding"))
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), server.alias("server"), F.col(vector_col).alias("embedding"))
+    if width is None:
+        return index.sparkSession.createDataFrame([], f"{_HITS}, rank int")
+    index, queries = (df.where(F.size(vector_col) == width["width"]) for df in (index, queries))
+    most = max(1024, TILE_FLOATS // width["width"])
+    block_rows, query_rows = block_rows or most, query_rows or most
+    server = F.col(server_col).cast("string") if server_col else F.lit("")
+    real = [F.col(vector_col) if dict(df.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>") for df in (index, queries)]
+    base = index.select(F.col(id_col).cast("long").alias("neighbor_id"), server.alias("server"), real[0].alias("embedding"))
+    worst = F.coalesce(F.col(within).cast("double") if within else F.lit(None), F.lit(float("inf")))
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), server.alias("server"), real[1].alias("embedding"), worst.alias("worst"))
     total = base.count()
     n_cells = cells or max(1, int(total**0.5 / 4))
     # the pivots: about a quarter of the root of the index
     chosen = base.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").limit(n_cells).select("embedding").collect()
-    pivots = _unit(np.array([r["embedding"] for r in chosen], dtype=np.float64)) if chosen else np.zeros((0, 1))
+    vectors = _unit(np.array([r["embedding"] for r in chosen], dtype=np.float64))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            far = _far(_matrix(pdf["embedding"]), pivots)
-            yield pdf.assign(cell=far.argmin(axis=1).astype("int32"), far=far.min(axis=1))
+    def in_cells(rows: DataFrame) -> DataFrame:
+        schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        return cut_lineage(rows.mapInArrow(partial(_in_cells, pivots=vectors), f"{schema}, cell int, far double"))[0]
 
-    kind = dict(base.dtypes)["embedding"]
-    placed = base.mapInPandas(place, f"neighbor_id long, server string, embedding {kind}, cell int, far double")
+    placed, located = in_cells(base), in_cells(asked).drop("far")
     stats = {r["cell"]: (r["radius"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
-    radius = np.array([stats.get(c, (-np.inf, 0))[0] for c in range(len(pivots))])
-    blocks = {c: max(1, -(-n // block_rows)) for c, (_, n) in stats.items()}
-    block_of = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(0), F.lit(1))
+    sizes = np.array([stats.get(c, (None, 0))[1] for c in range(len(vectors))])
+    first, blocks = _dealt(vectors, sizes, -(-total // _parts(total, block_rows)))
+    pivots = Pivots(vectors, np.array([stats.get(c, (-np.inf, 0))[0] for c in range(len(vectors))]), first, blocks)
+    of_cell = lambda values: F.get(F.lit(values.tolist()), F.col("cell"))
+    index_side = placed.withColumn("block", (of_cell(first) + F.pmod(F.xxhash64("neighbor_id"), of_cell(blocks))).cast("int")).drop("far")
 
-    index_side = placed.withColumn("block", F.pmod(F.xxhash64("neighbor_id"), F.try_element_at(block_of, F.col("cell"))).cast("int"))
-    index_side = index_side.drop("far")
-    located = asked.mapInPandas(
-        lambda batches: (p.rename(columns={"neighbor_id": "query_id"}) for p in place(batches)),
-        f"query_id long, server string, embedding {kind}, cell int, far double",
-    ).drop("far")
+    def search(rows: DataFrame, home: bool | None) -> DataFrame:
+        """The best of the blocks that the queries in ``rows`` visit, see ``_visits``.
 
-    def search(visits: DataFrame) -> DataFrame:
-        """``visits``: query rows with the cell to look into.
-
-        Index rows are sent once, or once for every ``query_rows`` visits of their cell.
+        Index rows are sent once, or once for every ``query_rows`` visits of their block.
         """
-        visits, _ = cut_lineage(visits)
-        busy = {r["cell"]: -(-r["count"] // query_rows) for r in visits.groupBy("cell").count().where(F.col("count") > query_rows).collect()}
-        chunk_of = F.create_map(*[F.lit(x) for kv in busy.items() for x in kv]) if busy else F.create_map(F.lit(-1), F.lit(1))
-        chunks = F.coalesce(F.try_element_at(chunk_of, F.col("cell")), F.lit(1))
-        spread = visits.withColumns(
-            {
-                "block": F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(block_of, F.col("cell")), F.lit(1)) - 1)),
-                "chunk": F.pmod(F.xxhash64("query_id"), chunks).cast("int"),
-            }
-        )
-        keys = ["server", "cell", "block", "chunk"]
-        held = index_side.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        found = spread.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda q, i: _top(q, i, k, digits), _HITS)
-        return _first_k(found, k, digits)
-
-    own = search(located) if probes is None else None
-    if own is not None:
-        bound = own.groupBy("query_id").agg(F.max("distance").alias("worst"), F.count(F.lit(1)).alias("n"))
-        ready = located.withColumnRenamed("cell", "home").join(bound, "query_id", "left").withColumn(
-            "bound", F.when(F.col("n") >= k, F.sqrt(F.greatest(F.col("worst") + 2 * slack, F.lit(0.0)) * 4)).otherwise(F.lit(float("inf")))
-        ).select("query_id", "server", "embedding", "home", "bound")
-    else:
-        ready = located.withColumnRenamed("cell", "home").withColumn("bound", F.lit(float("inf")))
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            far = _far(_matrix(pdf["embedding"]), pivots)
-            if probes is None:
-                visit = far - radius[None, :] <= pdf["bound"].to_numpy()[:, None] + 1e-7
-                visit[np.arange(len(pdf)), pdf["home"].to_numpy()] = False
-            else:
-                visit = far.argsort(axis=1).argsort(axis=1) < probes
-            cells_of = [np.flatnonzero(v).astype("int32").tolist() for v in visit]
-            yield pdf[["query_id", "server", "embedding"]].assign(cells=cells_of)
-
-    todo = ready.mapInPandas(plan, f"query_id long, server string, embedding {kind}, cells array<int>")
-    others = search(todo.select("query_id", "server", "embedding", F.explode("cells").alias("cell")))
-    found = others if own is None else own.drop("rank").unionByName(others.drop("rank"))
-    return _first_k(found, k, digits)
+        schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        visits, _ = cut_lineage(rows.mapInArrow(partial(_visits, pivots=pivots, digits=digits, probes=probes, home=home), f"{schema}, blocks array<int>"))
+        counts = {r["block"]: r["count"] for r in visits.select(F.explode("blocks").alias("block")).groupBy("block").count().collect()}
+        chunks = F.get(F.lit([_parts(counts.get(b, 0), query_rows) for b in range(int((first + blocks).max()))]), F.col("block"))
+        keys = ["server", "block", "chunk"]
+        spread = visits.withColumn("block", F.explode("blocks")).withColumn("chunk", F.pmod(F.xxhash64("query_id"), chunks).cast("int"))
+        held = index_side.where(chunks > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        run = partial(_tile, pivots=pivots, k=k, digits=digits, probes=probes)
+        return spread.select(*keys, "query_id", "embedding", "cell", "worst").groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, _HITS)
+
+    if probes is not None or within is not None:
+        return _first_k(search(located, None), k, digits)
+    own, _ = cut_lineage(_first_k(search(located, True), k, digits))
+    bound = own.groupBy("query_id").agg(F.max("distance").alias("found"), F.count(F.lit(1)).alias("n"))
+    reach = F.when(F.col("n") >= k, F.col("found")).otherwise(F.lit(float("inf")))
+    others = search(located.join(bound, "query_id", "left").withColumn("worst", F.coalesce(reach, F.lit(float("inf")))).drop("found", "n"), False)
+    return _first_k(own.drop("rank").unionByName(others), k, digits)
 
 
 def _first_k(hits: DataFrame, k: int, digits: int) -> DataFrame:

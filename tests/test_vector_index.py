@@ -111,3 +111,28 @@ def test_a_search_writes_no_row_for_each_cell_of_a_query(spark, tmp_path):
     assert index.search(table(spark, x), X.Settings(20, 400), 5).count() == 2000
     written = sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("larder-cut-*")) - before)
     assert written < 400
+
+
+def test_an_exact_search_writes_no_row_for_each_cell_of_a_query(spark):
+    x = np.random.default_rng(6).standard_normal((400, 8))
+    df = table(spark, x)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("larder-cut-*"))
+    got = V.knn_join(df, df, 5, cells=20, block_rows=200, server_col="server")
+    assert lists_of(got.withColumn("distance", F.round("distance", 9))) == brute({i: (v, "b" if i % 5 == 0 else "a") for i, v in enumerate(x)}, 5)
+    tables = [spark.read.parquet(str(p)) for p in set(folder.glob("larder-cut-*")) - before]
+    assert sum(t.count() for t in tables if "embedding" in t.columns) <= 4 * 400  # the index, the queries, and these for either search
+
+
+def test_many_equal_vectors_give_the_smaller_ids(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((12, 6))[rng.integers(0, 12, 900)]
+    x[:500] = x[0]
+    got = lists_of(V.knn_join(table(spark, x), table(spark, x), 7, server_col="server", cells=5, block_rows=300, query_rows=200))
+    assert {q: [n for _, n in row] for q, row in got.items()} == {q: [n for _, n in row] for q, row in brute({i: (v, "b" if i % 5 == 0 else "a") for i, v in enumerate(x)}, 7).items()}
+
+
+def test_a_vectors_length_is_not_worked_out_for_each_component(spark):
+    rows = X.unit_rows(table(spark, [[1.0, 2.0]]), "logo_id", "embedding", None).where(F.size("vector") == 2)  # may go below the division
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") <= 2, plan
