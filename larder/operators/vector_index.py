@@ -345,11 +345,9 @@ def refresh_lists(index: VectorIndex, lists: DataFrame, since: int, k: int) -> D
     """Neighbour lists (query_id, neighbor_id, distance, rank) as a fresh exact search would give them.
 
     ``lists`` are those before batch ``since``.  Ids of the later batches, and lists that
-    hold an id which changed or went, are searched again.  All other lists can only gain: a
-    changed vector looks into the cells that hold a list whose k-th distance it may beat
-    (by the triangle inequality), and there beats it or not.
+    hold an id which changed or went, are searched again.  All other lists can only gain: they
+    look for changed vectors no further than their k-th neighbour.
     """
-    cells = index.cells()
     rows, _ = cut_lineage(index.rows())
     changed = index.batch_rows().where(F.col("batch") >= since).select("id").distinct()
     lost = lists.join(changed.select(F.col("id").alias("neighbor_id")), "neighbor_id", "left_semi").select(F.col("query_id").alias("id"))
@@ -357,24 +355,8 @@ def refresh_lists(index: VectorIndex, lists: DataFrame, since: int, k: int) -> D
     again = index.exact(rows.join(due, "id", "left_semi"), k).select("query_id", "neighbor_id", "distance")
 
     kept = lists.join(due.select(F.col("id").alias("query_id")), "query_id", "left_anti").select("query_id", "neighbor_id", "distance")
-    bounds = kept.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(1.0)).alias("bound"))
-    asked = rows.join(due, "id", "left_anti").join(bounds.withColumnRenamed("query_id", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(1.0)))
-    asked, _ = cut_lineage(asked.select("id", "server", "vector", "cell", "far", "bound"))
-    # distances of unit vectors are half of one minus the cosine: a quarter of the squared length between them
-    reach = asked.groupBy("server", "cell").agg((F.max("far") + F.sqrt(4 * (F.greatest(F.max("bound"), F.lit(0.0)) + 10.0**-DIGITS))).alias("reach"))
-    new = rows.join(changed, "id", "left_semi").select("id", "server", "vector")
-    far = new.mapInArrow(partial(_all_cells, cells=cells), "id long, server string, vector array<double>, cell int, away double")
-    visits = far.join(reach, ["server", "cell"]).where(F.col("away") <= F.col("reach") + 1e-7).select("server", "cell", F.col("id").alias("neighbor_id"), F.col("vector").alias("new"))
-    met = asked.join(visits, ["server", "cell"]).where(F.col("id") != F.col("neighbor_id")).withColumn("distance", (1 - dot(F.col("vector"), F.col("new"))) / 2)
-    gained = met.where(F.col("distance") <= F.col("bound") + 10.0**-DIGITS).select(F.col("id").alias("query_id"), "neighbor_id", "distance")
-    return first_k(again.union(first_k(kept.union(gained), k).select("query_id", "neighbor_id", "distance")), k)
-
-
-def _all_cells(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, len(b), 256):
-            some = b.slice(at, 256)
-            far = cells.distances(rows_matrix(some.column("vector")))
-            row = np.repeat(np.arange(len(some)), far.shape[1])
-            cell = np.tile(np.arange(far.shape[1], dtype=np.int32), len(some))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in some.columns), pa.array(cell), pa.array(far.ravel())], [*some.schema.names, "cell", "away"])
+    bounds = kept.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("worst"))
+    asked = rows.join(due, "id", "left_anti").join(bounds, "id", "left").withColumnsRenamed({"id": "logo_id", "vector": "embedding"})
+    new = rows.join(changed, "id", "left_semi").withColumnsRenamed({"id": "logo_id", "vector": "embedding"})
+    gained = knn_join(asked, new, k, server_col="server", digits=DIGITS, within="worst").select("query_id", "neighbor_id", "distance")
+    return first_k(again.union(kept).union(gained), k)

@@ -1,5 +1,6 @@
 """The stored vector index against exact search and fresh builds."""
 
+import re
 from pathlib import Path
 
 import numpy as np
@@ -132,6 +133,22 @@ def test_many_equal_vectors_give_the_smaller_ids(spark):
     assert {q: [n for _, n in row] for q, row in got.items()} == {q: [n for _, n in row] for q, row in brute({i: (v, "b" if i % 5 == 0 else "a") for i, v in enumerate(x)}, 7).items()}
 
 
+def test_refreshed_lists_send_no_vector_to_each_cell(spark, tmp_path):
+    x = clusters(200, 8, 9)
+    index = X.VectorIndex.build(table(spark, x[:150]), f"{tmp_path}/i", server_col="server", cells=12)
+    before, _ = X.cut_lineage(index.exact(index.rows(), 5))
+    index.upsert(table(spark, x[150:], range(150, 200)), server_col="server")
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = X.refresh_lists(index, before, 1, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert "block#" in plan and not re.search(r"hashpartitioning\([^)]*cell", plan), plan
+
+
 def test_a_vectors_length_is_not_worked_out_for_each_component(spark):
     rows = X.unit_rows(table(spark, [[1.0, 2.0]]), "logo_id", "embedding", None).where(F.size("vector") == 2)  # may go below the division
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
