@@ -52,12 +52,15 @@ def merge_candidates(
     order: list[Column] | None = None,
     closure: DataFrame | None = None,
     group: Sequence[str] = tuple(GROUP),
+    dealt: bool = False,
 ) -> DataFrame:
     """(group..., op, candidate_id, insight_id) for one conflict rule.
 
     ``candidates`` carry ``id``, the ``keys`` and the order columns; ``references`` are
     the existing rows of the same products and type.  With ``closure`` the single key
     is a tag and a candidate also conflicts with existing descendants of its tag.
+    ``dealt``: both frames lie by columns of ``group`` already, and are compared where they lie
+    instead of being dealt again by their keys.
     """
     group, keys = list(group), list(keys)
     on = [*group, *keys]
@@ -66,10 +69,13 @@ def merge_candidates(
     slim = references.select(*dict.fromkeys([*group, *keys, "source_image"]), F.col("id"), is_blocking().alias("blocking"), F.col("annotation").isNull().alias("open"))
     wide = slim if closure is None else expand_by_closure(slim, closure, keys[0])
 
+    match_on = list(dict.fromkeys([*on, "source_image"]))
+    if dealt:
+        return _with_deletions(slim, _placed_together(winners, wide, on, match_on).select(*group, "op", "candidate_id", "insight_id"), group, candidates)
+
     blocked = _prefixed(wide.where("blocking"), on)
     free = winners.join(blocked, _safe_on(winners, blocked, on), "left_anti")
 
-    match_on = list(dict.fromkeys([*on, "source_image"]))
     mapped = wide.where("open").groupBy(*match_on).agg(F.min("id").alias("insight_id"))
     mapped = mapped.select(*[F.col(c).alias("r_" + c) for c in match_on], "insight_id")
     placed = free.join(mapped, _safe_on(free, mapped, match_on), "left").select(
@@ -81,14 +87,23 @@ def merge_candidates(
     return _with_deletions(slim, placed, group, candidates)
 
 
+def _placed_together(winners: DataFrame, references: DataFrame, on: list[str], match_on: list[str]) -> DataFrame:
+    """Winners that nothing blocks with the row they update: rows of both are one frame, windows over the keys compare them."""
+    types = dict(winners.dtypes)
+    new = winners.select(*match_on, F.col("id").alias("candidate_id"), F.lit(None).cast(dict(references.dtypes)["id"]).alias("__row"), F.lit(False).alias("blocking"), F.lit(True).alias("__new"))
+    old = references.select(*[F.col(c).cast(types[c]).alias(c) for c in match_on], F.lit(None).cast(types["id"]).alias("candidate_id"), F.when(F.col("open"), F.col("id")).alias("__row"), "blocking", F.lit(False).alias("__new"))
+    both = new.unionByName(old).withColumns({"__blocked": F.bool_or("blocking").over(Window.partitionBy(*on)), "insight_id": F.min("__row").over(Window.partitionBy(*match_on))})
+    return both.where("__new AND NOT __blocked").withColumn("op", F.when(F.col("insight_id").isNull(), "create").otherwise("update"))
+
+
 def _with_deletions(references: DataFrame, placed: DataFrame, group: list[str], candidates: DataFrame) -> DataFrame:
     """``placed`` and the existing rows that neither block nor are updated.
 
-    Both meet by the existing row, so that ``placed`` is worked out once; new rows stand alone there.
+    Both meet by the existing row in its group, so that ``placed`` is worked out once; new rows stand alone there.
     """
     id_type = dict(candidates.dtypes)["id"]
     free = references.where(~F.col("blocking")).select(*group, F.lit("delete").alias("op"), F.lit(None).cast(id_type).alias("candidate_id"), F.col("id").alias("insight_id"))
-    row = Window.partitionBy("insight_id", F.when(F.col("op") == "create", F.col("candidate_id")))
+    row = Window.partitionBy(*group, "insight_id", F.when(F.col("op") == "create", F.col("candidate_id")))
     both = placed.unionByName(free).withColumn("__updated", F.bool_or(F.col("op") == "update").over(row))
     return both.where((F.col("op") != "delete") | ~F.col("__updated")).drop("__updated")
 

@@ -66,15 +66,25 @@ def closure_of(edges: DataFrame, tags: DataFrame, tag: str = "value_tag", max_st
     return taxonomy_closure(edges).join(wanted, "descendant", "left_semi").select("ancestor", "descendant")
 
 
+def tags_above(members: DataFrame, closure: DataFrame, group: list[str], tag: str) -> DataFrame:
+    """(group..., tags): the distinct ancestors of a group's tags, as one array.
+
+    A tag's ancestors are put together before, so that a group adds up a row for each of its tags.
+    The array is as long as the taxonomy has tags above the group's, however many rows the group has.
+    """
+    lists = closure.groupBy(F.col("descendant").alias(tag)).agg(F.collect_list("ancestor").alias("__above"))
+    above = members.select(*group, tag).distinct().join(lists, tag)
+    return above.groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("__above"))).alias("__tags"))
+
+
 def deepest_nodes(df: DataFrame, closure: DataFrame, group: list[str], tag: str = "value_tag") -> DataFrame:
     """Drop rows whose tag is an ancestor of another tag of the group.
 
-    The ancestors implied by a group's tags are computed once, then removed by an
-    anti join on (group, tag): no pairwise comparison inside a group.
+    The ancestors implied by a group's tags are computed once and meet its rows by the group alone, so that
+    rows which lie by it stay: no pairwise comparison inside a group.
     """
-    present = df.select(*group, F.col(tag).alias("descendant")).distinct()
-    implied = present.join(closure, "descendant").select(*group, F.col("ancestor").alias(tag)).distinct()
-    return df.join(implied, [*group, tag], "left_anti")
+    implied = tags_above(df, closure, group, tag)
+    return df.join(implied, group, "left").where(~F.coalesce(F.array_contains("__tags", F.col(tag)), F.lit(False))).drop("__tags")
 
 
 def is_parent_of_any(df: DataFrame, members: DataFrame, closure: DataFrame, group: list[str], tag: str = "value_tag") -> DataFrame:

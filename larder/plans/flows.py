@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from larder.operators.extractors import extract_all
 from larder.operators.keys import keyed_products, product_key
 from larder.operators.ranking import candidate_order, packaging_order
 
+PRODUCT = ["barcode", "server_type"]
+
 
 class Dimensions:
     """Reference tables the candidate builders join.
@@ -47,6 +50,9 @@ BUILDERS: dict[str, Callable[[DataFrame, DataFrame | None, Dimensions], DataFram
     "ingredient_detection": lambda p, c, d: C.cand_ingredient_detection(p, c),
 }
 
+BUILT_IN = dict(BUILDERS)
+NAMED_BY = {"label": ["label"], "category": ["category"], "packaging": C.PROPERTIES}  # the taxonomies that a type's builder reads
+
 
 def register_builder(type: str, builder: Callable, keys: list[str], required: list[str]) -> None:
     """Plug in a candidate builder with its conflict key and required prediction types."""
@@ -55,16 +61,56 @@ def register_builder(type: str, builder: Callable, keys: list[str], required: li
     fixed.REQUIRED_TYPES[type] = required
 
 
+def used_dimensions(dims: Dimensions, predictions: DataFrame, products: DataFrame, types: list[str]) -> Dimensions:
+    """``dims`` for the own builders of ``types``: only nodes, synonyms and authorized tags that predictions or products name.
+
+    Few, however large a taxonomy is.  They are written once, so that their size is known when they
+    are joined and the predictions need not be dealt by tag to meet them.
+    """
+    names = [n for t in types if BUILDERS[t] is BUILT_IN.get(t) for n in NAMED_BY.get(t, []) if n in dims.taxonomy]
+    few = lambda rows: cut_lineage(rows)[0]
+    found = [predictions.where(F.col("type").isin("label", "category")).select(F.col("type").alias("name"), F.col("value_tag").alias("id"))]
+    if set(names) & set(C.PROPERTIES):
+        elements = [predictions.where("type = 'packaging'").select(*[C.json_field(f"element.{p}.value_tag").alias(p) for p in C.PROPERTIES])]
+        if "packagings" in products.columns:
+            elements.append(products.select(F.explode("packagings").alias("e")).select(*[F.col(f"e.{p}").alias(p) for p in C.PROPERTIES]))
+        each = F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).alias("id")) for p in C.PROPERTIES])).alias("t")
+        found += [rows.distinct().select(each).select("t.*") for rows in elements]
+    tags = few(reduce(DataFrame.unionByName, found).where(F.col("name").isin(names) & F.col("id").isNotNull()).distinct()) if names else None
+    taxonomy, authorized, done = dict(dims.taxonomy), dims.authorized, {}
+    for name in names:
+        nodes, synonyms, closure = dims.taxonomy[name]
+        alike = [n for n in names if dims.taxonomy[n][0] is nodes and dims.taxonomy[n][1] is synonyms]
+        if alike[0] not in done:
+            own = tags.where(F.col("name").isin(alike)).select("id")
+            other = few(synonyms.join(own.select(F.col("id").alias("tag")).distinct(), "tag", "left_semi"))
+            ids = few(own.unionByName(other.select("id")).distinct())
+            done[alike[0]] = few(nodes.join(ids, "id", "left_semi")), other, ids
+        used, other, ids = done[alike[0]]
+        taxonomy[name] = used, other, closure
+        if name == "label" and authorized is not None:
+            authorized = few(authorized.join(ids.withColumnRenamed("id", "value_tag"), "value_tag", "left_semi"))
+    return Dimensions(taxonomy, authorized, dims.prefixes, dims.blacklist, dims.tables)
+
+
 def changes_for_type(type: str, predictions: DataFrame, insights: DataFrame, products: DataFrame, scope: DataFrame, dims: Dimensions) -> tuple[DataFrame, DataFrame]:
-    """(changes, candidates) of one insight type over the products in ``scope``."""
+    """(changes, candidates) of one insight type over the products in ``scope``.
+
+    All rules compare rows of one product: candidates and insights lie by product once they have met
+    their products, and are merged where they lie.
+    """
     inputs = [*fixed.REQUIRED_TYPES[type], *fixed.EXTRA_INPUT_TYPES.get(type, [])]
-    rows = predictions.where(F.col("type").isin(inputs)).join(scope.select("barcode", "server_type"), ["barcode", "server_type"], "left_semi")
+    own = lambda rows: rows.join(scope.select(*PRODUCT), PRODUCT, "left_semi")
+    rows = own(predictions.where(F.col("type").isin(inputs)))
+    # a number of parts, so that adaptive execution leaves them as they are and all frames of a type lie alike
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    products = products.repartition(parts, *[c for c in ("code", "server_type") if c in products.columns])
     cand = S.generate_insights(BUILDERS[type](rows, products, dims), products)
     cand = cand.withColumn("type", F.lit(type))
-    refs = insights.where(F.col("type") == type).join(scope.select("barcode", "server_type"), ["barcode", "server_type"], "left_semi")
+    refs = own(insights.where(F.col("type") == type))
     known = refs.join(keyed_products(refs, products), product_key(refs, products), "left_semi")
     if type == "nutrient_extraction":
-        changes = S.merge_newer_image(cand, known)
+        changes = S.merge_newer_image(cand, known, group=PRODUCT)
     else:
         keys = C.CONFLICT_KEYS[type]
         for k in keys:
@@ -72,7 +118,8 @@ def changes_for_type(type: str, predictions: DataFrame, insights: DataFrame, pro
                 known = known.withColumn(k, F.get_json_object("data", "$.element.shape.value_tag" if k == "shape_tag" else f"$.{k}"))
         order = packaging_order() if type == "packaging" else candidate_order()
         closure = dims.taxonomy[type][2] if type in ("label", "category") else None
-        changes = S.merge_candidates(cand, known, keys, order, closure)
+        changes = S.merge_candidates(cand, known, keys, order, closure, PRODUCT, dealt=True)
+    changes = changes.select(*PRODUCT, F.lit(type).alias("type"), "op", "candidate_id", "insight_id")  # one type: no part of a key
     gone = S.deletions_of_missing_products(refs, products).withColumn("candidate_id", F.lit(None).cast(dict(changes.dtypes)["candidate_id"]))
     return changes.unionByName(gone), cand
 
@@ -97,9 +144,11 @@ def import_run(incoming: DataFrame, stored: DataFrame, insights: DataFrame, prod
     table = result["table"]
     updated, _ = cut_lineage(result["updated_types"])
     changes = None
-    for type in possible_types(updated, types):
+    named = possible_types(updated, types)
+    used = used_dimensions(dims, table, products, named)
+    for type in named:
         scope = required_types_superset(updated, fixed.REQUIRED_TYPES[type])
-        part, _ = changes_for_type(type, table, insights, products, scope, dims)
+        part, _ = changes_for_type(type, table, insights, products, scope, used if BUILDERS[type] is BUILT_IN.get(type) else dims)
         changes = part if changes is None else changes.unionByName(part)
     return {"predictions": table, "deleted_predictions": result["delete"], "new_predictions": result["insert"], "changes": changes}
 
@@ -107,10 +156,11 @@ def import_run(incoming: DataFrame, stored: DataFrame, insights: DataFrame, prod
 def refresh_run(stored: DataFrame, insights: DataFrame, products: DataFrame, dims: Dimensions, types: list[str] | None = None) -> DataFrame:
     """Recompute insights from the stored predictions only (a table that each type scans)."""
     changes = None
-    present, _ = cut_lineage(stored.select("barcode", "server_type", "type").distinct())
-    for type in possible_types(present, types):
-        scope = required_types_superset(present, fixed.REQUIRED_TYPES[type])
-        part, _ = changes_for_type(type, stored, insights, products, scope, dims)
+    named = possible_types(stored, types)
+    used = used_dimensions(dims, stored, products, named)
+    for type in named:
+        scope = required_types_superset(stored, fixed.REQUIRED_TYPES[type])
+        part, _ = changes_for_type(type, stored, insights, products, scope, used if BUILDERS[type] is BUILT_IN.get(type) else dims)
         changes = part if changes is None else changes.unionByName(part)
     return changes
 

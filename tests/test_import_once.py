@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import changeset as S
 from larder.operators import dedup as D
+from larder.operators import taxonomy as T
 from larder.operators.filters import valid_prediction
 from larder.plans import flows
 
@@ -78,3 +79,60 @@ def test_types_without_predictions_are_left_out(spark):
     assert flows.possible_types(present, None) == ["label", "brand"]
     assert flows.possible_types(present, ["nutrition_image", "label"]) == ["label"]
     assert flows.possible_types(present, ["category", "store"]) == ["category"]
+
+
+def plan_of(spark, make):
+    """The physical plan as on tables too large for broadcasts."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def merge_inputs(spark, seed):
+    pick = F.when(F.col("id") % 7 == 0, 1)
+    candidates = rows(spark, seed, 0, 300).withColumn("priority", F.lit(1)).where("type = 'label'").na.drop(subset=["barcode", "server_type"])
+    references = rows(spark, seed + 1, 10_000, 200).where("type = 'label'").na.drop(subset=["barcode", "server_type"]).withColumns({"annotation": pick.cast("int"), "id": F.concat(F.lit("i"), "id")})
+    return candidates, references
+
+
+def test_candidates_are_merged_where_they_lie(spark):
+    closure = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a")], "ancestor string, descendant string")
+    for seed in range(3):
+        candidates, references = merge_inputs(spark, 10 * seed)
+        for up in (None, closure):
+            want = S.merge_candidates(candidates, references, ["value_tag"], closure=up).drop("type")
+            got = S.merge_candidates(candidates, references, ["value_tag"], None, up, ["barcode", "server_type"], dealt=True)
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    lying = [df.repartition(4, "barcode", "server_type") for df in merge_inputs(spark, 1)]
+    plan = plan_of(spark, lambda: S.merge_candidates(*lying, ["value_tag"], group=["barcode", "server_type"], dealt=True))
+    assert "Join " not in plan and all("value_tag" not in line and "insight_id" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line), plan
+
+
+def test_deepest_tags_meet_their_rows_by_product_alone(spark):
+    closure = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a")], "ancestor string, descendant string")
+    made = [(1, "1", "a"), (2, "1", "b"), (3, "1", "c"), (4, "1", None), (5, "2", "b"), (6, "2", "b"), (7, "2", "x"), (8, None, "a"), (9, None, "b")]
+    tags = spark.createDataFrame(made, "id long, barcode string, value_tag string")
+    assert sorted(r["id"] for r in T.deepest_nodes(tags, closure, ["barcode"]).collect()) == [1, 4, 5, 6, 7, 8, 9]
+    plan = plan_of(spark, lambda: T.deepest_nodes(tags.repartition(4, "barcode"), closure, ["barcode"]))
+    assert "hashpartitioning(barcode#" in plan and not any("barcode" in line and "value_tag" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line), plan
+
+
+def test_a_run_reads_few_tags_of_a_taxonomy(spark):
+    nodes = spark.range(1000).select(F.concat(F.lit("en:n"), "id").alias("id"), F.create_map(F.lit("x"), F.lit("1")).alias("properties"))
+    synonyms = spark.range(1000).select(F.concat(F.lit("fr:n"), "id").alias("tag"), F.concat(F.lit("en:n"), "id").alias("id"))
+    triple = (nodes, synonyms, spark.createDataFrame([], "ancestor string, descendant string"))
+    element = '{"element": {"shape": {"value_tag": "en:n7"}}}'
+    made = [("label", "en:n1", "{}"), ("label", "fr:n2", "{}"), ("category", "en:n3", "{}"), ("brand", "en:n4", "{}"), ("packaging", None, element)]
+    predictions = spark.createDataFrame(made, "type string, value_tag string, data string")
+    products = spark.createDataFrame([([("en:n9", None, None)],)], "packagings array<struct<shape:string,material:string,recycling:string>>")
+    dims = flows.Dimensions({k: triple for k in ("label", "category", "shape")}, nodes.select(F.col("id").alias("value_tag")))
+    used = flows.used_dimensions(dims, predictions, products, ["label", "category", "packaging", "brand"])
+    for name in ("label", "category", "shape"):
+        assert sorted(r["id"] for r in used.taxonomy[name][0].collect()) == ["en:n1", "en:n2", "en:n3", "en:n7", "en:n9"]
+    assert [r["tag"] for r in used.taxonomy["label"][1].collect()] == ["fr:n2"]
+    assert used.authorized.count() == 5 and flows.used_dimensions(dims, predictions, products, ["brand"]).taxonomy == dims.taxonomy
