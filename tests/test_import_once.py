@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from larder.operators import candidates as C
 from larder.operators import changeset as S
 from larder.operators import dedup as D
 from larder.operators import taxonomy as T
@@ -136,3 +137,14 @@ def test_a_run_reads_few_tags_of_a_taxonomy(spark):
         assert sorted(r["id"] for r in used.taxonomy[name][0].collect()) == ["en:n1", "en:n2", "en:n3", "en:n7", "en:n9"]
     assert [r["tag"] for r in used.taxonomy["label"][1].collect()] == ["fr:n2"]
     assert used.authorized.count() == 5 and flows.used_dimensions(dims, predictions, products, ["brand"]).taxonomy == dims.taxonomy
+
+
+def test_a_stored_nutrient_is_looked_up_once(spark):
+    kind = "map<string,struct<value:string,unit:string>>"
+    sets = f"array<struct<nutrients:{kind},per:string,preparation:string,source:string>>"
+    made = [({"salt_100g": (v, "g")}, [({"salt": ("2", "g")}, "100ml", "as_sold", "packaging")], None) for v in ("2", "3")]
+    frame = spark.createDataFrame([*made, ({}, None, None), (None, [], None)], f"nutrients {kind}, sets {sets}, serving_size string")
+    out = frame.select(C.nutrients_bring_news(F.col("nutrients"), F.col("sets"), F.col("serving_size")).alias("news"))
+    assert [r["news"] for r in out.collect()][:2] == [False, True]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") <= 2, plan
